@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Maps the ASCII capitals to small letters and leaves every other byte.
@@ -66,7 +67,7 @@ def encoded(array: pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece holds about limit bytes of text, one row at least."""
-    sizes = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(column(batch, text)), 0)))
+    sizes = np.cumsum(np.array(pc.fill_null(pc.binary_length(column(batch, text)), 0)))
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, exact_topk, line_dedup, quality_rules, token_counts
 
 QUERIES: dict[str, Callable] = {
+    "op3_line_dedup": line_dedup.op3,
     "op6_token_counts": token_counts.op6,
+    "op7_exact_topk": exact_topk.op7,
+    "op9_quality_rules": quality_rules.op9,
     "op10_bpe_codec": bpe_codec.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_exact_topk": exact_topk.ORACLE_SQL,
+}

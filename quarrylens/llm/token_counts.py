@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
         def f(piece: pa.RecordBatch):
             texts = common.column(piece, "t")
             n = np.array(c.count_all([t or "" for t in texts.to_pylist()]), np.int64)
-            return [common.column(piece, "k"), pa.compute.fill_null(pa.compute.binary_length(texts), 0), n, n > limit]
+            return [common.column(piece, "k"), pc.fill_null(pc.binary_length(texts), 0), n, n > limit]
 
         return f
 
