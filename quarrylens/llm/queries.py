@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_codec, exact_topk, line_dedup, quality_rules, token_counts
+from . import bpe_codec, exact_topk, line_dedup, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op3_line_dedup": line_dedup.op3,
+    "op5_toxicity": toxicity.op5,
     "op6_token_counts": token_counts.op6,
     "op7_exact_topk": exact_topk.op7,
     "op9_quality_rules": quality_rules.op9,
