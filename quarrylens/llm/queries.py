@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_codec, exact_topk, line_dedup, pii, quality_rules, token_counts, toxicity
+from . import bpe_codec, exact_topk, line_dedup, lm_score, pii, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
+    "op1_lm_score": lm_score.op1,
     "op2_pii": pii.op2,
     "op3_line_dedup": line_dedup.op3,
     "op5_toxicity": toxicity.op5,
