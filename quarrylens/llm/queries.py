@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_codec, exact_topk, line_dedup, lm_score, pii, quality_rules, token_counts, toxicity
+from . import bpe_codec, exact_topk, line_dedup, lm_score, mixing, pii, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_lm_score": lm_score.op1,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable] = {
     "op5_toxicity": toxicity.op5,
     "op6_token_counts": token_counts.op6,
     "op7_exact_topk": exact_topk.op7,
+    "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_bpe_codec": bpe_codec.op10,
 }
