@@ -15,7 +15,7 @@ from . import common
 #: The token that ends each text, and that stands before its first word. A word can't hold a space.
 END = b" "
 #: Texts are packed to blocks of about so many bytes; a block has one list of its distinct words.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 #: Text bytes for each shard of the counts.
 SHARD_BYTES = 16 << 20
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -136,8 +136,8 @@ def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
 
     def run(batches):
         ids, train, texts, size = [], [], [], 0
-        for batch in batches:
-            for i, r, t in zip(common.column(batch, "k"), common.column(batch, "learn").to_pylist(), common.encoded(common.column(batch, "t")), strict=True):
+        for piece in (piece for batch in batches for piece in common.pieces(batch, "t")):
+            for i, r, t in zip(common.column(piece, "k").to_pylist(), common.column(piece, "learn").to_pylist(), common.encoded(common.column(piece, "t")), strict=True):
                 ids.append(i)
                 train.append(bool(r))
                 texts.append(t)

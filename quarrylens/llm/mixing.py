@@ -158,5 +158,5 @@ def levels() -> dict[str, Column]:
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     goals = {("crawl",): 0.2, ("reference",): 0.5, ("community",): 0.3}
-    docs = docs.select("doc_id", "lang", "source", word_count(F.col("text")).alias("n_tokens"))
+    docs = common.Scratch(spark, "mix").put(docs.select("doc_id", "lang", "source", word_count(F.col("text")).alias("n_tokens")))
     return mix(docs, levels(), F.col("n_tokens"), share=0.8, weights=goals, power=0.7, max_epochs=2, seed="mix").select("doc_id", "epoch", "lang", "source", "n_tokens")
