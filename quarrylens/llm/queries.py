@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe_codec, exact_topk, line_dedup, lm_score, mixing, pii, quality_rules, token_counts, toxicity
+from . import bpe_codec, exact_topk, jaccard_join, line_dedup, lm_score, mixing, pii, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_lm_score": lm_score.op1,
     "op2_pii": pii.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op4_jaccard_join": jaccard_join.op4,
     "op5_toxicity": toxicity.op5,
     "op6_token_counts": token_counts.op6,
     "op7_exact_topk": exact_topk.op7,
