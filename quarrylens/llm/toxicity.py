@@ -43,13 +43,13 @@ def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Examples' unit TF-IDF vectors as postings by term; a term's largest weight in each block of examples.
 
-    terms: sorted hashes; idf by term; starts: where each term's postings begin; rows, weights: the postings, by row;
-    tops: term x block; toxic, weight, hashes: by example; edges, levels: the calibration's steps; none: the score of a
+    terms: sorted hashes; idf by term; rows, weights: the postings, by term and row; blocks: where each term's postings of
+    each block begin; tops: the largest weight, term x block; toxic, weight, hashes: by example; edges, levels: the calibration's steps; none: the score of a
     text without any term; k: neighbours."""
 
     terms: np.ndarray
     idf: np.ndarray
-    starts: np.ndarray
+    blocks: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
     tops: np.ndarray
@@ -87,20 +87,19 @@ class Index:
         bound is under the kth cosine found, so the result is exact."""
         bound = w @ self.tops[terms]
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         rows, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, step = 0, 1
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-9:
-            for b in order[at : at + step]:
-                if bound[b] <= 0 or bound[b] < kth - 1e-9:
-                    continue
-                score = np.zeros(BLOCK)
-                for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                    lo, hi = self.starts[t], self.starts[t + 1]
-                    lo, hi = lo + np.searchsorted(self.rows[lo:hi], [b * BLOCK, (b + 1) * BLOCK])
-                    score[self.rows[lo:hi] - b * BLOCK] += x * self.weights[lo:hi]
-                hit = np.flatnonzero(score > 0)
-                hit = hit[hit + b * BLOCK != skip]
-                rows, sims = np.concatenate([rows, hit + b * BLOCK]), np.concatenate([sims, np.round(score[hit], 9)])
+        at, step = 0, 8
+        while at < len(order) and bound[order[at]] >= kth - 1e-9:
+            blocks = order[at : at + step]
+            blocks = blocks[bound[blocks] >= kth - 1e-9]
+            lo, hi = (self.blocks[terms][:, blocks + i].ravel() for i in (0, 1))
+            size = hi - lo
+            at_ = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            hit, back = np.unique(self.rows[at_], return_inverse=True)
+            score = np.bincount(back, np.repeat(np.repeat(w, len(blocks)), size) * self.weights[at_], len(hit))
+            other = hit != skip
+            rows, sims = np.concatenate([rows, hit[other]]), np.concatenate([sims, np.round(score[other], 9)])
             at, step = at + step, step * 2
             if len(rows) > self.k:
                 best = np.lexsort((self.hashes[rows], -sims))[: self.k]
@@ -142,22 +141,22 @@ def _steps(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return edges, levels
 
 
-def fit(examples: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_terms: int = 4096, min_chi2: float = 30.0, min_share: float = 0.005, k: int = 16) -> Index:
-    """Learns from examples (text, toxic 0/1). Bounds: max_toxic and max_clean different texts, those of lowest
-    xxhash64, and the max_terms terms that differ most between the labels (chi-squared at least min_chi2) among those that min_share
-    of the examples, and five, hold. Nothing but these
-    comes to the driver. Rows with null text or label take no part; without examples every score is 0."""
-    given = examples.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
-    totals = {r["toxic"]: r["n"] for r in given.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spark = examples.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_terms: int = 4096, min_chi2: float = 30.0, min_share: float = 0.005, k: int = 16) -> Index:
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1); a document labelled more than once has its highest
+    label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64, and the max_terms terms that differ
+    most between the labels (chi-squared at least min_chi2) among those that min_share of the examples, and five, hold.
+    Nothing but these comes to the driver. Rows with null id, text or label take no part; without examples every score is 0."""
+    spark = docs.sparkSession
     scratch = common.Scratch(spark, "toxic")
-    picks = None
-    for label in (0, 1):
-        ids = given.where(F.col("toxic") == label).select("h", "toxic").distinct().orderBy("h").limit(max_toxic if label else max_clean)
-        picks = ids if picks is None else picks.union(ids)
-    picks = spark.createDataFrame([tuple(r) for r in picks.collect()], "ph long, pt int")
-    sample = given.join(F.broadcast(picks), (F.col("h") == F.col("ph")) & (F.col("toxic") == F.col("pt")), "left_semi").dropDuplicates(["h", "toxic"])
-    sample = scratch.put(sample)
+    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    marked = scratch.put(texts.select("doc_id", "h").join(marks, "doc_id").select("h", "toxic"))  # texts stay where they are
+    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picks = []
+    for label, most in ((0, max_clean), (1, max_toxic)):
+        picks += [(r["h"], label) for r in marked.where(F.col("toxic") == label).select("h").distinct().orderBy("h").limit(most).collect()]
+    picks = spark.createDataFrame(picks, "h long, toxic int")
+    sample = scratch.put(texts.select("text", "h").join(F.broadcast(picks), "h").dropDuplicates(["h", "toxic"]))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
 
@@ -186,7 +185,7 @@ def fit(examples: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_t
     order = np.argsort(terms)
     terms, idf = terms[order], np.log((1 + pos + neg) / (1 + df[order])) + 1
     empty = np.zeros(0)
-    index = Index(terms, idf, np.zeros(len(terms) + 1, np.int64), empty, empty, np.zeros((len(terms), 0)), empty, empty, empty, empty, np.zeros(1), 0.0, k)
+    index = Index(terms, idf, np.zeros((0, 0), np.int64), empty, empty, np.zeros((len(terms), 0)), empty, empty, empty, empty, np.zeros(1), 0.0, k)
     sent = spark.sparkContext.broadcast(index)
 
     def vectors_of():
@@ -207,8 +206,11 @@ def fit(examples: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_t
     flat_r = np.repeat(np.arange(n), [len(r["terms"]) for r in rows]) if n else np.zeros(0, np.int64)
     order = np.lexsort((flat_r, flat_t))
     index.rows, index.weights = flat_r[order], flat_w[order]
-    index.starts = np.searchsorted(flat_t[order], np.arange(len(terms) + 2))
-    index.tops = np.zeros((len(terms) + 1, n // BLOCK + 1))
+    width = n // BLOCK + 1
+    cells = flat_t[order] * width + flat_r[order] // BLOCK
+    firsts = np.arange(len(terms) + 1)[:, None] * width + np.arange(width + 1)[None]
+    index.blocks = np.searchsorted(cells, firsts)
+    index.tops = np.zeros((len(terms) + 1, width))
     np.maximum.at(index.tops, (flat_t, flat_r // BLOCK), flat_w)
     # calibration: every example scored by the others
     raw, kept, blank = [], [], []
@@ -253,15 +255,13 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the labelled documents that are not held out. A document labelled more than once has its highest label."""
-    marks = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+def training_labels(labels: DataFrame) -> DataFrame:
+    return labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    index = fit(training_rows(docs, common.table(spark, sf_dir, "labels")))
+    index = fit(docs, training_labels(common.table(spark, sf_dir, "labels")))
     return score(docs, index).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
