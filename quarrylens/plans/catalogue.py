@@ -1,8 +1,431 @@
-"""The queries over the test tables, one for each operator, with the SQL that gives the same rows."""
+"""The queries over the test tables, one for each operator, with the SQL that gives the same rows.
+
+Every query runs over its whole table. Doubles are rounded to six digits on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import bivariate, drift, missingness, response, text_time, typing, univariate
+from . import rules
+from .views import V1_SQL, V2_SQL, V3_SQL, V5_SQL, table, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def registered(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: C.rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return registered
+
+
+def _each(template: str, names, sep: str = "\nUNION ALL\n") -> str:
+    return sep.join(template.replace("{c}", n) for n in names)
+
+
+V1_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+# counts, duplicates, missing values
+
+
+@query("SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns FROM lineitem")
+def overview_shape(spark, sf):
+    return missingness.shape(table(spark, sf, "lineitem"))
+
+
+@query("""WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber, l_quantity)
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, round(sum(n - 1) / CAST(sum(n) AS DOUBLE), 6) AS duplicate_percentage FROM g""")
+def duplicate_rows(spark, sf):
+    return missingness.duplicate_rows(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"))
+
+
+@query(_each("SELECT '{c}' AS \"column\", count(*) - count(DISTINCT {c}) AS duplicate_values, count(DISTINCT {c}) AS distinct_values FROM orders", ["o_orderkey", "o_custkey"]))
+def duplicate_ids(spark, sf):
+    return missingness.duplicate_ids(table(spark, sf, "orders"), ["o_orderkey", "o_custkey"])
+
+
+_MISSING = """SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count, count({c}) AS non_null_count, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 6) AS missing_percentage, CAST(0 AS BIGINT) AS blank_string_count FROM v"""
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + _each(_MISSING, V1_COLUMNS))
+def column_missingness(spark, sf):
+    return missingness.column_missingness(view(spark, sf, V1_SQL), V1_COLUMNS).drop("zero_count")
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + "SELECT * FROM (" + _each("SELECT '{c}' AS \"column\", round(1 - count({c}) / CAST(count(*) AS DOUBLE), 6) AS missing_percentage FROM v", V1_COLUMNS) + ") WHERE missing_percentage >= 0.4")
+def high_missingness(spark, sf):
+    return missingness.high_missingness(view(spark, sf, V1_SQL).select(*V1_COLUMNS))
+
+
+@query(f"""WITH v AS ({V1_SQL}), m AS (SELECT {" + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in V1_COLUMNS)} AS m FROM v)
+SELECT round(avg(m), 6) AS mean_missing_columns, CAST(max(m) AS BIGINT) AS max_missing_columns, count(*) FILTER (WHERE m >= 2) AS rows_half_missing FROM m""")
+def row_missingness(spark, sf):
+    return missingness.row_missingness(view(spark, sf, V1_SQL), V1_COLUMNS)
+
+
+_GONE = ["l_discount", "l_tax", "l_returnflag"]
+_PAIRS = [(a, b) for i, a in enumerate(_GONE) for b in _GONE[i + 1 :]]
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + "\nUNION ALL\n".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr(CAST({a} IS NULL AS INTEGER), CAST({b} IS NULL AS INTEGER)), 6) AS correlation FROM v" for a, b in _PAIRS))
+def missing_flag_corr(spark, sf):
+    return missingness.missing_flag_correlation(view(spark, sf, V1_SQL), _GONE)
+
+
+@query(f"""WITH v AS ({V2_SQL}), c AS (
+  SELECT 'c_mktsegment' AS "column", lower(trim(c_mktsegment)) AS code FROM v WHERE lower(trim(c_mktsegment)) IN {missingness.MISSING_TEXTS}
+  UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM v WHERE c_nationkey IN {missingness.MISSING_NUMBERS})
+SELECT "column", code, count(*) AS n FROM c GROUP BY ALL""")
+def special_missing_codes(spark, sf):
+    return missingness.special_missing_codes(view(spark, sf, V2_SQL), ["c_mktsegment", "c_nationkey"])
+
+
+@query(f"WITH v AS ({V2_SQL})\n" + _each("SELECT '{c}' AS \"column\", count(*) FILTER (WHERE trim({c}) = '') AS blank_string_count FROM v", ["c_name", "c_mktsegment"]))
+def blank_strings(spark, sf):
+    return missingness.column_missingness(view(spark, sf, V2_SQL), ["c_name", "c_mktsegment"]).select("column", "blank_string_count")
+
+
+@query(_each("SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} = 0) AS zero_count FROM lineitem", NUMBERS))
+def zero_counts(spark, sf):
+    return missingness.column_missingness(table(spark, sf, "lineitem"), NUMBERS).select("column", "zero_count")
+
+
+_Y = "CASE WHEN l_linestatus = 'O' THEN 1e0 WHEN l_linestatus = 'F' THEN 0e0 END"
+
+
+def _y() -> F.Column:
+    return response.encoded(F.col("l_linestatus"), "O", "F")
+
+
+@query(f"WITH v AS (SELECT *, {_Y} AS y FROM ({V1_SQL}))\n" + _each("""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS missing_count, round(avg(y) FILTER (WHERE {c} IS NULL), 6) AS response_rate_missing,
+  round(avg(y) FILTER (WHERE {c} IS NOT NULL), 6) AS response_rate_present, round(avg(y) FILTER (WHERE {c} IS NULL) - avg(y) FILTER (WHERE {c} IS NOT NULL), 6) AS response_rate_gap FROM v""", V1_COLUMNS))
+def missing_by_response(spark, sf):
+    return missingness.missing_by_response(view(spark, sf, V1_SQL), _y(), V1_COLUMNS)
+
+
+@query(f"WITH v AS (SELECT *, coalesce(l_returnflag, '<MISSING>') AS s FROM ({V1_SQL}))\n" + _each("SELECT s AS segment_value, '{c}' AS \"column\", round(avg(CAST({c} IS NULL AS INTEGER)), 6) AS missing_percentage FROM v GROUP BY s", ["l_discount", "l_tax"]))
+def missing_by_segment(spark, sf):
+    return missingness.missing_by_segment(view(spark, sf, V1_SQL), "l_returnflag", ["l_discount", "l_tax"])
+
+
+# types
+
+
+_TYPED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
+
+
+@query("\nUNION ALL\n".join(_each(f"SELECT '{{c}}' AS \"column\", count(DISTINCT {{c}}) AS unique_count, round(count(DISTINCT {{c}}) / CAST(count({{c}}) AS DOUBLE), 6) AS unique_ratio FROM {t}", cs) for t, cs in _TYPED.items()))
+def column_cardinality(spark, sf):
+    a, b = (typing.cardinality(table(spark, sf, t), cs) for t, cs in _TYPED.items())
+    return a.unionByName(b).select("column", "unique_count", "unique_ratio")
+
+
+@query("\nUNION ALL\n".join(_each(f"SELECT '{{c}}' AS \"column\", round(max(n) / CAST(sum(n) AS DOUBLE), 6) AS top_frequency_ratio FROM (SELECT count(*) AS n FROM {t} WHERE {{c}} IS NOT NULL GROUP BY {{c}})", cs) for t, cs in _TYPED.items()))
+def top_frequency(spark, sf):
+    a, b = (typing.cardinality(table(spark, sf, t), cs) for t, cs in _TYPED.items())
+    return a.unionByName(b).select("column", "top_frequency_ratio")
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _semantic(c: str) -> str:
+    number, text, stamp = c not in ("l_returnflag", "l_linestatus", "l_shipdate"), c in ("l_returnflag", "l_linestatus"), c == "l_shipdate"
+    integral = f"bool_and(abs(v - round(v)) <= 1e-8)" if number else "false"
+    return f"""SELECT '{c}' AS "column", CASE WHEN count(*) = 0 THEN 'all_missing' WHEN count(*) = 1 THEN 'constant' WHEN max(n) / CAST(sum(n) AS DOUBLE) >= 0.98 THEN 'near_constant'
+  WHEN {stamp} THEN 'datetime' WHEN count(*) <= 2 AND bool_and(lower(s) IN ('true','false','t','f','yes','no','y','n','0','1')) THEN 'boolean' WHEN count(*) = 2 THEN 'binary'
+  WHEN {number} AND count(*) <= 20 AND {integral} THEN 'numeric_discrete' WHEN {number} THEN 'numeric_continuous'
+  WHEN {text} AND count(*) > 50 THEN 'categorical_high_cardinality' ELSE 'categorical_low_cardinality' END AS semantic_type
+FROM (SELECT {c} AS v, CAST({c} AS VARCHAR) AS s, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c})"""
+
+
+@query("\nUNION ALL\n".join(_semantic(c) for c in _LINE))
+def semantic_types(spark, sf):
+    return typing.semantic_types(table(spark, sf, "lineitem").select(*_LINE)).select("column", "semantic_type")
+
+
+@query(f"""WITH v AS ({V2_SQL})
+""" + _each(r"""SELECT '{c}' AS "column", round(avg(CAST(regexp_matches(trim({c}), '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') AS INTEGER)), 6) AS numeric_parse_rate,
+  round(avg(CAST(lower(trim({c})) IN ('true','false','t','f','yes','no','y','n','0','1') AS INTEGER)), 6) AS boolean_parse_rate FROM v WHERE trim({c}) <> ''""", ["balance_text", "c_mktsegment", "c_name"]))
+def parse_rates(spark, sf):
+    return typing.parse_rates(view(spark, sf, V2_SQL), ["balance_text", "c_mktsegment", "c_name"]).select("column", "numeric_parse_rate", "boolean_parse_rate")
+
+
+@query(r"""WITH s AS (SELECT text, lang FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 500)
+SELECT 'text' AS "column", round(avg(length(text)), 6) AS mean_length, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS mean_words, true AS text_like FROM s
+UNION ALL SELECT 'lang', round(avg(length(lang)), 6), round(avg(len(list_filter(regexp_split_to_array(lang, '\s+'), lambda x: x <> ''))), 6), false FROM s""")
+def text_like(spark, sf):
+    """The first 500 values in order of id, which is what the operator looks at."""
+    return typing.text_like(table(spark, sf, "documents"), ["text", "lang"], F.col("doc_id"))
+
+
+@query("\nUNION ALL\n".join(f"""SELECT '{c}' AS "column", {'true' if c.endswith('_id') else "(count(DISTINCT " + c + ") / CAST(count(" + c + ") AS DOUBLE) >= 0.95 AND count(*) >= 20 AND count(DISTINCT " + c + ") >= greatest(20, 0.8 * count(*)))"} AS id_like FROM orders""" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")))
+def id_like(spark, sf):
+    return typing.id_like(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+
+
+@query("SELECT * FROM (VALUES ('first_name', '[\" First Name \", \"first-name\"]')) AS t(normalized_name, names)")
+def name_collisions(spark, sf):
+    found = rules.name_collisions([" First Name ", "first-name", "c_custkey", "Unnamed: 0"])
+    import json
+
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "normalized_name string, names string")
+
+
+# one column
+
+
+_PCT = univariate.PERCENTILES
+_MOMENTS = """count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis"""
+_QUANT = ", ".join(f"round(quantile_cont({{c}}, {p}), 6) AS p{round(p * 100):02d}" for p in _PCT) + ", round(quantile_cont({c}, 0.5), 6) AS median"
+_OUT = """SELECT '{c}' AS "column", count(DISTINCT {c}) AS unique_count,
+  count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS iqr_outlier_count, count(*) FILTER (WHERE {c} < p01 OR {c} > p99) AS p01_p99_outlier_count
+FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, quantile_cont({c}, 0.01) AS p01, quantile_cont({c}, 0.99) AS p99 FROM {t})"""
+
+
+@query("SELECT * FROM (" + _each(f"SELECT '{{c}}' AS \"column\", {_MOMENTS}, {_QUANT} FROM lineitem", NUMBERS) + ") JOIN (" + _each(_OUT.replace("{t}", "lineitem"), NUMBERS) + ") USING (\"column\")")
+def numeric_summary(spark, sf):
+    return univariate.numeric_summary(C.normalised(table(spark, sf, "lineitem")), NUMBERS)
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS p, round(quantile_cont({c}, {p}), 6) AS q FROM {t}" for t, c in (("events", "value"), ("lineitem", "l_extendedprice")) for p in _PCT))
+def percentiles(spark, sf):
+    return univariate.percentiles(table(spark, sf, "events"), ["value"]).unionByName(univariate.percentiles(table(spark, sf, "lineitem"), ["l_extendedprice"]))
+
+
+@query(_each("SELECT '{c}' AS \"column\", round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis FROM events", ["value"]) + "\nUNION ALL SELECT 'zero', 0e0, 0e0")
+def skew_kurtosis(spark, sf):
+    return univariate.moments(table(spark, sf, "events").withColumn("zero", F.lit(0.0)), ["value", "zero"]).select("column", "skewness", "kurtosis")
+
+
+@query(_OUT.replace("{t}", "events").replace("{c}", "value"))
+def outliers(spark, sf):
+    return univariate.outliers(table(spark, sf, "events"), ["value"])
+
+
+_CATS = ["o_orderstatus", "o_orderpriority"]
+
+
+@query(_each("SELECT '{c}' AS \"column\", coalesce({c}, '<MISSING>') AS value, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM orders) AS DOUBLE), 6) AS percentage, CAST(row_number() OVER (ORDER BY count(*) DESC, coalesce({c}, '<MISSING>')) AS INTEGER) AS rank FROM orders GROUP BY {c}", _CATS))
+def categorical_summary(spark, sf):
+    return univariate.categorical_summary(table(spark, sf, "orders"), _CATS)
+
+
+@query(_each("""SELECT '{c}' AS "column", count(*) AS unique_count, count(*) FILTER (WHERE r) AS rare_category_count, CAST(coalesce(sum(n) FILTER (WHERE r), 0) AS BIGINT) AS rare_row_count, round(coalesce(sum(n) FILTER (WHERE r), 0) / CAST(sum(n) AS DOUBLE), 6) AS rare_row_percentage
+FROM (SELECT count(*) AS n, count(*) / CAST((SELECT count(*) FROM part) AS DOUBLE) < 0.01 AS r FROM part GROUP BY {c})""", ["p_brand", "p_type", "p_name"]))
+def rare_categories(spark, sf):
+    return univariate.rare_categories(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
+
+
+@query("SELECT 'ts' AS \"column\", count(ts) AS count, min(ts) AS min, max(ts) AS max, count(DISTINCT ts) AS unique_count, CAST(0 AS BIGINT) AS parse_failure_count FROM events")
+def datetime_summary(spark, sf):
+    return univariate.datetime_summary(table(spark, sf, "events"), ["ts"])
+
+
+# response
+
+
+@query(f"""SELECT coalesce(CAST(quality AS VARCHAR), '<MISSING>') AS class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM documents) AS DOUBLE), 6) AS percentage, CAST(quality AS DOUBLE) AS encoded_value FROM ({V5_SQL}) GROUP BY quality""")
+def class_table(spark, sf):
+    return response.class_table(view(spark, sf, V5_SQL), "quality", "1").withColumn("encoded_value", F.col("encoded_value").cast("double"))
+
+
+@query("""SELECT round(avg(quality), 6) AS response_rate, least(sum(quality), count(*) - sum(quality)) AS minority_count, greatest(sum(quality), count(*) - sum(quality)) AS majority_count,
+  round(greatest(sum(quality), count(*) - sum(quality)) / CAST(least(sum(quality), count(*) - sum(quality)) AS DOUBLE), 6) AS imbalance_ratio FROM labels""".replace("least(sum(quality), count(*) - sum(quality)) AS m", "CAST(least(sum(quality), count(*) - sum(quality)) AS BIGINT) AS m").replace("greatest(sum(quality), count(*) - sum(quality)) AS m", "CAST(greatest(sum(quality), count(*) - sum(quality)) AS BIGINT) AS m"))
+def imbalance(spark, sf):
+    return response.imbalance(table(spark, sf, "labels"), F.col("quality"))
+
+
+_RANKED = """(SELECT y, avg(r) OVER (PARTITION BY x) AS k FROM (SELECT y, x, CAST(row_number() OVER (ORDER BY x) AS DOUBLE) AS r FROM (SELECT {y} AS y, {c} AS x FROM lineitem WHERE {c} IS NOT NULL)))""".replace("{y}", _Y)
+_AUC = """SELECT '{c}' AS "column", count(*) AS n, round((sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM """ + _RANKED
+
+
+@query(_each(_AUC, NUMBERS))
+def numeric_auc(spark, sf):
+    return response.numeric_relationships(table(spark, sf, "lineitem"), _y(), NUMBERS).select("column", "n", "auc")
+
+
+@query(_each("SELECT '{c}' AS \"column\", round(corr(k, y), 6) AS spearman FROM " + _RANKED, NUMBERS))
+def spearman_binary(spark, sf):
+    return response.numeric_relationships(table(spark, sf, "lineitem"), _y(), NUMBERS).select("column", "spearman")
+
+
+@query(_each("SELECT '{c}' AS \"column\", round(sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2, 6) AS mann_whitney_u FROM " + _RANKED, NUMBERS))
+def mann_whitney_u(spark, sf):
+    return response.numeric_relationships(table(spark, sf, "lineitem"), _y(), NUMBERS).select("column", "mann_whitney_u")
+
+
+@query(_each(f"""SELECT '{{c}}' AS "column", round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round(power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)), 4) AS degrees FROM (
+  SELECT avg(x) FILTER (WHERE y = 1) AS m1, avg(x) FILTER (WHERE y = 0) AS m0, var_samp(x) FILTER (WHERE y = 1) AS v1, var_samp(x) FILTER (WHERE y = 0) AS v0, count(x) FILTER (WHERE y = 1) AS n1, count(x) FILTER (WHERE y = 0) AS n0
+  FROM (SELECT {{c}} AS x, {_Y} AS y FROM lineitem))""", NUMBERS))
+def welch_t(spark, sf):
+    return response.welch_t(table(spark, sf, "lineitem"), _y(), NUMBERS).withColumn("degrees", F.round("degrees", 4))
+
+
+_BINNED = f"""WITH d AS (SELECT {{c}} AS x, {_Y} AS y FROM lineitem), e AS (
+  SELECT list_sort(list_distinct(list_value({", ".join(f"quantile_cont(x, {i / 10})" for i in range(11))}))) AS edges FROM d), b AS (
+  SELECT x, y, edges, greatest(1, len(list_filter(edges, lambda v: v < x))) AS bin FROM d, e)
+SELECT '{{c}}' AS "column", bin, round(edges[bin], 6) AS low, round(edges[bin + 1], 6) AS high, count(*) AS n, round(avg(y), 6) AS response_rate FROM b GROUP BY bin, edges"""
+
+
+@query("SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(_BINNED.replace("{c}", c) for c in ("l_quantity", "l_discount", "l_extendedprice")) + ")")
+def qcut_rates(spark, sf):
+    return response.quantile_bins(table(spark, sf, "lineitem"), _y(), ["l_quantity", "l_discount", "l_extendedprice"])
+
+
+_TREND = "WITH r AS (" + _BINNED.replace("round(avg(y), 6)", "avg(y)").replace("{c}", "l_discount").replace("WITH d AS", "WITH d AS", 1) + """), s AS (SELECT *, response_rate - lag(response_rate) OVER (ORDER BY bin) AS d FROM r)
+SELECT 'l_discount' AS "column", round(max(response_rate) - min(response_rate), 6) AS response_rate_spread, round(arg_min(response_rate, bin), 6) AS bottom_bin_rate, round(arg_max(response_rate, bin), 6) AS top_bin_rate,
+  (bool_and(coalesce(d >= 0, true)) OR bool_and(coalesce(d <= 0, true))) AS monotonic,
+  CASE WHEN bool_and(coalesce(d >= 0, true)) AND bool_and(coalesce(d <= 0, true)) THEN 'flat' WHEN bool_and(coalesce(d >= 0, true)) THEN 'increasing' WHEN bool_and(coalesce(d <= 0, true)) THEN 'decreasing' ELSE 'mixed' END AS trend FROM s"""
+
+
+@query(_TREND)
+def monotonic_trend(spark, sf):
+    return response.bin_trend(response.quantile_bins(table(spark, sf, "lineitem"), _y(), ["l_discount"]))
+
+
+@query(f"SELECT coalesce(l_returnflag, '<MISSING>') AS category, count(*) AS n, round(avg({_Y}), 6) AS mean_response FROM ({V1_SQL}) GROUP BY l_returnflag ORDER BY avg({_Y}) DESC, n DESC, category LIMIT 20")
+def category_rates(spark, sf):
+    return response.category_rates(view(spark, sf, V1_SQL), "l_returnflag", _y())
+
+
+_CHI = """WITH c AS (SELECT {x} AS x, {y} AS y, count(*) AS n FROM {t} GROUP BY ALL), e AS (
+  SELECT n, sum(n) OVER (PARTITION BY x) * sum(n) OVER (PARTITION BY y) / CAST(sum(n) OVER () AS DOUBLE) AS e, sum(n) OVER () AS total FROM c)
+SELECT '{x}' AS "column", CAST(max(total) AS BIGINT) AS n, round(sum(power({gap}, 2) / e), 6) AS chi_square, CAST({d} AS BIGINT) AS degrees, round(sqrt(sum(power({gap}, 2) / e) / max(total)), 6) AS cramers_v FROM e"""
+
+
+def _chi(x, y, t, gap, d):
+    return _CHI.replace("{x}", x).replace("{y}", y).replace("{t}", t).replace("{gap}", gap).replace("{d}", str(d))
+
+
+@query("SELECT * FROM (" + _chi("l_returnflag", "l_linestatus", "lineitem", "n - e", 2) + ") UNION ALL SELECT * FROM (" + _chi("quality", "toxic", "labels", "abs(n - e) - least(0.5, abs(n - e))", 1) + ")")
+def chi_square(spark, sf):
+    return response.chi_square(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").unionByName(response.chi_square(table(spark, sf, "labels"), "quality", "toxic"))
+
+
+@query(f"""WITH v AS ({V1_SQL}), c AS (SELECT coalesce(l_returnflag, '<MISSING>') AS x, l_linestatus AS y, count(*) AS n FROM v GROUP BY ALL), e AS (
+  SELECT n, sum(n) OVER (PARTITION BY x) * sum(n) OVER (PARTITION BY y) / CAST(sum(n) OVER () AS DOUBLE) AS e, sum(n) OVER () AS total FROM c)
+SELECT 'l_returnflag' AS "column", round(sqrt(sum(power(n - e, 2) / e) / max(total)), 6) AS cramers_v FROM e""")
+def cramers_v(spark, sf):
+    return response.chi_square(view(spark, sf, V1_SQL), "l_returnflag", "l_linestatus").select("column", "cramers_v")
+
+
+@query(f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS parse_failure_count, {_MOMENTS}, {_QUANT}, o.unique_count, o.iqr_outlier_count, o.p01_p99_outlier_count, false AS zero_variance
+FROM orders, ({_OUT.replace("{t}", "orders")}) AS o GROUP BY o.unique_count, o.iqr_outlier_count, o.p01_p99_outlier_count""".replace("{c}", "o_totalprice"))
+def regression_target(spark, sf):
+    return response.regression_target(table(spark, sf, "orders"), "o_totalprice")
+
+
+_SPEAR = """SELECT '{c}' AS "column", count(*) AS n, round(corr({c}, l_extendedprice), 6) AS pearson, round(corr(a, b), 6) AS spearman, CASE WHEN abs(corr(a, b)) < 1e-12 THEN 'none' WHEN corr(a, b) > 0 THEN 'positive' ELSE 'negative' END AS direction FROM (
+  SELECT {c}, l_extendedprice, avg(ra) OVER (PARTITION BY {c}) AS a, avg(rb) OVER (PARTITION BY l_extendedprice) AS b FROM (
+    SELECT {c}, l_extendedprice, row_number() OVER (ORDER BY {c}) AS ra, row_number() OVER (ORDER BY l_extendedprice) AS rb FROM lineitem))"""
+
+
+@query(_each(_SPEAR, ["l_quantity", "l_discount", "l_tax"]))
+def regression_corr(spark, sf):
+    return response.regression_correlations(table(spark, sf, "lineitem"), F.col("l_extendedprice"), ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("SELECT coalesce(o_orderpriority, '<MISSING>') AS category, count(*) AS n, round(avg(o_totalprice), 6) AS mean_response FROM orders GROUP BY o_orderpriority ORDER BY avg(o_totalprice) DESC, n DESC, category LIMIT 20")
+def category_target_means(spark, sf):
+    return response.category_rates(table(spark, sf, "orders"), "o_orderpriority", F.col("o_totalprice"))
+
+
+# pairs of columns
+
+
+def _corrs(columns, source) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS correlation FROM {source}" for i, a in enumerate(columns) for b in columns[i + 1 :])
+
+
+@query(_corrs(NUMBERS, "lineitem"))
+def correlation_matrix(spark, sf):
+    return bivariate.correlation_matrix(table(spark, sf, "lineitem"), NUMBERS)
+
+
+@query("SELECT * FROM (" + _corrs([*NUMBERS, "qty_copy", "price2"], f"({V3_SQL})") + ") WHERE abs(correlation) >= 0.8")
+def high_corr_pairs(spark, sf):
+    return bivariate.high_correlations(view(spark, sf, V3_SQL))
+
+
+@query("SELECT 'l_quantity' AS \"left\", 'qty_copy' AS \"right\"")
+def duplicate_columns(spark, sf):
+    return bivariate.duplicate_columns(view(spark, sf, V3_SQL))
+
+
+# groups
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + _each("""SELECT '{c}' AS "column", round((avg({c}) FILTER (WHERE split = 'train') - avg({c}) FILTER (WHERE split = 'test')) / sqrt((var_samp({c}) FILTER (WHERE split = 'train') + var_samp({c}) FILTER (WHERE split = 'test')) / 2), 6) AS smd FROM v""", NUMBERS))
+def drift_smd(spark, sf):
+    return drift.standardised_differences(view(spark, sf, V1_SQL), "split", "train", "test", NUMBERS)
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + _each("""SELECT '{c}' AS "column", round(sum((a - e) * ln(a / e)), 6) AS psi FROM (
+  SELECT count(*) FILTER (WHERE split = 'train') / CAST((SELECT count(*) FROM v WHERE split = 'train') AS DOUBLE) + 1e-6 AS e, count(*) FILTER (WHERE split = 'test') / CAST((SELECT count(*) FROM v WHERE split = 'test') AS DOUBLE) + 1e-6 AS a FROM v GROUP BY {c})""", ["l_returnflag", "l_linestatus"]))
+def drift_psi(spark, sf):
+    return drift.population_stability(view(spark, sf, V1_SQL), "split", "train", "test", ["l_returnflag", "l_linestatus"])
+
+
+_COMPARED = """SELECT '{c}' AS "column", round(gr, 6) AS reference_missing, round(gc, 6) AS current_missing, round(mr, 6) AS reference_mean, round(mc, 6) AS current_mean, round(gc - gr, 6) AS missing_delta, round(mc - mr, 6) AS mean_delta, round(coalesce(mc - mr, gc - gr), 6) AS change_score FROM (
+  SELECT avg(CAST({c} IS NULL AS INTEGER)) FILTER (WHERE split = 'train') AS gr, avg(CAST({c} IS NULL AS INTEGER)) FILTER (WHERE split = 'test') AS gc, avg({c}) FILTER (WHERE split = 'train') AS mr, avg({c}) FILTER (WHERE split = 'test') AS mc FROM v)"""
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + _each(_COMPARED, NUMBERS))
+def group_comparison(spark, sf):
+    return drift.comparison(view(spark, sf, V1_SQL), "split", "train", "test", NUMBERS)
+
+
+@query("""WITH g AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS v, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_custkey % 50 < 30) AS r, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_custkey % 50 >= 5) AS c FROM orders GROUP BY 1)
+SELECT count(*) FILTER (WHERE r > 0) AS reference_unique, count(*) FILTER (WHERE c > 0) AS current_unique, count(*) FILTER (WHERE r = 0 AND c > 0) AS new_count, count(*) FILTER (WHERE c = 0 AND r > 0) AS removed_count,
+  array_to_string(list_sort(list(v) FILTER (WHERE r = 0 AND c > 0))[1:10], ',') AS new_values, array_to_string(list_sort(list(v) FILTER (WHERE c = 0 AND r > 0))[1:10], ',') AS removed_values, round(10 / CAST(count(*) FILTER (WHERE c > 0) AS DOUBLE), 6) AS change_score FROM g""")
+def category_set_delta(spark, sf):
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 50).cast("string").alias("v"), (F.col("o_custkey") % 50).alias("k"), F.when(F.col("o_orderdate") < "1996-01-01", "reference").otherwise("current").alias("half"))
+    rows = rows.where(((F.col("half") == "reference") & (F.col("k") < 30)) | ((F.col("half") == "current") & (F.col("k") >= 5)))
+    out = drift.category_changes(rows, "half", "reference", "current", ["v"])
+    return out.select("reference_unique", "current_unique", "new_count", "removed_count", F.array_join("new_values", ",").alias("new_values"), F.array_join("removed_values", ",").alias("removed_values"), "change_score")
+
+
+# texts and times
+
+
+@query(r"""SELECT 'text' AS "column", count(text) AS count, round(avg(length(text)), 6) AS mean_length, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS mean_words, count(*) FILTER (WHERE trim(text) = '') AS blank_count, round(quantile_cont(length(text), 0.95), 6) AS p95_length FROM documents""")
+def text_summary(spark, sf):
+    return text_time.text_summary(table(spark, sf, "documents"), ["text"])
+
+
+@query("""WITH s AS (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z0-9_]{2,}')) AS term FROM documents)
+SELECT term, count(*) AS n FROM s GROUP BY term ORDER BY n DESC, term LIMIT 20""")
+def top_terms(spark, sf):
+    return text_time.top_terms(table(spark, sf, "documents"), "text", first=None)
+
+
+_GAPS = "SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1e6 AS g FROM events"
+
+
+@query(f"SELECT 'ts' AS \"column\", count(g) AS gaps, round(max(g), 6) AS largest_gap_seconds, round(quantile_cont(g, 0.5), 6) AS median_gap_seconds FROM ({_GAPS})")
+def time_gaps(spark, sf):
+    return text_time.time_gaps(table(spark, sf, "events"), "ts")
+
+
+@query(f"SELECT CASE WHEN m IS NULL OR m <= 0 THEN NULL WHEN m <= 60 THEN 'sub_hourly' WHEN m <= 3600 THEN 'hourly' WHEN m <= 86400 THEN 'daily' WHEN m <= 604800 THEN 'weekly' ELSE 'longer_than_weekly' END AS frequency FROM (SELECT quantile_cont(g, 0.5) AS m FROM ({_GAPS}))")
+def inferred_frequency(spark, sf):
+    return text_time.time_gaps(table(spark, sf, "events"), "ts").select(text_time.frequency(F.col("median_gap_seconds")).alias("frequency"))
+
+
+@query("SELECT 'ts' AS \"column\", bool_and(coalesce(ts >= p, true)) AS monotonic_increasing FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS p FROM events) UNION ALL SELECT 'value', bool_and(coalesce(value >= p, true)) FROM (SELECT value, lag(value) OVER (ORDER BY event_id) AS p FROM events)")
+def monotonic_order(spark, sf):
+    events = table(spark, sf, "events")
+    return text_time.rises_in_order(events, "ts", F.col("event_id")).unionByName(text_time.rises_in_order(events, "value", F.col("event_id")))
