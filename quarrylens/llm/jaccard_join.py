@@ -17,7 +17,11 @@ BAND = 1.5
 #: Empty parts of a set that need no key (see parts()).
 SLACK = 1
 #: Keys are sent on in blocks of about so many.
-BLOCK_KEYS, BLOCK_BYTES, SHARD_BYTES = 500_000, 10 << 20, 8 << 20
+BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
+#: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
+ROUNDS = 2
+#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Rows of a bucket of tiles.
+CHUNK, BUCKET_ROWS = 1024, 50_000
 
 
 @lru_cache(maxsize=8)
@@ -81,7 +85,7 @@ def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
 def bitmap(s: np.ndarray, percent: int) -> bytes:
     """Parity bits of the hashed elements. Two maps of one length differ in no more bits than the sets in elements."""
     bits = 64
-    while bits < 4 * parts(own_band(len(s)), percent):
+    while bits < 16 * parts(own_band(len(s)), percent):
         bits *= 2
     count = np.bincount((common.mix(s + np.uint64(0x1F83D9AB)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
@@ -190,6 +194,39 @@ def _shard_edges(table: pa.Table) -> pa.Table:
     return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
 
 
+def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of each tile's members, from different components, whose sizes and bit counts allow a link."""
+    col = {c: np.array(table[c]) for c in ("tile", "upper", "same", "x", "size", "root")}
+    order = np.lexsort((col["x"], col["tile"]))
+    col = {c: v[order] for c, v in col.items()}
+    maps = table["map"].to_pylist()
+    edges = np.flatnonzero(np.concatenate([[True], col["tile"][1:] != col["tile"][:-1], [True]]))
+    out_x, out_y = [], []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        root, size, x = (col[c][lo:hi] for c in ("root", "size", "x"))
+        if (root == root[0]).all():
+            continue
+        mine = [np.frombuffer(maps[i], np.uint64) for i in order[lo:hi]]
+        width = min(len(m) for m in mine)
+        bits = np.stack([np.bitwise_xor.reduce(m.reshape(-1, width), 0) for m in mine])
+        same = bool(col["same"][lo])
+        left = np.arange(hi - lo) if same else np.flatnonzero(col["upper"][lo:hi])
+        right = np.arange(hi - lo) if same else np.flatnonzero(~col["upper"][lo:hi])
+        for i in left.tolist():
+            js = right[i + 1 :] if same else right
+            js = js[root[js] != root[i]]
+            if not len(js):
+                continue
+            both = size[i] + size[js]
+            overlap = -(-percent * both // (100 + percent))
+            fit = (overlap <= np.minimum(size[i], size[js])) & (np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= both - 2 * overlap)
+            js = js[fit]
+            out_x.append(np.maximum(x[i], x[js]))
+            out_y.append(np.minimum(x[i], x[js]))
+    pairs = np.unique(np.stack([np.concatenate(out_x), np.concatenate(out_y)], 1), axis=0) if out_x else np.zeros((0, 2), np.int64)
+    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes that have edges (x, y). Alternating large and small
     stars; each round is written in the shared folder. The number of rounds grows with the logarithm of the size."""
@@ -239,9 +276,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 
     Tiles: sets of like size (a band) that agree in a whole part of their elements. Similar sets are sure to share a tile, and
     sets that only share a passage seldom do. A tile links each member to its smallest, first within a block and then over
-    blocks, so a hot tile is one row from each block. These pairs are bounded by bit counts and then verified. Tiles whose members
-    are not in one component after that are opened: all pairs of members from different components are verified too. So no link
-    between components is lost, and no pairs are listed within a group."""
+    blocks, so a hot tile is one row from each block. These pairs are bounded by bit counts and then verified. In tiles whose members
+    are not in one component after that, members of the others are tried against the largest, a few rounds; what still isn't one
+    component is opened: all pairs of members from different components are verified. So no link between components is lost,
+    and no pairs are listed within one."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
@@ -283,19 +321,39 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
                 key = tile_keys(np.frombuffer(e, "<u8"), percent).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), node)), pa.array(np.full(len(key), size_))], ["key", "x", "size"])
 
-    rooted = sets.join(roots, "node", "left").select("node", "size", "elements", F.coalesce("root", "node").alias("root"))
-    lone = rooted.select("node", "root")
-    tiles = rooted.mapInArrow(keys_of, "key long, x long, size long").join(lone.withColumnRenamed("node", "x"), "x")
-    tiles = scratch.put(tiles.select("key", "x", "size", "root"))
-    mixed = tiles.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = tiles.join(mixed, "key")
-    other = members.select("key", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("root").alias("root_y"))
-    fits = (F.col("root") < F.col("root_y")) & (100 * F.least("size", "size_y") >= percent * F.greatest("size", "size_y"))
-    opened = members.join(other, "key").where(fits).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    opened = scratch.put(opened.join(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti"))
+    tiles = scratch.put(sets.select("node", "size", "elements").mapInArrow(keys_of, "key long, x long, size long"))
+    both_ways = lambda e: e.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    tested = both_ways(edges)
+
+    def rooted() -> DataFrame:
+        return tiles.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        return scratch.put(components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), scratch))
+
+    for r in range(ROUNDS):  # one member of each component in a tile meets one of the tile's largest component
+        luck = F.xxhash64(F.lit(r), "x")
+        members = rooted().groupBy("key", "root").agg(F.min_by("x", luck).alias("x"), F.count(F.lit(1)).alias("n"))
+        centres = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("x", F.struct("n", "x")).alias("y")).where("parts > 1").select("key", "y")
+        pairs = both_ways(members.join(centres, "key").where("x <> y")).distinct()
+        pairs = scratch.put(pairs.join(tested, ["x", "y"], "left_anti"))
+        more = scratch.put(_verified(pairs, sets, percent))
+        if more.isEmpty():
+            break
+        tested = tested.unionByName(pairs)
+        roots = joined(more)
+    now = rooted()
+    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    members = now.join(mixed, "key").join(sets.select(F.col("node").alias("x"), "map"), "x")
+    own = F.pmod(F.xxhash64("x"), F.col("chunks"))
+    members = members.select("key", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    members = scratch.put(members.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map"))
+    buckets = members.count() // BUCKET_ROWS + 1
+    opened = members.withColumn("bucket", F.pmod("tile", F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
+    opened = scratch.put(opened.join(tested, ["x", "y"], "left_anti"))
     more = scratch.put(_verified(opened, sets, percent))
     if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), scratch)
+        roots = joined(more)
     by_node = texts.where("size > 0").groupBy("node").agg(F.min("k").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_node.groupBy("root").agg(F.min("low").alias("component_id"))
     named = by_node.join(least, "root").select(F.col("node").alias("of"), "component_id")
