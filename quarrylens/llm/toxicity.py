@@ -141,10 +141,10 @@ def _steps(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return edges, levels
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_terms: int = 4096, min_chi2: float = 30.0, min_share: float = 0.005, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_terms: int = 4096, min_chi2: float = 30.0, min_odds: float = 4.0, min_share: float = 0.005, k: int = 16) -> Index:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1); a document labelled more than once has its highest
     label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64, and the max_terms terms that differ
-    most between the labels (chi-squared at least min_chi2) among those that min_share of the examples, and five, hold.
+    most between the labels (chi-squared at least min_chi2, odds apart by a factor of min_odds) among those that min_share of the examples, and five, hold.
     Nothing but these comes to the driver. Rows with null id, text or label take no part; without examples every score is 0."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "toxic")
@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     rest = F.lit(float(pos)) - a, F.lit(float(neg)) - b
     chi2 = F.try_divide((a * rest[1] - b * rest[0]) ** 2 * float(pos + neg), (a + b) * (rest[0] + rest[1]) * float(pos * neg))
     counted = held.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= max(5.0, min_share * (pos + neg)))
-    best = counted.withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term", "a", "b").collect()
+    odds = F.abs(F.log((a + 0.5) * (rest[1] + 0.5) / ((b + 0.5) * (rest[0] + 0.5))))
+    best = counted.withColumn("chi2", chi2).where((F.col("chi2") >= min_chi2) & (odds >= float(np.log(min_odds)))).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term", "a", "b").collect()
     terms = np.array([r["term"] for r in best], np.int64).view(np.uint64)
     df = np.array([r["a"] + r["b"] for r in best], np.float64)
     order = np.argsort(terms)
