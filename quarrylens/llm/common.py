@@ -94,9 +94,12 @@ def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

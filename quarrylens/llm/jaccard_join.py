@@ -14,8 +14,8 @@ from . import common
 
 #: A band's largest size is this many times its smallest.
 BAND = 1.5
-#: Empty parts of a set that need no key (see parts()).
-SLACK = 1
+#: A shingle that so many texts of one block hold is common; of the common ones, so many are known to all (a bounded table).
+COMMON_IN_BLOCK, COMMON = 4, 200_000
 #: Keys are sent on in blocks of about so many.
 BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
 #: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
@@ -33,13 +33,6 @@ def bands(limit: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def parts(band: int, percent: int) -> int:
-    """Into how many parts sets are cut in a band. Two sets of sizes a and b with a Jaccard similarity of t differ in at most
-    (a + b)(1 - t)/(1 + t) elements, and an element that only one has spoils one part; so at least one part more than SLACK is alike."""
-    largest = int(bands()[band + 1]) - 1
-    return 2 * largest * (100 - percent) // (100 + percent) + 1 + SLACK
-
-
 def own_band(n: int) -> int:
     return int(np.searchsorted(bands(), n, "right")) - 1
 
@@ -65,27 +58,26 @@ def node_of(s: np.ndarray) -> int:
         return int(common.mix(np.array([common.mix(s + np.uint64(0x51ED270B)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The tiles that a set is in: for each of its bands, one for each part of it, named by the part's whole content. Empty
-    parts are left out while there are no more than SLACK of them: two similar sets are alike in more parts than that, so
-    they are alike in a part that isn't empty."""
-    out = []
-    content = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(s + np.uint64(0x2545F491)), dtype=np.uint64)])
-    for band in bands_of(len(s), percent):
-        k = parts(band, percent)
-        part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        cuts = np.searchsorted(part, np.arange(k + 1))
-        key = content[cuts[1:]] - content[cuts[:-1]]
-        key = common.mix(common.mix(key + np.arange(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
-        empty = cuts[1:] == cuts[:-1]
-        out.append(key[~empty] if empty.sum() <= SLACK else key)
-    return np.concatenate(out)
+def tile_keys(s: np.ndarray, percent: int, common_ones: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The tiles that a set is in: one for each of its bands and of its first elements.
+
+    In one order of all elements, of two sets with a Jaccard similarity of t each has an element of the other among its
+    first |s| - t|s| + 1. The order puts common elements last (common_ones: sorted hashes, then their places), so that
+    a tile seldom holds sets that only share a passage. Any order would be right."""
+    n = len(s)
+    first = n - -(-n * percent // 100) + 1
+    hashes, places = common_ones
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+        s = s[np.lexsort((s, np.where(hashes[at] == s, places[at] + 1, 0)))]
+    s = s[:first]
+    return np.concatenate([common.mix(s + np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)) for band in bands_of(n, percent)])
 
 
 def bitmap(s: np.ndarray, percent: int) -> bytes:
     """Parity bits of the hashed elements. Two maps of one length differ in no more bits than the sets in elements."""
-    bits = 64
-    while bits < 16 * parts(own_band(len(s)), percent):
+    largest, bits = int(bands()[own_band(len(s)) + 1]), 64
+    while bits < 32 * largest * (100 - percent) // (100 + percent):  # 16 bits for each element that two similar sets can differ in
         bits *= 2
     count = np.bincount((common.mix(s + np.uint64(0x1F83D9AB)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
@@ -119,7 +111,27 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
 
 
-def _tiles(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
+def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles (sorted hashes) and their places, rarest first. Blocks of texts count for themselves and tell
+    those that several of their texts hold; what comes to the driver is COMMON rows at most."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [s for piece in common.pieces(batch, "t") for s in shingle_sets(common.encoded(common.column(piece, "t")), n)]
+            h, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = count >= COMMON_IN_BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
+
+    counts = docs.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, count = np.array(rows["h"]).view(np.uint64), np.array(rows["n"])
+    order = np.argsort(h)
+    places = np.empty(len(h), np.int64)
+    places[np.lexsort((h, count))] = np.arange(len(h))
+    return h[order], places[order]
+
+
+def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFrame:
     """Part "doc": id, size and node of each text. Part "edge": nodes that share a tile in this block, each with the tile's
     smallest. Part "key": of each shard's tiles, the key and the smallest node in this block."""
     id_type = to_arrow_type(docs.schema["k"].dataType)
@@ -158,7 +170,7 @@ def _tiles(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
             for s in shingle_sets(common.encoded(common.column(piece, "t")), n):
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-                keys.append(tile_keys(s, percent) if len(s) else None)
+                keys.append(tile_keys(s, percent, sent.value) if len(s) else None)
                 count += len(keys[-1]) if len(s) else 0
             if count >= BLOCK_KEYS or len(ids) >= 50_000:
                 yield from flush(*held)
@@ -274,7 +286,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     node, so copies cost nothing more; rows that share an id but not a set are told apart. A component whose ids are all null
     has a null id. An empty table gives an empty one. Other columns are not read.
 
-    Tiles: sets of like size (a band) that agree in a whole part of their elements. Similar sets are sure to share a tile, and
+    Tiles: sets of like size (a band) that share one of their rarest elements. Similar sets are sure to share a tile, and
     sets that only share a passage seldom do. A tile links each member to its smallest, first within a block and then over
     blocks, so a hot tile is one row from each block. These pairs are bounded by bit counts and then verified. In tiles whose members
     are not in one component after that, members of the others are tried against the largest, a few rounds; what still isn't one
@@ -285,7 +297,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(max(8, min(1 << 20, -(-size // SHARD_BYTES))))
-    path = scratch.path(_tiles(rows, n, percent, shards))
+    sent = spark.sparkContext.broadcast(common_shingles(rows, n))
+    path = scratch.path(_tiles(rows, n, percent, shards, sent))
     packed = spark.read.parquet(path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -318,7 +331,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     def keys_of(batches):
         for batch in batches:
             for node, size_, e in zip(*(common.column(batch, c).to_pylist() for c in ("node", "size", "elements")), strict=True):
-                key = tile_keys(np.frombuffer(e, "<u8"), percent).view(np.int64)
+                key = tile_keys(np.frombuffer(e, "<u8"), percent, sent.value).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), node)), pa.array(np.full(len(key), size_))], ["key", "x", "size"])
 
     tiles = scratch.put(sets.select("node", "size", "elements").mapInArrow(keys_of, "key long, x long, size long"))
