@@ -15,7 +15,7 @@ from . import common
 #: The token that ends each text, and that stands before its first word. A word can't hold a space.
 END = b" "
 #: Texts are packed to blocks of about so many bytes; a block has one list of its distinct words.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 5 << 20
 #: Text bytes for each shard of the counts.
 SHARD_BYTES = 16 << 20
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -110,7 +110,7 @@ def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
         words = list(vocab)
         h = common.word_hashes(words[1:])[0]
         h = np.concatenate([[np.uint64(0x1234567)], h]).astype(np.uint64)
-        before = np.concatenate([[0], flat[:-1]])
+        before = np.concatenate([np.zeros(1, np.int32), flat[:-1]])
         keys, n = np.unique(_pair_keys(h[before[learn]], h[flat[learn]]), return_counts=True)
         block = uuid.uuid4().int >> 65  # any number will do: what a task wrote stays as it is
         out = [("doc", block, -1, flat.astype("<i4").tobytes(), ends.astype("<i8").tobytes(), h.astype("<u8").tobytes(), np.array(train, bool).tobytes(), ids)]
