@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Maps the ASCII capitals to small letters and leaves every other byte.
@@ -49,6 +51,13 @@ class Scratch:
         df.write.parquet(path)
         return path
 
+    def parted(self, df: DataFrame, by: str) -> tuple[DataFrame, str]:
+        """Written in a folder for each value of a column, so that each can be dropped."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.partitionBy(by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
     def drop(self, path: str) -> None:
         """Frees a table that nothing reads any more."""
         jvm = self.spark._jvm
@@ -56,6 +65,30 @@ class Scratch:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def lean() -> None:
+    """Makes a worker give memory back as soon as an array is freed, as many workers share an executor's bound: large blocks
+    are mapped, and Arrow allocates like everything else. Has no effect where the C library can't be told."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: first all lowest bytes, then the next, and so on, so that small numbers cost little."""
+    x = np.ascontiguousarray(x)
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b"", 1)
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -84,6 +117,7 @@ def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text:
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        lean()
         f = make()
         for batch in batches:
             for piece in pieces(batch, text):

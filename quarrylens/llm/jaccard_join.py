@@ -163,6 +163,7 @@ def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
     def run(batches):
+        common.lean()
         held = ids, sizes, nodes, keys = [], [], [], []
         count = 0
         for piece in (p for batch in batches for p in common.pieces(batch, "t")):

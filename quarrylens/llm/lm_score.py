@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,28 +114,31 @@ def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
         before = np.concatenate([np.zeros(1, np.int32), flat[:-1]])
         keys, n = np.unique(_pair_keys(h[before[learn]], h[flat[learn]]), return_counts=True)
         block = uuid.uuid4().int >> 65  # any number will do: what a task wrote stays as it is
-        out = [("doc", block, -1, flat.astype("<i4").tobytes(), ends.astype("<i8").tobytes(), h.astype("<u8").tobytes(), np.array(train, bool).tobytes(), ids)]
+        out = [("doc", block, -1, common.packed(flat.astype("<i4")), common.packed(ends.astype("<i8")), common.packed(h.astype("<u8")), ids)]
         ws = _shard_of(h, shards)
         order = np.argsort(ws, kind="stable")
         cuts = np.searchsorted(ws[order], np.arange(shards + 1))
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if len(mine):
-                out.append(("word", block, s, b"\n".join([words[i] for i in mine.tolist()]), mine.astype("<i4").tobytes(), counts[mine].astype("<i8").tobytes(), b"", []))
+                out.append(("word", block, s, zstandard.compress(b"\n".join([words[i] for i in mine.tolist()]), 1), common.packed(mine.astype("<i4")), common.packed(counts[mine].astype("<i8")), []))
         ps = _shard_of(keys, shards)  # keys are sorted, and so are their shards
         cuts = np.searchsorted(ps, np.arange(shards + 1))
         for s in range(shards):
             a, b = cuts[s], cuts[s + 1]
             if b > a:
-                out.append(("pair", block, s, (keys[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), np.minimum(n[a:b], 2**32 - 1).astype("<u4").tobytes(), b"", b"", []))
-        for part, block, s, a, b, c, d, e in out:
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.int64()), pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c, d)), pa.array([e], pa.list_(id_type))], ["part", "block", "shard", "a", "b", "c", "d", "ids"])
+                low = np.sort((keys[a:b] & np.uint64(0xFFFFFFFF)) << np.uint64(32) | np.minimum(n[a:b], 2**32 - 1).astype(np.uint64))
+                steps = np.diff(low >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
+                out.append(("pair", block, s, common.packed(steps), common.packed((low & np.uint64(0xFFFFFFFF)).astype("<u4")), b"", []))
+        for part, block, s, a, b, c, e in out:
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.int64()), pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c)), pa.array([e], pa.list_(id_type))], ["part", "block", "shard", "a", "b", "c", "ids"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["k"].dataType)
 
     def run(batches):
+        common.lean()
         ids, train, texts, size = [], [], [], 0
         for piece in (piece for batch in batches for piece in common.pieces(batch, "t")):
             for i, r, t in zip(common.column(piece, "k").to_pylist(), common.column(piece, "learn").to_pylist(), common.encoded(common.column(piece, "t")), strict=True):
@@ -148,7 +152,7 @@ def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
         if texts:
             yield from flush(ids, train, texts)
 
-    return docs.mapInArrow(run, f"part string, block long, shard int, a binary, b binary, c binary, d binary, ids array<{kind}>")
+    return docs.mapInArrow(run, f"part string, block long, shard int, a binary, b binary, c binary, ids array<{kind}>")
 
 
 def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,29 +177,32 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
     shards = max(8, min(1 << 20, -(-size // SHARD_BYTES)))
     scratch = common.Scratch(spark, "lm")
     shards = int(shards)
-    packed = scratch.put(_pack(rows, shards, kind))
+    packed, path = scratch.parted(_pack(rows, shards, kind), "part")
 
     def unigrams(batches_of_key, table: pa.Table):
+        common.lean()
         totals: dict[bytes, int] = {}
         parts = []
         for block, words, at, counts in zip(table["block"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), table["c"].to_pylist(), strict=True):
-            words = words.split(b"\n")
+            words = zstandard.decompress(words).split(b"\n")
             parts.append((block, words, at))
-            for w, n in zip(words, np.frombuffer(counts, "<i8").tolist(), strict=True):
+            for w, n in zip(words, common.unpacked(counts, "<i8").tolist(), strict=True):
                 if n:
                     totals[w] = totals.get(w, 0) + n
-        got = [np.fromiter((totals.get(w, 0) for w in words), np.int64, len(words)).astype("<i8").tobytes() for _, words, _ in parts]
+        got = [common.packed(np.fromiter((totals.get(w, 0) for w in words), "<i8", len(words))) for _, words, _ in parts]
         n = len(parts)
         return pa.table({"block": pa.array([p[0] for p in parts], pa.int64()), "at": pa.array([p[2] for p in parts], pa.binary()), "n": pa.array(got, pa.binary()), "total": pa.array([sum(totals.values())] + [0] * (n - 1), pa.int64()), "distinct": pa.array([len(totals)] + [0] * (n - 1), pa.int64())})
 
     words = packed.where("part = 'word'").select("shard", "block", "a", "b", "c")
     known = scratch.put(words.groupBy("shard").applyInArrow(lambda key, t: unigrams(key, t), "block long, at binary, n binary, total long, distinct long"))
+    scratch.drop(f"{path}/part=word")
     total, distinct = known.agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = int(total or 0), int(distinct or 0)
 
     def segments(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, "<u4") for x in table["a"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["b"].to_pylist()]).astype(np.int64)
+        common.lean()
+        keys = np.concatenate([np.cumsum(common.unpacked(x, "<u4"), dtype=np.uint64).astype(np.uint32) for x in table["a"].to_pylist()])
+        counts = np.concatenate([common.unpacked(x, "<u4") for x in table["b"].to_pylist()]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -205,6 +212,7 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
 
     pairs = packed.where("part = 'pair'").select("shard", "a", "b")
     made = scratch.put(pairs.groupBy("shard").applyInArrow(segments, "shard int, bits binary, size long"))
+    scratch.drop(f"{path}/part=pair")
     sizes = np.zeros(shards, np.int64)
     for r in made.select("shard", "size").toLocalIterator():
         sizes[r["shard"]] = r["size"]
@@ -227,11 +235,12 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
 
     def scorer(sent, n: int):
         def texts(row):
+            common.lean()
             get = lambda name: common.column(row, name)[0].as_py()
-            flat, ends, h = np.frombuffer(get("a"), "<i4"), np.frombuffer(get("b"), "<i8"), np.frombuffer(get("c"), "<u8")
+            flat, ends, h = common.unpacked(get("a"), "<i4"), common.unpacked(get("b"), "<i8"), common.unpacked(get("c"), "<u8")
             c = np.zeros(len(h), np.int64)
             for x in get("known"):
-                c[np.frombuffer(x["at"], "<i4")] = np.frombuffer(x["n"], "<i8")
+                c[common.unpacked(x["at"], "<i4")] = common.unpacked(x["n"], "<i8")
             p = (c + 0.5) / (total + 0.5 * (distinct + 1))
             log_p = np.log10(p)
             starts = np.concatenate([[0], ends[:-1]])
