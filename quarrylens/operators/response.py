@@ -138,14 +138,15 @@ def chi_square(df: DataFrame, column: str, response: str) -> DataFrame:
     rows = cells.groupBy("category").agg(F.sum("n").alias("row"))
     cols = cells.groupBy("class").agg(F.sum("n").alias("col"))
     n = F.col("n").cast("double")
-    r = rows.agg(F.count(F.lit(1)).alias("r"), F.sum(1.0 / F.col("row")).alias("over_rows"), F.sum("row").alias("total"))
+    r = rows.agg(F.count(F.lit(1)).alias("r"), F.sum(1.0 / F.col("row")).alias("over_rows"))
     c = cols.agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / F.col("col")).alias("over_cols"))
-    e = F.col("row").cast("double") * F.col("col") / r.select("total").scalar()
-    out = cells.join(rows, "category").join(cols, "class").agg(F.sum("n").alias("n"), F.sum(n * n / e).alias("s"), F.max(F.abs(n - e)).alias("gap"))
-    out = out.select("n", "s", "gap", r.select("r").scalar().alias("r"), c.select("c").scalar().alias("c"), (F.col("n") * r.select("over_rows").scalar() * c.select("over_cols").scalar()).alias("over_e"))
-    # two by two: every cell is as far from its expected number
-    off = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
-    chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), off * off * F.col("over_e")).otherwise(F.greatest(F.lit(0.0), F.col("s") - F.col("n")))
+    out = cells.join(rows, "category").join(cols, "class").agg(F.sum("n").alias("n"), F.sum(n * n / F.col("row") / F.col("col")).alias("s"))
+    out = out.select("n", (F.col("s") * F.col("n")).alias("s"), r.select("r").scalar().alias("r"), c.select("c").scalar().alias("c"), (F.col("n") * r.select("over_rows").scalar() * c.select("over_cols").scalar()).alias("over_e"))
+    plain = F.greatest(F.lit(0.0), F.col("s") - F.col("n"))
+    # two by two: every cell is as far from its expected number, so the distance follows from the sum
+    gap = F.sqrt(F.try_divide(plain, F.col("over_e")))
+    off = gap - F.least(F.lit(0.5), gap)
+    chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), off * off * F.col("over_e")).otherwise(plain)
     least = F.least("r", "c") - 1
     return out.withColumn("chi2", chi2).select(F.lit(column).alias("column"), "n", F.when(least > 0, F.col("chi2")).alias("chi_square"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("degrees"), F.when(least > 0, F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * least))).alias("cramers_v"))
 
