@@ -100,6 +100,7 @@ def encoded(array: pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece holds about limit bytes of text, one row at least."""
+    lean()
     sizes = np.cumsum(np.array(pc.fill_null(pc.binary_length(column(batch, text)), 0)))
     start = 0
     while start < batch.num_rows:

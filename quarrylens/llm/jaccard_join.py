@@ -18,10 +18,12 @@ BAND = 1.5
 COMMON_IN_BLOCK, COMMON = 4, 200_000
 #: Keys are sent on in blocks of about so many.
 BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
+#: A tile that more texts of a block are in goes by rows, which no task has to gather.
+HOT_IN_BLOCK = 64
 #: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
 ROUNDS = 2
-#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Rows of a bucket of tiles.
-CHUNK, BUCKET_ROWS = 1024, 50_000
+#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles of a bucket.
+CHUNK, BUCKET_TILES = 1024, 2000
 
 
 @lru_cache(maxsize=8)
@@ -132,79 +134,75 @@ def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFrame:
-    """Part "doc": id, size and node of each text. Part "edge": nodes that share a tile in this block, each with the tile's
-    smallest. Part "key": of each shard's tiles, the key and the smallest node in this block."""
+    """Part "doc": id, size, node and bitmap of each text. Part "key": of each shard, the tiles of this block and their nodes.
+    Part "hot": nodes of tiles that many texts of this block are in; of such a tile only one node is among the keys."""
     id_type = to_arrow_type(docs.schema["k"].dataType)
-    names = ["part", "shard", "a", "b", "ids"]
-    types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_type)]
+    names = ["part", "shard", "a", "b", "c", "ids", "maps"]
+    types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.binary())]
 
-    def flush(ids, sizes, nodes, keys):
-        seen: dict[int, np.ndarray] = dict(zip(nodes, keys, strict=True))
-        seen = {k: v for k, v in seen.items() if v is not None}
-        rows = [("doc", -1, np.array(sizes, "<i8").tobytes(), np.array([x or 0 for x in nodes], "<i8").tobytes(), ids)]
+    def flush(ids, sizes, nodes, maps, keys):
+        rows = [("doc", -1, common.packed(np.array(sizes, "<i8")), np.array([x or 0 for x in nodes], "<i8").tobytes(), b"", ids, maps)]
+        seen = {k: v for k, v in zip(nodes, keys, strict=True) if v is not None}
         if seen:
-            key = np.concatenate(list(seen.values()))
-            node = np.repeat(np.array(list(seen), np.int64), [len(v) for v in seen.values()])
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            star = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            pairs = np.unique(np.stack([node[~first], star[~first]], 1), axis=0) if not first.all() else np.zeros((0, 2), np.int64)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            if len(pairs):
-                rows.append(("edge", -1, pairs[:, 0].astype("<i8").tobytes(), pairs[:, 1].astype("<i8").tobytes(), []))
-            key, node = key[first], node[first]
-            cuts = np.searchsorted(((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1))
+            node = np.sort(np.array(list(seen), np.int64))
+            key = np.concatenate([seen[x] for x in node.tolist()])
+            at = np.repeat(np.arange(len(node), dtype=np.uint32), [len(seen[x]) for x in node.tolist()])
+            shard = ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+            order = np.lexsort((at, key & np.uint64(0xFFFFFFFF), shard))
+            key, at, shard = (key & np.uint64(0xFFFFFFFF))[order], at[order], shard[order]
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
+            start = np.flatnonzero(first)
+            size = np.diff(np.append(start, len(key)))
+            hot = np.repeat(size > HOT_IN_BLOCK, size)
+            if hot.any():
+                rows.append(("hot", -1, ((shard[hot] << np.uint64(32)) | key[hot]).astype("<i8").tobytes(), node[at[hot]].astype("<i8").tobytes(), b"", [], []))
+                keep = first | ~hot
+                key, at, shard = key[keep], at[keep], shard[keep]
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
             for s in range(shards):
-                a, b = cuts[s], cuts[s + 1]
-                if b > a:
-                    rows.append(("key", s, (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), node[a:b].astype("<i8").tobytes(), []))
+                lo, hi = cuts[s], cuts[s + 1]
+                if hi > lo:
+                    mine, back = np.unique(at[lo:hi], return_inverse=True)
+                    rows.append(("key", s, common.packed(np.diff(key[lo:hi], prepend=np.uint64(0)).astype("<u4")), common.packed(back.astype("<u4")), node[mine].astype("<i8").tobytes(), [], []))
         for row in rows:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
     def run(batches):
-        common.lean()
-        held = ids, sizes, nodes, keys = [], [], [], []
+        held = ids, sizes, nodes, maps, keys = [], [], [], [], []
         count = 0
         for piece in (p for batch in batches for p in common.pieces(batch, "t")):
             ids += common.column(piece, "k").to_pylist()
             for s in shingle_sets(common.encoded(common.column(piece, "t")), n):
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
+                maps.append(bitmap(s, percent) if len(s) else b"")
                 keys.append(tile_keys(s, percent, sent.value) if len(s) else None)
                 count += len(keys[-1]) if len(s) else 0
             if count >= BLOCK_KEYS or len(ids) >= 50_000:
                 yield from flush(*held)
-                held = ids, sizes, nodes, keys = [], [], [], []
+                held = ids, sizes, nodes, maps, keys = [], [], [], [], []
                 count = 0
         if ids:
             yield from flush(*held)
 
-    return docs.mapInArrow(run, f"part string, shard int, a binary, b binary, ids array<{docs.schema['k'].dataType.simpleString()}>")
+    return docs.mapInArrow(run, f"part string, shard int, a binary, b binary, c binary, ids array<{docs.schema['k'].dataType.simpleString()}>, maps array<binary>")
 
 
-def _unpacked(df: DataFrame) -> DataFrame:
-    """Two columns of packed longs as rows."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in zip(common.column(batch, "a").to_pylist(), common.column(batch, "b").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(np.frombuffer(b, "<i8"))], ["x", "y"])
-
-    return df.select("a", "b").mapInArrow(run, "x long, y long")
-
-
-def _shard_edges(table: pa.Table) -> pa.Table:
-    """Nodes that share a tile over all blocks, each with the tile's smallest."""
-    key = np.concatenate([np.frombuffer(x, "<u4") for x in table["a"].to_pylist()])
-    node = np.concatenate([np.frombuffer(x, "<i8") for x in table["b"].to_pylist()])
+def _shared_tiles(table: pa.Table) -> pa.Table:
+    """The tiles of a shard that several nodes are in, and these nodes."""
+    common.lean()
+    key, node = [], []
+    for a, b, c in zip(*(table[x].to_pylist() for x in "abc"), strict=True):
+        key.append(np.cumsum(common.unpacked(a, "<u4"), dtype=np.uint64).astype(np.uint32))
+        node.append(np.frombuffer(c, "<i8")[common.unpacked(b, "<u4")])
+    key, node = np.concatenate(key), np.concatenate(node)
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    star = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    more = ~first & (node != star)
-    pairs = np.unique(np.stack([node[more], star[more]], 1), axis=0) if more.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, node = key[new], node[new]
+    same = key[1:] == key[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return pa.table({"tile": (table["shard"][0].as_py() << 32) | key[shared].astype(np.int64), "x": node[shared]})
 
 
 def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
@@ -258,25 +256,28 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
         mark = now
 
 
-def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that link: bit counts first, then the arrays of those that are left."""
-    small = sets.select("node", "size", "map")
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bit counts allow a link."""
 
     def bound(batches):
         for b in batches:
-            get = lambda n: common.column(b, n).to_pylist()  # noqa: E731, B023
-            keep = [may_link(*r, percent) for r in zip(get("sx"), get("mx"), get("sy"), get("my"), strict=True)]
+            keep = [may_link(*r, percent) for r in zip(*(common.column(b, c).to_pylist() for c in ("sx", "mx", "sy", "my")), strict=True)]
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"), F.col("map").alias(f"m{c}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "mx", "sy", "my").mapInArrow(bound, "x long, y long")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, by intersection of their arrays."""
+
     def exact(batches):
         for b in batches:
-            keep = [links(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(common.column(b, "ax"), common.column(b, "ay"), strict=True) for p, q in [(p.as_py(), q.as_py())]]
+            keep = [links(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(common.column(b, "ax").to_pylist(), common.column(b, "ay").to_pylist(), strict=True)]
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    left = edges.join(small.select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("map").alias("mx")), "x").join(small.select(F.col("node").alias("y"), F.col("size").alias("sy"), F.col("map").alias("my")), "y")
-    left = left.select("x", "y", "sx", "mx", "sy", "my").mapInArrow(bound, "x long, y long")
-    arrays = left.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ax")), "x").join(sets.select(F.col("node").alias("y"), F.col("elements").alias("ay")), "y")
-    return arrays.select("x", "y", "ax", "ay").mapInArrow(exact, "x long, y long")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"a{c}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "ax", "ay").mapInArrow(exact, "x long, y long")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,45 +300,50 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(max(8, min(1 << 20, -(-size // SHARD_BYTES))))
     sent = spark.sparkContext.broadcast(common_shingles(rows, n))
-    path = scratch.path(_tiles(rows, n, percent, shards, sent))
-    packed = spark.read.parquet(path)
+    packed, path = scratch.parted(_tiles(rows, n, percent, shards, sent), "part")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def doc_rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = (np.frombuffer(common.column(batch, c)[i].as_py(), "<i8") for c in "ab")
-                yield pa.RecordBatch.from_arrays([common.column(batch.slice(i, 1), "ids").flatten(), pa.array(a), pa.array(b)], ["k", "size", "node"])
+                get = lambda c: common.column(batch, c)[i].as_py()  # noqa: E731, B023
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([common.column(one, "ids").flatten(), pa.array(common.unpacked(get("a"), "<i8")), pa.array(np.frombuffer(get("b"), "<i8")), common.column(one, "maps").flatten()], ["k", "size", "node", "map"])
 
-    texts = scratch.put(packed.where("part = 'doc'").mapInArrow(doc_rows, f"k {kind}, size long, node long"))
-    across = packed.where("part = 'key'").groupBy("shard").applyInArrow(_shard_edges, "x long, y long")
-    edges = scratch.put(_unpacked(packed.where("part = 'edge'")).unionByName(across).distinct())
+    def hot_rows(batches):
+        for batch in batches:
+            for a, b in zip(common.column(batch, "a").to_pylist(), common.column(batch, "b").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(np.frombuffer(b, "<i8"))], ["tile", "x"])
+
+    told = packed.where("part = 'doc'").select("a", "b", "ids", "maps").mapInArrow(doc_rows, f"k {kind}, size long, node long, map binary")
+    texts = scratch.put(told.select("k", "size", "node"))
+    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map")))
+    hot = packed.where("part = 'hot'").select("a", "b").mapInArrow(hot_rows, "tile long, x long")
+    shared = packed.where("part = 'key'").select("shard", "a", "b", "c").groupBy("shard").applyInArrow(_shared_tiles, "tile long, x long")
+    tiles = scratch.put(shared.unionByName(hot).distinct())
     scratch.drop(path)
-    nodes = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
-    chosen = texts.where("size > 0").join(nodes, "node").groupBy("node").agg(F.min("k").alias("rep")).select(F.col("node").alias("want"), "rep")
 
     def sets_of(batches):
-        names = ["node", "size", "map", "elements"]
+        names = ["node", "elements"]
         for piece in (p for batch in batches for p in common.pieces(batch, "t")):
-            want = set(zip(range(piece.num_rows), common.column(piece, "want").to_pylist(), strict=True))
-            found = [(node, s) for i, s in enumerate(shingle_sets(common.encoded(common.column(piece, "t")), n)) if len(s) and (i, node := node_of(s)) in want]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([bitmap(s, percent) for _, s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for _, s in found], pa.binary())], names)
+            found = []
+            for s, want in zip(shingle_sets(common.encoded(common.column(piece, "t")), n), common.column(piece, "want").to_pylist(), strict=True):
+                if len(s) and node_of(s) == want:
+                    found.append((want, s.astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Bounds pairs, takes the sets of what is left from the texts, and intersects."""
+        left = scratch.put(_bounded(pairs, nodes, percent))
+        want = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct().join(nodes, "node").select(F.col("node").alias("want"), "low")
+        sets = rows.join(want, rows["k"].eqNullSafe(want["low"])).select("t", "want").mapInArrow(sets_of, "node long, elements binary").dropDuplicates(["node"])
+        return scratch.put(_exact(left, scratch.put(sets), percent))
 
-    sets = rows.join(chosen, rows["k"].eqNullSafe(chosen["rep"])).select("t", "want").mapInArrow(sets_of, "node long, size long, map binary, elements binary")
-    sets = scratch.put(sets.dropDuplicates(["node"]))
-    linked = scratch.put(_verified(edges, sets, percent))
-    roots = scratch.put(components(linked, scratch))
-
-    # tiles that are still in more than one component
-    def keys_of(batches):
-        for batch in batches:
-            for node, size_, e in zip(*(common.column(batch, c).to_pylist() for c in ("node", "size", "elements")), strict=True):
-                key = tile_keys(np.frombuffer(e, "<u8"), percent, sent.value).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), node)), pa.array(np.full(len(key), size_))], ["key", "x", "size"])
-
-    tiles = scratch.put(sets.select("node", "size", "elements").mapInArrow(keys_of, "key long, x long, size long"))
     both_ways = lambda e: e.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    tested = both_ways(edges)
+    stars = tiles.groupBy("tile").agg(F.min("x").alias("y"))
+    tested = scratch.put(both_ways(tiles.join(stars, "tile").where("x <> y")).distinct())
+    linked = verified(tested)
+    roots = scratch.put(components(linked, scratch))
 
     def rooted() -> DataFrame:
         return tiles.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -347,28 +353,28 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 
     for r in range(ROUNDS):  # one member of each component in a tile meets one of the tile's largest component
         luck = F.xxhash64(F.lit(r), "x")
-        members = rooted().groupBy("key", "root").agg(F.min_by("x", luck).alias("x"), F.count(F.lit(1)).alias("n"))
-        centres = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("x", F.struct("n", "x")).alias("y")).where("parts > 1").select("key", "y")
-        pairs = both_ways(members.join(centres, "key").where("x <> y")).distinct()
+        members = rooted().groupBy("tile", "root").agg(F.min_by("x", luck).alias("x"), F.count(F.lit(1)).alias("n"))
+        centres = members.groupBy("tile").agg(F.count(F.lit(1)).alias("parts"), F.max_by("x", F.struct("n", "x")).alias("y")).where("parts > 1").select("tile", "y")
+        pairs = both_ways(members.join(centres, "tile").where("x <> y")).distinct()
         pairs = scratch.put(pairs.join(tested, ["x", "y"], "left_anti"))
-        more = scratch.put(_verified(pairs, sets, percent))
+        more = verified(pairs)
         if more.isEmpty():
             break
         tested = tested.unionByName(pairs)
         roots = joined(more)
     now = rooted()
-    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    members = now.join(mixed, "key").join(sets.select(F.col("node").alias("x"), "map"), "x")
+    mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("tile", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    members = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "size", "map"), "x")
     own = F.pmod(F.xxhash64("x"), F.col("chunks"))
-    members = members.select("key", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    members = scratch.put(members.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map"))
-    buckets = members.count() // BUCKET_ROWS + 1
-    opened = members.withColumn("bucket", F.pmod("tile", F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
-    opened = scratch.put(opened.join(tested, ["x", "y"], "left_anti"))
-    more = scratch.put(_verified(opened, sets, percent))
+    members = members.select("tile", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map")
+    buckets = mixed.agg(F.sum("chunks")).first()[0] or 0  # tiles, or cuts of them: a bucket has few large or many small ones
+    members = members.withColumn("bucket", F.pmod("tile", F.lit(buckets // BUCKET_TILES + 1)))
+    opened = members.groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
+    more = verified(scratch.put(opened.join(tested, ["x", "y"], "left_anti")))
     if not more.isEmpty():
         roots = joined(more)
-    by_node = texts.where("size > 0").groupBy("node").agg(F.min("k").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_node = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_node.groupBy("root").agg(F.min("low").alias("component_id"))
     named = by_node.join(least, "root").select(F.col("node").alias("of"), "component_id")
     out = texts.join(named, (texts["node"] == named["of"]) & (texts["size"] > 0), "left")
