@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import bivariate, drift, missingness, response, text_time, typing, univariate
+from ..operators import bivariate, drift, missingness, ranking, response, text_time, typing, univariate
 from . import rules
 from .views import V1_SQL, V2_SQL, V3_SQL, V5_SQL, table, view
 
@@ -429,3 +429,88 @@ def inferred_frequency(spark, sf):
 def monotonic_order(spark, sf):
     events = table(spark, sf, "events")
     return text_time.rises_in_order(events, "ts", F.col("event_id")).unionByName(text_time.rises_in_order(events, "value", F.col("event_id")))
+
+
+# evidence as frames
+
+
+@query(f"""WITH v AS ({V2_SQL}), f AS (
+  SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) / CAST(count(*) AS DOUBLE) AS u, 0 AS blanks, count(DISTINCT c_custkey) AS d, false AS text FROM v
+  UNION ALL SELECT 'c_name', count(DISTINCT c_name) / CAST(count(*) AS DOUBLE), 0, count(DISTINCT c_name), true FROM v
+  UNION ALL SELECT 'c_acctbal', count(DISTINCT c_acctbal) / CAST(count(*) AS DOUBLE), 0, count(DISTINCT c_acctbal), false FROM v
+  UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) / CAST(count(*) AS DOUBLE), count(*) FILTER (WHERE trim(c_mktsegment) = ''), count(DISTINCT c_mktsegment), true FROM v)
+SELECT "column", 'high_cardinality' AS issue_type, 'medium' AS severity, CAST(d AS DOUBLE) AS metric_value FROM f WHERE text AND d > 50
+UNION ALL SELECT "column", 'id_like_candidate', 'low', round(u, 6) FROM f WHERE u >= 0.95
+UNION ALL SELECT "column", 'blank_strings', 'low', CAST(blanks AS DOUBLE) FROM f WHERE blanks > 0""")
+def dq_warnings(spark, sf):
+    return ranking.quality_flags(view(spark, sf, V2_SQL).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+
+
+_LEAKY = f"SELECT *, l_linenumber + CASE WHEN l_linestatus = 'O' THEN 100 ELSE 0 END AS hint FROM lineitem"
+
+
+@query("SELECT \"column\", 'high_auc' AS reason, 'high' AS severity, round(greatest(auc, 1 - auc), 6) AS auc_abs FROM (" + _each(_AUC.replace("round((sum", "((sum").replace("), 6) AS auc", ")) AS auc").replace("FROM lineitem", f"FROM ({_LEAKY})"), ["l_quantity", "hint"]) + ") WHERE greatest(auc, 1 - auc) >= 0.98")
+def leakage_warnings(spark, sf):
+    found = response.numeric_relationships(view(spark, sf, _LEAKY), _y(), ["l_quantity", "hint"])
+    return found.where(F.col("auc_abs") >= 0.98).select("column", F.lit("high_auc").alias("reason"), F.lit("high").alias("severity"), "auc_abs")
+
+
+_POSITION = "CASE \"column\" WHEN 'l_quantity' THEN 0 WHEN 'l_extendedprice' THEN 1 WHEN 'l_discount' THEN 2 ELSE 3 END"
+
+
+@query(f"""SELECT "column", round(s, 6) AS signal_score, CAST(row_number() OVER (ORDER BY s DESC, {_POSITION}) AS INTEGER) AS rank FROM (SELECT "column", 2 * abs(greatest(auc, 1 - auc) - 0.5) AS s FROM (""" + _each(_AUC.replace("round((sum", "((sum").replace("), 6) AS auc", ")) AS auc"), NUMBERS) + "))")
+def feature_ranking(spark, sf):
+    found = response.numeric_relationships(table(spark, sf, "lineitem"), _y(), NUMBERS)
+    position = F.array_position(F.array(*[F.lit(c) for c in NUMBERS]), F.col("column"))
+    rows = found.select("column", (2 * F.abs(F.col("auc_abs") - 0.5)).alias("signal_score"), F.lit(0.0).alias("quality_penalty"), F.lit(False).alias("has_leakage"), position.alias("position"))
+    return ranking.ranked_features(rows).select("column", "signal_score", "rank")
+
+
+@query("""SELECT risk_id, severity, position FROM (SELECT p_brand AS risk_id, CASE p_size % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity, p_partkey AS position,
+  row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END, p_partkey) AS r FROM part) WHERE r = 1""")
+def risk_dedupe(spark, sf):
+    severity = F.when(F.col("p_size") % 3 == 0, "low").when(F.col("p_size") % 3 == 1, "medium").otherwise("high")
+    return ranking.most_severe(table(spark, sf, "part").select(F.col("p_brand").alias("risk_id"), severity.alias("severity"), F.col("p_partkey").alias("position")), "risk_id", "severity", "position")
+
+
+_GATE = """SELECT '{c}' AS c, CASE WHEN avg(CAST({c} IS NULL AS INTEGER)) >= 0.95 THEN 'fail' WHEN avg(CAST({c} IS NULL AS INTEGER)) >= 0.4 THEN 'warn' ELSE 'pass' END AS status FROM v"""
+
+
+@query(f"WITH v AS ({V1_SQL}), s AS (" + _each(_GATE, V1_COLUMNS) + """)
+SELECT count(*) FILTER (WHERE status = 'pass') AS n_pass, count(*) FILTER (WHERE status = 'warn') AS n_warn, count(*) FILTER (WHERE status = 'fail') AS n_fail, CAST(0 AS BIGINT) AS n_not_applicable, count(*) AS total,
+  CASE WHEN count(*) FILTER (WHERE status = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (WHERE status = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS overall_status FROM s""")
+def quality_gate(spark, sf):
+    gone = missingness.column_missingness(view(spark, sf, V1_SQL), V1_COLUMNS)
+    m = F.col("missing_percentage")
+    return ranking.gate(gone.select(F.when(m >= 0.95, "fail").when(m >= 0.4, "warn").otherwise("pass").alias("status")))
+
+
+_HALF = """SELECT p_type AS "column", row_number() OVER (ORDER BY count(*) DESC, p_type) AS r FROM part WHERE p_size {op} 25 GROUP BY p_type"""
+
+
+@query(f"""WITH a AS ({_HALF.replace("{op}", "<=")}), b AS ({_HALF.replace("{op}", ">")})
+SELECT coalesce(a."column", b."column") AS "column", CAST(coalesce(a.r, 0) AS INTEGER) AS left_rank, CAST(coalesce(b.r, 0) AS INTEGER) AS right_rank, CASE WHEN a.r IS NULL THEN 'new' WHEN b.r IS NULL THEN 'removed' WHEN a.r = b.r THEN 'same' ELSE 'moved' END AS change
+FROM (SELECT * FROM a WHERE r <= 20) a FULL OUTER JOIN (SELECT * FROM b WHERE r <= 20) b ON a."column" = b."column" """)
+def run_rank_delta(spark, sf):
+    """Two rankings of the part types, by frequency among small and among large parts; the top 20 is the report's."""
+    part = table(spark, sf, "part")
+    rank = lambda rows: rows.groupBy(F.col("p_type").alias("column")).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "column")))
+    return ranking.rank_changes(rank(part.where("p_size <= 25")), rank(part.where("p_size > 25")))
+
+
+@query("SELECT c_custkey, '<REDACTED>' AS c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 5")
+def redacted_sample(spark, sf):
+    """The first five rows are the sample that a report shows."""
+    from . import workflow
+
+    return workflow.redacted(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").orderBy("c_custkey").limit(5), ["c_name"], "redacted")
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + "SELECT \"column\", round(smd, 6) AS value, CASE WHEN abs(smd) >= 0.5 THEN 'fail' WHEN abs(smd) >= 0.2 THEN 'warn' ELSE 'pass' END AS status FROM (" + _each("""SELECT '{c}' AS "column", (avg({c}) FILTER (WHERE split = 'train') - avg({c}) FILTER (WHERE split = 'test')) / sqrt((var_samp({c}) FILTER (WHERE split = 'train') + var_samp({c}) FILTER (WHERE split = 'test')) / 2) AS smd FROM v""", ["l_orderkey", *NUMBERS]) + ")")
+def drift_status(spark, sf):
+    return drift.drift(view(spark, sf, V1_SQL), "split", "train", "test", ["l_orderkey", *NUMBERS], []).select("column", "value", "status")
+
+
+@query("SELECT coalesce(o_orderstatus, '<MISSING>') AS \"group\", count(*) AS n FROM orders GROUP BY o_orderstatus")
+def group_counts(spark, sf):
+    return drift.group_counts(table(spark, sf, "orders"), "o_orderstatus")
