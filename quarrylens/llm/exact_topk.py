@@ -13,9 +13,9 @@ QUERY_ROWS, CANDIDATE_ROWS, BINS = 1024, 4096, 512
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id and floor(scale * x) of vectors that are whole and finite; all others take no part."""
+    """id and floor(scale * x) of vectors that are whole, finite and not so large that a score may not fit a long."""
     x = F.col(vec_col).cast("array<double>")
-    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2**40)) & F.col(id_col).isNotNull()
+    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * scale < F.sqrt(F.lit(2.0**62) / F.size(x)))) & F.col(id_col).isNotNull()
     return df.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
 
 
@@ -80,8 +80,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: int = 6
     block's scores equal to it, those k with the smallest ids; a window breaks the ties. So no list of scores is ever kept
     and nothing depends on the order of tasks. The number of rounds is log(range)/log(512).
 
-    Vectors that are null, empty, or hold null or non-finite components, or components of over 2**40, take no part, and
-    neither do rows without id. Only vectors of one length meet. A query id that is repeated is searched once, with the
+    Vectors that are null, empty, or hold null or non-finite components, or such large ones that a product of two like them
+    may not fit a long (over 2**22 with 64 dimensions and a scale of 64), take no part, and neither do rows without id. Only vectors of one length meet. A query id that is repeated is searched once, with the
     first of its vectors in array order; repeated candidates count each. Empty tables give an empty result."""
     spark = queries.sparkSession
     scratch = common.Scratch(spark, "topk")

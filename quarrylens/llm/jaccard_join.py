@@ -15,7 +15,7 @@ from . import common
 #: A band's largest size is this many times its smallest.
 BAND = 1.5
 #: A shingle that so many texts of one block hold is common; of the common ones, so many are known to all (a bounded table).
-COMMON_IN_BLOCK, COMMON = 4, 200_000
+COMMON_IN_BLOCK, COMMON, BLOCK_SHINGLES = 4, 200_000, 2_000_000
 #: Keys are sent on in blocks of about so many.
 BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
 #: A tile that more texts of a block are in goes by rows, which no task has to gather.
@@ -113,19 +113,34 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
 
 
-def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, n: int, scratch: common.Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles (sorted hashes) and their places, rarest first. Blocks of texts count for themselves and tell
-    those that several of their texts hold; what comes to the driver is COMMON rows at most."""
+    those that several of their texts hold. Which of all are known is told by a histogram of the counts' logarithms, so what
+    comes to the driver, or to one task, is COMMON rows at most."""
 
     def run(batches):
-        for batch in batches:
-            sets = [s for piece in common.pieces(batch, "t") for s in shingle_sets(common.encoded(common.column(piece, "t")), n)]
-            h, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = count >= COMMON_IN_BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
+        def often(sets):
+            h, count = np.unique(np.concatenate(sets), return_counts=True)
+            many = count >= COMMON_IN_BLOCK
+            return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(count[many])], ["h", "n"])
+
+        sets = []
+        for piece in (p for batch in batches for p in common.pieces(batch, "t")):
+            sets += shingle_sets(common.encoded(common.column(piece, "t")), n)
+            if sum(map(len, sets)) >= BLOCK_SHINGLES:
+                yield often(sets)
+                sets = []
+        if sets:
+            yield often(sets)
 
     counts = docs.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    counts = scratch.put(counts.withColumn("level", F.floor(F.log2("n") * 8).cast("int")))
+    least, total = 1 << 30, 0
+    for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("level")).collect():  # 512 levels at most
+        if (total := total + r["c"]) > COMMON:
+            break
+        least = r["level"]
+    rows = counts.where(F.col("level") >= least).select("h", "n").toArrow()
     h, count = np.array(rows["h"]).view(np.uint64), np.array(rows["n"])
     order = np.argsort(h)
     places = np.empty(len(h), np.int64)
@@ -207,6 +222,7 @@ def _shared_tiles(table: pa.Table) -> pa.Table:
 
 def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of each tile's members, from different components, whose sizes and bit counts allow a link."""
+    common.lean()
     col = {c: np.array(table[c]) for c in ("tile", "upper", "same", "x", "size", "root")}
     order = np.lexsort((col["x"], col["tile"]))
     col = {c: v[order] for c, v in col.items()}
@@ -272,6 +288,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by intersection of their arrays."""
 
     def exact(batches):
+        common.lean()
         for b in batches:
             keep = [links(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(common.column(b, "ax").to_pylist(), common.column(b, "ay").to_pylist(), strict=True)]
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -299,7 +316,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(max(8, min(1 << 20, -(-size // SHARD_BYTES))))
-    sent = spark.sparkContext.broadcast(common_shingles(rows, n))
+    sent = spark.sparkContext.broadcast(common_shingles(rows, n, scratch))
     packed, path = scratch.parted(_tiles(rows, n, percent, shards, sent), "part")
     kind = docs.schema[id_col].dataType.simpleString()
 
