@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Maps the ASCII capitals to small letters and leaves every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,6 +66,17 @@ class Scratch:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def joined_by_weight(left: DataFrame, right: DataFrame, on, weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key and tells how many rows are of it.
+
+    A key of a thousandth of all rows or more would meet in one task; there are a thousand of such at most, so they are
+    broadcast. All others are shuffled. on(left, right) is the condition."""
+    limit = max(1000, total // 1000)
+    hot = F.broadcast(right.where(F.col(weight) >= limit))
+    cold = right.where(F.col(weight) < limit)
+    return left.join(hot, on(left, hot)).unionByName(left.join(cold, on(left, cold)))
+
+
 def lean() -> None:
     """Makes a worker give memory back as soon as an array is freed, as many workers share an executor's bound: large blocks
     are mapped, and Arrow allocates like everything else. Has no effect where the C library can't be told."""

@@ -49,8 +49,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     all documents hold is one row from each task. Texts move once, to meet the list of their dropped keys."""
     spark = docs.sparkSession
     keys = common.Scratch(spark, "lines").put(line_keys(docs, min_chars, id_col, text_col))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("key", "last")
-    drops = keys.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("__drop_id")).agg(F.collect_list("key").alias("__drop"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select(F.col("key").alias("shared"), "last", "n")
+    held = common.joined_by_weight(keys, shared, lambda a, b: a["key"] == b["shared"], "n", keys.count())
+    drops = held.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("__drop_id")).agg(F.collect_list("key").alias("__drop"))
     fields = [x for x in docs.schema.fields if x.name not in ("n_lines", "n_dropped")]
     given = docs.select([F.col(f"`{x.name}`") for x in fields])
     joined = given.join(drops, given[id_col].eqNullSafe(drops["__drop_id"]), "left").drop("__drop_id")

@@ -92,9 +92,10 @@ def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 50, host_share: fl
     rows = common.Scratch(docs.sparkSession, "quality").put(rows)
     lines = rows.select("h", "th", F.explode("keys").alias("key")).distinct().groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     hosts = rows.select("h", "th").distinct().groupBy(F.col("h").alias("hh")).agg(F.count(F.lit(1)).alias("n_host"))
-    frequent = lines.join(hosts, lines["h"].eqNullSafe(hosts["hh"])).where(F.col("n") > host_share * F.col("n_host")).select(F.col("h").alias("fh"), F.col("key").alias("fkey"))
+    frequent = lines.join(hosts, lines["h"].eqNullSafe(hosts["hh"])).where(F.col("n") > host_share * F.col("n_host")).select(F.col("h").alias("fh"), F.col("key").alias("fkey"), "n")
     held = rows.select("h", "th", F.explode(F.arrays_zip("keys", "words")).alias("x")).select("h", "th", F.col("x.keys").alias("key"), F.col("x.words").alias("w")).distinct()
-    gone = held.join(frequent, (held["key"] == frequent["fkey"]) & held["h"].eqNullSafe(frequent["fh"])).groupBy(F.col("h").alias("gh"), F.col("th").alias("gth")).agg(F.sum("w").alias("gone"))
+    total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    gone = common.joined_by_weight(held, frequent, lambda a, b: (a["key"] == b["fkey"]) & a["h"].eqNullSafe(b["fh"]), "n", total).groupBy(F.col("h").alias("gh"), F.col("th").alias("gth")).agg(F.sum("w").alias("gone"))
     out = rows.select("k", "h", "th", *_COUNTS).join(gone, (rows["th"] == gone["gth"]) & rows["h"].eqNullSafe(gone["gh"]), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
     if max_repeat == 0.3:  # in whole numbers: a share of exactly three tenths passes
