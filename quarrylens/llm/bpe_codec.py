@@ -17,7 +17,8 @@ from . import common
 #: Pre-tokens of the vocabulary's family; \s as Unicode's White_Space alone.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A worker keeps the tokens of at most so many words, and forgets them all when there are more.
-KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 300_000, 2_000_000, 48
+KEPT_WORDS, KEPT_PAIRS, LONG_WORD, SHORT_WORD = 300_000, 2_000_000, 48, 24
+_NO_PAIR = (1 << 60, -1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -65,6 +66,18 @@ class Codec:
         if n < 2:
             return tokens
         ranks = self.ranks
+        if n <= SHORT_WORD:  # a list of the pairs' ranks is faster than a heap
+            get = ranks.get
+            pairs = [get(p, _NO_PAIR) for p in zip(tokens, tokens[1:], strict=False)]
+            while pairs and (best := min(pairs)) is not _NO_PAIR:
+                i = pairs.index(best)
+                tokens[i : i + 2] = [best[1]]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = get((tokens[i], tokens[i + 1]), _NO_PAIR)
+                if i:
+                    pairs[i - 1] = get((tokens[i - 1], tokens[i]), _NO_PAIR)
+            return tokens
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, tokens[i], tokens[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((tokens[i], tokens[i + 1])))]
         heapq.heapify(heap)
