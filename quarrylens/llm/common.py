@@ -66,15 +66,20 @@ class Scratch:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: A key of fewer rows is not hot in any table.
+LEAST_HOT = 1000
+
+
 def joined_by_weight(left: DataFrame, right: DataFrame, on, weight: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has one row for each key and tells how many rows are of it.
 
     A key of a thousandth of all rows or more would meet in one task; there are a thousand of such at most, so they are
     broadcast. All others are shuffled. on(left, right) is the condition."""
-    limit = max(1000, total // 1000)
+    limit = max(LEAST_HOT, total // 1000)
     hot = F.broadcast(right.where(F.col(weight) >= limit))
     cold = right.where(F.col(weight) < limit)
-    return left.join(hot, on(left, hot)).unionByName(left.join(cold, on(left, cold)))
+    rest = left.join(hot, on(left, hot), "left_anti")
+    return left.join(hot, on(left, hot)).unionByName(rest.join(cold, on(rest, cold)))
 
 
 def lean() -> None:

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import common, line_dedup, quality_rules
@@ -12,7 +13,9 @@ def key_of(line):
     return line.strip(WS).encode().translate(common.LOWER).decode()
 
 
-def test_line_dedup_by_brute_force(odd_docs, no_docs):
+@pytest.mark.parametrize("least_hot", [1000, 5])
+def test_line_dedup_by_brute_force(odd_docs, no_docs, monkeypatch, least_hot):
+    monkeypatch.setattr(common, "LEAST_HOT", least_hot)
     rows = odd_docs.select("doc_id", "text").collect()
     held = collections.defaultdict(set)
     for r in rows:
