@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 
 # Texts and numbers that often stand for a missing value.
-MISSING_TEXTS = ("", "na", "n/a", "null", "none", "missing", "unknown", "?", "-")
+MISSING_TEXTS = ("", "na", "n/a", "nan", "none", "null", "unknown", "unk", "missing", "not available")
 MISSING_NUMBERS = (-1.0, -9.0, -99.0, 999.0, 9999.0, 99999.0)
 
 

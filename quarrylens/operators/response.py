@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..functions import ranks
 
 # Labels that mark the positive class.
-POSITIVE_LABELS = ("1", "true", "yes", "y", "positive", "default", "fraud", "bad", "event", "churn")
+POSITIVE_LABELS = ("1", "true", "t", "yes", "y", "positive", "event", "bad", "claim", "lapse")
 
 
 def encoded(response: Column, positive: str, negative: str) -> Column:
@@ -20,17 +20,19 @@ def encoded(response: Column, positive: str, negative: str) -> Column:
     return F.when(s == positive, 1.0).when(s == negative, 0.0)
 
 
-def classes_of(df: DataFrame, response: str) -> list[str]:
-    """The distinct values as text, at most three of them."""
-    return sorted(r[0] for r in df.where(C.name(response).isNotNull()).select(C.name(response).cast("string")).distinct().limit(3).collect())
+def classes_of(df: DataFrame, response: str, order: Column | None = None) -> list[str]:
+    """The distinct values as text, at most three of them: as they come first in an order, else sorted."""
+    seen = df.where(C.name(response).isNotNull()).groupBy(C.name(response).cast("string").alias("class"))
+    found = seen.agg(F.min(order if order is not None else F.lit(0)).alias("at"))
+    return [r["class"] for r in found.orderBy("at", "class").limit(3).collect()]
 
 
 def positive_class(classes: Sequence[str], wanted: str | None = None) -> str:
-    """A wanted one, else one with a known label, else the last in order."""
+    """A wanted one, else the first with a known label, else the last by name."""
     if wanted is not None and wanted in classes:
         return wanted
     known = [c for c in classes if c.strip().lower() in POSITIVE_LABELS]
-    return known[0] if known else classes[-1]
+    return known[0] if known else max(classes)
 
 
 def class_table(df: DataFrame, response: str, positive: str | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def time_gaps(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
 
 def frequency(seconds: Column) -> Column:
     """A name for the usual gap; null where it is not positive."""
-    return F.when(seconds.isNull() | (seconds <= 0), None).when(seconds <= 60, "sub_hourly").when(seconds <= 3600, "hourly").when(seconds <= 86400, "daily").when(seconds <= 604800, "weekly").otherwise("longer_than_weekly")
+    return F.when(seconds.isNull() | (seconds <= 0), None).when(seconds <= 60, "sub_hourly").when(seconds <= 3600, "hourly").when(seconds <= 86400, "daily").when(seconds <= 604800, "weekly").otherwise("irregular_or_monthly_plus")
 
 
 def rises_in_order(df: DataFrame, column: str, order: Column, buckets: int = 64) -> DataFrame:

@@ -420,7 +420,7 @@ def time_gaps(spark, sf):
     return text_time.time_gaps(table(spark, sf, "events"), "ts")
 
 
-@query(f"SELECT CASE WHEN m IS NULL OR m <= 0 THEN NULL WHEN m <= 60 THEN 'sub_hourly' WHEN m <= 3600 THEN 'hourly' WHEN m <= 86400 THEN 'daily' WHEN m <= 604800 THEN 'weekly' ELSE 'longer_than_weekly' END AS frequency FROM (SELECT quantile_cont(g, 0.5) AS m FROM ({_GAPS}))")
+@query(f"SELECT CASE WHEN m IS NULL OR m <= 0 THEN NULL WHEN m <= 60 THEN 'sub_hourly' WHEN m <= 3600 THEN 'hourly' WHEN m <= 86400 THEN 'daily' WHEN m <= 604800 THEN 'weekly' ELSE 'irregular_or_monthly_plus' END AS frequency FROM (SELECT quantile_cont(g, 0.5) AS m FROM ({_GAPS}))")
 def inferred_frequency(spark, sf):
     return text_time.time_gaps(table(spark, sf, "events"), "ts").select(text_time.frequency(F.col("median_gap_seconds")).alias("frequency"))
 

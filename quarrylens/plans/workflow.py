@@ -358,7 +358,7 @@ def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = Fa
         y = positive = None
         classes: list[str] = []
         if kind == "binary_classification" and config.response_column:
-            classes = response.classes_of(clean, config.response_column)
+            classes = response.classes_of(ordered, config.response_column, F.col(ORDER))
             if len(classes) == 2:
                 positive = response.positive_class(classes)
                 y = response.encoded(C.name(config.response_column), positive, next(c for c in classes if c != positive))

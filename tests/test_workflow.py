@@ -33,11 +33,16 @@ def test_privacy(result):
 
 def test_questions(result):
     ask = lambda q: evidence.answer(q, result.packet)
-    assert ask("show me rows of ids")["status"] == "blocked_raw_data" and ask(" ")["status"] == "empty_question"
+    assert ask("show rows of ids")["status"] == "blocked_raw_data" and ask(" ")["status"] == "empty_question"
     assert ask("is there leakage?")["evidence_sources"][0] == "leakage_warnings" and ask("nulls?")["evidence_sources"] == ["missingness_summary"]
     assert "drift_summary" in ask("any shift?")["evidence_sources"] and ask("model readiness")["evidence_sources"] == ["modeling_risk_summary"]
 
 
+def test_column_search(result):
+    assert [r["name"] for r in evidence.find_columns(result.packet, "IN")] == ["income"]
+    assert {r["name"] for r in evidence.find_columns(result.packet, semantic_type="numeric_continuous")} == {"age", "income"}
+
+
 def test_history_and_comparison(result, tmp_path):
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "run_metadata.json").write_text("{")
