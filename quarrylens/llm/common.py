@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written in the shared folder: they cut the lineage and outlive lost executors."""
+    """Tables written in the shared folder: they cut the lineage and outlive lost executors. They go when the driver ends, as
+    results may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -47,23 +48,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(df))
 
     def path(self, df: DataFrame) -> str:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return path
+        return self._write(df.write)
 
     def parted(self, df: DataFrame, by: str) -> tuple[DataFrame, str]:
         """Written in a folder for each value of a column, so that each can be dropped."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.partitionBy(by).parquet(path)
+        path = self._write(df.write.partitionBy(by))
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def _write(self, writer) -> str:
+        self.n += 1
+        writer.parquet(path := f"{self.root}/{self.n}")
+        if self.n == 1:
+            self._files(self.root).deleteOnExit(self._place(self.root))
+        return path
+
     def drop(self, path: str) -> None:
         """Frees a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._files(path).delete(self._place(path), True)
+
+    def _place(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._place(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 #: A key of fewer rows is not hot in any table.
