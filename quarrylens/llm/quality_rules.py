@@ -56,10 +56,10 @@ def _line_key(line: bytes) -> bytes | None:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 50, host_share: float = 0.02, min_words: int = 20, min_left: int = 5, keep_share: float = 0.3, max_repeat: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 50, host_share: float = 0.02, min_words: int = 20, min_left: int = 5, keep_share: float = 0.3, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """One row for each row of docs: id, base counts, base_failed, n_words_left, kept; and the frequent lines (host, key).
 
-    base_failed: under min_words words, or over max_repeat of them in repeated 8-word windows. A line (stripped, A-Z
+    base_failed: under min_words words, or over max_repeat_percent of them in repeated 8-word windows. A line (stripped, A-Z
     lower-cased, with a word) is frequent in a host if more than max(min_docs, host_share of the host's documents) hold it.
     Copies of one text in a host count as one document there: boilerplate is what different documents share. A document
     is depleted, and not kept, if without its frequent lines it has under min_left words or under keep_share of them.
@@ -97,9 +97,7 @@ def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 50, host_share: fl
     total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
     gone = common.joined_by_weight(held, frequent, lambda a, b: (a["key"] == b["fkey"]) & a["h"].eqNullSafe(b["fh"]), "n", total).groupBy(F.col("h").alias("gh"), F.col("th").alias("gth")).agg(F.sum("w").alias("gone"))
     out = rows.select("k", "h", "th", *_COUNTS).join(gone, (rows["th"] == gone["gth"]) & rows["h"].eqNullSafe(gone["gh"]), "left")
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
-    if max_repeat == 0.3:  # in whole numbers: a share of exactly three tenths passes
-        failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     out = out.select(F.col("k").alias(id_col), *_COUNTS, failed.alias("base_failed"), left.alias("n_words_left"), (~failed & (left >= min_left) & (left >= keep_share * F.col("n_words"))).alias("kept"))
     return out, frequent
