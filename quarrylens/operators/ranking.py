@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ProfileConfig
-from ..functions import columns as C
 from . import missingness, typing
 
 
