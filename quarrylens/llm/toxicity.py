@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine of all terms over an inverted index."""
 
 from __future__ import annotations
 
@@ -15,10 +15,8 @@ from . import common
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 #: Beside a word itself, its first so many bytes are terms: they tie a stem's endings together.
 PREFIXES = (4, 5, 6)
-BLOCK = 64
-#: Weight of the term that stands for all other words of a text: it grows with the logarithm of their number, so that the
-#: same few terms in a long and in a short text are not alike.
-REST = 0.5
+#: A term that this share of the examples holds is a row of a dense matrix as well; so many texts meet it at once.
+DENSE_SHARE, TOGETHER = 0.08, 64
 
 
 def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,20 +37,29 @@ def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owners)
 
 
+def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct terms in order, how often it holds them, and where each text begins."""
+    h, owner = term_hashes(texts)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+    return h[first], np.diff(np.append(first, len(h))), np.searchsorted(owner[first], np.arange(len(texts) + 1))
+
+
 @dataclass
 class Index:
-    """Examples' unit TF-IDF vectors as postings by term; a term's largest weight in each block of examples.
+    """Examples' unit TF-IDF vectors as postings by term.
 
-    terms: sorted hashes; idf by term; rows, weights: the postings, by term and row; blocks: where each term's postings of
-    each block begin; tops: the largest weight, term x block; toxic, weight, hashes: by example; edges, levels: the calibration's steps; none: the score of a
-    text without any term; k: neighbours."""
+    terms: sorted hashes of all terms of the examples; idf by term; rows, weights: the postings, by term and row; blocks: where
+    each term's postings begin and end; toxic, weight, hashes: by example; edges, levels: the calibration's steps; none: the
+    score of a text without any term; k: neighbours. What no example holds is one more term, of the highest idf and without
+    postings: it counts in a text's length."""
 
     terms: np.ndarray
     idf: np.ndarray
     blocks: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
-    tops: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
     hashes: np.ndarray
@@ -62,52 +69,75 @@ class Index:
     k: int
 
     def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each text's terms of the index and their weights, of length one."""
+        """Each text's terms and their weights, of length one."""
         if not len(self.terms):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-        h, owner = term_hashes(texts)
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        known = self.terms[at] == h
-        counts = np.bincount(owner, minlength=len(texts)) / (1 + len(PREFIXES))
-        code, tf = np.unique(owner[known] * len(self.terms) + at[known], return_counts=True)
-        owner, term = code // len(self.terms), code % len(self.terms)
+        h, tf, cuts = term_counts(texts)
+        some, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.terms, some), len(self.terms) - 1)
+        term = np.where(self.terms[at] == some, at, len(self.terms))[back]
         w = (1 + np.log(tf)) * self.idf[term]
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        out, rest = [], np.array([len(self.terms)])
-        for a, b, n in zip(cuts[:-1].tolist(), cuts[1:].tolist(), counts.tolist(), strict=True):
-            if a == b:
-                out.append((term[a:b], w[a:b]))
-                continue
-            v = np.concatenate([w[a:b], [REST * np.log(1 + n)]])
-            out.append((np.concatenate([term[a:b], rest]), v / np.sqrt((v**2).sum())))
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            known = term[a:b] < len(self.terms)
+            t, v = term[a:b][known], w[a:b][known]
+            if not known.all():
+                t, v = np.append(t, len(self.terms)), np.append(v, np.sqrt((w[a:b][~known] ** 2).sum()))
+            out.append((t, v / np.sqrt((v**2).sum())))
         return out
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent terms' weights, term x example, and each term's row there or -1. Made once in a process."""
+        if "_dense" not in self.__dict__:
+            often = np.flatnonzero(self.blocks[:, 1] - self.blocks[:, 0] >= max(1.0, DENSE_SHARE * len(self.toxic)))
+            at = np.full(len(self.blocks), -1, np.int32)
+            at[often] = np.arange(len(often))
+            matrix = np.zeros((len(often), len(self.toxic)), np.float32)
+            for i, (lo, hi) in enumerate(self.blocks[often].tolist()):
+                matrix[i, self.rows[lo:hi]] = self.weights[lo:hi]
+            self._dense = matrix, at
+        return self._dense
+
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, ties by hash of their text. Blocks are opened by falling upper bound until the
-        bound is under the kth cosine found, so the result is exact."""
-        bound = w @ self.tops[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, step = 0, 8
-        while at < len(order) and bound[order[at]] >= kth - 1e-9:
-            blocks = order[at : at + step]
-            blocks = blocks[bound[blocks] >= kth - 1e-9]
-            lo, hi = (self.blocks[terms][:, blocks + i].ravel() for i in (0, 1))
-            size = hi - lo
-            at_ = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            hit, back = np.unique(self.rows[at_], return_inverse=True)
-            score = np.bincount(back, np.repeat(np.repeat(w, len(blocks)), size) * self.weights[at_], len(hit))
-            other = hit != skip
-            rows, sims = np.concatenate([rows, hit[other]]), np.concatenate([sims, np.round(score[other], 9)])
-            at, step = at + step, step * 2
-            if len(rows) > self.k:
+        """The k examples of highest cosine above 0, ties by hash of their text."""
+        return next(self.all_nearest([(terms, w)], [skip]))
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None):
+        """nearest() of each vector. Postings of rare terms are added up; frequent terms of many texts are one product of
+        matrices in single precision. Who could be among the k by that product's largest error has it taken anew in double
+        precision, so the result is exact."""
+        matrix, place = self.dense()
+        n = len(self.toxic)
+        for start in range(0, len(vectors), TOGETHER):
+            some = vectors[start : start + TOGETHER]
+            q = np.zeros((len(some), len(matrix)), np.float32)
+            for i, (terms, w) in enumerate(some):
+                often = place[terms] >= 0
+                q[i, place[terms[often]]] = w[often]
+            product = q @ matrix
+            for i, (terms, w) in enumerate(some):
+                at = place[terms]
+                often = at >= 0
+                posts = self.blocks[terms[~often]]
+                cuts = [slice(lo, hi) for lo, hi in posts.tolist()]
+                if cuts:
+                    parts = np.repeat(w[~often], posts[:, 1] - posts[:, 0]) * np.concatenate([self.weights[c] for c in cuts])
+                    rare = np.bincount(np.concatenate([self.rows[c] for c in cuts]), parts, n)
+                else:
+                    rare = np.zeros(n)
+                about = rare + product[i]
+                if skip is not None and skip[start + i] >= 0:
+                    about[skip[start + i]] = -1.0
+                kth = np.partition(about, n - self.k)[n - self.k] if n > self.k else 0.0
+                slack = 4 * (often.sum() + 2) * 2.0**-24 * float(product[i].max(initial=0))  # no summand is negative
+                rows = np.flatnonzero((about >= kth - slack) & (about > 0))
+                sims = np.round(rare[rows] + w[often] @ matrix[np.ix_(at[often], rows)].astype(np.float64), 9)
+                rows, sims = rows[sims > 0], sims[sims > 0]
                 best = np.lexsort((self.hashes[rows], -sims))[: self.k]
-                rows, sims = rows[best], sims[best]
-            if len(rows) >= self.k:
-                kth = float(sims.min())
-        best = np.lexsort((self.hashes[rows], -sims))[: self.k]
-        return rows[best], sims[best]
+                yield rows[best], sims[best]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Share of toxic examples, each weighted by its class's share and by its angle: 1 / (0.1 + distance)."""
@@ -117,9 +147,11 @@ class Index:
     def calibrated(self, raw: float) -> float:
         return float(self.levels[np.searchsorted(self.edges, raw, "left")])
 
-    def score(self, terms: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, sims = self.nearest(terms, w) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-        return (self.calibrated(self.vote(rows, sims)) if len(rows) else self.none), rows, sims
+    def scores(self, texts: list[bytes]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score of each text, its neighbours and their cosines."""
+        if not len(self.toxic):
+            return [(self.none, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        return [((self.calibrated(self.vote(rows, sims)) if len(rows) else self.none), rows, sims) for rows, sims in self.all_nearest(self.vectors(texts))]
 
 
 def _steps(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +173,11 @@ def _steps(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return edges, levels
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, max_terms: int = 4096, min_chi2: float = 30.0, min_odds: float = 4.0, min_share: float = 0.005, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, k: int = 16) -> Index:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1); a document labelled more than once has its highest
-    label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64, and the max_terms terms that differ
-    most between the labels (chi-squared at least min_chi2, odds apart by a factor of min_odds) among those that min_share of the examples, and five, hold.
-    Nothing but these comes to the driver. Rows with null id, text or label take no part; without examples every score is 0."""
+    label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64. All their terms are indexed: the hashes
+    and counts of these, and nothing else, come to the driver. Rows with null id, text or label take no part; without
+    examples every score is 0."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "toxic")
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -158,71 +190,72 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     picks = spark.createDataFrame(picks, "h long, toxic int")
     sample = scratch.put(texts.select("text", "h").join(F.broadcast(picks), "h").dropDuplicates(["h", "toxic"]))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
 
     def terms_of():
         def f(piece: pa.RecordBatch):
-            h, owner = term_hashes(common.encoded(common.column(piece, "text")))
-            n = piece.num_rows
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h, owner = h[first], owner[first]
-            cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-            return [common.column(piece, "toxic"), pa.ListArray.from_arrays(cuts, h.view(np.int64))]
+            h, n = np.unique(term_counts(common.encoded(common.column(piece, "text")))[0], return_counts=True)
+            return [h.view(np.int64), n]
 
         return f
 
-    held = common.over_batches(sample.select("text", "toxic"), terms_of, "toxic int, terms array<long>").select("toxic", F.explode("terms").alias("term"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    rest = F.lit(float(pos)) - a, F.lit(float(neg)) - b
-    chi2 = F.try_divide((a * rest[1] - b * rest[0]) ** 2 * float(pos + neg), (a + b) * (rest[0] + rest[1]) * float(pos * neg))
-    counted = held.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= max(5.0, min_share * (pos + neg)))
-    odds = F.abs(F.log((a + 0.5) * (rest[1] + 0.5) / ((b + 0.5) * (rest[0] + 0.5))))
-    best = counted.withColumn("chi2", chi2).where((F.col("chi2") >= min_chi2) & (odds >= float(np.log(min_odds)))).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term", "a", "b").collect()
-    terms = np.array([r["term"] for r in best], np.int64).view(np.uint64)
-    df = np.array([r["a"] + r["b"] for r in best], np.float64)
+    held = common.over_batches(sample.select("text"), terms_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms = np.array(held["term"]).view(np.uint64)
     order = np.argsort(terms)
-    terms, idf = terms[order], np.log((1 + pos + neg) / (1 + df[order])) + 1
-    empty = np.zeros(0)
-    index = Index(terms, idf, np.zeros((0, 0), np.int64), empty, empty, np.zeros((len(terms), 0)), empty, empty, empty, empty, np.zeros(1), 0.0, k)
-    sent = spark.sparkContext.broadcast(index)
+    terms, df = terms[order], np.append(np.array(held["n"])[order], 0).astype(np.int64)
+    del held, order
+    sent = spark.sparkContext.broadcast(terms)
+
+    def counts_of():
+        terms = sent.value
 
-    def vectors_of():
         def f(piece: pa.RecordBatch):
-            v = sent.value.vectors(common.encoded(common.column(piece, "text")))
-            return [common.column(piece, "h"), common.column(piece, "toxic"), pa.array([x[0] for x in v], pa.list_(pa.int64())), pa.array([x[1] for x in v], pa.list_(pa.float64()))]
+            h, tf, cuts = term_counts(common.encoded(common.column(piece, "text")))
+            ids = np.searchsorted(terms, h).astype("<i4")
+            out = []
+            for i in range(piece.num_rows):
+                mine = slice(cuts[i], cuts[i + 1])
+                out.append((common.packed(np.diff(ids[mine], prepend=np.int32(0)).astype("<i4")), common.packed(tf[mine].astype("<u4"))))
+            return [common.column(piece, "h"), common.column(piece, "toxic"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))]
 
         return f
 
-    rows = common.over_batches(sample, vectors_of, "h long, toxic int, terms array<long>, weights array<double>").collect()
-    rows.sort(key=lambda r: (-r["toxic"], r["terms"], r["h"]))  # alike examples share blocks, which makes bounds tight
-    n = len(rows)
-    index.toxic = np.array([r["toxic"] for r in rows], np.float64)
-    index.hashes = np.array([r["h"] for r in rows], np.int64)
-    index.weight = np.array([totals[r["toxic"]] / sizes[r["toxic"]] for r in rows])
-    flat_t = np.concatenate([np.array(r["terms"], np.int64) for r in rows]) if n else np.zeros(0, np.int64)
-    flat_w = np.concatenate([np.array(r["weights"], np.float64) for r in rows]) if n else np.zeros(0)
-    flat_r = np.repeat(np.arange(n), [len(r["terms"]) for r in rows]) if n else np.zeros(0, np.int64)
-    order = np.lexsort((flat_r, flat_t))
-    index.rows, index.weights = flat_r[order], flat_w[order]
-    width = n // BLOCK + 1
-    cells = flat_t[order] * width + flat_r[order] // BLOCK
-    firsts = np.arange(len(terms) + 1)[:, None] * width + np.arange(width + 1)[None]
-    index.blocks = np.searchsorted(cells, firsts)
-    index.tops = np.zeros((len(terms) + 1, width))
-    np.maximum.at(index.tops, (flat_t, flat_r // BLOCK), flat_w)
+    found = common.over_batches(sample.select("text", "h", "toxic"), counts_of, "h long, toxic int, ids binary, tf binary").toArrow()
+    sent.unpersist()
+    n = found.num_rows
+    idf = np.log((1 + n) / (1 + df)) + 1
+    ends = np.cumsum(df)
+    free = ends - df  # where each term's next posting goes
+    rows, weights = np.zeros(int(df.sum()), np.uint16 if n < 1 << 16 else np.int32), np.zeros(int(df.sum()), np.float32)
+    for i, (ids, tf) in enumerate(zip(found["ids"], found["tf"], strict=True)):
+        ids, tf = np.cumsum(common.unpacked(ids.as_py(), "<i4")), common.unpacked(tf.as_py(), "<u4")
+        w = (1 + np.log(tf)) * idf[ids]
+        rows[free[ids]], weights[free[ids]] = i, w / np.sqrt((w**2).sum())
+        free[ids] += 1
+    h, toxic = (np.array(found[c], np.int64) for c in ("h", "toxic"))
+    del found
+    weight = np.array([totals[y] / sizes[y] for y in toxic.tolist()], np.float64)
+    index = Index(terms, idf, np.stack([ends - df, ends], 1), rows, weights, toxic.astype(np.float64), weight, h, np.zeros(0), np.zeros(1), 0.0, k)
+    if not n:
+        return index
     # calibration: every example scored by the others
-    raw, kept, blank = [], [], []
-    for i, r in enumerate(rows):
-        near = index.nearest(np.array(r["terms"], np.int64), np.array(r["weights"], np.float64), skip=i) if r["terms"] else (empty, empty)
-        if len(near[0]):
-            raw.append(index.vote(*near))
-            kept.append(i)
-        else:
-            blank.append(i)
-    index.edges, index.levels = _steps(np.array(raw), index.toxic[kept], index.weight[kept]) if kept else (empty, np.zeros(1))
+    sent = spark.sparkContext.broadcast(index)
+
+    def votes_of():
+        ix = sent.value
+        own = {key: i for i, key in enumerate(zip(ix.hashes.tolist(), ix.toxic.tolist(), strict=True))}
+
+        def f(piece: pa.RecordBatch):
+            mine = [own[key] for key in zip(common.column(piece, "h").to_pylist(), common.column(piece, "toxic").to_pylist(), strict=True)]
+            near = ix.all_nearest(ix.vectors(common.encoded(common.column(piece, "text"))), mine)
+            return [np.array(mine), pa.array([ix.vote(*x) if len(x[0]) else None for x in near], pa.float64())]
+
+        return f
+
+    votes = {r["i"]: r["raw"] for r in common.over_batches(sample.select("text", "h", "toxic"), votes_of, "i long, raw double").collect()}
+    sent.unpersist()
+    kept = [i for i in range(n) if votes[i] is not None]
+    blank = [i for i in range(n) if votes[i] is None]
+    index.edges, index.levels = _steps(np.array([votes[i] for i in kept]), index.toxic[kept], index.weight[kept]) if kept else (np.zeros(0), np.zeros(1))
     if blank and index.weight[blank].sum():
         index.none = float((index.weight * index.toxic)[blank].sum() / index.weight[blank].sum())
     return index
@@ -239,7 +272,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         ix = sent.value
 
         def f(piece: pa.RecordBatch):
-            found = [ix.score(*v) for v in ix.vectors(common.encoded(common.column(piece, "t")))]
+            found = ix.scores(common.encoded(common.column(piece, "t")))
             return [
                 common.column(piece, "k"), np.array([x[0] for x in found], np.float64), pa.array([ix.hashes[x[1]] for x in found], pa.list_(pa.int64())),
                 pa.array([x[2] for x in found], pa.list_(pa.float64())), pa.array([ix.toxic[x[1]].astype(np.int32) for x in found], pa.list_(pa.int32())),
@@ -274,6 +307,6 @@ def keep(docs: DataFrame, index: Index, threshold: float = 0.3, text_col: str =
         ix = sent.value
         for batch in batches:
             for piece in common.pieces(batch, text_col):
-                yield piece.filter(pa.array([ix.score(*v)[0] < threshold for v in ix.vectors(common.encoded(common.column(piece, text_col)))], pa.bool_()))
+                yield piece.filter(pa.array([x[0] < threshold for x in ix.scores(common.encoded(common.column(piece, text_col)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -142,6 +142,29 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_takes_all_terms(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    docs = spark.createDataFrame([(i, " ".join(["usual", *(word() for _ in range(r.randint(1, 30)))])) for i in range(80)], "doc_id long, text string")
+    index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")), k=4)
+    texts = [x.text.encode() for x in docs.orderBy("doc_id").collect()]
+    want = collections.Counter(h for t in texts for h in set(toxicity.term_hashes([t])[0].tolist()))
+    assert index.terms.tolist() == sorted(want)  # what one example alone holds is a term too
+    idf = lambda h: math.log(81 / (1 + want[h])) + 1
+
+    def vector(t):
+        v = {h: (1 + math.log(n)) * idf(h) for h, n in collections.Counter(toxicity.term_hashes([t])[0].tolist()).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {h: x / size for h, x in v.items()}
+
+    asked = [*texts[:20], texts[3] + b" never seen before", texts[4] * 3 + texts[5]]
+    vectors = [vector(t) for t in texts]
+    for t, (_, rows, sims) in zip(asked, index.scores(asked), strict=True):
+        q = vector(t)
+        best = sorted((sum(x * v.get(h, 0) for h, x in q.items()) for v in vectors), reverse=True)[:4]
+        assert len(rows) == 4 and np.allclose(sims, best, atol=1e-6)
+
+
 def test_budgets():
     assert mixing.fill([1, 1, 2], [10, 100, 1000], 100) == [10, 30, 60]
     assert mixing.fill([1, 1], [3, 3], 100) == [3, 3] and mixing.fill([1, 1, 1], [50, 50, 50], 100) == [34, 33, 33] and mixing.fill([0, 1], [9, 9], 5) == [0, 5]
