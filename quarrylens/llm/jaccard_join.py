@@ -22,8 +22,8 @@ BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
 HOT_IN_BLOCK = 64
 #: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
 ROUNDS = 2
-#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles of a bucket.
-CHUNK, BUCKET_TILES = 1024, 2000
+#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles and rows of a bucket.
+CHUNK, BUCKET_TILES, BUCKET_ROWS = 1024, 2000, 50_000
 
 
 @lru_cache(maxsize=8)
@@ -254,6 +254,13 @@ def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
 
 
+def _buckets(mixed: DataFrame) -> int:
+    """How many buckets hold all tiles: each has about BUCKET_TILES tiles or cuts and BUCKET_ROWS rows at most, and a member is a
+    row for each cut of its tile."""
+    r = mixed.agg(F.sum("chunks").alias("tiles"), F.sum(F.col("n") * F.col("chunks")).alias("rows")).first()
+    return max((r["tiles"] or 0) // BUCKET_TILES, (r["rows"] or 0) // BUCKET_ROWS) + 1
+
+
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes that have edges (x, y). Alternating large and small
     stars; each round is written in the shared folder. The number of rounds grows with the logarithm of the size."""
@@ -380,13 +387,12 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         tested = tested.unionByName(pairs)
         roots = joined(more)
     now = rooted()
-    mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("tile", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("tile", "n", F.ceil(F.col("n") / CHUNK).alias("chunks"))
     members = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "size", "map"), "x")
     own = F.pmod(F.xxhash64("x"), F.col("chunks"))
     members = members.select("tile", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map")
-    buckets = mixed.agg(F.sum("chunks")).first()[0] or 0  # tiles, or cuts of them: a bucket has few large or many small ones
-    members = members.withColumn("bucket", F.pmod("tile", F.lit(buckets // BUCKET_TILES + 1)))
+    members = members.withColumn("bucket", F.pmod("tile", F.lit(_buckets(mixed))))
     opened = members.groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
     more = verified(scratch.put(opened.join(tested, ["x", "y"], "left_anti")))
     if not more.isEmpty():

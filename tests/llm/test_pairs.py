@@ -113,3 +113,12 @@ def test_top_k_by_brute_force(spark):
     q = {i: [64 * (2**23 + i), -64 * 2**20 * i] for i in range(6)}
     got = {(x.query_id, x.vec_id): x.score for x in exact_topk.top_k(big, big, k=9).collect()}
     assert got == {(a, b): sum(s * t for s, t in zip(q[a], q[b], strict=True)) for a in q for b in q if a != b}
+
+
+def test_buckets_by_exploded_rows(spark):
+    large = spark.createDataFrame([(i, 20_000, 20) for i in range(60)], "tile long, n long, chunks long")
+    rows = 60 * 20_000 * 20
+    assert rows / jaccard_join._buckets(large) <= jaccard_join.BUCKET_ROWS
+    assert jaccard_join._buckets(large.limit(0)) == 1
+    small = spark.createDataFrame([(i, 2, 1) for i in range(9000)], "tile long, n long, chunks long")
+    assert jaccard_join._buckets(small) == 5
