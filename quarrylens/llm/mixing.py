@@ -27,7 +27,8 @@ class Node:
 
 
 def tree(leaves: Sequence[tuple[tuple, int]], weights: Mapping[tuple, float] | None = None, power: float = 1.0) -> Node:
-    """Builds the tree over leaves (path, tokens). A node weighs what weights says of its path, else its tokens to the power."""
+    """Builds the tree over leaves (path, tokens). A node weighs what weights says of its path, else its
+    tokens to the power, on the scale of its siblings that weights names: as if theirs added up to their tokens to the power."""
     root = Node((), 1.0, 0, [])
     at = {(): root}
     for path, tokens in sorted(leaves, key=lambda x: tuple("" if p is None else str(p) for p in x[0])):
@@ -37,9 +38,13 @@ def tree(leaves: Sequence[tuple[tuple, int]], weights: Mapping[tuple, float] | N
                 at[path[:n]] = Node(path[:n], 0.0, 0, [])
                 at[path[: n - 1]].children.append(at[path[:n]])
             at[path[:n]].tokens += tokens
-    for path, node in at.items():
-        if path:
-            node.weight = float((weights or {}).get(path, node.tokens**power))
+    weights = weights or {}
+    for node in at.values():
+        given = [c for c in node.children if c.name in weights]
+        total, size = sum(weights[c.name] for c in given), sum(c.tokens**power for c in given if c.tokens)
+        scale = total / size if total > 0 and size > 0 else 1.0
+        for c in node.children:
+            c.weight = float(weights[c.name] if c.name in weights else c.tokens**power * scale)
     return root
 
 
@@ -111,7 +116,7 @@ def mix(
     """Samples documents so that each leaf of the tree gets its budget of tokens. Adds epoch (from 0), in place of such a column.
 
     levels: the tree's levels from the root down, by name (say domain, language, source). The budget is given, or a
-    share of all tokens. weights: by path, of any node; others weigh their tokens to the power. A leaf with a
+    share of all tokens. weights: by path, of any node; others weigh their tokens to the power, on the scale of their weighted siblings. A leaf with a
     budget of b tokens gives its documents floor(b / tokens) times (epochs 0, 1, ...) and, of the next epoch, the longest
     prefix that stays within the rest, in that epoch's order by md5(seed:epoch:id). Null levels are a value of their own;
     null text has no tokens; null ids and ids that repeat are ordered like any others (among equal ids the row with fewer

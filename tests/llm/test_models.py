@@ -175,6 +175,15 @@ def test_budgets():
     assert got == {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 390}  # what the family can't take goes up
 
 
+def test_default_weights_are_on_the_scale_of_given_ones():
+    leaves = [(("a",), 1000), (("b",), 1000), (("other",), 1000)]
+    root = mixing.tree(leaves, {("a",): 0.25, ("b",): 0.75})
+    assert [c.weight for c in root.children] == [0.25, 0.75, 0.5]
+    budgets = {p: b for p, _, b in mixing.plan(root, 900, 2)}
+    assert budgets[("a",)] * 3 - budgets[("b",)] in range(-3, 4) and budgets[("other",)] in range(299, 302)
+    assert [c.weight for c in mixing.tree(leaves, None, 0.5).children] == [1000**0.5] * 3
+
+
 def test_mix_by_brute_force(spark, odd_docs, no_docs):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     tokens = mixing.word_count(F.col("text"))
