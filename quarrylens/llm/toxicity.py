@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine of all terms over an inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine of all terms over a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -14,45 +14,52 @@ from . import common
 #: ASCII signs and digits part words, like white space does; capitals become small.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 #: Beside a word itself, its first so many bytes are terms: they tie a stem's endings together.
-PREFIXES = (4, 5, 6)
-#: A term that this share of the examples holds is a row of a dense matrix as well; so many texts meet it at once.
-DENSE_SHARE, TOGETHER = 0.08, 64
+PREFIXES = (4, 5)
+#: A term that this share of the examples holds is frequent: its weights are a row of a matrix, with a maximum for each block.
+DENSE_SHARE = 0.05
+#: Examples of a block; texts that meet the blocks together; blocks of highest bound that each text meets first.
+BLOCK, TOGETHER, FIRST = 64, 192, 4
 
 
-def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms and the text that each comes from."""
+def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct term hashes of all texts; for each term of each text, by text, its place among these and how often the text
+    holds it; and where each text begins."""
     texts = [t.translate(_TERMS) for t in texts]
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     full, offsets, starts, ends = common.word_hashes(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    out, owners = [common.mix(full + np.uint64(1))], [owner]
+    _, at, back = np.unique(full, return_index=True, return_inverse=True)
+    starts, size = starts[at], (ends - starts)[at]
+    hashes, of = [common.mix(full[at] + np.uint64(1))], [np.arange(len(at))]
     padded = np.concatenate([joined, np.zeros(max(PREFIXES), np.uint8)]).astype(np.uint64)
     for n in PREFIXES:
-        long = np.flatnonzero(ends - starts >= n)
+        long = np.flatnonzero(size >= n)
         h = np.zeros(len(long), np.uint64)
         for i in range(n):
             h = (h << np.uint64(8)) | padded[starts[long] + i]
-        out.append(common.mix(h + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)))
-        owners.append(owner[long])
-    return np.concatenate(out), np.concatenate(owners)
-
-
-def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's distinct terms in order, how often it holds them, and where each text begins."""
-    h, owner = term_hashes(texts)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
-    return h[first], np.diff(np.append(first, len(h))), np.searchsorted(owner[first], np.arange(len(texts) + 1))
+        hashes.append(common.mix(h + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)))
+        of.append(long)
+    terms, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    keys, done = [], 0
+    for h, words in zip(hashes, of, strict=True):
+        term_of = np.full(len(at), -1, np.int64)
+        term_of[words] = place[done : done + len(h)]
+        done += len(h)
+        found = term_of[back]
+        keys.append(((owner << 32) | found)[found >= 0])
+    key = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    held = key[first]
+    return terms, held & 0xFFFFFFFF, np.diff(np.append(first, len(key))), np.searchsorted(held >> 32, np.arange(len(texts) + 1))
 
 
 @dataclass
 class Index:
-    """Examples' unit TF-IDF vectors as postings by term.
+    """Examples' unit TF-IDF vectors as postings by term; like examples stand side by side, so that blocks of them differ.
 
     terms: sorted hashes of all terms of the examples; idf by term; rows, weights: the postings, by term and row; blocks: where
     each term's postings begin and end; toxic, weight, hashes: by example; edges, levels: the calibration's steps; none: the
-    score of a text without any term; k: neighbours. What no example holds is one more term, of the highest idf and without
+    score of a text without any term; k: neighbours. What no example holds has the highest idf and no
     postings: it counts in a text's length."""
 
     terms: np.ndarray
@@ -69,36 +76,36 @@ class Index:
     k: int
 
     def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each text's terms and their weights, of length one."""
+        """Each text's terms that an example holds, and their weights in a vector of length one."""
         if not len(self.terms):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-        h, tf, cuts = term_counts(texts)
-        some, back = np.unique(h, return_inverse=True)
+        some, place, tf, cuts = term_counts(texts)
         at = np.minimum(np.searchsorted(self.terms, some), len(self.terms) - 1)
-        term = np.where(self.terms[at] == some, at, len(self.terms))[back]
-        w = (1 + np.log(tf)) * self.idf[term]
+        at = np.where(self.terms[at] == some, at, len(self.terms))
+        term = at[place]
+        w = tf * self.idf[term]
         out = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             known = term[a:b] < len(self.terms)
-            t, v = term[a:b][known], w[a:b][known]
-            if not known.all():
-                t, v = np.append(t, len(self.terms)), np.append(v, np.sqrt((w[a:b][~known] ** 2).sum()))
-            out.append((t, v / np.sqrt((v**2).sum())))
+            v = w[a:b]
+            out.append((term[a:b][known], v[known] / np.sqrt((v**2).sum()) if known.any() else np.zeros(0)))
         return out
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """The frequent terms' weights, term x example, and each term's row there or -1. Made once in a process."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The frequent terms' weights, block x term x example; each term's maximum in each block; and each term's row there or
+        -1. Made once in a process."""
         if "_dense" not in self.__dict__:
             often = np.flatnonzero(self.blocks[:, 1] - self.blocks[:, 0] >= max(1.0, DENSE_SHARE * len(self.toxic)))
             at = np.full(len(self.blocks), -1, np.int32)
             at[often] = np.arange(len(often))
-            matrix = np.zeros((len(often), len(self.toxic)), np.float32)
+            matrix = np.zeros((-(-len(self.toxic) // BLOCK), len(often), BLOCK), np.float32)
             for i, (lo, hi) in enumerate(self.blocks[often].tolist()):
-                matrix[i, self.rows[lo:hi]] = self.weights[lo:hi]
-            self._dense = matrix, at
+                block, place = np.divmod(self.rows[lo:hi].astype(np.int64), BLOCK)
+                matrix[block, i, place] = self.weights[lo:hi]
+            self._dense = matrix, np.ascontiguousarray(matrix.max(2).T), at
         return self._dense
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -106,35 +113,59 @@ class Index:
         return next(self.all_nearest([(terms, w)], [skip]))
 
     def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None):
-        """nearest() of each vector. Postings of rare terms are added up; frequent terms of many texts are one product of
-        matrices in single precision. Who could be among the k by that product's largest error has it taken anew in double
-        precision, so the result is exact."""
-        matrix, place = self.dense()
+        """nearest() of each vector.
+
+        Postings of rare terms are added up. A block's bound is the largest of these sums in it and what the frequent terms'
+        maxima there allow. Each text first meets its few blocks of highest bound, which gives a kth cosine to beat, and then
+        those blocks alone whose bound reaches it; texts that meet a block do so in one product of matrices, in single
+        precision. Whoever could be among the k by that product's largest error has it taken anew in double precision, so
+        the result is exact and no text's result depends on the others."""
         n = len(self.toxic)
+        if not n:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
+            return
+        matrix, highest, place = self.dense()
+        edges = np.arange(0, n, BLOCK)
         for start in range(0, len(vectors), TOGETHER):
             some = vectors[start : start + TOGETHER]
-            q = np.zeros((len(some), len(matrix)), np.float32)
-            for i, (terms, w) in enumerate(some):
-                often = place[terms] >= 0
-                q[i, place[terms[often]]] = w[often]
-            product = q @ matrix
+            q = np.zeros((len(some), len(highest)), np.float32)
+            rare = np.zeros((len(some), n))
+            slack = np.zeros(len(some))
             for i, (terms, w) in enumerate(some):
                 at = place[terms]
                 often = at >= 0
-                posts = self.blocks[terms[~often]]
-                cuts = [slice(lo, hi) for lo, hi in posts.tolist()]
-                if cuts:
-                    parts = np.repeat(w[~often], posts[:, 1] - posts[:, 0]) * np.concatenate([self.weights[c] for c in cuts])
-                    rare = np.bincount(np.concatenate([self.rows[c] for c in cuts]), parts, n)
-                else:
-                    rare = np.zeros(n)
-                about = rare + product[i]
+                q[i, at[often]] = w[often]
+                posts, v = self.blocks[terms[~often]], w[~often]
+                sizes = posts[:, 1] - posts[:, 0]
+                ends = np.cumsum(sizes)
+                if len(ends):
+                    here = np.repeat(posts[:, 0] - ends + sizes, sizes) + np.arange(ends[-1])
+                    rare[i] = np.bincount(self.rows[here], self.weights[here] * np.repeat(v, sizes), n)
+                slack[i] = 4 * (often.sum() + 2) * 2.0**-24  # of a sum without negative parts
                 if skip is not None and skip[start + i] >= 0:
-                    about[skip[start + i]] = -1.0
-                kth = np.partition(about, n - self.k)[n - self.k] if n > self.k else 0.0
-                slack = 4 * (often.sum() + 2) * 2.0**-24 * float(product[i].max(initial=0))  # no summand is negative
-                rows = np.flatnonzero((about >= kth - slack) & (about > 0))
-                sims = np.round(rare[rows] + w[often] @ matrix[np.ix_(at[often], rows)].astype(np.float64), 9)
+                    rare[i, skip[start + i]] = -2.0  # no sum reaches 0
+            bound = q @ highest + np.maximum.reduceat(rare, edges, axis=1)
+            slack *= np.maximum(1.0, bound.max(1))
+            about = np.full((len(some), n), -1.0, np.float32)
+
+            def meet(which: np.ndarray, about=about, q=q, rare=rare) -> None:
+                for b in np.flatnonzero(which.any(0)).tolist():
+                    who, cols = np.flatnonzero(which[:, b]), slice(b * BLOCK, min((b + 1) * BLOCK, n))
+                    about[who, cols] = (q[who] @ matrix[b])[:, : cols.stop - cols.start] + rare[who, cols]
+
+            first = np.zeros(bound.shape, bool)
+            few = min(FIRST, bound.shape[1])
+            np.put_along_axis(first, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
+            meet(first)
+            kth = np.partition(about, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(some), -1.0)
+            meet(~first & (bound >= (kth - slack)[:, None]) & (bound > 0))
+            for i, (terms, w) in enumerate(some):
+                rows = np.flatnonzero(about[i] > max(0.0, kth[i] - slack[i]))
+                if len(rows) > self.k:
+                    rows = rows[about[i, rows] >= np.partition(about[i, rows], len(rows) - self.k)[len(rows) - self.k] - slack[i]]
+                at = place[terms]
+                often = at >= 0
+                sims = np.round(rare[i, rows] + matrix[rows[:, None] // BLOCK, at[often], rows[:, None] % BLOCK].astype(np.float64) @ w[often], 9)
                 rows, sims = rows[sims > 0], sims[sims > 0]
                 best = np.lexsort((self.hashes[rows], -sims))[: self.k]
                 yield rows[best], sims[best]
@@ -173,6 +204,26 @@ def _steps(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return edges, levels
 
 
+def side_by_side(vectors, df: np.ndarray, n: int, terms: int = 256, centres: int = 96, rounds: int = 4) -> np.ndarray:
+    """An order in which like examples are neighbours: by their nearest of a few spherical means over the most frequent terms.
+    Any order gives the same neighbours; this one lets block maxima differ. Depends on the examples alone."""
+    top = np.argsort(-df[:-1], kind="stable")[:terms]
+    at = np.full(len(df), -1)
+    at[top] = np.arange(len(top))
+    x = np.zeros((n, len(top)), np.float32)
+    for i, (ids, w) in enumerate(vectors):
+        mine = at[ids]
+        x[i, mine[mine >= 0]] = w[mine >= 0]
+    mean = x[np.linspace(0, n - 1, min(n, centres)).astype(np.int64)] if n else x
+    near = np.zeros(n, np.int64)
+    for _ in range(rounds if n else 0):
+        mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+        near = (x @ mean.T).argmax(1)
+        for j in np.unique(near).tolist():
+            mean[j] = x[near == j].mean(0)
+    return np.lexsort((-(x**2).sum(1), near))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, k: int = 16) -> Index:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1); a document labelled more than once has its highest
     label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64. All their terms are indexed: the hashes
@@ -193,8 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
 
     def terms_of():
         def f(piece: pa.RecordBatch):
-            h, n = np.unique(term_counts(common.encoded(common.column(piece, "text")))[0], return_counts=True)
-            return [h.view(np.int64), n]
+            h, place, _, _ = term_counts(common.encoded(common.column(piece, "text")))
+            return [h.view(np.int64), np.bincount(place, minlength=len(h))]
 
         return f
 
@@ -209,8 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
         terms = sent.value
 
         def f(piece: pa.RecordBatch):
-            h, tf, cuts = term_counts(common.encoded(common.column(piece, "text")))
-            ids = np.searchsorted(terms, h).astype("<i4")
+            h, place, tf, cuts = term_counts(common.encoded(common.column(piece, "text")))
+            ids = np.searchsorted(terms, h).astype("<i4")[place]
             out = []
             for i in range(piece.num_rows):
                 mine = slice(cuts[i], cuts[i + 1])
@@ -226,12 +277,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     ends = np.cumsum(df)
     free = ends - df  # where each term's next posting goes
     rows, weights = np.zeros(int(df.sum()), np.uint16 if n < 1 << 16 else np.int32), np.zeros(int(df.sum()), np.float32)
-    for i, (ids, tf) in enumerate(zip(found["ids"], found["tf"], strict=True)):
-        ids, tf = np.cumsum(common.unpacked(ids.as_py(), "<i4")), common.unpacked(tf.as_py(), "<u4")
-        w = (1 + np.log(tf)) * idf[ids]
-        rows[free[ids]], weights[free[ids]] = i, w / np.sqrt((w**2).sum())
-        free[ids] += 1
     h, toxic = (np.array(found[c], np.int64) for c in ("h", "toxic"))
+
+    def vectors_of(order):
+        for i in order.tolist():
+            ids, tf = np.cumsum(common.unpacked(found["ids"][i].as_py(), "<i4")), common.unpacked(found["tf"][i].as_py(), "<u4")
+            w = tf * idf[ids]
+            yield ids, w / np.sqrt((w**2).sum()) if len(w) else w
+
+    order = side_by_side(vectors_of(plain := np.lexsort((toxic, h))), df, n)
+    order = plain[order]
+    for i, (ids, w) in enumerate(vectors_of(order)):
+        rows[free[ids]], weights[free[ids]] = i, w
+        free[ids] += 1
+    h, toxic = h[order], toxic[order]
     del found
     weight = np.array([totals[y] / sizes[y] for y in toxic.tolist()], np.float64)
     index = Index(terms, idf, np.stack([ends - df, ends], 1), rows, weights, toxic.astype(np.float64), weight, h, np.zeros(0), np.zeros(1), 0.0, k)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import common, lm_score, mixing, pii, toxicity
@@ -142,27 +143,53 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, empty).collect()} == {0.0}
 
 
-def test_toxicity_takes_all_terms(spark):
-    r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
-    docs = spark.createDataFrame([(i, " ".join(["usual", *(word() for _ in range(r.randint(1, 30)))])) for i in range(80)], "doc_id long, text string")
-    index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")), k=4)
-    texts = [x.text.encode() for x in docs.orderBy("doc_id").collect()]
-    want = collections.Counter(h for t in texts for h in set(toxicity.term_hashes([t])[0].tolist()))
-    assert index.terms.tolist() == sorted(want)  # what one example alone holds is a term too
-    idf = lambda h: math.log(81 / (1 + want[h])) + 1
+def plain_terms(text):
+    """A text's terms in plain Python: small words and their first 4 and 5 bytes."""
+    words = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in text.encode()).split(b" ")
+    return collections.Counter(x for w in words if w for x in [(0, w), *((n, w[:n]) for n in (4, 5) if len(w) >= n)])
+
 
-    def vector(t):
-        v = {h: (1 + math.log(n)) * idf(h) for h, n in collections.Counter(toxicity.term_hashes([t])[0].tolist()).items()}
+def plain_cosines(examples, asked):
+    """Cosines of TF-IDF vectors over all terms, in plain Python."""
+    held = collections.Counter(t for e in examples for t in plain_terms(e))
+
+    def vector(text):
+        v = {t: n * (math.log((1 + len(examples)) / (1 + held[t])) + 1) for t, n in plain_terms(text).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
-        return {h: x / size for h, x in v.items()}
-
-    asked = [*texts[:20], texts[3] + b" never seen before", texts[4] * 3 + texts[5]]
-    vectors = [vector(t) for t in texts]
-    for t, (_, rows, sims) in zip(asked, index.scores(asked), strict=True):
-        q = vector(t)
-        best = sorted((sum(x * v.get(h, 0) for h, x in q.items()) for v in vectors), reverse=True)[:4]
-        assert len(rows) == 4 and np.allclose(sims, best, atol=1e-6)
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [vector(e) for e in examples]
+    return [[sum(x * v.get(t, 0) for t, x in vector(a).items()) for v in vectors] for a in asked]
+
+
+@pytest.mark.parametrize("block", [64, 3])
+def test_toxicity_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    few = [word() for _ in range(12)]
+    rows = [(i, " ".join(["usual", *(r.choice(few) if r.random() < 0.5 else word() for _ in range(r.randint(1, 30))), *["Rotter!"] * (i % 5 == 0) * (i % 3)])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")), k=4)
+    texts, labels = [t for _, t in rows], [int(i % 5 == 0) for i, _ in rows]
+    assert len(index.terms) == len({t for x in texts for t in plain_terms(x)})  # what one example alone holds is a term too
+    asked = [*texts[:20], texts[3] + " never seen before", texts[4] * 3 + texts[5], "rotter usual", "zzzz"]
+
+    def vote(sims):
+        best = [i for i in sorted(range(len(sims)), key=lambda i: -sims[i])[:4] if sims[i] > 0]
+        w = {i: 1 / (0.1 + math.sqrt(max(0, 2 - 2 * sims[i]))) for i in best}
+        return best, sum(w[i] * labels[i] for i in best) / sum(w.values()) if best else None
+
+    own = [vote([s if j != i else 0 for j, s in enumerate(sims)])[1] for i, sims in enumerate(plain_cosines(texts, texts))]
+    raws = sorted(set(own))
+    mean = lambda a, b: (lambda ys: sum(ys) / len(ys))([y for v, y in zip(own, labels, strict=True) if raws[a] <= v <= raws[b]])
+    level = [max(min(mean(a, b) for b in range(i, len(raws))) for a in range(i + 1)) for i in range(len(raws))]  # isotonic regression
+    for sims, (score, found, cosines) in zip(plain_cosines(texts, asked), index.scores([a.encode() for a in asked]), strict=True):
+        best, raw = vote(sims)
+        assert len(found) == len(best) and np.allclose(cosines, [sims[i] for i in best], atol=1e-6)
+        assert sorted(index.toxic[found].tolist()) == sorted(labels[i] for i in best) or len({round(sims[i], 6) for i in best}) < len(best)
+        want = index.none if raw is None else level[min(range(len(raws)), key=lambda i: (abs(raws[i] - raw), i))]
+        assert abs(score - want) < 1e-6
 
 
 def test_budgets():
