@@ -1,10 +1,12 @@
 import collections
 import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import exact_topk, jaccard_join
 
@@ -115,6 +117,35 @@ def test_top_k_by_brute_force(spark):
     assert got == {(a, b): sum(s * t for s, t in zip(q[a], q[b], strict=True)) for a in q for b in q if a != b}
 
 
+def brute_top(vectors, queries, k):
+    """Whole numbers of any size: (query, rank, id, score)."""
+    whole = {i: [math.floor(x * 64) if abs(x) < 2**40 else int(x) * 64 for x in v] for i, v in vectors}
+    out = []
+    for q in queries:
+        found = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q and len(w) == len(whole[q]))
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def test_top_k_keeps_every_finite_vector(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "CANDIDATE_ROWS", 7)
+    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 5)
+    monkeypatch.setattr(exact_topk, "TILE_BLOCKS", 1)
+    monkeypatch.setattr(exact_topk, "SUMMED", 2)
+    r = random.Random(4)
+    rows = [(0, [1.0, 2.0]), (1, [1e9, 1.0]), (2, [0.5, 0.5]), (3, []), (4, []), (5, [3.0]), (6, [1e-300, -1e-300]), (7, [2.0**56, -(2.0**56)])]
+    rows += [(8 + i, [r.choice([1.0, 1e3, 1e6]) * r.uniform(-1, 1) for _ in range(2)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    few = [0, 1, 2, 3, 5, 6, 20, 33, 40]
+    got = exact_topk.top_k(df.where(F.col("vec_id").isin(few) & (F.col("vec_id") != 7)), df.where("vec_id <> 7"), k=6).collect()
+    assert sorted(map(tuple, got)) == brute_top([x for x in rows if x[0] != 7], few, 6)
+    # a vector of any size meets those with which its scores fit
+    got = exact_topk.top_k(df.where("vec_id = 7"), df.where("vec_id in (2, 6)"), k=6).collect()
+    assert sorted(map(tuple, got)) == brute_top([x for x in rows if x[0] in (2, 6, 7)], [7], 6)
+    with pytest.raises(Exception, match="does not fit a long"):
+        exact_topk.top_k(df.where("vec_id = 7"), df.where("vec_id in (1, 7)"), k=6).collect()
+
+
 def test_buckets_by_exploded_rows(spark):
     large = spark.createDataFrame([(i, 20_000, 20) for i in range(60)], "tile long, n long, chunks long")
     rows = 60 * 20_000 * 20
