@@ -19,13 +19,19 @@ STATES = ("other", *KINDS)
 FEATURES = 4096
 #: Words this near to a digit, an @ or a bracketed "at" belong to a chain; all others are "other".
 REACH = 3
-MAX_CHAIN = 512
+#: Words whose features are made at once, and words (with padding) that are decoded together; chains are never cut.
+FEATURE_WORDS, DECODE_WORDS = 4096, 1 << 16
+#: An email in more words, or a span of more characters, isn't valid.
+SPAN_WORDS, SPAN_CHARS = 19, 320
 
 _EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_BRACKETED_AT = re.compile(r"[A-Za-z0-9][(\[]at[)\]]")
+_WRITTEN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)+")
+_BRACKETED_DOT = re.compile(r"\[\.\]|\(\.\)|\[dot\]|\(dot\)")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +49,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    d = digits.lstrip("0")
+    return len(d) < 4 and int(d or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, leftmost and non-overlapping within a kind; sorted by start, then kind.
 
@@ -60,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
                 last = m.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            if all(_byte(p) for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -73,8 +85,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _shape(word: str) -> str:
+    """d for digits, x for letters, signs as they are; runs are cut to four."""
     out = []
-    for c in word[:24]:
+    for c in word:
         s = "d" if c.isdigit() else "x" if c.isalpha() else c
         if not (len(out) >= 4 and s == out[-1] == out[-2] == out[-3] == out[-4]):
             out.append(s)
@@ -92,6 +105,7 @@ def _features(words: list[str]) -> list[list[int]]:
         named = (
             "bias", f"s={here}", f"p={before}|{here}", f"n={here}|{after}", f"b={before}|{here}|{after}", f"d={min(n, 17)}", f"a={'@' in w}{n > 0}",
             f"t={w.strip('()[]').lower() if len(w) < 6 and w[-1:] in ')]' else '-'}", f"x={after}{before}", f"e={w[0]}{w[-1]}", f"h={w.count('-')},{w.count('.')}",
+            f"i={_BRACKETED_AT.search(w) is not None}{len(_BRACKETED_DOT.findall(w))}{n > 0}",
         )
         out.append([crc32(x.encode()) % FEATURES for x in named])
     return out
@@ -101,7 +115,7 @@ def labelled_table(rows: int = 1500, seed: int = 7) -> list[tuple[list[str], lis
     """The small labelled table: lines of invented words with one or two entities or look-alikes, each word with its state.
 
     Entities come in the forms that the patterns know and in those they don't: phone numbers without a plus, emails
-    with a bracketed at and dot. Look-alikes are dates, times, prices, versions, serial numbers, hexadecimal strings and
+    with a bracketed at and dot, addresses with bracketed dots, cards with dots. Look-alikes are dates, times, prices, versions, serial numbers, hexadecimal strings and
     words with signs; they are "other"."""
     r = random.Random(seed)
     syllables = "ba co de fi gu ha jo ki lu me no pa qui ro se ti un ver wo zen the and of der la que".split()
@@ -111,11 +125,12 @@ def labelled_table(rows: int = 1500, seed: int = 7) -> list[tuple[list[str], lis
     def card():
         d = num(r.choice([14, 15, 15]))
         full = next(d + c for c in "0123456789" if luhn(d + c))
-        return r.choice([[full], [full[i : i + 4] for i in range(0, len(full), 4)], ["-".join(full[i : i + 4] for i in range(0, len(full), 4))]])
+        fours = [full[i : i + 4] for i in range(0, len(full), 4)]
+        return r.choice([[full], fours, ["-".join(fours)], [".".join(fours)]])
 
     def made():
         a, b, c = num(3), num(3), num(4)
-        kind = r.randrange(14)
+        kind = r.randrange(17)
         if kind == 0:
             return [f"{word()}.{num(2)}@{word()}{num(1)}.{word()}.com"], 1
         if kind == 1:
@@ -136,12 +151,17 @@ def labelled_table(rows: int = 1500, seed: int = 7) -> list[tuple[list[str], lis
             return [f"+{r.randint(1, 99)}-{a}-{b}-{c}"], 4
         if kind == 10:
             return [f"{a}.{b}.{c}"], 4
+        if kind in (14, 15):
+            at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("[at]", "."), ("(at)", ".")])
+            return [f"{word()}{r.choice(['', '.' + word(), num(2)])}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"], 1
+        if kind == 16:
+            return [r.choice(["[.]", "(.)", "[dot]", "(dot)"]).join(str(r.randint(0, 255)) for _ in range(4))], 2
         return [a, b, c], 4
 
     def alike():
         return [r.choice([
             f"{r.randint(1990, 2030)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(2)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", num(r.randint(1, 9)), num(r.randint(20, 30)),
-            "".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 32, 40]))), f'"{word()}{num(3)}"', f"{num(2)}/{num(2)}/{num(4)}", f"{word()}###", f"{word()}$$$", f"#{num(4)}", f"{num(4)}-{num(4)}", f"{word()}{num(2)}", f"@{word()}", f"{num(1)}.{num(3)}", f"{num(3)}-{num(2)}-{num(4)}", f"{num(3)}%",
+            "".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 32, 40]))), f'"{word()}{num(3)}"', f"{num(2)}/{num(2)}/{num(4)}", f"{word()}###", f"{word()}$$$", f"#{num(4)}", f"{num(4)}-{num(4)}", f"{word()}{num(2)}", f"@{word()}", f"{num(1)}.{num(3)}", f"{num(2)}.{num(4)}", f"{word()}:", f"{num(4)}.{num(4)}", f"{num(3)}-{num(2)}-{num(4)}", f"{num(3)}%",
         ])]
 
     table = []
@@ -169,26 +189,37 @@ class Model:
     def scores(self, features: list[list[int]]) -> np.ndarray:
         return self.emit[np.array(features, np.int64)].sum(1)
 
+    def chain_scores(self, words: list[str]) -> np.ndarray:
+        """scores() of a whole chain, its features made in steps: they look no further than a word to either side."""
+        out = []
+        for at in range(0, len(words), FEATURE_WORDS):
+            before = at > 0
+            some = _features(words[at - before : at + FEATURE_WORDS + 1])[before:]
+            out.append(self.scores(some[:FEATURE_WORDS]))
+        return np.concatenate(out)
+
     def decode(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over many chains at once, those of like length together."""
+        """Viterbi over many chains at once, those of like length together; a long chain goes alone, and whole."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
-        for at in range(0, len(order), 256):
-            mine = order[at : at + 256]
+        order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: -len(chains[i]))
+        at = 0
+        while at < len(order):
+            mine = order[at : at + max(1, DECODE_WORDS // len(chains[order[at]]))]
+            at += len(mine)
             size = np.array([len(chains[i]) for i in mine])
             u = np.zeros((len(mine), size.max(), len(STATES)))
             for j, i in enumerate(mine):
                 u[j, : size[j]] = chains[i]
-            best, back = u[:, 0], np.zeros(u.shape, np.int64)
-            finals = [best]
+            best, back = u[:, 0], np.zeros(u.shape, np.int8)
+            final = best.copy()
             for t in range(1, u.shape[1]):
                 step = best[:, :, None] + self.move[None]
                 back[:, t] = step.argmax(1)
                 best = step.max(1) + u[:, t]
-                finals.append(best)
+                final[size > t] = best[size > t]
             path = np.zeros(u.shape[:2], np.int64)
             rows = np.arange(len(mine))
-            state = np.stack(finals, 1)[rows, size - 1].argmax(1)
+            state = final.argmax(1)
             for t in range(u.shape[1] - 1, -1, -1):
                 ended = t < size
                 path[ended, t] = state[ended]
@@ -238,17 +269,17 @@ def _valid(kind: str, text: str) -> bool:
     """What a span must be to be added, whatever the model says."""
     d = _digits(text)
     if kind == "email":
-        return ("@" in text or re.search(r"[(\[]at[)\]]", text) is not None) and len(text) <= 320
-    if kind == "ip":
-        return False  # a valid address is always found by its pattern
+        return len(text) <= 320 and _WRITTEN_EMAIL.fullmatch(text) is not None
+    if kind == "ip":  # one with plain dots is found by its pattern
+        parts = _BRACKETED_DOT.split(text)
+        return len(parts) == 4 and all(p == _digits(p) != "" and _byte(p) for p in parts)
     if kind == "card":
         return 14 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9\x20.-]", text)
     return 10 <= len(d) <= 15 and not re.search(r"[^0-9\x20().+-]", text) and re.search(r"[^0-9]", text) is not None and len(text) <= 30 and "\x20\x20" not in text
 
 
 def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Words (start, end) of each stretch around the triggers. Longer stretches than MAX_CHAIN words are decoded in parts
-    that overlap by REACH words on either side."""
+    """Words (start, end) of each stretch around the triggers, however long."""
     if not _TRIGGER.search(text):
         return []
     out: list[list[tuple[int, int]]] = []
@@ -262,45 +293,50 @@ def _chains(text: str) -> list[list[tuple[int, int]]]:
                     near[max(0, i - REACH) : i + REACH + 1] = True
             edges = np.flatnonzero(np.diff(near.astype(np.int8), prepend=0, append=0))
             for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for at in range(lo, hi, MAX_CHAIN):
-                    out.append([(a + base, b + base) for a, b in words[max(lo, at - REACH) : min(hi, at + MAX_CHAIN + REACH)]])
+                out.append([(a + base, b + base) for a, b in words[lo:hi]])
         base += len(line) + 1
     return out
 
 
 def find_all(texts: list[str], model: Model) -> list[list[tuple[int, int, str, bool]]]:
-    """All spans of each text: (start, end, kind, base?). Added ones overlap no other: neighbouring words of one state are one
-    span, but for words of base spans and after a comma."""
+    """All spans of each text: (start, end, kind, base?). Added ones overlap no other: a stretch of neighbouring words of one
+    state, parted by words of base spans and after commas, is one span if it is valid; of an email's stretch the leftmost longest
+    valid parts are."""
     out, owners, chains, words = [], [], [], []
     for i, text in enumerate(texts):
         out.append([(s, e, k, True) for s, e, k in base_spans(text)])
         for chain in _chains(text):
             owners.append(i)
             words.append(chain)
-            chains.append(model.scores(_features([text[a:b] for a, b in chain])))
+            chains.append(model.chain_scores([text[a:b] for a, b in chain]))
     added: list[list[tuple[int, int, str, bool]]] = [[] for _ in texts]
+    starts, ends = ([np.sort(np.array([x[side] for x in spans], np.int64)) for spans in out] for side in (0, 1))
     for i, chain, path in zip(owners, words, model.decode(chains), strict=True):
         text, at = texts[i], 0
-        taken = [any(a < e and s < b for s, e, _, base in out[i] if base) for a, b in chain]
+        edges = np.array(chain)
+        taken = (np.searchsorted(starts[i], edges[:, 1]) > np.searchsorted(ends[i], edges[:, 0], "right")).tolist()
         while at < len(path):
             end = at + 1
             while end < len(path) and path[end] == path[at] and not taken[end] and text[chain[end - 1][1] - 1] not in ",;":
                 end += 1
-            if path[at] and not taken[at]:
-                a, b = chain[at][0], chain[end - 1][1]
-                while b > a and text[b - 1] in ".,;:!?\"'":
-                    b -= 1
-                while a < b and text[a] in "\"'":
-                    a += 1
-                if _valid(kind := STATES[path[at]], text[a:b]):
-                    added[i].append((a, b, kind, False))
-            at = end
-    for spans, more in zip(out, added, strict=True):
-        taken = sorted((s, e) for s, e, _, _ in spans)
-        for s, e, k, _ in sorted(set(more)):
-            if not any(s < y and x < e for x, y in taken):
-                spans.append((s, e, k, False))
-                taken.append((s, e))
+            if not path[at] or taken[at]:
+                at = end
+                continue
+            kind = STATES[path[at]]
+            while at < end:
+                for stop in range(min(end, at + SPAN_WORDS), at, -1) if kind == "email" else (end,):
+                    a, b = chain[at][0], chain[stop - 1][1]
+                    while b > a and text[b - 1] in ".,;:!?\"'":
+                        b -= 1
+                    while a < b and text[a] in "\"'":
+                        a += 1
+                    if b - a <= SPAN_CHARS and _valid(kind, text[a:b]):
+                        added[i].append((a, b, kind, False))
+                        at = stop - 1
+                        break
+                at = at + 1 if kind == "email" else end
+    for spans, more in zip(out, added, strict=True):  # chains are apart, and so are the spans of one
+        spans += more
         spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return out
 
@@ -353,4 +389,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda k: F.filter(base, lambda s: s["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"), every)
