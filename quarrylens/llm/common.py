@@ -90,12 +90,13 @@ def joined_by_weight(left: DataFrame, right: DataFrame, on, weight: str, total:
 
 
 def lean() -> None:
-    """Makes a worker give memory back as soon as an array is freed, as many workers share an executor's bound: large blocks
-    are mapped, and Arrow allocates like everything else. Has no effect where the C library can't be told."""
+    """Makes a worker give memory back as soon as a large array is freed, as many workers share an executor's bound: blocks of
+    4 MB and more are mapped, and Arrow allocates like everything else. Smaller blocks are kept, as mapping an array of some
+    hundred KB costs more than filling it. Has no effect where the C library can't be told."""
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 24)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         pass
     pa.set_memory_pool(pa.system_memory_pool())

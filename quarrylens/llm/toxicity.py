@@ -18,7 +18,7 @@ PREFIXES = (4, 5)
 #: A term that this share of the examples holds is frequent: its weights are a row of a matrix, with a maximum for each block.
 DENSE_SHARE = 0.05
 #: Examples of a block; texts that meet the blocks together; blocks of highest bound that each text meets first.
-BLOCK, TOGETHER, FIRST = 64, 192, 4
+BLOCK, TOGETHER, FIRST = 64, 384, 4
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +157,12 @@ class Index:
             few = min(FIRST, bound.shape[1])
             np.put_along_axis(first, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
             meet(first)
-            kth = np.partition(about, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(some), -1.0)
+            kth = np.full(len(some), -1.0)
+            for i, blocks in enumerate(first):
+                cols = (edges[blocks][:, None] + np.arange(BLOCK)).ravel()
+                met = about[i, cols[cols < n]]
+                if len(met) > self.k:
+                    kth[i] = np.partition(met, len(met) - self.k)[len(met) - self.k]
             meet(~first & (bound >= (kth - slack)[:, None]) & (bound > 0))
             for i, (terms, w) in enumerate(some):
                 rows = np.flatnonzero(about[i] > max(0.0, kth[i] - slack[i]))
@@ -182,7 +187,9 @@ class Index:
         """Score of each text, its neighbours and their cosines."""
         if not len(self.toxic):
             return [(self.none, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-        return [((self.calibrated(self.vote(rows, sims)) if len(rows) else self.none), rows, sims) for rows, sims in self.all_nearest(self.vectors(texts))]
+        different = list(dict.fromkeys(texts))
+        found = {t: ((self.calibrated(self.vote(*x)) if len(x[0]) else self.none), *x) for t, x in zip(different, self.all_nearest(self.vectors(different)), strict=True)}
+        return [found[t] for t in texts]
 
 
 def _steps(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
