@@ -19,6 +19,9 @@ END = b" "
 BLOCK_BYTES = 5 << 20
 #: Text bytes for each shard of the counts.
 SHARD_BYTES = 16 << 20
+#: A word that is so large a share of the training tokens (and so many) is frequent: its bigrams are dealt by both words, all
+#: others by the first, so that a shard holds the sums of its words. There are a thousand of them at most.
+FREQUENT_SHARE, LEAST_FREQUENT = 1000, 1000
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -30,6 +33,13 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def _runs(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted numbers, their added counts, and each one's place in that order."""
+    order = np.argsort(first, kind="stable")
+    at = np.flatnonzero(np.diff(first[order], prepend=~first[order][:1]))
+    return first[order][at], np.add.reduceat(counts[order], at) if len(at) else counts[:0], order[at]
+
+
 def quantised(counts: np.ndarray, base: float) -> np.ndarray:
     """1 + floor(log_base(count)), in 1 to 255."""
     return np.minimum(255, 1 + np.floor(np.log(counts) / np.log(base) + 1e-9)).astype(np.int64)
@@ -93,7 +103,7 @@ class Settings:
 
 
 def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
-    """Blocks of tokenised texts (part "doc"), their words by shard with training counts ("word"), and the training bigrams by shard ("pair")."""
+    """Blocks of tokenised texts (part "doc"), and their words by shard with training counts ("word")."""
 
     def flush(ids, train, texts):
         vocab: dict[bytes, int] = {END: 0}
@@ -105,33 +115,21 @@ def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
             tokens.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
             tokens.append(np.zeros(1, np.int32))
             ends.append(len(words) + 1)
-        flat, ends = np.concatenate(tokens), np.cumsum(ends)
-        learn = np.repeat(np.array(train, bool), np.diff(ends, prepend=0))
-        counts = np.bincount(flat[learn], minlength=len(vocab))
+        flat, ends, learn = np.concatenate(tokens), np.cumsum(ends), np.array(train, bool)
+        counts = np.bincount(flat[np.repeat(learn, np.diff(ends, prepend=0))], minlength=len(vocab))
         words = list(vocab)
-        h = common.word_hashes(words[1:])[0]
-        h = np.concatenate([[np.uint64(0x1234567)], h]).astype(np.uint64)
-        before = np.concatenate([np.zeros(1, np.int32), flat[:-1]])
-        keys, n = np.unique(_pair_keys(h[before[learn]], h[flat[learn]]), return_counts=True)
+        h = _word_keys(words)
         block = uuid.uuid4().int >> 65  # any number will do: what a task wrote stays as it is
-        out = [("doc", block, -1, common.packed(flat.astype("<i4")), common.packed(ends.astype("<i8")), common.packed(h.astype("<u8")), ids)]
+        out = [("doc", block, -1, common.packed(flat.astype("<i4")), common.packed(ends.astype("<i8")), common.packed(h.astype("<u8")), np.packbits(learn).tobytes(), ids)]
         ws = _shard_of(h, shards)
         order = np.argsort(ws, kind="stable")
         cuts = np.searchsorted(ws[order], np.arange(shards + 1))
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if len(mine):
-                out.append(("word", block, s, zstandard.compress(b"\n".join([words[i] for i in mine.tolist()]), 1), common.packed(mine.astype("<i4")), common.packed(counts[mine].astype("<i8")), []))
-        ps = _shard_of(keys, shards)  # keys are sorted, and so are their shards
-        cuts = np.searchsorted(ps, np.arange(shards + 1))
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if b > a:
-                low = np.sort((keys[a:b] & np.uint64(0xFFFFFFFF)) << np.uint64(32) | np.minimum(n[a:b], 2**32 - 1).astype(np.uint64))
-                steps = np.diff(low >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
-                out.append(("pair", block, s, common.packed(steps), common.packed((low & np.uint64(0xFFFFFFFF)).astype("<u4")), b"", []))
-        for part, block, s, a, b, c, e in out:
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.int64()), pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c)), pa.array([e], pa.list_(id_type))], ["part", "block", "shard", "a", "b", "c", "ids"])
+                out.append(("word", block, s, zstandard.compress(b"\n".join([words[i] for i in mine.tolist()]), 1), common.packed(mine.astype("<i4")), common.packed(counts[mine].astype("<i8")), b"", []))
+        for part, block, s, a, b, c, d, e in out:
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.int64()), pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c, d)), pa.array([e], pa.list_(id_type))], ["part", "block", "shard", "a", "b", "c", "d", "ids"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -152,7 +150,50 @@ def _pack(docs: DataFrame, shards: int, kind: str) -> DataFrame:
         if texts:
             yield from flush(ids, train, texts)
 
-    return docs.mapInArrow(run, f"part string, block long, shard int, a binary, b binary, c binary, ids array<{kind}>")
+    return docs.mapInArrow(run, f"part string, block long, shard int, a binary, b binary, c binary, d binary, ids array<{kind}>")
+
+
+def _word_keys(words: list[bytes]) -> np.ndarray:
+    """A hash of each word; the end has its own."""
+    h = common.word_hashes([w for w in words if w != END])[0]
+    out = np.full(len(words), np.uint64(0x1234567), np.uint64)
+    out[[i for i, w in enumerate(words) if w != END]] = h
+    return out
+
+
+def _pairs(blocks: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
+    """Each block's distinct training bigrams with their counts, by shard: those of a first word stand together, its hash and
+    their number given once; those of frequent first words (sorted hashes) by that word's place."""
+
+    def run(batches):
+        common.lean()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name: common.column(batch, name)[i].as_py()  # noqa: E731, B023
+                flat, ends, h = common.unpacked(get("a"), "<i4").astype(np.int64), common.unpacked(get("b"), "<i8"), common.unpacked(get("c"), "<u8")
+                learn = np.unpackbits(np.frombuffer(get("d"), np.uint8), count=len(ends)).astype(bool)
+                before = np.concatenate([np.zeros(1, np.int64), flat[:-1]])
+                ids = np.sort((before * len(h) + flat)[np.repeat(learn, np.diff(ends, prepend=0))])
+                first = np.flatnonzero(np.diff(ids, prepend=-1))
+                n = np.minimum(np.diff(np.append(first, len(ids))), 2**32 - 1)
+                v, w = np.divmod(ids[first], len(h))
+                route, keys = h[v], _pair_keys(h[v], h[w])
+                low = keys & np.uint64(0xFFFFFFFF)
+                hot = np.isin(h, frequent)[v]
+                shard = _shard_of(np.where(hot, keys, route), shards)
+                order = np.lexsort((low, route, hot, shard))
+                route, low, n, hot, shard = (x[order] for x in (route, low, n, hot, shard))
+                cuts = np.searchsorted(shard, np.arange(shards + 1))
+                for s in range(shards):
+                    a, b = cuts[s], cuts[s + 1]
+                    if b > a:
+                        mid = a + int((~hot[a:b]).sum())
+                        start = np.flatnonzero(np.diff(route[a:mid], prepend=~route[a] if mid > a else np.uint64(0)))
+                        rows = [s, common.packed(np.diff(route[a:mid][start], prepend=np.uint64(0))), common.packed(np.diff(np.append(start, mid - a)).astype("<u4"))]
+                        rows += [common.packed(low[a:b].astype("<u4")), common.packed(n[a:b].astype("<u4")), common.packed(np.searchsorted(frequent, route[mid:b]).astype("<u2"))]
+                        yield pa.RecordBatch.from_arrays([pa.array([rows[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in rows[1:])], ["shard", "firsts", "runs", "keys", "counts", "hot"])
+
+    return blocks.mapInArrow(run, "shard int, firsts binary, runs binary, keys binary, counts binary, hot binary")
 
 
 def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,12 +201,14 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
 
     Tokens: A-Z lower-cased words between ASCII white space, and one end. base_score: exact unigram log10 probability with
     half a count added. score: log10 probability of the text under the bigram model
-    p(w | v) = (c(v w) + prior * p(w)) / (c(v) + prior), where c(v w) comes from a Bloom filter of quantised counts by
-    repeated probes and c(v), p(w) are the exact unigrams.
+    p(w | v) = (d(v w) + prior * p(w)) / (d(v) + prior), where d(v w) is the quantised count's middle, d(v) the sum of these over
+    all w, exact, and p(w) the exact unigram. So p(. | v) adds up to 1 over the known words and one unknown; d(v w) comes from a
+    Bloom filter by repeated probes, and where a probe finds a level too high (some in a hundred), so is d(v w).
 
     Texts are packed once into blocks of tokens. Unigrams: each block sends its distinct words, parted by hash, and gets
-    their counts over the whole corpus back, so no list of all words is anywhere. Bigrams: each block sends its distinct
-    keys, every shard makes its segment of the filter, and segments are broadcast in groups of max_filter_mb at most; there
+    their counts over the whole corpus back, so no list of all words is anywhere. Bigrams: each block sends its distinct ones to
+    the shard of their first word (of both words, if the first is frequent), which makes its segment of the filter and tells the
+    blocks the sums of their words; the frequent words' sums, a thousand at most, are added over shards. Segments are broadcast in groups of max_filter_mb at most; there
     is one scoring pass for each group (one, while the filter is within the bound), so the broadcast is bounded
     at every size. Null text is empty: an end alone. Null learn marks count as false. Repeated rows count and are returned
     each. An empty table gives an empty one. Without training rows every count is 0. Other columns are not read."""
@@ -179,7 +222,7 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
     shards = int(shards)
     packed, path = scratch.parted(_pack(rows, shards, kind), "part")
 
-    def unigrams(batches_of_key, table: pa.Table):
+    def unigrams(key, table):
         common.lean()
         totals: dict[bytes, int] = {}
         parts = []
@@ -190,29 +233,53 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
                 if n:
                     totals[w] = totals.get(w, 0) + n
         got = [common.packed(np.fromiter((totals.get(w, 0) for w in words), "<i8", len(words))) for _, words, _ in parts]
-        n = len(parts)
-        return pa.table({"block": pa.array([p[0] for p in parts], pa.int64()), "at": pa.array([p[2] for p in parts], pa.binary()), "n": pa.array(got, pa.binary()), "total": pa.array([sum(totals.values())] + [0] * (n - 1), pa.int64()), "distinct": pa.array([len(totals)] + [0] * (n - 1), pa.int64())})
+        n, total = len(parts), sum(totals.values())
+        often = [w for w, c in totals.items() if c >= max(LEAST_FREQUENT, total // FREQUENT_SHARE)]  # no frequent word is missing
+        often = [{"h": x, "c": totals[w]} for w, x in zip(often, _word_keys(often).view(np.int64).tolist(), strict=True)]
+        return pa.table({
+            "block": pa.array([p[0] for p in parts], pa.int64()), "at": pa.array([p[2] for p in parts], pa.binary()), "n": pa.array(got, pa.binary()),
+            "total": pa.array([total] + [0] * (n - 1), pa.int64()), "distinct": pa.array([len(totals)] + [0] * (n - 1), pa.int64()),
+            "often": pa.array([often] + [[]] * (n - 1), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))),
+        })
 
     words = packed.where("part = 'word'").select("shard", "block", "a", "b", "c")
-    known = scratch.put(words.groupBy("shard").applyInArrow(lambda key, t: unigrams(key, t), "block long, at binary, n binary, total long, distinct long"))
-    scratch.drop(f"{path}/part=word")
+    known = scratch.put(words.groupBy("shard").applyInArrow(unigrams, "block long, at binary, n binary, total long, distinct long, often array<struct<h:long,c:long>>"))
     total, distinct = known.agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = int(total or 0), int(distinct or 0)
+    often = known.select(F.explode("often").alias("x")).where(F.col("x.c") >= max(LEAST_FREQUENT, total // FREQUENT_SHARE)).select("x.h").collect()
+    frequent = np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
 
-    def segments(table: pa.Table) -> pa.Table:
+    def segments(key, pairs, words):
+        """A shard's segment, the sums of its part of the frequent words, and each block's sums of the words that it asks for."""
         common.lean()
-        keys = np.concatenate([np.cumsum(common.unpacked(x, "<u4"), dtype=np.uint64).astype(np.uint32) for x in table["a"].to_pylist()])
-        counts = np.concatenate([common.unpacked(x, "<u4") for x in table["b"].to_pylist()]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        bits = segment(keys, quantised(counts, s.base), s.bits_per_entry, s.hashes)
-        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "size": pa.array([len(bits)], pa.int64())})
-
-    pairs = packed.where("part = 'pair'").select("shard", "a", "b")
-    made = scratch.put(pairs.groupBy("shard").applyInArrow(segments, "shard int, bits binary, size long"))
-    scratch.drop(f"{path}/part=pair")
+        get = lambda c, kind: [common.unpacked(x, kind) for x in pairs[c].to_pylist()]
+        ctx = [np.cumsum(x, dtype=np.uint64) for x in get("firsts", "<u8")]
+        runs, hots, keys, counts = get("runs", "<u4"), get("hot", "<u2"), get("keys", "<u4"), get("counts", "<u4")
+        names = np.unique(np.concatenate([*ctx, np.zeros(0, np.uint64)]))
+        # a number for each bigram: its first word's place (frequent ones after the others), and its key
+        who = [np.concatenate([np.repeat(np.searchsorted(names, c), r), len(names) + x.astype(np.int64)]) for c, r, x in zip(ctx, runs, hots, strict=True)]
+        pair = np.concatenate([*((w.astype(np.uint64) << np.uint64(32)) | k for w, k in zip(who, keys, strict=True)), np.zeros(0, np.uint64)])
+        pair, n, _ = _runs(pair, np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.int64))
+        level = quantised(n, s.base)
+        twice = (2 * dequantised(level.astype(float), s.base)).astype(np.int64)
+        sums = np.bincount((pair >> np.uint64(32)).astype(np.int64), twice, len(names) + len(frequent)).astype(np.int64)
+        bits = segment(pair & np.uint64(0xFFFFFFFF), level, s.bits_per_entry, s.hashes)
+        out = [(None, None, None, key[0].as_py(), bits.tobytes(), len(bits), sums[len(names) :].tolist())]
+        for block, asked, at in zip(words["block"].to_pylist(), words["a"].to_pylist(), words["b"].to_pylist(), strict=True):
+            h = _word_keys(zstandard.decompress(asked).split(b"\n"))
+            place = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+            out.append((block, at, common.packed(np.where(names[place] == h, sums[place], 0).astype("<i8") if len(names) else np.zeros(len(h), "<i8")), None, None, None, None))
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["block", "at", "n", "shard", "bits", "size", "sums"])
+
+    pairs = _pairs(packed.where("part = 'doc'").select("a", "b", "c", "d"), shards, frequent)
+    made, made_path = scratch.parted(pairs.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(segments, "block long, at binary, n binary, shard int, bits binary, size long, sums array<long>").withColumn("kind", F.when(F.col("block").isNull(), "segment").otherwise("sum")), "kind")
+    scratch.drop(f"{path}/part=word")
+    sums = made.where("kind = 'sum'").select("block", "at", "n")
+    made = made.where("kind = 'segment'")
+    hot_sums = np.zeros(len(frequent), np.int64)
+    for r in made.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():  # a thousand at most
+        hot_sums[r["i"]] = r["x"]
     sizes = np.zeros(shards, np.int64)
     for r in made.select("shard", "size").toLocalIterator():
         sizes[r["shard"]] = r["size"]
@@ -229,7 +296,8 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
                 bits[starts[r["shard"]] : starts[r["shard"]] + r["size"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
         return Filter(bits, starts, own, s.hashes)
 
-    counts_of = known.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))
+    told = known.select("block", "at", "n", F.lit(False).alias("sum")).unionByName(sums.withColumn("sum", F.lit(True)))
+    counts_of = told.groupBy("block").agg(F.collect_list(F.struct("at", "n", "sum")).alias("known"))
     blocks = packed.where("part = 'doc'").select("block", "a", "b", "c", "ids").join(counts_of, "block")
     names = ["block", "pos", "k", "n_tokens", "n_known", "base_score", "score"]
 
@@ -238,9 +306,12 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
             common.lean()
             get = lambda name: common.column(row, name)[0].as_py()
             flat, ends, h = common.unpacked(get("a"), "<i4"), common.unpacked(get("b"), "<i8"), common.unpacked(get("c"), "<u8")
-            c = np.zeros(len(h), np.int64)
+            c, twice = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             for x in get("known"):
-                c[common.unpacked(x["at"], "<i4")] = common.unpacked(x["n"], "<i8")
+                (twice if x["sum"] else c)[common.unpacked(x["at"], "<i4")] = common.unpacked(x["n"], "<i8")
+            hot = np.isin(h, frequent)
+            twice[hot] = hot_sums[np.searchsorted(frequent, h[hot])]
+            below = twice / 2 + s.prior
             p = (c + 0.5) / (total + 0.5 * (distinct + 1))
             log_p = np.log10(p)
             starts = np.concatenate([[0], ends[:-1]])
@@ -250,11 +321,12 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
                 b = max(a + 1, int(np.searchsorted(ends, starts[a] + 500_000)))
                 here = flat[starts[a] : ends[b - 1]]
                 before = np.concatenate([np.zeros(1, here.dtype), here[:-1]])
-                keys, back = np.unique(_pair_keys(h[before], h[here]), return_inverse=True)
-                shard = _shard_of(keys, shards).astype(np.int64)
-                level = sent.value.levels(keys & np.uint64(0xFFFFFFFF), shard)
-                joint = np.minimum(dequantised(level[back].astype(float), s.base), np.minimum(c[before], c[here]))
-                q = np.log10((joint + s.prior * p[here]) / (c[before] + s.prior))
+                ids, back = np.unique(before.astype(np.int64) * len(h) + here, return_inverse=True)
+                v, w = np.divmod(ids, len(h))
+                keys = _pair_keys(h[v], h[w])
+                shard = _shard_of(np.where(hot[v], keys, h[v]), shards).astype(np.int64)
+                level = np.where((c[v] > 0) & (c[w] > 0), sent.value.levels(keys & np.uint64(0xFFFFFFFF), shard), 0)
+                q = np.log10((dequantised(level.astype(float), s.base) + s.prior * p[w]) / below[v])[back]
                 if passes > 1:
                     q = np.where((group[shard] == n)[back], q, 0.0)
                 cuts = starts[a:b] - starts[a]

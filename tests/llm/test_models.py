@@ -33,6 +33,36 @@ def test_lm_base_and_passes(spark, odd_docs, no_docs):
     assert {r.n_known for r in lm_score.score(odd_docs, F.lit(False)).collect()} == {0}
 
 
+@pytest.mark.parametrize("share", [1000, 20])
+def test_lm_score_by_brute_force(spark, odd_docs, monkeypatch, share):
+    """A plain dictionary model with the same levels; with 20, some words are frequent and dealt by both words."""
+    monkeypatch.setattr(lm_score, "FREQUENT_SHARE", share)
+    monkeypatch.setattr(lm_score, "LEAST_FREQUENT", 5)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 500)
+    r = random.Random(9)
+    rows = [(x.doc_id, x.text) for x in odd_docs.select("doc_id", "text").collect()]
+    rows += [(200 + i, " ".join(r.choice(["the", "Of", "and", *(f"w{j}" for j in range(40))]) for _ in range(r.randint(1, 60)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    learns = lambda i: i is not None and i % 4 != 0
+    s = lm_score.Settings(bits_per_entry=60.0, hashes=20)  # no probe finds what isn't there
+    uni, pairs, sums = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if learns(i):
+            uni.update(low(t))
+            pairs.update(zip([b" ", *low(t)], low(t), strict=False))
+    total, distinct = sum(uni.values()), len(uni)
+    middle = lambda c: float(lm_score.dequantised(lm_score.quantised(np.array([c]), s.base).astype(float), s.base)[0]) if c else 0.0
+    for (v, _), c in pairs.items():
+        sums[v] += middle(c)
+    p = lambda w: (uni[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    given = lambda w, v: (middle(pairs[v, w]) + s.prior * p(w)) / (sums[v] + s.prior)
+    for v in [*list(uni)[:40], b" ", b"unknown"]:
+        assert abs(sum(given(w, v) for w in uni) + given(b"unknown", v) - 1) < 1e-9
+    want = sorted((str(i), round(sum(math.log10(given(w, v)) for v, w in zip([b" ", *low(t)], low(t), strict=False)), 6)) for i, t in rows)
+    got = lm_score.score(docs, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False)), s).collect()
+    assert sorted((str(x.doc_id), round(x.score, 6)) for x in got) == want
+
+
 def test_lm_beats_its_base(spark):
     r = random.Random(2)
     step = {w: r.sample(range(60), 3) for w in range(60)}
