@@ -114,6 +114,18 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df does not have (Spark takes no notice of case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        found = f"__{name}"
+        while found.lower() in taken:
+            found += "_"
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
