@@ -154,7 +154,7 @@ def feature_ranking(config: ProfileConfig, types: dict, missing: dict, response:
 #: Quality issue -> category of modelling risk.
 _RISK_OF = {
     "high_cardinality": "cardinality", "id_like_candidate": "identifier", "high_missingness": "missingness", "all_missing": "missingness", "near_constant_column": "sparsity", "constant_column": "sparsity",
-    "normalized_name_collision": "schema", "mixed_python_types": "schema", "numeric_parse_candidate": "schema", "datetime_parse_candidate": "schema", "boolean_parse_candidate": "schema",
+    "normalized_name_collision": "schema", "numeric_parse_candidate": "schema", "datetime_parse_candidate": "schema", "boolean_parse_candidate": "schema",
 }
 
 
