@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Each leaf's seeded order is cut to so many bins; only one of them is ever sorted.
-BINS = 4096
+#: A leaf's seeded order is cut by its first so many hexadecimal digits, two at a time: 256 bins, and 256 of the one that the
+#: budget ends in, and so on. Only a bin of the last kind, one of sixteen million, is ever sorted.
+DIGITS = 6
 
 
 @dataclass
@@ -123,35 +124,40 @@ def mix(
     tokens first); documents without tokens are taken if their place is in the prefix. An empty table gives an empty one.
 
     The tree has as many leaves as sources are configured; more than max_leaves raise an error. A prefix is found without
-    sorting a leaf: token sums of 4096 bins of the order tell the bin in which the budget ends, and that bin alone is sorted."""
-    names = [f"__level{i}" for i in range(len(levels))]
-    keep = [c for c in docs.columns if c != "epoch"]
-    leaf = F.to_json(F.struct(*names))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[x.cast("string").alias(n) for n, x in zip(names, levels.values(), strict=True)], tokens.cast("long").alias("__tokens")).withColumn("__leaf", leaf)
-    found = rows.groupBy(*names, "__leaf").agg(F.sum("__tokens").alias("t")).limit(max_leaves + 1).collect()
+    sorting a leaf: token sums by the first digits of the order, first of two, then of two more within the bin in which the
+    budget ends, tell where it ends; of that last bin alone the documents are sorted."""
+    given = [c for c in docs.columns if c != "epoch"]
+    path = common.fresh(docs, *(f"level{i}" for i in range(len(levels))))
+    leaf, tok, full, rest, order, cut, before, upto = common.fresh(docs, "leaf", "tokens", "full", "rest", "order", "cut", "before", "sum")
+    spark = docs.sparkSession
+    rows = docs.select(*[F.col(f"`{c}`") for c in given], *[x.cast("string").alias(n) for n, x in zip(path, levels.values(), strict=True)], tokens.cast("long").alias(tok)).withColumn(leaf, F.to_json(F.struct(*path)))
+    found = rows.groupBy(*path, leaf).agg(F.sum(tok).alias("t")).limit(max_leaves + 1).collect()
     if len(found) > max_leaves:
         raise ValueError(f"more than {max_leaves} leaves")
-    of = {tuple(r[n] for n in names): r["__leaf"] for r in found}
-    root = tree([(tuple(r[n] for n in names), r["t"]) for r in found], weights, power)
+    of = {tuple(r[n] for n in path): r[leaf] for r in found}
+    root = tree([(tuple(r[n] for n in path), r["t"]) for r in found], weights, power)
     if budget is None:
         budget = int(root.tokens * (1.0 if share is None else share))
-    goals = [(of[path], b // t if t else 0, b % t if t else 0) for path, t, b in plan(root, budget, max_epochs)]
-    spark = docs.sparkSession
-    goals = F.broadcast(spark.createDataFrame(goals, "__leaf string, __full long, __rest long"))
-    rows = rows.join(goals, "__leaf")
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("__full").cast("string"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
-    partial = rows.where(F.col("__rest") > 0).withColumn("__order", order).withColumn("__bin", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
-    bins = partial.groupBy("__leaf", "__bin", "__rest").agg(F.sum("__tokens").alias("s"))
-    upto = F.sum("s").over(Window.partitionBy("__leaf").orderBy("__bin"))
-    cuts = bins.withColumn("upto", upto).where(F.col("upto") > F.col("__rest")).groupBy(F.col("__leaf").alias("__cl")).agg(F.min("__bin").alias("__cut"), F.min(F.struct("__bin", (F.col("upto") - F.col("s")).alias("b")))["b"].alias("__before"))
-    placed = partial.join(F.broadcast(cuts), F.col("__leaf") == F.col("__cl"), "left")  # a row for each leaf
-    columns = [F.col(f"`{c}`") for c in keep]
-    whole = placed.where(F.col("__cut").isNull() | (F.col("__bin") < F.col("__cut")))
-    w = Window.partitionBy("__leaf").orderBy("__order", id_col, "__tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where(F.col("__bin") == F.col("__cut")).withColumn("__sum", F.sum("__tokens").over(w) + F.col("__before")).where(F.col("__sum") <= F.col("__rest"))
-    full = rows.where(F.col("__full") > 0).select(*columns, F.explode(F.sequence(F.lit(0), (F.col("__full") - 1).cast("int"))).alias("epoch"))
-    last = [x.select(*columns, F.col("__full").cast("int").alias("epoch")) for x in (whole, edge)]
-    return full.unionByName(last[0]).unionByName(last[1])
+    goals = [(of[p], b // t if t else 0, b % t if t else 0) for p, t, b in plan(root, budget, max_epochs)]
+    rows = rows.join(F.broadcast(spark.createDataFrame(goals, f"{leaf} string, {full} long, {rest} long")), leaf)  # a row for each leaf
+    md5 = F.md5(F.concat_ws(":", F.lit(seed), F.col(full).cast("string"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
+    partial = rows.where(F.col(rest) > 0).withColumn(order, md5)
+    sums = common.Scratch(spark, "mixing").put(partial.groupBy(F.col(leaf).alias("leaf"), F.col(rest).alias("rest"), F.substring(order, 1, DIGITS).alias("at")).agg(F.sum(tok).alias("s")))
+    ends = sums.select("leaf", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before")).distinct()
+    for n in range(2, DIGITS + 1, 2):
+        bins = sums.join(F.broadcast(ends), "leaf").where(F.col("at").startswith(F.col("cut"))).groupBy("leaf", "rest", "before", F.substring("at", 1, n).alias("bin")).agg(F.sum("s").alias("s"))
+        bins = bins.withColumn("upto", F.col("before") + F.sum("s").over(Window.partitionBy("leaf").orderBy("bin")))  # 256 rows at most
+        ends = bins.where(F.col("upto") > F.col("rest")).groupBy("leaf").agg(F.min(F.struct("bin", (F.col("upto") - F.col("s")).alias("b"))).alias("x")).select("leaf", F.col("x.bin").alias("cut"), F.col("x.b").alias("before"))
+    ends = ends.select(F.col("leaf").alias(f"{leaf}_"), F.col("cut").alias(cut), F.col("before").alias(before))
+    placed = partial.join(F.broadcast(ends), F.col(leaf) == F.col(f"{leaf}_"), "left")  # a row for each leaf
+    columns = [F.col(f"`{c}`") for c in given]
+    here = F.substring(order, 1, DIGITS)
+    whole = placed.where(F.col(cut).isNull() | (here < F.col(cut)))
+    w = Window.partitionBy(leaf).orderBy(order, F.col(f"`{id_col}`"), tok).rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where(here == F.col(cut)).withColumn(upto, F.sum(tok).over(w) + F.col(before)).where(F.col(upto) <= F.col(rest))
+    again = rows.where(F.col(full) > 0).select(*columns, F.explode(F.sequence(F.lit(0), (F.col(full) - 1).cast("int"))).alias("epoch"))
+    last = [x.select(*columns, F.col(full).cast("int").alias("epoch")) for x in (whole, edge)]
+    return again.unionByName(last[0]).unionByName(last[1])
 
 
 def levels() -> dict[str, Column]:

@@ -241,6 +241,76 @@ def test_default_weights_are_on_the_scale_of_given_ones():
     assert [c.weight for c in mixing.tree(leaves, None, 0.5).children] == [1000**0.5] * 3
 
 
+def plain_budgets(leaves, weights, power, budget, epochs):
+    """Budgets by exact fractions: each family's level of filling is found among the points where a member is full."""
+    from fractions import Fraction
+
+    def room(prefix):
+        return sum(n * epochs for p, n in leaves.items() if p[: len(prefix)] == prefix)
+
+    out = {}
+
+    def share(prefix, left):
+        if prefix in leaves:
+            out[prefix] = left
+            return
+        kids = sorted({p[: len(prefix) + 1] for p in leaves if p[: len(prefix)] == prefix}, key=lambda p: tuple("" if x is None else x for x in p))
+        size = {k: sum(n for p, n in leaves.items() if p[: len(k)] == k) for k in kids}
+        w = {k: Fraction(weights[k] if k in weights else size[k] ** power) for k in kids}
+        rooms = {k: room(k) for k in kids}
+        left = min(left, sum(rooms[k] for k in kids if w[k]))
+        got = {k: 0 for k in kids}
+        full = lambda level: sum(min(Fraction(rooms[k]), level * w[k]) for k in kids)
+        points = sorted(Fraction(rooms[k]) / w[k] for k in kids if w[k])
+        if points:
+            low = max([x for x in points if full(x) <= left], default=Fraction(0))
+            live = sum(w[k] for k in kids if w[k] and Fraction(rooms[k]) / w[k] > low)
+            level = low + (left - full(low)) / live if live else low
+            got = {k: min(rooms[k], int(level * w[k])) for k in kids}
+        for k in kids:  # what rounding leaves goes to the first with room
+            more = min(left - sum(got.values()), rooms[k] - got[k]) if w[k] else 0
+            got[k] += more
+        for k in kids:
+            share(k, got[k])
+
+    share((), budget)
+    return out
+
+
+@pytest.mark.parametrize(("power", "weights", "epochs", "part"), [(1, {}, 3, 0.9), (0, {("en",): 3, ("de",): 1, (None,): 2}, 2, 1.1), (2, {("en", "src1"): 5, ("en", "src2"): 0}, 1, 0.5)])
+def test_mix_by_plain_budgets(spark, odd_docs, power, weights, epochs, part):
+    """Against budgets and prefixes that share no code with the module; extra columns are named like its own."""
+    tokens = mixing.word_count(F.col("text"))
+    docs = odd_docs.withColumn("__leaf", F.lit(1)).withColumn("__tokens", F.lit("x")).withColumn("__LEVEL0", F.lit(2))
+    rows = [(x.doc_id, (x.lang, x.source), len((x.text or "").split())) for x in docs.collect()]
+    leaf = collections.defaultdict(list)
+    for d, path, n in rows:
+        leaf[path].append((d, n))
+    totals = {k: sum(n for _, n in v) for k, v in leaf.items()}
+    default = {}
+    for depth in (1, 2):  # unnamed siblings weigh on the scale of named ones
+        for p in {k[:depth] for k in totals}:
+            kin = {k[:depth] for k in totals if k[: depth - 1] == p[:-1]}
+            size = lambda q: sum(n for k, n in totals.items() if k[: len(q)] == q)
+            named = [q for q in kin if q in weights]
+            scale = sum(weights[q] for q in named) / sum(size(q) ** power for q in named) if named and sum(size(q) ** power for q in named) and sum(weights[q] for q in named) else 1
+            default[p] = weights[p] if p in weights else size(p) ** power * scale
+    budgets = plain_budgets(totals, default, power, int(sum(totals.values()) * part), epochs)
+    want = collections.Counter()
+    for path, docs_of in leaf.items():
+        full, rest = divmod(budgets[path], totals[path]) if totals[path] else (0, 0)
+        want.update((d, e) for d, _ in docs_of for e in range(full))
+        done = 0
+        for _, d, n in sorted((hashlib.md5(f"z:{full}:{'' if d is None else d}".encode()).hexdigest(), d, n) for d, n in docs_of) if rest else []:
+            done += n
+            if done > rest:
+                break
+            want[d, full] += 1
+    out = mixing.mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, tokens, share=part, weights=weights, power=power, max_epochs=epochs, seed="z")
+    assert collections.Counter((x.doc_id, x.epoch) for x in out.collect()) == want
+    assert out.columns == [c for c in docs.columns if c != "epoch"] + ["epoch"]
+
+
 def test_mix_by_brute_force(spark, odd_docs, no_docs):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     tokens = mixing.word_count(F.col("text"))
