@@ -200,7 +200,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec(path)
 
         def f(piece: pa.RecordBatch):
-            ids = c.encode_all([t or "" for t in common.column(piece, "t").to_pylist()])
+            ids = c.encode_all(common.decoded(common.column(piece, "t")))
             flat = np.fromiter(chain.from_iterable(ids), np.int32)
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]).astype(np.int32)
             out = [common.column(piece, "k"), pa.ListArray.from_arrays(offsets, flat)]

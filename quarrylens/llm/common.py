@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -28,21 +29,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local one on a local master, as in
+    tests; on any other an error, as no host would see another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quarrylens.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.conf.set("spark.quarrylens.scratch", found)
     return found.rstrip("/")
 
 
+#: Scratch folders begun within the scopes that are open, innermost last.
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Frees, at its end, all scratch tables begun in it. What was made of them has to be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for scratch in _SCOPES.pop():
+            scratch.drop(scratch.root)
+
+
 class Scratch:
-    """Tables written in the shared folder: they cut the lineage and outlive lost executors. They go when the driver ends, as
-    results may be read until then."""
+    """Tables written in the shared folder: they cut the lineage and outlive lost executors. They go at the end of the scope
+    they were begun in, else when the driver ends, as results may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.path(df))
@@ -135,6 +156,11 @@ def encoded(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
 
 
+def decoded(array: pa.Array) -> list[str]:
+    """The texts, null as empty. Bytes that are not UTF-8 are read as U+FFFD."""
+    return [x.decode(errors="replace") for x in encoded(array)]
+
+
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece holds about limit bytes of text, one row at least."""
     lean()
@@ -174,34 +200,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 to the 64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up, down = np.full(size, _ODD), np.full(size, np.uint64(pow(int(_ODD), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes other than ASCII white space) of all texts, found and hashed without a loop over words.
 
-    Returns a 64-bit hash of each word, the offset of each text's first word (one more at the end), and each word's
-    first byte and the byte past its last in b" ".join(texts)."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = SPACE[joined]
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
+    Each eight bytes of a word are mixed with their place, and the sum of these is mixed with the length: words of one
+    length up to eight bytes never have one hash. Returns a 64-bit hash of each word, the offset of each text's first word (one
+    more at the end), and each word's first byte and the byte past its last in b" ".join(texts)."""
+    joined = b" ".join(texts) + b" " * 8
+    flat = np.frombuffer(joined, np.uint8)
+    edge = np.diff(SPACE[flat].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sizes = ends - starts
+    chunks = (sizes + 7) >> 3
+    first = np.cumsum(chunks) - chunks
+    place = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
+    at = np.repeat(starts, chunks) + 8 * place
+    spare = np.maximum(0, 8 - np.repeat(ends, chunks) + at).astype(np.uint64)  # bytes past the word's end
+    eight = np.ndarray((len(flat) - 7,), "<u8", buffer=joined, strides=(1,))
+    salts = mix(np.arange(1, int(chunks.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    mixed = mix((eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * spare))) ^ salts[place])
+    hashes = mix(np.add.reduceat(mixed, first) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(first) else np.zeros(0, np.uint64)
     text_ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     return hashes, np.concatenate([[0], np.searchsorted(starts, text_ends)]).astype(np.int64), starts, ends
 

@@ -23,7 +23,9 @@ HOT_IN_BLOCK = 64
 #: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
 ROUNDS = 2
 #: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles and rows of a bucket.
-CHUNK, BUCKET_TILES, BUCKET_ROWS = 1024, 2000, 50_000
+CHUNK, BUCKET_TILES, BUCKET_ROWS, BUCKET_BYTES = 1024, 2000, 50_000, 32 << 20
+#: So many nodes whose sets are wanted are told to every task (16 bytes each); of more, the texts are shuffled.
+TOLD_NODES = 500_000
 
 
 @lru_cache(maxsize=8)
@@ -255,10 +257,10 @@ def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _buckets(mixed: DataFrame) -> int:
-    """How many buckets hold all tiles: each has about BUCKET_TILES tiles or cuts and BUCKET_ROWS rows at most, and a member is a
-    row for each cut of its tile."""
-    r = mixed.agg(F.sum("chunks").alias("tiles"), F.sum(F.col("n") * F.col("chunks")).alias("rows")).first()
-    return max((r["tiles"] or 0) // BUCKET_TILES, (r["rows"] or 0) // BUCKET_ROWS) + 1
+    """How many buckets hold all tiles: each has about BUCKET_TILES tiles or cuts, BUCKET_ROWS rows and BUCKET_BYTES of bitmaps at most,
+    and a member is a row for each cut of its tile. mixed: n, chunks and bytes (of all members' bitmaps) by tile."""
+    r = mixed.agg(F.sum("chunks").alias("tiles"), F.sum(F.col("n") * F.col("chunks")).alias("rows"), F.sum(F.col("bytes") * F.col("chunks")).alias("bytes")).first()
+    return int(max((r["tiles"] or 0) // BUCKET_TILES, (r["rows"] or 0) // BUCKET_ROWS, (r["bytes"] or 0) // BUCKET_BYTES)) + 1
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -341,7 +343,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 
     told = packed.where("part = 'doc'").select("a", "b", "ids", "maps").mapInArrow(doc_rows, f"k {kind}, size long, node long, map binary")
     texts = scratch.put(told.select("k", "size", "node"))
-    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map")))
+    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map")).withColumn("bytes", F.length("map").cast("long")))
     hot = packed.where("part = 'hot'").select("a", "b").mapInArrow(hot_rows, "tile long, x long")
     shared = packed.where("part = 'key'").select("shard", "a", "b", "c").groupBy("shard").applyInArrow(_shared_tiles, "tile long, x long")
     tiles = scratch.put(shared.unionByName(hot).distinct())
@@ -356,12 +358,23 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
                     found.append((want, s.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names)
 
+    made: list[DataFrame] = []  # sets by node, so far
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Bounds pairs, takes the sets of what is left from the texts, and intersects."""
+        """Bounds pairs, takes the sets of what is left from the texts, but for those that were taken before, and intersects."""
         left = scratch.put(_bounded(pairs, nodes, percent))
-        want = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct().join(nodes, "node").select(F.col("node").alias("want"), "low")
-        sets = rows.join(want, rows["k"].eqNullSafe(want["low"])).select("t", "want").mapInArrow(sets_of, "node long, elements binary").dropDuplicates(["node"])
-        return scratch.put(_exact(left, scratch.put(sets), percent))
+        want = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct()
+        for sets in made:
+            want = want.join(sets.select("node"), "node", "left_anti")
+        want = scratch.put(want.join(nodes.select("node", "low"), "node").select(F.col("node").alias("want"), "low"))
+        few = want.count()
+        if few:
+            found = rows.join(F.broadcast(want) if few <= TOLD_NODES else want, rows["k"].eqNullSafe(want["low"]))
+            made.append(scratch.put(found.select("t", "want").mapInArrow(sets_of, "node long, elements binary").dropDuplicates(["node"])))
+        sets = None
+        for x in made:
+            sets = x if sets is None else sets.unionByName(x)
+        return left if sets is None else scratch.put(_exact(left, sets, percent))
 
     both_ways = lambda e: e.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     stars = tiles.groupBy("tile").agg(F.min("x").alias("y"))
@@ -388,11 +401,12 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         roots = joined(more)
     now = rooted()
     mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("tile", "n", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    wide = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "bytes"), "x").groupBy("tile", "n", "chunks").agg(F.sum("bytes").alias("bytes"))
     members = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "size", "map"), "x")
     own = F.pmod(F.xxhash64("x"), F.col("chunks"))
     members = members.select("tile", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map")
-    members = members.withColumn("bucket", F.pmod("tile", F.lit(_buckets(mixed))))
+    members = members.withColumn("bucket", F.pmod("tile", F.lit(_buckets(wide))))
     opened = members.groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
     more = verified(scratch.put(opened.join(tested, ["x", "y"], "left_anti")))
     if not more.isEmpty():
@@ -407,8 +421,9 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is their component's smallest, with all their columns. Of rows that repeat an id, and are in the
     same place, one stays: that of the smallest text."""
-    found = groups(docs, n, percent, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["__kept"]), "left_semi")
+    (kept,) = common.fresh(docs, "kept")
+    found = groups(docs, n, percent, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(kept)).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(found[kept]), "left_semi")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     A line's key is the line stripped of ASCII white space, A-Z lower-cased; shorter keys than min_chars stay. Adds
     n_lines (before) and n_dropped, in place of such columns; all other columns pass through. Null text becomes one empty
     line. Rows that share an id are one document when lines are counted and lose the same lines; null ids are one
-    document, smaller than all others. Rows are never lost: a text may become empty. An empty table gives an empty one.
+    document, smaller than all others. Rows are never lost: a text may become empty. Bytes that are not UTF-8 become U+FFFD. An empty table gives an empty one.
 
     Only 16-byte keys and ids move for the counts: first made distinct, then counted with partial sums, so a line that
     all documents hold is one row from each task. Texts move once, to meet the list of their dropped keys."""
@@ -50,10 +50,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     keys = common.Scratch(spark, "lines").put(line_keys(docs, min_chars, id_col, text_col))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select(F.col("key").alias("shared"), "last", "n")
     held = common.joined_by_weight(keys, shared, lambda a, b: a["key"] == b["shared"], "n", keys.count())
-    drops = held.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("__drop_id")).agg(F.collect_list("key").alias("__drop"))
+    drop, drop_id = common.fresh(docs, "drop", "drop_id")
+    drops = held.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias(drop_id)).agg(F.collect_list("key").alias(drop))
     fields = [x for x in docs.schema.fields if x.name not in ("n_lines", "n_dropped")]
     given = docs.select([F.col(f"`{x.name}`") for x in fields])
-    joined = given.join(drops, given[id_col].eqNullSafe(drops["__drop_id"]), "left").drop("__drop_id")
+    joined = given.join(drops, given[id_col].eqNullSafe(drops[drop_id]), "left").drop(drop_id)
     schema = StructType([StructField(x.name, StringType() if x.name == text_col else x.dataType) for x in fields] + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     names, out = [x.name for x in fields], to_arrow_schema(schema)
 
@@ -61,15 +62,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         for batch in batches:
             for piece in common.pieces(batch, text_col):
                 kept, n_lines, n_dropped = [], [], []
-                for text, drop in zip(common.encoded(common.column(piece, text_col)), common.column(piece, "__drop").to_pylist(), strict=True):
+                for text, lost in zip(common.encoded(common.column(piece, text_col)), common.column(piece, drop).to_pylist(), strict=True):
                     lines = text.split(b"\n")
                     n_lines.append(len(lines))
-                    if drop:
-                        gone = set(drop)
+                    if lost:
+                        gone = set(lost)
                         lines = [x for x in lines if line_key(x, min_chars) not in gone]
                         text = b"\n".join(lines)
                     n_dropped.append(n_lines[-1] - len(lines))
-                    kept.append(text.decode())
+                    kept.append(text.decode(errors="replace"))
                 columns = [pa.array(kept, pa.string()).cast(out.field(n).type) if n == text_col else common.column(piece, n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema=out)
 

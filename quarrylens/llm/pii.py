@@ -352,7 +352,7 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
     def make():
         def f(piece: pa.RecordBatch):
-            found = find_all([t or "" for t in common.column(piece, "t").to_pylist()], sent.value)
+            found = find_all(common.decoded(common.column(piece, "t")), sent.value)
             return [common.column(piece, "k"), pa.array([[{"kind": k, "start": s, "end": e, "base": b} for s, e, k, b in x] for x in found], pa.list_(span))]
 
         return f

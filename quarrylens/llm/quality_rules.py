@@ -137,7 +137,7 @@ def clean(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str
         if not gone:
             return text
         gone = {bytes(x) for x in gone}
-        return b"\n".join(x for x in text.encode().split(b"\n") if _line_key(x) not in gone).decode()
+        return b"\n".join(x for x in text.encode().split(b"\n") if _line_key(x) not in gone).decode(errors="replace")
 
     held = docs.select(F.col(id_col).alias(gone_id), F.col(host_col).cast("string").alias("h"), F.explode(keys(F.col(text_col))).alias("key")).distinct()
     gone = held.join(frequent, (held["key"] == frequent["fkey"]) & held["h"].eqNullSafe(frequent["fh"])).where(F.col("first_id").isNull() | (F.col("first_id") != F.col(gone_id)))

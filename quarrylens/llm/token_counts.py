@@ -66,6 +66,7 @@ def prove(path: str) -> frozenset[str]:
     """The vocabulary's strings that the model, given each alone as a chunk, encodes as one token. Raises if the
     vocabulary does not let texts be cut into chunks."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -74,6 +75,11 @@ def prove(path: str) -> frozenset[str]:
         raise ValueError(f"pieces that cross chunks: {bad[:5]}")
     if "".join(model.encode(" a  b", out_type=str)) != "▁▁a▁▁b":
         raise ValueError("white space is not kept")
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    if proto.normalizer_spec.precompiled_charsmap:
+        raise ValueError("the model rewrites characters, so chunks are not what is encoded")
+    if any(p.type == proto.SentencePiece.USER_DEFINED for p in proto.pieces):
+        raise ValueError("the model has user-defined pieces, which are taken before any merge")
     c = Counter(path, frozenset())
     return frozenset(t for t, n in zip(texts, c.count_chunks(texts), strict=True) if n == 1)
 
@@ -96,7 +102,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
 
         def f(piece: pa.RecordBatch):
             texts = common.column(piece, "t")
-            n = np.array(c.count_all([t or "" for t in texts.to_pylist()]), np.int64)
+            n = np.array(c.count_all(common.decoded(texts)), np.int64)
             return [common.column(piece, "k"), pc.fill_null(pc.binary_length(texts), 0), n, n > limit]
 
         return f

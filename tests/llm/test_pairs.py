@@ -146,10 +146,20 @@ def test_top_k_keeps_every_finite_vector(spark, monkeypatch):
         exact_topk.top_k(df.where("vec_id = 7"), df.where("vec_id in (1, 7)"), k=6).collect()
 
 
-def test_buckets_by_exploded_rows(spark):
-    large = spark.createDataFrame([(i, 20_000, 20) for i in range(60)], "tile long, n long, chunks long")
+def test_buckets_by_exploded_rows_and_bytes(spark):
+    schema = "tile long, n long, chunks long, bytes long"
+    large = spark.createDataFrame([(i, 20_000, 20, 1) for i in range(60)], schema)
     rows = 60 * 20_000 * 20
     assert rows / jaccard_join._buckets(large) <= jaccard_join.BUCKET_ROWS
     assert jaccard_join._buckets(large.limit(0)) == 1
-    small = spark.createDataFrame([(i, 2, 1) for i in range(9000)], "tile long, n long, chunks long")
+    small = spark.createDataFrame([(i, 2, 1, 20) for i in range(9000)], schema)
     assert jaccard_join._buckets(small) == 5
+    wide = spark.createDataFrame([(i, 1000, 1, 10_000_000) for i in range(40)], schema)
+    assert 40 * 10_000_000 / jaccard_join._buckets(wide) <= jaccard_join.BUCKET_BYTES
+
+
+def test_sets_come_the_same_by_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame(families(7), "doc_id long, text string")
+    want = sorted(map(tuple, jaccard_join.groups(docs, 3, 90).collect()))
+    monkeypatch.setattr(jaccard_join, "TOLD_NODES", 1)
+    assert sorted(map(tuple, jaccard_join.groups(docs, 3, 90).collect())) == want
