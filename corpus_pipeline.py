@@ -58,8 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    scratch = common.Scratch(spark, "pipeline")
+    """All stages. A stage's scratch tables go when its output is written, and its input, too."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir))
+        written = common.Scratch(spark, f"pipeline-{name}")
+        with common.scope():
+            docs = written.put(stage(spark, docs, sf_dir))
+        if before:
+            before.drop(before.root)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
