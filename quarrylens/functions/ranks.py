@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .columns import as_number
 
-#: Ranges that a column's values are cut to.
-RANGES = 32
+#: Ranges that a column's values are cut to at once; each is cut again for every so many bytes that the values are estimated at.
+RANGES, BYTES_OF_A_CUT = 32, 16 << 30
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: dict[str, Column] | None = None) -> DataFrame:
@@ -28,16 +28,39 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_numbers(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def placed(counts: DataFrame, by: str = "column", weights: Sequence[str] = ("n",)) -> DataFrame:
-    """Adds before_<w> for each weight: its sum over smaller values of the group."""
+def _cuts(counts: DataFrame) -> int:
+    """How often values are cut to ranges: once, and once more for inputs whose estimate passes BYTES_OF_A_CUT, and so on."""
+    try:
+        size = int(counts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001
+        return 2
+    n = 1
+    while size > BYTES_OF_A_CUT * RANGES ** (n - 1) and n < 4:
+        n += 1
+    return n
+
+
+def ranged(rows: DataFrame, by: str = "column", value: str = "value") -> DataFrame:
+    """Adds range: a number that rises with a group's values, cut at approximate quantiles; large inputs' ranges are cut again."""
     cuts = [i / RANGES for i in range(1, RANGES)]
-    edges = counts.groupBy(by).agg(F.array_distinct(F.percentile_approx("value", cuts, 1000)).alias("edges"))  # RANGES numbers for each group
-    ranged = counts.join(F.broadcast(edges), by).withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
-    totals = ranged.groupBy(by, "range").agg(*[F.sum(w).alias(f"t_{w}") for w in weights])
+    out = rows.withColumn("range", F.lit(0).cast("long"))
+    for _ in range(_cuts(rows)):
+        edges = out.groupBy(by, "range").agg(F.array_distinct(F.percentile_approx(value, cuts, 1000)).alias("edges"))  # RANGES numbers for each
+        inner = F.size(F.filter("edges", lambda e: e < F.col(value)))
+        out = out.join(F.broadcast(edges), [by, "range"]).withColumn("range", F.col("range") * RANGES + inner).drop("edges")
+    return out
+
+
+def placed(counts: DataFrame, by: str = "column", weights: Sequence[str] = ("n",)) -> DataFrame:
+    """Adds before_<w> for each weight: its sum over smaller values of the group.
+
+    The ranges' sums meet (a row for each range), and values are sorted within their range alone."""
+    ranged_ = ranged(counts, by)
+    totals = ranged_.groupBy(by, "range").agg(*[F.sum(w).alias(f"t_{w}") for w in weights])
     upto = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(by, "range", *[F.coalesce(F.sum(f"t_{w}").over(upto), F.lit(0)).alias(f"o_{w}") for w in weights])
     inside = Window.partitionBy(by, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), [by, "range"])
+    out = ranged_.join(F.broadcast(offsets), [by, "range"])
     return out.select(*counts.columns, *[(F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.col(f"o_{w}")).alias(f"before_{w}") for w in weights])
 
 
@@ -58,8 +81,13 @@ def average_rank() -> Column:
     return F.col("before_n") + (F.col("n") + 1) / 2.0
 
 
-def ranked(df: DataFrame, column: Column, alias: str) -> DataFrame:
-    """Adds the average rank of a column's values as alias; null stays null."""
-    v = df.where(column.isNotNull()).groupBy(column.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit("x"))
-    ranks = placed(v).select(F.col("value").alias(f"__{alias}"), average_rank().alias(alias))
-    return df.join(ranks, column.cast("double") == F.col(f"__{alias}"), "left").drop(f"__{alias}")
+def with_ranks(pairs: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Adds to (column, <values>, n) rows the average rank r_<value> of each value within the column. Pairs are counted before,
+    so a value that many rows hold is a row for each value beside it; where these are very many, the adaptive plan
+    splits them (the ranks' side of the join has one row for each value)."""
+    out = pairs
+    for v in values:
+        counts = pairs.groupBy("column", F.col(v).alias("value")).agg(F.sum("n").alias("n"))
+        ranks = placed(counts).select("column", F.col("value").alias(v), average_rank().alias(f"r_{v}"))
+        out = out.join(ranks, ["column", v])
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -92,16 +92,17 @@ def category_changes(df: DataFrame, group: str, reference: str, current: str, co
     counts = category_shares(df, group, reference, current, columns)
     real = F.col("category") != C.MISSING
     new, old = real & (F.col("n_ref") == 0) & (F.col("n_cur") > 0), real & (F.col("n_cur") == 0) & (F.col("n_ref") > 0)
-    # the lists are cut by rank before they are gathered
-    from pyspark.sql import Window
-
-    first = lambda flag: F.when(flag & (F.row_number().over(Window.partitionBy("column", flag).orderBy("category")) <= most), F.col("category"))
-    marked = counts.select("*", first(new).alias("new"), first(old).alias("old"))
     gone = F.col("category") == C.MISSING
-    out = marked.groupBy("column").agg(
+    out = counts.groupBy("column").agg(
         F.count_if(real & (F.col("n_ref") > 0)).alias("reference_unique"), F.count_if(real & (F.col("n_cur") > 0)).alias("current_unique"), F.count_if(new).alias("new_count"), F.count_if(old).alias("removed_count"),
-        F.array_sort(F.collect_list("new")).alias("new_values"), F.array_sort(F.collect_list("old")).alias("removed_values"),
         (C.share(F.sum(F.when(gone, F.col("n_cur")).otherwise(0)), F.sum("n_cur")) - C.share(F.sum(F.when(gone, F.col("n_ref")).otherwise(0)), F.sum("n_ref"))).alias("missing_delta"),
     )
+    # the lists are cut by rank, in each task and then over all, before they are gathered
+    named = counts.where(new | old).select("column", new.alias("is_new"), "category")
+    named = named.withColumn("nth", F.row_number().over(Window.partitionBy("column", "is_new").orderBy("category"))).where(F.col("nth") <= most)
+    of = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("category"))))
+    named = named.groupBy("column").agg(of(F.col("is_new")).alias("new_values"), of(~F.col("is_new")).alias("removed_values"))
+    none = F.array().cast("array<string>")
+    out = out.join(F.broadcast(named), "column", "left").withColumn("new_values", F.coalesce("new_values", none)).withColumn("removed_values", F.coalesce("removed_values", none))  # a row for each column
     score = F.greatest(F.abs("missing_delta"), F.coalesce(C.share(F.size("new_values"), F.col("current_unique")), F.lit(0.0)))
     return out.withColumn("change_score", score)

@@ -121,36 +121,54 @@ def bin_trend(bins: DataFrame) -> DataFrame:
     return out.select("column", "response_rate_spread", "bottom_bin_rate", "top_bin_rate", (F.col("bins") >= 2).__and__(F.col("up") | F.col("down")).alias("monotonic"), trend.alias("trend"))
 
 
+def _categories(df: DataFrame, columns: Sequence[str], **kept: Column) -> DataFrame:
+    """(column, category, kept ones): a row for each column of a row; a missing value is a category."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.label(C.name(c)).alias("category")) for c in columns])
+    return df.select(*[c.alias(k) for k, c in kept.items()], F.explode(pairs).alias("p")).select("p.*", *kept)
+
+
+def all_category_rates(df: DataFrame, columns: Sequence[str], y: Column, top: int = 20) -> DataFrame:
+    """(column, category, n, mean_response, place): category_rates() of all columns, in one scan."""
+    out = _categories(df.where(y.isNotNull()), columns, y=y.cast("double")).groupBy("column", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_response"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("mean_response"), F.desc("n"), "category"))
+    return out.withColumn("place", place).where(F.col("place") <= top)
+
+
 def category_rates(df: DataFrame, column: str, y: Column, top: int = 20) -> DataFrame:
     """Count and mean response of each category, highest mean first, then largest, then by name; the first of them."""
-    out = df.where(y.isNotNull()).groupBy(C.label(C.name(column)).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_response"))
-    return out.orderBy(F.desc("mean_response"), F.desc("n"), "category").limit(top)
+    return all_category_rates(df, [column], y, top).select("category", "n", "mean_response", "place").orderBy("place").drop("place")
 
 
-def contingency(df: DataFrame, column: str, response: str) -> DataFrame:
-    """Counts of each category and class, missing categories included, missing responses not."""
-    return df.where(C.name(response).isNotNull()).groupBy(C.label(C.name(column)).alias("category"), C.name(response).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+def contingency(df: DataFrame, columns: Sequence[str], response: str) -> DataFrame:
+    """Counts of each column's categories and classes in one scan, missing categories included, missing responses not."""
+    rows = _categories(df.where(C.name(response).isNotNull()), columns, **{"class": C.name(response).cast("string")})
+    return rows.groupBy("column", "category", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def chi_square(df: DataFrame, column: str, response: str) -> DataFrame:
-    """Chi-squared of independence (with Yates' correction for two by two), its degrees of freedom, and Cramer's V of it.
+def chi_squares(df: DataFrame, columns: Sequence[str], response: str) -> DataFrame:
+    """Of each column: chi-squared of independence (with Yates' correction for two by two), its degrees of freedom, and Cramer's V
+    of it. All columns are counted in one scan; a column without rows gives no row.
 
     The sum over all cells of (n - e)**2 / e is the sum of n**2 / e less the total, so cells without rows need no row."""
-    cells = contingency(df, column, response)
-    rows = cells.groupBy("category").agg(F.sum("n").alias("row"))
-    cols = cells.groupBy("class").agg(F.sum("n").alias("col"))
+    cells = contingency(df, columns, response)
+    rows = cells.groupBy("column", "category").agg(F.sum("n").alias("row"))
+    cols = cells.groupBy("column", "class").agg(F.sum("n").alias("col"))
     n = F.col("n").cast("double")
-    r = rows.agg(F.count(F.lit(1)).alias("r"), F.sum(1.0 / F.col("row")).alias("over_rows"))
-    c = cols.agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / F.col("col")).alias("over_cols"))
-    out = cells.join(rows, "category").join(cols, "class").agg(F.sum("n").alias("n"), F.sum(n * n / F.col("row") / F.col("col")).alias("s"))
-    out = out.select("n", (F.col("s") * F.col("n")).alias("s"), r.select("r").scalar().alias("r"), c.select("c").scalar().alias("c"), (F.col("n") * r.select("over_rows").scalar() * c.select("over_cols").scalar()).alias("over_e"))
+    r = rows.groupBy("column").agg(F.count(F.lit(1)).alias("r"), F.sum(1.0 / F.col("row")).alias("over_rows"))
+    c = cols.groupBy("column").agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / F.col("col")).alias("over_cols"))
+    out = cells.join(rows, ["column", "category"]).join(cols, ["column", "class"]).groupBy("column").agg(F.sum("n").alias("n"), F.sum(n * n / F.col("row") / F.col("col")).alias("s"))
+    out = out.join(F.broadcast(r), "column").join(F.broadcast(c), "column").select("column", "n", (F.col("s") * F.col("n")).alias("s"), "r", "c", (F.col("n") * F.col("over_rows") * F.col("over_cols")).alias("over_e"))  # a row for each column
     plain = F.greatest(F.lit(0.0), F.col("s") - F.col("n"))
     # two by two: every cell is as far from its expected number, so the distance follows from the sum
     gap = F.sqrt(F.try_divide(plain, F.col("over_e")))
     off = gap - F.least(F.lit(0.5), gap)
     chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), off * off * F.col("over_e")).otherwise(plain)
     least = F.least("r", "c") - 1
-    return out.withColumn("chi2", chi2).select(F.lit(column).alias("column"), "n", F.when(least > 0, F.col("chi2")).alias("chi_square"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("degrees"), F.when(least > 0, F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * least))).alias("cramers_v"))
+    return out.withColumn("chi2", chi2).select("column", "n", F.when(least > 0, F.col("chi2")).alias("chi_square"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("degrees"), F.when(least > 0, F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * least))).alias("cramers_v"))
+
+
+def chi_square(df: DataFrame, column: str, response: str) -> DataFrame:
+    return chi_squares(df, [column], response)
 
 
 def regression_target(df: DataFrame, response: str) -> DataFrame:
@@ -168,12 +186,18 @@ def regression_correlations(df: DataFrame, y: Column, columns: Sequence[str]) ->
     """Pearson and Spearman of each column with a numeric response; needs 3 pairs and 2 values."""
     data = df.select(y.alias("__y"), *[C.as_number(df, c).alias(c) for c in columns])
     pearson = C.rows_of(data, [F.struct(F.lit(c).alias("column"), F.count(F.when(C.name(c).isNotNull() & F.col("__y").isNotNull(), 1)).alias("n"), C.correlation(C.name(c), F.col("__y")).alias("pearson")) for c in columns])
-    out = None
-    for c in columns:
-        pair = data.select(C.name(c).alias("x"), "__y").dropna()
-        r = ranks.ranked(ranks.ranked(pair, F.col("x"), "rx"), F.col("__y"), "ry").agg(C.correlation(F.col("rx"), F.col("ry")).alias("spearman")).select(F.lit(c).alias("column"), "spearman")
-        out = r if out is None else out.unionByName(r)
-    both = pearson.join(F.broadcast(out), "column")
+    # Spearman of all columns at once, over counts of different pairs of values
+    values = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).alias("x")) for c in columns])
+    rows = data.where(F.col("__y").isNotNull()).select(F.explode(values).alias("v"), F.col("__y").cast("double").alias("y")).select("v.column", "v.x", "y").where(F.col("x").isNotNull())
+    pairs = rows.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    at = ranks.with_ranks(pairs, ["x", "y"])
+    rx, ry, w = F.col("r_x"), F.col("r_y"), lambda e: F.sum(F.col("n") * e)
+    sums = at.groupBy("column").agg(F.sum("n").alias("m"), w(rx).alias("sx"), w(ry).alias("sy"), w(rx * rx).alias("sxx"), w(ry * ry).alias("syy"), w(rx * ry).alias("sxy"))
+    d = lambda c: F.col(c).cast("double")
+    part = lambda a, b, ab: d(ab) - d(a) * d(b) / d("m")
+    spread = F.sqrt(part("sx", "sx", "sxx") * part("sy", "sy", "syy"))
+    out = sums.select("column", F.when(spread > 0, part("sx", "sy", "sxy") / spread).alias("spearman"))
+    both = pearson.join(F.broadcast(out), "column", "left")
     fit = F.col("n") >= 3
     s = F.when(fit, F.col("spearman"))
     return both.select("column", "n", F.when(fit, F.col("pearson")).alias("pearson"), s.alias("spearman"), F.when(s.isNull() | (F.abs(s) < 1e-12), "none").when(s > 0, "positive").otherwise("negative").alias("direction"))

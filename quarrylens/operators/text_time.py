@@ -39,20 +39,18 @@ def _seconds(df: DataFrame, column: str) -> DataFrame:
     return df.where(C.name(column).isNotNull()).groupBy(micros.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranged(rows: DataFrame, column: str, buckets: int) -> DataFrame:
-    """Adds range: which of the buckets, cut at approximate quantiles, a number is in."""
-    edges = rows.agg(F.lit(1).alias("__k"), F.array_distinct(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000)).alias("__e"))  # one row
-    out = rows.withColumn("__k", F.lit(1)).join(F.broadcast(edges), "__k")
-    return out.withColumn("range", F.size(F.filter("__e", lambda e: e < F.col(column)))).drop("__k", "__e")
+def _ranged(rows: DataFrame, column: str) -> DataFrame:
+    """Adds range: which part, cut at approximate quantiles, a number is in."""
+    return ranks.ranged(rows.withColumn("__k", F.lit(1)), "__k", column).drop("__k")
 
 
-def time_gaps(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+def time_gaps(df: DataFrame, column: str) -> DataFrame:
     """Median and largest seconds between neighbouring stamps in time order.
 
     Stamps are cut to ranges at approximate quantiles; gaps are taken within ranges, and between ranges from their ends, so
     that no task sorts all stamps."""
     stamps = _seconds(df, column)
-    ranged = _ranged(stamps, "value", buckets)
+    ranged = _ranged(stamps, "value")
     inside = ranged.select("n", (F.col("value") - F.lag("value").over(Window.partitionBy("range").orderBy("value"))).alias("gap"))
     ends = ranged.groupBy("range").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     between = ends.select((F.col("lo") - F.lag("hi").over(Window.orderBy("range"))).alias("gap"))  # a row for each range
@@ -68,10 +66,10 @@ def frequency(seconds: Column) -> Column:
     return F.when(seconds.isNull() | (seconds <= 0), None).when(seconds <= 60, "sub_hourly").when(seconds <= 3600, "hourly").when(seconds <= 86400, "daily").when(seconds <= 604800, "weekly").otherwise("irregular_or_monthly_plus")
 
 
-def rises_in_order(df: DataFrame, column: str, order: Column, buckets: int = 64) -> DataFrame:
+def rises_in_order(df: DataFrame, column: str, order: Column) -> DataFrame:
     """Whether a column never falls in the order of an ordinal. Compared within ranges of the ordinal, and between ranges."""
     rows = df.select(order.cast("long").alias("o"), C.name(column).alias("v")).where(F.col("v").isNotNull())
-    ranged = _ranged(rows, "o", buckets)
+    ranged = _ranged(rows, "o")
     within = ranged.withColumn("last", F.lag("v").over(Window.partitionBy("range").orderBy("o")))
     parts = within.groupBy("range").agg(F.bool_and(F.coalesce(F.col("v") >= F.col("last"), F.lit(True))).alias("ok"), F.min_by("v", "o").alias("head"), F.max_by("v", "o").alias("tail"))
     joined = parts.select("ok", F.coalesce(F.col("head") >= F.lag("tail").over(Window.orderBy("range")), F.lit(True)).alias("joins"))

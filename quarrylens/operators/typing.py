@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -47,31 +47,42 @@ def parse_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return C.rows_of(df, out)
 
 
-def _first(df: DataFrame, column: str, order: Column, n: int) -> DataFrame:
-    return df.where(C.name(column).isNotNull()).select(C.name(column).cast("string").alias("v"), order.alias("o")).orderBy("o").limit(n).select("v")
+def _firsts(df: DataFrame, columns: Sequence[str], order: Column, n: int | None) -> DataFrame:
+    """(column, v, nth) of each column's first n texts in an order, or of all: one scan for all columns. A task sends n of each on
+    at most."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).cast("string").alias("v")) for c in columns])
+    rows = df.select(order.alias("o"), F.explode(pairs).alias("p")).select("o", "p.*").where(F.col("v").isNotNull())
+    if n is None:
+        return rows.drop("o")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("o"))).where(F.col("nth") <= n).drop("o")
 
 
-def text_like(df: DataFrame, columns: Sequence[str], order: Column) -> DataFrame:
-    """Mean length and words of each column's first texts in an order, and whether they read as prose."""
-    out = None
-    for c in columns:
-        r = _first(df, c, order, TEXT_SAMPLE).agg(F.avg(F.length("v")).alias("mean_length"), F.avg(C.words(F.col("v"))).alias("mean_words"))
-        r = r.select(F.lit(c).alias("column"), "mean_length", "mean_words", F.coalesce((F.col("mean_length") >= MIN_TEXT_LENGTH) | (F.col("mean_words") >= MIN_TEXT_WORDS), F.lit(False)).alias("text_like"))
-        out = r if out is None else out.unionByName(r)
-    return out
+def _prose() -> list[Column]:
+    length, words = F.avg(F.length("v")), F.avg(C.words(F.col("v")))
+    return [length.alias("mean_length"), words.alias("mean_words"), F.coalesce((length >= MIN_TEXT_LENGTH) | (words >= MIN_TEXT_WORDS), F.lit(False)).alias("text_like")]
+
+
+def _dates(among: Column) -> Column:
+    v = F.when(among, F.col("v"))
+    rate = lambda ok: F.avg(F.when(among, ok.cast("double")))
+    parsed = F.greatest(*[rate(C.parsed_time(v, f).isNotNull()) for f in C.DATE_FORMATS])
+    return F.coalesce((rate(v.rlike(r"\d")) >= DATE_RATE) & (rate(v.rlike("[-/:T ]")) >= 0.5) & (parsed >= DATE_RATE) & (F.count_distinct(v) > 2), F.lit(False)).alias("date_like")
+
+
+def _all_of(df: DataFrame, columns: Sequence[str], found: DataFrame) -> DataFrame:
+    """A row for each column, those without any text too."""
+    out = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(F.broadcast(found), "column", "left")
+    return out.select("column", *[F.coalesce(c, F.lit(False)).alias(c) if c.endswith("_like") else c for c in found.columns if c != "column"])
+
+
+def text_like(df: DataFrame, columns: Sequence[str], order: Column, first: int | None = TEXT_SAMPLE) -> DataFrame:
+    """Mean length and words of each column's first texts in an order, or of all, and whether they read as prose."""
+    return _all_of(df, columns, _firsts(df, columns, order, first).groupBy("column").agg(*_prose()))
 
 
 def date_like(df: DataFrame, columns: Sequence[str], order: Column) -> DataFrame:
     """Whether each column's first texts have digits (85 %), signs of a date (half of them) and parse (85 %), three values or more."""
-    out = None
-    for c in columns:
-        v = F.col("v")
-        parse = F.greatest(*[F.avg(C.parsed_time(v, f).isNotNull().cast("double")) for f in C.DATE_FORMATS])
-        r = _first(df, c, order, DATE_SAMPLE).agg(F.avg(v.rlike(r"\d").cast("double")).alias("digits"), F.avg(v.rlike("[-/:T ]").cast("double")).alias("hints"), parse.alias("parsed"), F.count_distinct(v).alias("values"))
-        yes = (F.col("digits") >= DATE_RATE) & (F.col("hints") >= 0.5) & (F.col("parsed") >= DATE_RATE) & (F.col("values") > 2)
-        r = r.select(F.lit(c).alias("column"), F.coalesce(yes, F.lit(False)).alias("date_like"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    return _all_of(df, columns, _firsts(df, columns, order, DATE_SAMPLE).groupBy("column").agg(_dates(F.lit(True))))
 
 
 def id_hint(column: str) -> bool:
@@ -100,7 +111,11 @@ def semantic_types(df: DataFrame, near_constant: float = 0.98, high_cardinality:
     is_in = lambda names: F.col("column").isin(*names) if names else F.lit(False)
     number, text, stamp = is_in(C.numeric_columns(df)), is_in(texts), is_in([*C.time_columns(df), *dates])
     if texts:
-        facts = facts.join(F.broadcast(date_like(df, texts, order)), "column", "left").join(F.broadcast(text_like(df, texts, order).select("column", "text_like")), "column", "left")
+        read = _firsts(df, texts, order, max(TEXT_SAMPLE, DATE_SAMPLE)).groupBy("column")
+        some = F.col("nth") <= TEXT_SAMPLE
+        length, words = F.avg(F.when(some, F.length("v"))), F.avg(F.when(some, C.words(F.col("v"))))
+        read = read.agg(_dates(F.col("nth") <= DATE_SAMPLE), ((length >= MIN_TEXT_LENGTH) | (words >= MIN_TEXT_WORDS)).alias("text_like"))
+        facts = facts.join(F.broadcast(read), "column", "left")  # a row for each column
     else:
         facts = facts.withColumn("date_like", F.lit(False)).withColumn("text_like", F.lit(False))
     u = F.col("unique_count")

@@ -27,25 +27,34 @@ def percentiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[f
     return ranks.quantiles(ranks.value_counts(df, columns), probabilities)
 
 
-def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values strictly outside of 1.5 quartile ranges and of the 1st to 99th percentile; counted over value counts."""
+def _spread(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """A row for each column: its percentiles (p01, ...), different values, and values strictly outside of 1.5 quartile ranges and
+    of the 1st to 99th percentile. Values are counted and placed once."""
     counts = ranks.value_counts(df, columns)
-    at = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
-    edges = ranks.quantiles(counts, (0.01, 0.25, 0.75, 0.99)).groupBy("column").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), at(0.01).alias("p01"), at(0.99).alias("p99"))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col("value")
-    return counts.join(F.broadcast(edges), "column").groupBy("column").agg(
-        F.sum(F.when((v < F.col("q1") - reach) | (v > F.col("q3") + reach), F.col("n")).otherwise(0)).alias("iqr_outlier_count"),
+    found = ranks.quantiles(counts, sorted({*probabilities, 0.01, 0.25, 0.75, 0.99}))
+    wide = found.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(_named(p)) for p in sorted({*probabilities, 0.01, 0.25, 0.75, 0.99})])
+    reach, v = 1.5 * (F.col("p75") - F.col("p25")), F.col("value")
+    return counts.join(F.broadcast(wide), "column").groupBy("column").agg(  # wide: a row for each column
+        *[F.first(_named(p)).alias(_named(p)) for p in probabilities],
+        F.sum(F.when((v < F.col("p25") - reach) | (v > F.col("p75") + reach), F.col("n")).otherwise(0)).alias("iqr_outlier_count"),
         F.sum(F.when((v < F.col("p01")) | (v > F.col("p99")), F.col("n")).otherwise(0)).alias("p01_p99_outlier_count"),
         F.count(F.lit(1)).alias("unique_count"),
     )
 
 
+def _named(p: float) -> str:
+    return f"p{round(p * 100):02d}"
+
+
+def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values strictly outside of 1.5 quartile ranges and of the 1st to 99th percentile; counted over value counts."""
+    return _spread(df, columns, ())
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Everything above on one row per column."""
+    """Everything above on one row per column: one scan for the moments, one for the value counts."""
     columns = columns or C.numeric_columns(df)
-    wide = percentiles(df, columns).groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{round(p * 100):02d}") for p in PERCENTILES])
-    out = moments(df, columns).join(F.broadcast(wide), "column", "left").join(F.broadcast(outliers(df, columns)), "column", "left")
+    out = moments(df, columns).join(F.broadcast(_spread(df, columns, PERCENTILES)), "column", "left")
     return out.withColumn("median", F.col("p50"))
 
 

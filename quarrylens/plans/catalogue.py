@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import special
 from ..operators import bivariate, drift, missingness, ranking, response, text_time, typing, univariate
 from . import rules
-from .views import V1_SQL, V2_SQL, V3_SQL, V5_SQL, table, view
+from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -514,3 +515,106 @@ def drift_status(spark, sf):
 @query("SELECT coalesce(o_orderstatus, '<MISSING>') AS \"group\", count(*) AS n FROM orders GROUP BY o_orderstatus")
 def group_counts(spark, sf):
     return drift.group_counts(table(spark, sf, "orders"), "o_orderstatus")
+
+
+# whole tables and rules, where the queries above show one case
+
+
+_ALL = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(f"""WITH g AS (SELECT count(*) AS n FROM ({V7_SQL}) GROUP BY {_ALL})
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, round(sum(n - 1) / CAST(sum(n) AS DOUBLE), 6) AS duplicate_percentage FROM g""")
+def duplicate_whole_rows(spark, sf):
+    return missingness.duplicate_rows(view(spark, sf, V7_SQL))
+
+
+@query(r"""WITH n AS (SELECT column_name AS c, trim(regexp_replace(lower(column_name), '[^a-z0-9]+', '_', 'g'), '_') AS k FROM (DESCRIBE SELECT c_custkey AS "Cust Key", c_name AS "cust-key", c_nationkey AS " CUST_KEY ", c_acctbal, c_mktsegment FROM customer))
+SELECT k AS normalized_name, count(*) AS n FROM n GROUP BY k HAVING count(*) > 1""")
+def name_collisions_of_a_table(spark, sf):
+    given = table(spark, sf, "customer").select(F.col("c_custkey").alias("Cust Key"), F.col("c_name").alias("cust-key"), F.col("c_nationkey").alias(" CUST_KEY "), "c_acctbal", "c_mktsegment")
+    return spark.createDataFrame([(k, len(v)) for k, v in rules.name_collisions(given.columns).items()], "normalized_name string, n long")
+
+
+@query(r"""SELECT 'text' AS "column", round(avg(length(text)), 6) AS mean_length, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))), 6) AS mean_words,
+  avg(length(text)) >= 40 OR avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) >= 6 AS text_like FROM documents""")
+def text_like_all(spark, sf):
+    return typing.text_like(table(spark, sf, "documents"), ["text"], F.col("doc_id"), first=None)
+
+
+_DAY = "regexp_matches({c}, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"
+
+
+@query(f"WITH v AS ({V4_SQL})\n" + _each("SELECT '{c}' AS \"column\", CASE WHEN avg(CAST(regexp_matches({c}, '[0-9]') AS INTEGER)) < 0.85 THEN 0e0 ELSE round(avg(CAST(" + _DAY + " AS INTEGER)), 6) END AS datetime_parse_rate FROM v", ["day_text", "vague_text"]))
+def datetime_parse_rates(spark, sf):
+    return typing.parse_rates(view(spark, sf, V4_SQL), ["day_text", "vague_text"]).select("column", "datetime_parse_rate")
+
+
+_TYPE_OF_TEXT = """SELECT '{c}' AS "column", CASE WHEN (SELECT avg(CAST(""" + _DAY + """ AS INTEGER)) >= 0.85 FROM (SELECT {c} FROM {t} ORDER BY {o} LIMIT 200)) THEN 'datetime'
+  WHEN (SELECT avg(length({c})) >= 40 FROM (SELECT {c} FROM {t} WHERE {c} IS NOT NULL ORDER BY {o} LIMIT 500)) THEN 'text' WHEN (SELECT count(DISTINCT {c}) FROM {t}) > 50 THEN 'categorical_high_cardinality' ELSE 'categorical_low_cardinality' END AS semantic_type"""
+
+
+@query(f"WITH v AS ({V4_SQL})\n" + _each(_TYPE_OF_TEXT.replace("{t}", "v").replace("{o}", "o_orderkey"), ["day_text", "vague_text", "o_orderpriority"]) + "\nUNION ALL\n" + _each(_TYPE_OF_TEXT.replace("{t}", "documents").replace("{o}", "doc_id"), ["text", "lang", "source"]))
+def types_of_texts(spark, sf):
+    a = typing.semantic_types(view(spark, sf, V4_SQL).select("o_orderkey", "day_text", "vague_text", "o_orderpriority"), order=F.col("o_orderkey")).where(F.col("column") != "o_orderkey")
+    b = typing.semantic_types(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), order=F.col("doc_id")).where(F.col("column") != "doc_id")
+    return a.unionByName(b).select("column", "semantic_type")
+
+
+_FACTS = """SELECT '{c}' AS "column", count({c}) AS nn, count(*) - count({c}) AS gone, count(*) AS n, count(DISTINCT {c}) AS u, (SELECT max(k) FROM (SELECT count(*) AS k FROM v WHERE {c} IS NOT NULL GROUP BY {c})) AS top,
+  count(*) FILTER (WHERE {c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) = '') AS blanks FROM v"""
+_FAULTY = ["c_custkey", "c_name", "empty", "one", "nearly", "half", "c_mktsegment"]
+
+
+@query(f"WITH v AS ({V6_SQL}), f AS (" + _each(_FACTS, _FAULTY) + """)
+SELECT "column", 'all_missing' AS issue_type, 'high' AS severity, 0e0 AS metric_value FROM f WHERE nn = 0
+UNION ALL SELECT "column", 'high_missingness', 'medium', round(gone / CAST(n AS DOUBLE), 6) FROM f WHERE nn > 0 AND gone / CAST(n AS DOUBLE) >= 0.4
+UNION ALL SELECT "column", 'constant_column', 'medium', 1e0 FROM f WHERE u = 1
+UNION ALL SELECT "column", 'near_constant_column', 'low', round(top / CAST(nn AS DOUBLE), 6) FROM f WHERE u > 1 AND top / CAST(nn AS DOUBLE) >= 0.98
+UNION ALL SELECT "column", 'high_cardinality', 'medium', CAST(u AS DOUBLE) FROM f WHERE "column" = 'c_name' AND u > 50
+UNION ALL SELECT "column", 'id_like_candidate', 'low', round(u / CAST(nn AS DOUBLE), 6) FROM f WHERE nn > 0 AND u / CAST(nn AS DOUBLE) >= 0.95 AND n >= 20
+UNION ALL SELECT "column", 'blank_strings', 'low', CAST(blanks AS DOUBLE) FROM f WHERE blanks > 0""")
+def dq_warnings_of_every_kind(spark, sf):
+    return ranking.quality_flags(view(spark, sf, V6_SQL))
+
+
+#: The upper tail of the normal distribution by Simpson's rule over twelve deviations.
+_TAIL = "list_sum(list_transform(range(0, 6001), lambda i: (CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power({z} + i * 0.002, 2) / 2))) * 0.002 / 3 / sqrt(2 * pi())"
+_LENGTHS = "SELECT d.n_chars, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+
+
+@query(f"""WITH r AS (SELECT n_chars AS x, CAST(toxic AS DOUBLE) AS y, avg(k) OVER (PARTITION BY n_chars) AS k, count(*) OVER (PARTITION BY n_chars) AS t FROM (SELECT *, CAST(row_number() OVER (ORDER BY n_chars) AS DOUBLE) AS k FROM ({_LENGTHS}))),
+s AS (SELECT sum(y) AS a, count(*) - sum(y) AS b, CAST(count(*) AS DOUBLE) AS n, sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2 AS u, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r),
+z AS (SELECT (greatest(u, a * b - u) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM s),
+c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL), e AS (SELECT n, sum(n) OVER (PARTITION BY quality) * sum(n) OVER (PARTITION BY toxic) / CAST(sum(n) OVER () AS DOUBLE) AS e FROM c),
+x AS (SELECT sqrt(sum(power(abs(n - e) - least(0.5, abs(n - e)), 2) / e)) AS z FROM e)
+SELECT 'mann_whitney' AS test, round(least(1, 2 * {_TAIL.replace("{z}", "z")}), 6) AS p_value FROM z
+UNION ALL SELECT 'chi_square', round(least(1, 2 * {_TAIL.replace("{z}", "z")}), 6) FROM x""")
+def p_values(spark, sf):
+    """Of the lengths of toxic and other texts, and of quality against toxicity."""
+    r = response.numeric_relationships(view(spark, sf, _LENGTHS), F.col("toxic"), ["n_chars"]).first()
+    c = response.chi_square(table(spark, sf, "labels"), "quality", "toxic").first()
+    found = [("mann_whitney", special.mann_whitney_p(r["mann_whitney_u"], r["positives"], r["negatives"], r["tie_sum"])), ("chi_square", special.chi_square_p(c["chi_square"], c["degrees"]))]
+    return spark.createDataFrame(found, "test string, p_value double")
+
+
+@query("SELECT coalesce(lang, '<MISSING>') AS class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM documents) AS DOUBLE), 6) AS percentage FROM documents GROUP BY lang")
+def multiclass_table(spark, sf):
+    return response.class_table(table(spark, sf, "documents"), "lang").drop("encoded_value")
+
+
+@query("SELECT max(l_linestatus) AS positive, min(l_linestatus) AS negative, round(avg(CASE WHEN l_linestatus = (SELECT max(l_linestatus) FROM lineitem) THEN 1e0 ELSE 0e0 END), 6) AS response_rate FROM lineitem")
+def text_response(spark, sf):
+    """A response of two texts, none of them a known label: the last by name is the positive class."""
+    rows = table(spark, sf, "lineitem")
+    classes = response.classes_of(rows, "l_linestatus")
+    positive = response.positive_class(classes)
+    negative = next(c for c in classes if c != positive)
+    return response.imbalance(rows, response.encoded(F.col("l_linestatus"), positive, negative)).select(F.lit(positive).alias("positive"), F.lit(negative).alias("negative"), "response_rate")
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + _each("""SELECT '{c}' AS "column", 'population_stability_index' AS metric, round(psi, 6) AS value, CASE WHEN abs(psi) >= 0.5 THEN 'fail' WHEN abs(psi) >= 0.2 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT sum((a - e) * ln(a / e)) AS psi FROM (
+  SELECT count(*) FILTER (WHERE split = 'train') / CAST((SELECT count(*) FROM v WHERE split = 'train') AS DOUBLE) + 1e-6 AS e, count(*) FILTER (WHERE split = 'test') / CAST((SELECT count(*) FROM v WHERE split = 'test') AS DOUBLE) + 1e-6 AS a FROM v GROUP BY {c}))""", ["l_returnflag", "l_linestatus"]) + """
+UNION ALL SELECT 'l_tax', 'standardized_mean_difference', round(d, 6), CASE WHEN abs(d) >= 0.5 THEN 'fail' WHEN abs(d) >= 0.2 THEN 'warn' ELSE 'pass' END FROM (SELECT (avg(l_tax) FILTER (WHERE split = 'train') - avg(l_tax) FILTER (WHERE split = 'test')) / sqrt((var_samp(l_tax) FILTER (WHERE split = 'train') + var_samp(l_tax) FILTER (WHERE split = 'test')) / 2) AS d FROM v)""")
+def drift_of_numbers_and_categories(spark, sf):
+    return drift.drift(view(spark, sf, V1_SQL), "split", "train", "test", ["l_tax"], ["l_returnflag", "l_linestatus"])

@@ -27,12 +27,24 @@ FROM customer"""
 
 V3_SQL = "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_quantity AS qty_copy, l_extendedprice * 2 AS price2 FROM lineitem"
 
+#: Orders with dates kept as text, some of them words.
+V4_SQL = """SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END AS day_text,
+  CASE WHEN o_custkey % 10 < 3 THEN 'never' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END AS vague_text, o_orderpriority FROM orders"""
+
 V5_SQL = "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
+#: Customer with columns that have next to nothing in them.
+V6_SQL = """SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) AS empty, 1 AS one, CASE WHEN c_custkey % 97 = 0 THEN 'x' ELSE 'y' END AS nearly,
+  CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_acctbal END AS half, CASE c_custkey % 10 WHEN 0 THEN ' ' ELSE c_mktsegment END AS c_mktsegment FROM customer"""
+
+#: Lineitem, and a part of it again.
+V7_SQL = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 9 = 0"
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a view's SQL over the tables that it names."""
-    names = [n for n in ("lineitem", "customer", "documents", "labels") if n in sql]
+    names = [n for n in ("lineitem", "customer", "orders", "documents", "labels") if f" {n}" in sql]
     given = {n: table(spark, sf_dir, n) for n in names}
     for n in names:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")

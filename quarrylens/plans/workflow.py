@@ -128,6 +128,8 @@ def missing_summary(df: DataFrame, config: ProfileConfig, gone: dict[str, dict],
     return out
 
 
+#: Inputs of up to so many bytes, by the plan's estimate, are cached.
+CACHED_BYTES = 2 << 30
 _NUMERIC = ("numeric_continuous", "numeric_discrete", "binary")
 
 
@@ -160,6 +162,14 @@ def problem_type(df: DataFrame, config: ProfileConfig, types: dict) -> str:
     return "regression" if number and p["unique_count"] > 10 else "multiclass_classification"
 
 
+def _rates(df: DataFrame, config: ProfileConfig, y: F.Column, columns: list[str]) -> tuple[dict[str, list], dict[str, dict]]:
+    """Of all columns in two scans: the categories' mean responses, and what is rare."""
+    rates: dict[str, list] = {c: [] for c in columns}
+    for r in records(response.all_category_rates(df, columns, y, config.max_categories).orderBy("column", "place")) if columns else []:
+        rates[r["column"]].append({k: r[k] for k in ("category", "n", "mean_response")})
+    return rates, _by_column(univariate.rare_categories(df, columns, config.rare_category_threshold)) if columns else {}
+
+
 def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Column | None, positive: str | None, classes: list[str]) -> dict:
     name = config.response_column
     table = records(response.class_table(df, name, positive).orderBy("class"))
@@ -201,17 +211,15 @@ def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Colum
                 "mann_whitney_p_value": special.mann_whitney_p(r.get("mann_whitney_u"), r.get("positives", 0), r.get("negatives", 0), r.get("tie_sum", 0.0)) if measured else None,
                 "notes": [] if measured else ["Too few pairs, values or classes."],
             })
-    for c in features:
-        if c in numbers:
-            continue
-        rates = records(response.category_rates(df, c, y, config.max_categories))
-        chi = records(response.chi_square(df.where(y.isNotNull()), c, name))
-        chi = chi[0] if chi else {}
+    rates_of, rest = _rates(df, config, y, [c for c in features if c not in numbers])
+    chis = _by_column(response.chi_squares(df.where(y.isNotNull()), list(rest), name)) if rest else {}
+    for c in rest:
+        rates, chi = rates_of[c], chis.get(c, {})
         means = [r["mean_response"] for r in rates]
         found.append({
             "column": c, "relationship_type": "categorical", "n": chi.get("n") or 0, "unique_count": next(p["unique_count"] for p in types["columns"] if p["name"] == c), "response_rate_spread": max(means) - min(means) if means else None,
             "chi_square": chi.get("chi_square"), "chi_square_p_value": special.chi_square_p(chi.get("chi_square"), chi.get("degrees") or 0), "cramers_v": chi.get("cramers_v"), "category_rates": rates, "top_risky": rates[:5],
-            "rare_categories": records(univariate.rare_categories(df, [c], config.rare_category_threshold))[0],
+            "rare_categories": rest[c],
         })
     order = {c: i for i, c in enumerate(df.columns)}
     out["feature_relationships"] = sorted(found, key=lambda r: order[r["column"]])
@@ -247,12 +255,11 @@ def regression_summary(df: DataFrame, config: ProfileConfig, types: dict) -> dic
     found = {}
     for c, r in (_by_column(response.regression_correlations(df, y, numbers)) if numbers else {}).items():
         found[c] = {"column": c, "relationship_type": "numeric", "n": r["n"], "correlation": r["pearson"], "pearson": r["pearson"], "spearman": r["spearman"], "signal_direction": r["direction"]}
-    for c in features:
-        if c in found:
-            continue
-        means = records(response.category_rates(df, c, y, config.max_categories))
+    rates_of, rest = _rates(df, config, y, [c for c in features if c not in found])
+    for c in rest:
+        means = rates_of[c]
         values = [r["mean_response"] for r in means]
-        found[c] = {"column": c, "relationship_type": "categorical", "n": sum(r["n"] for r in means), "unique_count": next(p["unique_count"] for p in types["columns"] if p["name"] == c), "target_mean_spread": max(values) - min(values) if len(values) > 1 else None, "category_means": means, "top_by_target_mean": means[:5], "rare_categories": records(univariate.rare_categories(df, [c], config.rare_category_threshold))[0]}
+        found[c] = {"column": c, "relationship_type": "categorical", "n": sum(r["n"] for r in means), "unique_count": next(p["unique_count"] for p in types["columns"] if p["name"] == c), "target_mean_spread": max(values) - min(values) if len(values) > 1 else None, "category_means": means, "top_by_target_mean": means[:5], "rare_categories": rest[c]}
     out["feature_relationships"] = [found[c] for c in features]
     return out
 
@@ -345,11 +352,14 @@ def caveats(config: ProfileConfig, resp: dict) -> list[str]:
 
 
 def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = False, base_dir: str | Path = "artifacts/runs") -> Result:
-    """Profiles a table. The input is cached while the passes run."""
+    """Profiles a table. An input that is estimated at CACHED_BYTES or less is cached while the passes run; a larger one is read
+    again by each pass, of which there is a fixed number for a set of columns, and each reads the columns it needs."""
     config = config or ProfileConfig()
     check(df, config)
     ordered = C.normalised(tables.with_order(df, ORDER))
-    clean = C.normalised(df).persist()
+    clean = C.normalised(df)
+    small = (tables.scan_bytes(df) or CACHED_BYTES + 1) <= CACHED_BYTES
+    clean = clean.persist() if small else clean
     try:
         gone = _by_column(missingness.column_missingness(clean))
         types = type_summary(clean, ordered, config, gone)
@@ -374,7 +384,8 @@ def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = Fa
         profile = profile_summary(clean, ordered, config, types, rules.alerts(missing, pairs, quality, leakage))
         gate = rules.quality_gate(config, shape, resp, missing, pairs, quality, leakage, shift, risks)
     finally:
-        clean.unpersist()
+        if small:
+            clean.unpersist()
     packet = jsonable({
         "metadata": TOOL | {"created_at_utc": dt.datetime.now(dt.timezone.utc).isoformat()}, "config": config.to_dict(), "dataset_overview": shape, "profile_summary": profile, "response_summary": resp, "column_type_summary": types,
         "missingness_summary": missing, "univariate_summary": one, "bivariate_summary": pairs, "feature_ranking": ranking, "data_quality_warnings": quality, "leakage_warnings": leakage, "drift_summary": shift, "modeling_risk_summary": risks,
