@@ -196,6 +196,34 @@ def _pairs(blocks: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, "shard int, firsts binary, runs binary, keys binary, counts binary, hot binary")
 
 
+def _distinct_pairs(flat: np.ndarray, h: np.ndarray, frequent: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct bigrams: their numbers, places of the first and second word, key in a segment, and shard."""
+    before = np.concatenate([np.zeros(1, np.int64), flat[:-1]])
+    ids = np.unique(before * len(h) + flat)
+    v, w = np.divmod(ids, len(h))
+    keys = _pair_keys(h[v], h[w])
+    shard = _shard_of(np.where(np.isin(h, frequent)[v], keys, h[v]), shards).astype(np.int64)
+    return ids, v, w, keys & np.uint64(0xFFFFFFFF), shard
+
+
+def _asked(blocks: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
+    """Each block's distinct bigrams by shard: their places in the block's order, and keys."""
+
+    def run(batches):
+        common.lean()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name: common.column(batch, name)[i].as_py()  # noqa: E731, B023
+                _, _, _, keys, shard = _distinct_pairs(common.unpacked(get("a"), "<i4").astype(np.int64), common.unpacked(get("c"), "<u8"), frequent, shards)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    mine = order[cuts[s] : cuts[s + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([get("block")], pa.int64()), pa.array([s], pa.int32()), pa.array([common.packed(mine.astype("<i4"))], pa.binary()), pa.array([common.packed(keys[mine].astype("<u4"))], pa.binary())], ["block", "shard", "at", "keys"])
+
+    return blocks.mapInArrow(run, "block long, shard int, at binary, keys binary")
+
+
 def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score for each row; the model learns from the rows that learn marks.
 
@@ -208,9 +236,10 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
     Texts are packed once into blocks of tokens. Unigrams: each block sends its distinct words, parted by hash, and gets
     their counts over the whole corpus back, so no list of all words is anywhere. Bigrams: each block sends its distinct ones to
     the shard of their first word (of both words, if the first is frequent), which makes its segment of the filter and tells the
-    blocks the sums of their words; the frequent words' sums, a thousand at most, are added over shards. Segments are broadcast in groups of max_filter_mb at most; there
-    is one scoring pass for each group (one, while the filter is within the bound), so the broadcast is bounded
-    at every size. Null text is empty: an end alone. Null learn marks count as false. Repeated rows count and are returned
+    blocks the sums of their words; the frequent words' sums, a thousand at most, are added over shards. A filter of max_filter_mb at most
+    is broadcast and probed where the texts are; of a larger one, each segment is probed in a task of its own by the
+    distinct bigrams that the blocks send to it, with the same levels. So the broadcast is bounded and no text is read
+    more often at any size. Null text is empty: an end alone. Null learn marks count as false. Repeated rows count and are returned
     each. An empty table gives an empty one. Without training rows every count is 0. Other columns are not read."""
     s = settings or Settings()
     spark = docs.sparkSession
@@ -283,32 +312,46 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
     sizes = np.zeros(shards, np.int64)
     for r in made.select("shard", "size").toLocalIterator():
         sizes[r["shard"]] = r["size"]
-    group = np.cumsum(sizes) // (s.max_filter_mb << 20)  # of each shard; a segment may stand over the edge
-    passes = int(group.max(initial=0)) + 1
-
-    def filter_of(n: int) -> Filter:
-        own = np.where(group == n, sizes, 0)
-        starts = np.cumsum(own) - own
-        bits = np.zeros(int(own.sum()), np.uint8)
-        if own.any():
-            lo, hi = np.flatnonzero(own)[[0, -1]].tolist()
-            for r in made.where(F.col("shard").between(lo, hi)).toLocalIterator():
-                bits[starts[r["shard"]] : starts[r["shard"]] + r["size"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        return Filter(bits, starts, own, s.hashes)
-
-    told = known.select("block", "at", "n", F.lit(False).alias("sum")).unionByName(sums.withColumn("sum", F.lit(True)))
-    counts_of = told.groupBy("block").agg(F.collect_list(F.struct("at", "n", "sum")).alias("known"))
+    joined = int(sizes.sum()) > s.max_filter_mb << 20
+
+    def whole_filter() -> Filter:
+        starts = np.cumsum(sizes) - sizes
+        bits = np.zeros(int(sizes.sum()), np.uint8)
+        for r in made.select("shard", "size", "bits").toLocalIterator():
+            bits[starts[r["shard"]] : starts[r["shard"]] + r["size"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        return Filter(bits, starts, sizes, s.hashes)
+
+    def answers(key, probes, own):
+        common.lean()
+        found = [np.frombuffer(x, np.uint8) for x in own["bits"].to_pylist()]
+        got = []
+        for keys in probes["keys"].to_pylist():
+            keys = common.unpacked(keys, "<u4")
+            none = np.zeros(len(keys), np.uint8)
+            got.append(common.packed(Filter(found[0], np.zeros(1, np.int64), np.array([len(found[0])]), s.hashes).levels(keys, np.zeros(len(keys), np.int64)) if found else none))
+        return pa.table([probes["block"], probes["at"], pa.array(got, pa.binary())], ["block", "at", "n"])
+
+    told = known.select("block", "at", "n", F.lit("count").alias("of")).unionByName(sums.withColumn("of", F.lit("sum")))
+    if joined:
+        asked = _asked(packed.where("part = 'doc'").select("block", "a", "c"), shards, frequent).groupBy("shard")
+        told = told.unionByName(asked.cogroup(made.select("shard", "bits").groupBy("shard")).applyInArrow(answers, "block long, at binary, n binary").withColumn("of", F.lit("level")))
+    counts_of = told.groupBy("block").agg(F.collect_list(F.struct("at", "n", "of")).alias("known"))
     blocks = packed.where("part = 'doc'").select("block", "a", "b", "c", "ids").join(counts_of, "block")
     names = ["block", "pos", "k", "n_tokens", "n_known", "base_score", "score"]
 
-    def scorer(sent, n: int):
+    def scorer(sent):
         def texts(row):
             common.lean()
             get = lambda name: common.column(row, name)[0].as_py()
             flat, ends, h = common.unpacked(get("a"), "<i4"), common.unpacked(get("b"), "<i8"), common.unpacked(get("c"), "<u8")
             c, twice = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            every, levels = None, None
+            if joined:
+                every = _distinct_pairs(flat.astype(np.int64), h, frequent, shards)[0]
+                levels = np.zeros(len(every), np.uint8)
             for x in get("known"):
-                (twice if x["sum"] else c)[common.unpacked(x["at"], "<i4")] = common.unpacked(x["n"], "<i8")
+                to = {"count": c, "sum": twice, "level": levels}[x["of"]]
+                to[common.unpacked(x["at"], "<i4")] = common.unpacked(x["n"], "<i8" if x["of"] != "level" else "u1")
             hot = np.isin(h, frequent)
             twice[hot] = hot_sums[np.searchsorted(frequent, h[hot])]
             below = twice / 2 + s.prior
@@ -323,12 +366,13 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
                 before = np.concatenate([np.zeros(1, here.dtype), here[:-1]])
                 ids, back = np.unique(before.astype(np.int64) * len(h) + here, return_inverse=True)
                 v, w = np.divmod(ids, len(h))
-                keys = _pair_keys(h[v], h[w])
-                shard = _shard_of(np.where(hot[v], keys, h[v]), shards).astype(np.int64)
-                level = np.where((c[v] > 0) & (c[w] > 0), sent.value.levels(keys & np.uint64(0xFFFFFFFF), shard), 0)
+                if joined:
+                    level = levels[np.searchsorted(every, ids)]
+                else:
+                    keys = _pair_keys(h[v], h[w])
+                    level = sent.value.levels(keys & np.uint64(0xFFFFFFFF), _shard_of(np.where(hot[v], keys, h[v]), shards).astype(np.int64))
+                level = np.where((c[v] > 0) & (c[w] > 0), level, 0)
                 q = np.log10((dequantised(level.astype(float), s.base) + s.prior * p[w]) / below[v])[back]
-                if passes > 1:
-                    q = np.where((group[shard] == n)[back], q, 0.0)
                 cuts = starts[a:b] - starts[a]
                 score[a:b], base[a:b] = np.add.reduceat(q, cuts), np.add.reduceat(log_p[here], cuts)
                 a = b
@@ -338,14 +382,8 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id
 
         return lambda batches: (texts(batch.slice(i, 1)) for batch in batches for i in range(batch.num_rows))
 
-    out = None
-    for n in range(passes):
-        found = blocks.mapInArrow(scorer(spark.sparkContext.broadcast(filter_of(n)), n), f"block long, pos long, k {kind}, n_tokens long, n_known long, base_score double, score double")
-        if passes > 1:  # the next pass needs the memory
-            found = scratch.put(found)
-        out = found if out is None else out.unionByName(found)
-    if passes > 1:
-        out = out.groupBy("block", "pos").agg(*(F.max(x).alias(x) for x in names[2:-1]), F.sum("score").alias("score"))
+    sent = None if joined else spark.sparkContext.broadcast(whole_filter())
+    out = blocks.mapInArrow(scorer(sent), f"block long, pos long, k {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("k").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

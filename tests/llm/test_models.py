@@ -33,9 +33,10 @@ def test_lm_base_and_passes(spark, odd_docs, no_docs):
     assert {r.n_known for r in lm_score.score(odd_docs, F.lit(False)).collect()} == {0}
 
 
-@pytest.mark.parametrize("share", [1000, 20])
-def test_lm_score_by_brute_force(spark, odd_docs, monkeypatch, share):
-    """A plain dictionary model with the same levels; with 20, some words are frequent and dealt by both words."""
+@pytest.mark.parametrize(("share", "filter_mb"), [(1000, 256), (20, 256), (20, 0)])
+def test_lm_score_by_brute_force(spark, odd_docs, monkeypatch, share, filter_mb):
+    """A plain dictionary model with the same levels; with 20, some words are frequent and dealt by both words; with 0, no filter
+    is broadcast."""
     monkeypatch.setattr(lm_score, "FREQUENT_SHARE", share)
     monkeypatch.setattr(lm_score, "LEAST_FREQUENT", 5)
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 500)
@@ -44,7 +45,7 @@ def test_lm_score_by_brute_force(spark, odd_docs, monkeypatch, share):
     rows += [(200 + i, " ".join(r.choice(["the", "Of", "and", *(f"w{j}" for j in range(40))]) for _ in range(r.randint(1, 60)))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     learns = lambda i: i is not None and i % 4 != 0
-    s = lm_score.Settings(bits_per_entry=60.0, hashes=20)  # no probe finds what isn't there
+    s = lm_score.Settings(bits_per_entry=60.0, hashes=20, max_filter_mb=filter_mb)  # no probe finds what isn't there
     uni, pairs, sums = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in rows:
         if learns(i):
