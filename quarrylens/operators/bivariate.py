@@ -12,8 +12,8 @@ from ..functions import columns as C
 MOST_COLUMNS, MOST_COMPARED = 50, 100
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, most: int = MOST_COLUMNS) -> DataFrame:
-    """(left, right, correlation) of the first numeric columns, pairwise complete, from one aggregation."""
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = MOST_COLUMNS) -> DataFrame:
+    """(left, right, correlation) of the first numeric columns (None: of all), pairwise complete, from one aggregation."""
     columns = list(columns or C.numeric_columns(df, booleans=True))[:most]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     return C.rows_of(df, [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), C.correlation(C.as_number(df, a), C.as_number(df, b)).alias("correlation")) for a, b in pairs])
@@ -24,8 +24,8 @@ def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, thres
     return correlation_matrix(df, columns).where(F.abs("correlation") >= threshold).orderBy(F.desc(F.abs("correlation")), "left", "right")
 
 
-def duplicate_columns(df: DataFrame, columns: Sequence[str] | None = None, most: int = MOST_COMPARED) -> DataFrame:
-    """(left, right) of columns of one type that are equal in every row, nulls included."""
+def duplicate_columns(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = MOST_COMPARED) -> DataFrame:
+    """(left, right) of the first numeric columns (None: of all) of one type that are equal in every row, nulls included."""
     columns = list(columns or C.numeric_columns(df, booleans=True))[:most]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if df.schema[a].dataType == df.schema[b].dataType]
     if not pairs:

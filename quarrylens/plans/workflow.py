@@ -119,9 +119,11 @@ def missing_summary(df: DataFrame, config: ProfileConfig, gone: dict[str, dict],
     for r in records(missingness.special_missing_codes(df)):
         codes[r["column"]][r["code"]] = r["n"]
     rows = [gone[c] | {"special_missing_code_counts": dict(sorted(codes[c].items()))} for c in df.columns]
-    lost = [c for c in df.columns if gone[c]["missing_count"]][: bivariate.MOST_COLUMNS]
+    holes = [c for c in df.columns if gone[c]["missing_count"]]
+    lost = holes[: bivariate.MOST_COLUMNS]
     out = {"columns": rows, "row_summary": records(missingness.row_missingness(df))[0], "high_missingness_columns": [{"column": r["column"], "missing_percentage": r["missing_percentage"]} for r in rows if r["missing_percentage"] >= config.high_missingness_threshold]}
     out["missing_flag_correlation"] = records(missingness.missing_flag_correlation(df, lost)) if len(lost) > 1 else []
+    out["missing_flag_columns_left_out"] = holes[bivariate.MOST_COLUMNS :]
     others = [c for c in df.columns if c != config.response_column]
     out["missingness_by_response"] = records(missingness.missing_by_response(df, y, others)) if y is not None else []
     out["missingness_by_segment"] = [{"segment_column": s} | r for s in config.segment_columns for r in records(missingness.missing_by_segment(df, s, df.columns))]
@@ -280,7 +282,7 @@ def pair_summary(df: DataFrame, config: ProfileConfig) -> dict:
     matrix = records(bivariate.correlation_matrix(df, columns, config.max_correlation_columns)) if len(columns) > 1 else []
     high = sorted((p for p in matrix if p["correlation"] is not None and abs(p["correlation"]) >= config.high_correlation_threshold), key=lambda p: -abs(p["correlation"]))
     same = records(bivariate.duplicate_columns(df, columns)) if len(columns) > 1 else []
-    return {"numeric_correlation_matrix": matrix, "high_correlation_pairs": high, "possible_duplicate_columns": [p | {"reason": "Every value is the same."} for p in same]}
+    return {"numeric_correlation_matrix": matrix, "high_correlation_pairs": high, "possible_duplicate_columns": [p | {"reason": "Every value is the same."} for p in same], "correlation_columns_left_out": columns[config.max_correlation_columns :], "comparison_columns_left_out": columns[bivariate.MOST_COMPARED :]}
 
 
 def group_summaries(df: DataFrame, config: ProfileConfig, types: dict) -> tuple[dict, dict]:
@@ -338,7 +340,7 @@ def profile_summary(df: DataFrame, ordered: DataFrame, config: ProfileConfig, ty
     return {"available": True, "profile_depth": config.profile_depth, "sample_policy": config.sample_policy, "sensitive_report": {"sensitive_columns": list(config.sensitive_columns), "redacted_columns": hidden, "row_samples_included": config.sample_policy != "none"}, "alert_summary": rules.alert_summary(alerts), "alerts": alerts, "text_summary": text_rows, "datetime_summary": time_rows, "profiling_modes": modes}
 
 
-def caveats(config: ProfileConfig, resp: dict) -> list[str]:
+def caveats(config: ProfileConfig, resp: dict, left_out: int = 0) -> list[str]:
     out = ["Every number was calculated from the table alone.", "What it means for the business needs the data's lineage and timing."]
     if config.problem_type == "auto" and resp["problem_type"] == "binary_classification":
         out.append("The positive class was chosen by rule; confirm it.")
@@ -348,6 +350,8 @@ def caveats(config: ProfileConfig, resp: dict) -> list[str]:
         out.append("Samples of ids and sensitive columns are redacted.")
     if config.profile_depth == "minimal":
         out.append("Minimal depth leaves out correlations, texts and time stamps.")
+    if left_out:
+        out.append(f"{left_out} columns were over a limit and are in no correlations or comparisons; they are listed there.")
     return [*out, "Risk signals help a review; they don't approve a model."]
 
 
@@ -389,7 +393,7 @@ def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = Fa
     packet = jsonable({
         "metadata": TOOL | {"created_at_utc": dt.datetime.now(dt.timezone.utc).isoformat()}, "config": config.to_dict(), "dataset_overview": shape, "profile_summary": profile, "response_summary": resp, "column_type_summary": types,
         "missingness_summary": missing, "univariate_summary": one, "bivariate_summary": pairs, "feature_ranking": ranking, "data_quality_warnings": quality, "leakage_warnings": leakage, "drift_summary": shift, "modeling_risk_summary": risks,
-        "quality_checks": gate, "comparison_summary": compared, "visual_specs": evidence.chart_specs(config, missing, resp, pairs, ranking, shift), "plots": [], "artifacts": [], "external_artifacts": [], "caveats": caveats(config, resp),
+        "quality_checks": gate, "comparison_summary": compared, "visual_specs": evidence.chart_specs(config, missing, resp, pairs, ranking, shift), "plots": [], "artifacts": [], "external_artifacts": [], "caveats": caveats(config, resp, len({*missing["missing_flag_columns_left_out"], *pairs.get("correlation_columns_left_out", []), *pairs.get("comparison_columns_left_out", [])})),
     })
     text = report.markdown(packet)
     return Result(packet, text, artifacts.export(packet, text, config, Path(base_dir)) if export else None)

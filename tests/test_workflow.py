@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.config import ProfileConfig, ValidationError, check, from_dict, json_schema
 from quarrylens.plans import artifacts, evidence, report, workflow
@@ -56,6 +57,15 @@ def test_history_and_comparison(result, tmp_path):
     assert artifacts._folder(tmp_path, "broken").name == "broken_001"
 
 
+def test_columns_over_a_limit_are_named(spark):
+    df = spark.range(30).select("id", *[(F.col("id") * F.lit(i) % 7).alias(f"n{i}") for i in range(6)], F.col("id").alias("copy"))
+    config = ProfileConfig(max_correlation_columns=3, profile_depth="standard")
+    pairs = workflow.pair_summary(df, config)
+    assert pairs["correlation_columns_left_out"] == ["n2", "n3", "n4", "n5", "copy"] and pairs["comparison_columns_left_out"] == []
+    assert {(p["left"], p["right"]) for p in pairs["possible_duplicate_columns"]} == {("id", "copy")}
+    assert any("5 columns were over a limit" in c for c in workflow.caveats(config, {"available": False, "problem_type": "unsupervised"}, 5))
+
+
 def test_report_escapes(result):
     assert "Loans \\| 2024" in result.markdown and result.markdown.count("\n## ") >= 16
     assert report.cell("a|b\n<c>") == "a\\|b &lt;c&gt;" and report.code("a`b") == "``a`b``"
