@@ -26,6 +26,8 @@ ROUNDS = 2
 CHUNK, BUCKET_TILES, BUCKET_ROWS, BUCKET_BYTES = 1024, 2000, 50_000, 32 << 20
 #: So many nodes whose sets are wanted are told to every task (16 bytes each); of more, the texts are shuffled.
 TOLD_NODES = 500_000
+#: A sketch as four longs.
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 @lru_cache(maxsize=8)
@@ -87,6 +89,12 @@ def bitmap(s: np.ndarray, percent: int) -> bytes:
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of 256 bits whatever the set's size: it rules most pairs out before their bitmaps are looked at."""
+    count = np.bincount((common.mix(s + np.uint64(0x1F83D9AB)) & np.uint64(255)).astype(np.int64), minlength=256)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
 def most_apart(a: int, b: int, percent: int) -> int:
     """In how many elements similar sets of these sizes can differ; below 0 if they can't be similar."""
     overlap = -(-percent * (a + b) // (100 + percent))
@@ -157,8 +165,8 @@ def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFram
     names = ["part", "shard", "a", "b", "c", "ids", "maps"]
     types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.binary())]
 
-    def flush(ids, sizes, nodes, maps, keys):
-        rows = [("doc", -1, common.packed(np.array(sizes, "<i8")), np.array([x or 0 for x in nodes], "<i8").tobytes(), b"", ids, maps)]
+    def flush(ids, sizes, nodes, maps, keys, sketches):
+        rows = [("doc", -1, common.packed(np.array(sizes, "<i8")), np.array([x or 0 for x in nodes], "<i8").tobytes(), b"".join(sketches), ids, maps)]
         seen = {k: v for k, v in zip(nodes, keys, strict=True) if v is not None}
         if seen:
             node = np.sort(np.array(list(seen), np.int64))
@@ -185,7 +193,7 @@ def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
     def run(batches):
-        held = ids, sizes, nodes, maps, keys = [], [], [], [], []
+        held = ids, sizes, nodes, maps, keys, sketches = [], [], [], [], [], []
         count = 0
         for piece in (p for batch in batches for p in common.pieces(batch, "t")):
             ids += common.column(piece, "k").to_pylist()
@@ -193,11 +201,12 @@ def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFram
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 maps.append(bitmap(s, percent) if len(s) else b"")
+                sketches.append(sketch(s))
                 keys.append(tile_keys(s, percent, sent.value) if len(s) else None)
                 count += len(keys[-1]) if len(s) else 0
             if count >= BLOCK_KEYS or len(ids) >= 50_000:
                 yield from flush(*held)
-                held = ids, sizes, nodes, maps, keys = [], [], [], [], []
+                held = ids, sizes, nodes, maps, keys, sketches = [], [], [], [], [], []
                 count = 0
         if ids:
             yield from flush(*held)
@@ -282,7 +291,13 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and bit counts allow a link."""
+    """The pairs whose sizes and bit counts allow a link: first by the sketches, in the JVM, then by the bitmaps of those left.
+    Joined alike at every size: nodes are never broadcast."""
+    rough = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"), *[F.col(k).alias(f"{c}{k}") for k in SKETCH]).hint("merge")
+    both = F.col("sx") + F.col("sy")
+    overlap = F.floor((percent * both + (99 + percent)) / (100 + percent))
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("xs0").bitwiseXOR(F.col("ys0"))))
+    pairs = pairs.join(rough("x"), "x").join(rough("y"), "y").where((overlap <= F.least("sx", "sy")) & (apart <= both - 2 * overlap)).select("x", "y")
 
     def bound(batches):
         for b in batches:
@@ -290,11 +305,11 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"), F.col("map").alias(f"m{c}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "mx", "sy", "my").mapInArrow(bound, "x long, y long")
+    return pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y").select("x", "y", "sx", "mx", "sy", "my").mapInArrow(bound, "x long, y long")
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by intersection of their arrays."""
+    """The pairs that link, by intersection of their arrays. Joined alike at every size, too."""
 
     def exact(batches):
         common.lean()
@@ -303,7 +318,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"a{c}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "ax", "ay").mapInArrow(exact, "x long, y long")
+    return pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y").select("x", "y", "ax", "ay").mapInArrow(exact, "x long, y long")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,16 +349,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
             for i in range(batch.num_rows):
                 get = lambda c: common.column(batch, c)[i].as_py()  # noqa: E731, B023
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([common.column(one, "ids").flatten(), pa.array(common.unpacked(get("a"), "<i8")), pa.array(np.frombuffer(get("b"), "<i8")), common.column(one, "maps").flatten()], ["k", "size", "node", "map"])
+                parts = np.frombuffer(get("c"), "<i8").reshape(-1, 4).T
+                yield pa.RecordBatch.from_arrays([common.column(one, "ids").flatten(), pa.array(common.unpacked(get("a"), "<i8")), pa.array(np.frombuffer(get("b"), "<i8")), common.column(one, "maps").flatten(), *(pa.array(np.ascontiguousarray(x)) for x in parts)], ["k", "size", "node", "map", *SKETCH])
 
     def hot_rows(batches):
         for batch in batches:
             for a, b in zip(common.column(batch, "a").to_pylist(), common.column(batch, "b").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(np.frombuffer(b, "<i8"))], ["tile", "x"])
 
-    told = packed.where("part = 'doc'").select("a", "b", "ids", "maps").mapInArrow(doc_rows, f"k {kind}, size long, node long, map binary")
+    told = packed.where("part = 'doc'").select("a", "b", "c", "ids", "maps").mapInArrow(doc_rows, f"k {kind}, size long, node long, map binary, " + ", ".join(f"{c} long" for c in SKETCH))
     texts = scratch.put(told.select("k", "size", "node"))
-    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map")).withColumn("bytes", F.length("map").cast("long")))
+    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map"), *[F.first(c).alias(c) for c in SKETCH]).withColumn("bytes", F.length("map").cast("long")))
     hot = packed.where("part = 'hot'").select("a", "b").mapInArrow(hot_rows, "tile long, x long")
     shared = packed.where("part = 'key'").select("shard", "a", "b", "c").groupBy("shard").applyInArrow(_shared_tiles, "tile long, x long")
     tiles = scratch.put(shared.unionByName(hot).distinct())

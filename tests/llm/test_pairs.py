@@ -78,6 +78,8 @@ def test_bounds_never_lose_a_link():
         assert jaccard_join.links(x, y, 90) == (both > 0 and 100 * both >= 90 * (len(x) + len(y) - both))
         if jaccard_join.links(x, y, 90):
             assert jaccard_join.may_link(len(x), jaccard_join.bitmap(x, 90), len(y), jaccard_join.bitmap(y, 90), 90)
+            bits = [np.frombuffer(jaccard_join.sketch(z), np.uint8) for z in (x, y)]
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= jaccard_join.most_apart(len(x), len(y), 90)
             none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             assert np.intersect1d(jaccard_join.tile_keys(x, 90, none), jaccard_join.tile_keys(y, 90, none)).size
 
