@@ -23,7 +23,7 @@ HOT_IN_BLOCK = 64
 #: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
 ROUNDS = 2
 #: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles and rows of a bucket.
-CHUNK, BUCKET_TILES, BUCKET_ROWS, BUCKET_BYTES = 1024, 2000, 50_000, 32 << 20
+CHUNK, BUCKET_TILES, BUCKET_ROWS = 1024, 2000, 50_000
 #: So many nodes whose sets are wanted are told to every task (16 bytes each); of more, the texts are shuffled.
 TOLD_NODES = 500_000
 #: A sketch as four longs.
@@ -232,21 +232,19 @@ def _shared_tiles(table: pa.Table) -> pa.Table:
 
 
 def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of each tile's members, from different components, whose sizes and bit counts allow a link."""
+    """Pairs of each tile's members, from different components, whose sizes and sketches allow a link."""
     common.lean()
-    col = {c: np.array(table[c]) for c in ("tile", "upper", "same", "x", "size", "root")}
+    col = {c: np.array(table[c]) for c in ("tile", "upper", "same", "x", "size", "root", *SKETCH)}
     order = np.lexsort((col["x"], col["tile"]))
     col = {c: v[order] for c, v in col.items()}
-    maps = table["map"].to_pylist()
+    sketches = np.stack([col[c].view(np.uint64) for c in SKETCH], 1)
     edges = np.flatnonzero(np.concatenate([[True], col["tile"][1:] != col["tile"][:-1], [True]]))
     out_x, out_y = [], []
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         root, size, x = (col[c][lo:hi] for c in ("root", "size", "x"))
         if (root == root[0]).all():
             continue
-        mine = [np.frombuffer(maps[i], np.uint64) for i in order[lo:hi]]
-        width = min(len(m) for m in mine)
-        bits = np.stack([np.bitwise_xor.reduce(m.reshape(-1, width), 0) for m in mine])
+        bits = sketches[lo:hi]
         same = bool(col["same"][lo])
         left = np.arange(hi - lo) if same else np.flatnonzero(col["upper"][lo:hi])
         right = np.arange(hi - lo) if same else np.flatnonzero(~col["upper"][lo:hi])
@@ -266,10 +264,10 @@ def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _buckets(mixed: DataFrame) -> int:
-    """How many buckets hold all tiles: each has about BUCKET_TILES tiles or cuts, BUCKET_ROWS rows and BUCKET_BYTES of bitmaps at most,
-    and a member is a row for each cut of its tile. mixed: n, chunks and bytes (of all members' bitmaps) by tile."""
-    r = mixed.agg(F.sum("chunks").alias("tiles"), F.sum(F.col("n") * F.col("chunks")).alias("rows"), F.sum(F.col("bytes") * F.col("chunks")).alias("bytes")).first()
-    return int(max((r["tiles"] or 0) // BUCKET_TILES, (r["rows"] or 0) // BUCKET_ROWS, (r["bytes"] or 0) // BUCKET_BYTES)) + 1
+    """How many buckets hold all tiles: each has about BUCKET_TILES tiles or cuts and BUCKET_ROWS rows of one size at most, and a
+    member is a row for each cut of its tile."""
+    r = mixed.agg(F.sum("chunks").alias("tiles"), F.sum(F.col("n") * F.col("chunks")).alias("rows")).first()
+    return max((r["tiles"] or 0) // BUCKET_TILES, (r["rows"] or 0) // BUCKET_ROWS) + 1
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -359,7 +357,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 
     told = packed.where("part = 'doc'").select("a", "b", "c", "ids", "maps").mapInArrow(doc_rows, f"k {kind}, size long, node long, map binary, " + ", ".join(f"{c} long" for c in SKETCH))
     texts = scratch.put(told.select("k", "size", "node"))
-    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map"), *[F.first(c).alias(c) for c in SKETCH]).withColumn("bytes", F.length("map").cast("long")))
+    nodes = scratch.put(told.where("size > 0").groupBy("node").agg(F.min("k").alias("low"), F.first("size").alias("size"), F.first("map").alias("map"), *[F.first(c).alias(c) for c in SKETCH]))
     hot = packed.where("part = 'hot'").select("a", "b").mapInArrow(hot_rows, "tile long, x long")
     shared = packed.where("part = 'key'").select("shard", "a", "b", "c").groupBy("shard").applyInArrow(_shared_tiles, "tile long, x long")
     tiles = scratch.put(shared.unionByName(hot).distinct())
@@ -417,12 +415,11 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         roots = joined(more)
     now = rooted()
     mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("tile", "n", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    wide = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "bytes"), "x").groupBy("tile", "n", "chunks").agg(F.sum("bytes").alias("bytes"))
-    members = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "size", "map"), "x")
+    members = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "size", *SKETCH).hint("merge"), "x")
     own = F.pmod(F.xxhash64("x"), F.col("chunks"))
-    members = members.select("tile", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map")
-    members = members.withColumn("bucket", F.pmod("tile", F.lit(_buckets(wide))))
+    members = members.select("tile", "x", "size", "root", *SKETCH, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", *SKETCH)
+    members = members.withColumn("bucket", F.pmod("tile", F.lit(_buckets(mixed))))
     opened = members.groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
     more = verified(scratch.put(opened.join(tested, ["x", "y"], "left_anti")))
     if not more.isEmpty():
