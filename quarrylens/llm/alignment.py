@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from tokenizers import Tokenizer
 
 from . import bpe_codec, common, token_counts
 
@@ -29,16 +31,28 @@ class Aligner:
     """Encodes units of text by both tokenizers and cuts them where tokens of both end."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a = bpe_codec.Codec(a_path)
-        self.a.split, self.a.special = None, {}  # the strings of special tokens are plain text
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.a = Tokenizer.from_file(a_path)
+        self.a.encode_special_tokens = True  # their strings are plain text
+        self.a.no_truncation()
+        self.a.no_padding()
+        letters = bpe_codec._byte_letters()
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        vocab = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = t.encode() if t in special else bytes(map(letters.__getitem__, t))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a.bytes, self.b_bytes))
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.line_end = self.b.encode("\n")
         #: unit -> its groups as text ("a1,a2|b1"), its tokens of A and of B; None where B has other bytes than the unit
         self.known: dict[str, tuple[tuple[str, ...], int, int] | None] = {}
 
+    def _a_ids(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+
     def _b_ids(self, units: list[str]) -> list[list[int]]:
         """The model sets a space before what it is given: it stands for a unit's own first one; others are given after a line end."""
         given = [("\n" if u == " " else u[1:]) if u[0] == " " else "\n" + u for u in units]
@@ -51,28 +65,46 @@ class Aligner:
         if len(known) + len(new) > KEPT_UNITS:
             known.clear()
             new = units
-        for u, a, b in zip(new, self.a.encode_all(new), self._b_ids(new), strict=True):
-            known[u] = self._cut(u, a, b)
+        known.update(zip(new, self._cut(new), strict=True))
         out = [known[u] for u in units]
         for u in new:
             if len(u) > LONG_UNIT:
                 del known[u]
         return out
 
-    def _cut(self, unit: str, a: list[int], b: list[int]) -> tuple[tuple[str, ...], int, int] | None:
-        if len(a) == 1 or len(b) == 1:  # one group
-            if b"".join([self.b_bytes[i] for i in b]) != unit.encode():
-                return None
-            return (",".join(map(str, a)) + "|" + ",".join(map(str, b)),), len(a), len(b)
-        raw = unit.encode()
-        if b"".join([self.a.bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        cuts = np.intersect1d(ends_a, ends_b)
-        to_a, to_b = (np.searchsorted(e, cuts, "right").tolist() for e in (ends_a, ends_b))
-        sa, sb = list(map(str, a)), list(map(str, b))
-        groups = tuple(",".join(sa[i:j]) + "|" + ",".join(sb[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False))
-        return groups, len(a), len(b)
+    def _cut(self, units: list[str]) -> list[tuple[tuple[str, ...], int, int] | None]:
+        """All units at once, as if they were one text: bytes of both sides are compared by units, then ends over all."""
+        raw = [u.encode() for u in units]
+        a, b = self._a_ids(units), self._b_ids(units)
+        same = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, raw, strict=True)]
+        good = list(compress(zip(a, b, strict=True), same))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x[k] for x in good), np.int64) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = (np.searchsorted(e, cuts, "right") for e in (ends_a, ends_b))
+        groups = self._names(flat_a, to_a, flat_b, to_b)
+        last = np.searchsorted(to_a, np.cumsum([len(x) for x, _ in good])).tolist()  # a unit's last group
+        out, begin, at = [], 0, 0
+        for ok, x, y in zip(same, a, b, strict=True):
+            if not ok:
+                out.append(None)
+                continue
+            out.append((tuple(groups[begin : last[at] + 1]), len(x), len(y)))
+            begin, at = last[at] + 1, at + 1
+        return out
+
+    @staticmethod
+    def _names(flat_a: np.ndarray, to_a: np.ndarray, flat_b: np.ndarray, to_b: np.ndarray) -> list[str]:
+        """Each group as text. Groups of one token of A and of B, nearly all, are written once for each different pair."""
+        from_a, from_b = (np.concatenate([[0], t[:-1]]).astype(np.int64) if len(t) else t for t in (to_a, to_b))
+        single = (to_a - from_a == 1) & (to_b - from_b == 1)
+        out = np.empty(len(to_a), object)
+        codes, back = np.unique(flat_a[from_a[single]] << 32 | flat_b[from_b[single]], return_inverse=True)
+        out[single] = np.array([f"{c >> 32}|{c & 0xFFFFFFFF}" for c in codes.tolist()], object)[back]
+        la, lb = flat_a.tolist(), flat_b.tolist()
+        for i in np.flatnonzero(~single).tolist():
+            out[i] = ",".join(map(str, la[from_a[i] : to_a[i]])) + "|" + ",".join(map(str, lb[from_b[i] : to_b[i]]))
+        return out.tolist()
 
     def links(self, group: str) -> list[tuple[int, int, int]]:
         """(a, b, n) of a group: its tokens whose byte ranges overlap, and how often these two ids do."""
