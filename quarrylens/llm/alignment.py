@@ -19,16 +19,20 @@ from . import bpe_codec, common, token_counts
 
 # The characters with Unicode's property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Units of text that both tokenizers take apart on their own: they begin at a space or line end after a character that isn't
-#: white space. There the byte-level vocabulary begins a word, and no piece of the other goes on.
-UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:(?![ \n])[{WHITE}]+(?:[^{WHITE}]+|\\Z))*|[{WHITE}]+")
+# Letters and signs between which a unit may end, unless a piece has them side by side.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A worker keeps the groups of at most so many units; longer units are forgotten with their block. Texts of a block, in bytes and number.
-KEPT_UNITS, LONG_UNIT = 200_000, 48
+KEPT_UNITS, LONG_UNIT = 500_000, 48
 BLOCK_BYTES, BLOCK_TEXTS = 6 << 20, 20_000
 
 
 class Aligner:
-    """Encodes units of text by both tokenizers and cuts them where tokens of both end."""
+    """Encodes units of text by both tokenizers and cuts them where tokens of both end.
+
+    Units are taken apart on their own by both: they begin at a space or line end after a character that isn't white space, or at
+    a sign after a letter. There the byte-level vocabulary begins a word, and no piece of the other goes on: for spaces
+    and line ends, token_counts.prove() shows it, and signs that a piece has after a letter are not among those here."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -43,12 +47,23 @@ class Aligner:
         for t, i in vocab.items():
             self.a_bytes[i] = t.encode() if t in special else bytes(map(letters.__getitem__, t))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.line_end = self.b.encode("\n")
-        #: unit -> its groups as text ("a1,a2|b1"), its tokens of A and of B; None where B has other bytes than the unit
-        self.known: dict[str, tuple[tuple[str, ...], int, int] | None] = {}
+        after = re.compile(f"(?<=[{LETTERS}]).")
+        joined = {c for i, p in enumerate(pieces) if not self.b.is_byte(i) for c in after.findall(p)}
+        signs = "".join(re.escape(c) for c in SIGNS if c not in joined)
+        word = f"[^{WHITE}](?:[^{WHITE}{signs}]+|(?<![{LETTERS}])[{signs}]+)*" if signs else f"[^{WHITE}]+"
+        self.units = re.compile(f"[{WHITE}]*{word}(?:(?![ \n])[{WHITE}]+(?:{word}|\\Z))*|[{WHITE}]+")
+        self.forget()
+
+    def forget(self) -> None:
+        #: unit -> whole numbers: how many tokens of A and of B it has (-1 where B has other bytes than the unit), and its groups
+        self.known: dict[str, bytes] = {}
+        #: the groups' numbers, and their texts ("a1,a2|b1")
+        self.numbers: dict[str, int] = {}
+        self.texts: list[str] = []
 
     def _a_ids(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
@@ -58,53 +73,65 @@ class Aligner:
         given = [("\n" if u == " " else u[1:]) if u[0] == " " else "\n" + u for u in units]
         return [ids[:1] if u == " " else ids if u[0] == " " else ids[len(self.line_end) :] for u, ids in zip(units, self.b.encode(given, num_threads=1), strict=True)]
 
-    def groups_of(self, units: list[str]) -> list[tuple[tuple[str, ...], int, int] | None]:
-        """Of different units."""
+    def groups_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of different units: tokens of A and of B, number of groups, and all groups one after the other."""
         known = self.known
         new = [u for u in units if u not in known]
         if len(known) + len(new) > KEPT_UNITS:
-            known.clear()
-            new = units
-        known.update(zip(new, self._cut(new), strict=True))
-        out = [known[u] for u in units]
+            self.forget()
+            known, new = self.known, units
+        if new:
+            known.update(zip(new, self._cut(new), strict=True))
+        found = [known[u] for u in units]
         for u in new:
             if len(u) > LONG_UNIT:
                 del known[u]
-        return out
-
-    def _cut(self, units: list[str]) -> list[tuple[tuple[str, ...], int, int] | None]:
+        flat = np.frombuffer(b"".join(found), "<i4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        head = np.cumsum(sizes) - sizes
+        rest = np.ones(len(flat), bool)
+        rest[head] = rest[head + 1] = False
+        return flat[head].astype(np.int64), flat[head + 1].astype(np.int64), sizes - 2, flat[rest].astype(np.int64)
+
+    def _cut(self, units: list[str]) -> list[bytes]:
         """All units at once, as if they were one text: bytes of both sides are compared by units, then ends over all."""
         raw = [u.encode() for u in units]
         a, b = self._a_ids(units), self._b_ids(units)
-        same = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, raw, strict=True)]
-        good = list(compress(zip(a, b, strict=True), same))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x[k] for x in good), np.int64) for k in (0, 1))
+        same = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, raw, strict=True)], bool)
+        n_a, n_b = (np.where(same, np.fromiter(map(len, x), np.int64, len(units)), k) for x, k in ((a, 0), (b, -1)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(compress(x, same)), np.int64) for x in (a, b))
         ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         to_a, to_b = (np.searchsorted(e, cuts, "right") for e in (ends_a, ends_b))
-        groups = self._names(flat_a, to_a, flat_b, to_b)
-        last = np.searchsorted(to_a, np.cumsum([len(x) for x, _ in good])).tolist()  # a unit's last group
-        out, begin, at = [], 0, 0
-        for ok, x, y in zip(same, a, b, strict=True):
-            if not ok:
-                out.append(None)
-                continue
-            out.append((tuple(groups[begin : last[at] + 1]), len(x), len(y)))
-            begin, at = last[at] + 1, at + 1
-        return out
-
-    @staticmethod
-    def _names(flat_a: np.ndarray, to_a: np.ndarray, flat_b: np.ndarray, to_b: np.ndarray) -> list[str]:
-        """Each group as text. Groups of one token of A and of B, nearly all, are written once for each different pair."""
+        groups = self._numbered(flat_a, to_a, flat_b, to_b)
+        upto = np.searchsorted(to_a, np.cumsum(n_a), "right")  # groups up to each unit's end
+        n = np.diff(upto, prepend=0)
+        ends = np.cumsum(n + 2)
+        out = np.empty(int(ends[-1]), "<i4")
+        head = ends - n - 2
+        rest = np.ones(len(out), bool)
+        rest[head] = rest[head + 1] = False
+        out[head], out[head + 1], out[rest] = n_a, n_b, groups
+        data = out.tobytes()
+        return [data[i:j] for i, j in zip((4 * head).tolist(), (4 * ends).tolist(), strict=True)]
+
+    def _numbered(self, flat_a: np.ndarray, to_a: np.ndarray, flat_b: np.ndarray, to_b: np.ndarray) -> np.ndarray:
+        """The number of each group. Groups of one token of A and of B are written once for each different pair."""
         from_a, from_b = (np.concatenate([[0], t[:-1]]).astype(np.int64) if len(t) else t for t in (to_a, to_b))
         single = (to_a - from_a == 1) & (to_b - from_b == 1)
-        out = np.empty(len(to_a), object)
+        out = np.empty(len(to_a), np.int64)
         codes, back = np.unique(flat_a[from_a[single]] << 32 | flat_b[from_b[single]], return_inverse=True)
-        out[single] = np.array([f"{c >> 32}|{c & 0xFFFFFFFF}" for c in codes.tolist()], object)[back]
+        out[single] = np.array([self._number(f"{c >> 32}|{c & 0xFFFFFFFF}") for c in codes.tolist()], np.int64)[back]
         la, lb = flat_a.tolist(), flat_b.tolist()
-        for i in np.flatnonzero(~single).tolist():
-            out[i] = ",".join(map(str, la[from_a[i] : to_a[i]])) + "|" + ",".join(map(str, lb[from_b[i] : to_b[i]]))
-        return out.tolist()
+        others = np.flatnonzero(~single)
+        out[others] = [self._number(",".join(map(str, la[i:j])) + "|" + ",".join(map(str, lb[k:m]))) for i, j, k, m in zip(*(x[others].tolist() for x in (from_a, to_a, from_b, to_b)), strict=True)]
+        return out
+
+    def _number(self, group: str) -> int:
+        found = self.numbers.setdefault(group, len(self.texts))
+        if found == len(self.texts):
+            self.texts.append(group)
+        return found
 
     def links(self, group: str) -> list[tuple[int, int, int]]:
         """(a, b, n) of a group: its tokens whose byte ranges overlap, and how often these two ids do."""
@@ -139,28 +166,23 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         units: dict[str, int] = {}
         split = []
         for t in texts:
-            found = UNITS.findall(" " + t) if t else []
+            found = c.units.findall(" " + t) if t else []
             split.append(np.fromiter((units.setdefault(u, len(units)) for u in found), np.int32, len(found)))
-        names: dict[str, int] = {}
-        groups, joined, n_a, n_b = [], [], [], []
-        for g in c.groups_of(list(units)):
-            n_a.append(g[1] if g else 0)
-            n_b.append(g[2] if g else -1)
-            joined.append(";".join(g[0]) if g else "")
-            groups.append([names.setdefault(x, len(names)) for x in g[0]] if g else [])
-        n_a, n_b = np.array(n_a, np.int64), np.array(n_b, np.int64)
-        sizes = np.array([len(g) for g in groups], np.int64)
-        begin, flat = np.cumsum(sizes) - sizes, np.fromiter(chain.from_iterable(groups), np.int64, int(sizes.sum()))
+        n_a, n_b, sizes, flat = c.groups_of(list(units))
+        begin = np.cumsum(sizes) - sizes
+        own, flat = np.unique(flat, return_inverse=True)  # the block's groups
+        names = [c.texts[g] for g in own.tolist()]
         facts, digests, at, times, ends = np.zeros((len(texts), 3), np.int64), [], [], [], np.zeros(len(texts), np.int64)
         freq, held = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         for i, mine in enumerate(split):
             if not len(mine) or (n_b[mine] < 0).any():
                 digests.append("")
                 continue
-            digests.append(hashlib.sha256(";".join(map(joined.__getitem__, mine.tolist())).encode()).hexdigest())
             n = sizes[mine]
-            seen, count = np.unique(flat[np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], return_counts=True)
-            facts[i] = n_a[mine].sum(), n_b[mine].sum(), n.sum()
+            groups = flat[np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            digests.append(hashlib.sha256(";".join(map(names.__getitem__, groups.tolist())).encode()).hexdigest())
+            seen, count = np.unique(groups, return_counts=True)
+            facts[i] = n_a[mine].sum(), n_b[mine].sum(), len(groups)
             freq[seen] += count
             held[seen] += 1
             at.append(seen)
@@ -168,7 +190,6 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             ends[i] = len(seen)
         keep = np.flatnonzero(freq)  # groups that only texts without tokens have are none
         place = np.cumsum(freq > 0) - 1
-        names = list(names)
         at, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, times))
         row = [number, ids, facts.astype("<i8").tobytes(), digests, common.packed(np.cumsum(ends).astype("<i8")), common.packed(place[at].astype("<i4")), common.packed(times.astype("<i4")), [names[j] for j in keep.tolist()], freq[keep].tolist(), held[keep].tolist()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], schema)

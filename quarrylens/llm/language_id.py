@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,9 +22,9 @@ MOST_LANGUAGES = 10_000
 
 @dataclass
 class Settings:
-    """order: bytes of the longest context. max_rows and max_bytes bound what a language's model is learned from: so many texts, in the
-    order of their ids' hashes, the last one being that which reaches max_bytes. max_entries bounds all models together: contexts
-    seen too seldom are left out until they fit."""
+    """order: bytes of the longest context. max_rows and max_bytes bound what a language's model is learned from: a sample by the ids'
+    hashes that has so many texts, and then so many bytes, on average; one text at least. max_entries bounds all models
+    together: contexts seen too seldom are left out until they fit."""
 
     order: int = 4
     max_rows: int = 2000
@@ -171,20 +171,19 @@ def has_letter(text: str) -> bool:
 
 
 def _sample(rows: DataFrame, s: Settings, scratch: common.Scratch) -> DataFrame:
-    """(lang, t): the texts that are learned from. Of (language, id) alone the first max_rows by hash are found, and their
-    texts read then; of rows that repeat an id, the smallest text."""
-    known = rows.where(F.col("learn") & F.col("lang").isNotNull() & F.col("k").isNotNull() & (F.octet_length("t") > 0))
-    by_hash = Window.partitionBy("lang").orderBy("h", "k")
-    first = known.select("lang", "k", F.xxhash64("k").alias("h")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= s.max_rows)
-    first = scratch.put(first.select("lang", "k", "h").distinct())
-    if first.select("lang").distinct().count() > MOST_LANGUAGES:
+    """(lang, t): the texts that are learned from. A language with more rows or bytes than wanted keeps those whose id's hash is
+    under a share of all hashes, and its smallest hash, so no language is gathered or sorted in one task; of rows that repeat an
+    id, the smallest text."""
+    luck = F.shiftrightunsigned(F.xxhash64("k"), 11) / float(1 << 53)
+    known = rows.where(F.col("learn") & F.col("lang").isNotNull() & F.col("k").isNotNull()).withColumn("luck", luck)
+    first = scratch.put(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("luck").alias("least")).withColumn("share", s.max_rows / F.col("n")))
+    if first.count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    few = F.broadcast(first)  # max_rows for each language at most
-    taken = scratch.put(known.select("lang", "k", "t").join(few, ["lang", "k"]).groupBy("lang", "k", "h").agg(F.min("t").alias("t")))
-    before = F.sum("size").over(Window.partitionBy("lang").orderBy("h", "k")) - F.col("size")
-    sizes = taken.select("lang", "k", "h", F.octet_length("t").alias("size")).withColumn("before", before)
-    enough = sizes.where(F.col("before") < s.max_bytes).select("lang", "k")
-    return taken.join(F.broadcast(enough), ["lang", "k"]).select("lang", "t")
+    under = (F.col("luck") < F.col("share")) | (F.col("luck") == F.col("least"))
+    some = known.select("lang", "k", "t", "luck").join(F.broadcast(first.select("lang", "least", "share")), "lang").where(under)  # a row for each language
+    taken = scratch.put(some.groupBy("lang", "k", "luck").agg(F.min("t").alias("t"), F.first("share").alias("of_all")))
+    sizes = taken.groupBy("lang").agg(F.min("luck").alias("least"), (F.first("of_all") * s.max_bytes / F.greatest(F.lit(1), F.sum(F.octet_length("t")))).alias("share"))
+    return taken.join(F.broadcast(sizes), "lang").where(under & F.col("t").isNotNull()).select("lang", "t")
 
 
 def fit(docs: DataFrame, learn: F.Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:

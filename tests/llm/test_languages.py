@@ -128,7 +128,7 @@ def test_held_out_accuracy_and_frames(spark, no_docs):
     assert L.predict(no_docs, L.fit(no_docs, F.lit(True))).count() == 0
     few = L.fit(docs, ~L.held_out(F.col("doc_id")), L.Settings(max_rows=5, max_bytes=300, max_entries=3000))
     assert sum(len(t.entries) for t in few.trees) <= 3000 + 3 * 256
-    assert all(int(t.n[t.entries < 512].sum()) <= 5 * 800 for t in few.trees)
+    assert all(0 < int(t.n[t.entries < 512].sum()) < 2000 for t in few.trees)  # 300 bytes on average, one text at least
 
 
 def test_the_language_column_does_not_sway(spark):
