@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,15 @@ def parsed_time(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(stripped(c.cast("string")), F.lit(fmt))
 
 
+def date_format(c: Column) -> Column:
+    """Which of DATE_FORMATS a text reads by, as a number; else null. A text's digits and signs fit one format alone, so it is
+    parsed by that one; only years with a sign are tried by every format."""
+    shape = F.translate(c, "012345678", "999999999")
+    fits = [F.when((shape == re.sub("[A-Za-z]", "9", f.replace("'T'", "\0")).replace("\0", "T")) & parsed_time(c, f).isNotNull(), F.lit(i)) for i, f in enumerate(DATE_FORMATS)]
+    signed = [F.when(shape.rlike("^[+-]9") & parsed_time(c, f).isNotNull(), F.lit(i)) for i, f in enumerate(DATE_FORMATS)]
+    return F.coalesce(*fits, *signed)
+
+
 def words(c: Column) -> Column:
     """Number of words between white space; 0 for blank text."""
     return F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))

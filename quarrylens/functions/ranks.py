@@ -1,7 +1,7 @@
 """Value counts and what follows from them: positions, exact quantiles, average ranks, quantile bins.
 
-A near-unique column has as many values as rows, so nothing here sorts a column in one task: values are cut to
-ranges at approximate quantiles, counted by range, and only numbered within their range."""
+A near-unique column has as many values as rows, so a large column is never sorted in one task: values are cut to ranges at
+approximate quantiles, counted by range, and only numbered within their range. Columns that a task can sort have one range."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .columns import as_number
+from .columns import as_number, name
 
-#: Ranges that a column's values are cut to at once; each is cut again for every so many bytes that the values are estimated at.
-RANGES, BYTES_OF_A_CUT = 32, 16 << 30
+#: Ranges that a column's values are cut to at once, and bytes of the sources up to which a range is left whole.
+RANGES, BYTES_OF_A_RANGE = 32, 128 << 20
+#: Spark's estimate of a source that it knows nothing of is as large as a number can be.
+UNKNOWN = 1 << 60
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: dict[str, Column] | None = None) -> DataFrame:
@@ -28,23 +31,53 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_numbers(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cuts(counts: DataFrame) -> int:
-    """How often values are cut to ranges: once, and once more for inputs whose estimate passes BYTES_OF_A_CUT, and so on."""
-    try:
-        size = int(counts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
+def value_table(df: DataFrame, columns: Sequence[str], y: Column | None = None) -> DataFrame:
+    """(column, value, number, n, n1, n0) of columns of any type, from one scan: each value as text (null is one) and, of numbers and
+    booleans, as a double; its rows, and those of class 1 and 0 of a response. What cardinality, frequencies, quantiles,
+    outliers, ranks, bins and category rates are made of."""
+    plain = (T.NumericType, T.BooleanType)
+    real = (T.DoubleType, T.FloatType)
+    text = lambda c: (name(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, real) else name(c)).cast("string")  # noqa: E731  # -0.0 is 0.0
+    number = lambda c: as_number(df, c) if isinstance(df.schema[c].dataType, plain) else F.lit(None).cast("double")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value"), number(c).alias("number")) for c in columns])
+    given = F.lit(None).cast("double") if y is None else y.cast("double")
+    rows = df.select(given.alias("y"), F.explode(pairs).alias("p")).select("y", "p.*")
+    return rows.groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+
+
+def numbers_of(counts: DataFrame, columns: Sequence[str], classes: bool = False) -> DataFrame:
+    """(column, value, n) of a value table's numbers; with classes, of the rows that have one, and n1. Whole numbers that are one
+    as doubles are one value."""
+    rows = counts.where(F.col("column").isin(*columns) & F.col("number").isNotNull() & ~F.isnan("number"))
+    n = F.col("n1") + F.col("n0") if classes else F.col("n")
+    out = rows.groupBy("column", F.col("number").alias("value")).agg(F.sum(n).alias("n"), *([F.sum("n1").alias("n1")] if classes else []))
+    return out.where("n > 0")
+
+
+def source_bytes(df: DataFrame) -> int | None:
+    """The estimated bytes of what a frame reads, summed over its sources (estimates of joins would multiply them); None where
+    Spark knows nothing of one. Columns that aren't read don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(n >= UNKNOWN for n in sizes) else sum(sizes)
+
+
+def _cuts(size: int | None) -> int:
+    """How often values are cut to ranges: not at all up to BYTES_OF_A_RANGE, then once more for each factor of RANGES; twice for an
+    unknown size."""
+    if size is None:
         return 2
-    n = 1
-    while size > BYTES_OF_A_CUT * RANGES ** (n - 1) and n < 4:
+    n = 0
+    while size > BYTES_OF_A_RANGE * RANGES**n and n < 4:
         n += 1
     return n
 
 
 def ranged(rows: DataFrame, by: str = "column", value: str = "value") -> DataFrame:
-    """Adds range: a number that rises with a group's values, cut at approximate quantiles; large inputs' ranges are cut again."""
+    """Adds range: a number that rises with a group's values, cut at approximate quantiles as often as the sources' size asks for."""
     cuts = [i / RANGES for i in range(1, RANGES)]
     out = rows.withColumn("range", F.lit(0).cast("long"))
-    for _ in range(_cuts(rows)):
+    for _ in range(_cuts(source_bytes(rows))):
         edges = out.groupBy(by, "range").agg(F.array_distinct(F.percentile_approx(value, cuts, 1000)).alias("edges"))  # RANGES numbers for each
         inner = F.size(F.filter("edges", lambda e: e < F.col(value)))
         out = out.join(F.broadcast(edges), [by, "range"]).withColumn("range", F.col("range") * RANGES + inner).drop("edges")
@@ -55,6 +88,9 @@ def placed(counts: DataFrame, by: str = "column", weights: Sequence[str] = ("n",
     """Adds before_<w> for each weight: its sum over smaller values of the group.
 
     The ranges' sums meet (a row for each range), and values are sorted within their range alone."""
+    if not _cuts(source_bytes(counts)):
+        below = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("*", *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(f"before_{w}") for w in weights])
     ranged_ = ranged(counts, by)
     totals = ranged_.groupBy(by, "range").agg(*[F.sum(w).alias(f"t_{w}") for w in weights])
     upto = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,18 +51,21 @@ def imbalance(df: DataFrame, y: Column) -> DataFrame:
     return out.select("response_rate", lo.alias("minority_count"), hi.alias("majority_count"), F.when(lo > 0, C.share(hi, lo)).alias("imbalance_ratio"))
 
 
-def class_counts(df: DataFrame, y: Column, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, n1): value counts with the positives among them; what AUC, ranks and bins are made of."""
+def class_counts(df: DataFrame, y: Column, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """(column, value, n, n1): value counts with the positives among them; what AUC, ranks and bins are made of. counts: a value table
+    with this response's classes."""
+    if counts is not None:
+        return ranks.numbers_of(counts, columns, classes=True)
     rows = ranks.long_numbers(df.where(y.isNotNull()), columns, {"y": y.cast("double")})
     return rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("n1"))
 
 
-def numeric_relationships(df: DataFrame, y: Column, columns: Sequence[str]) -> DataFrame:
+def numeric_relationships(df: DataFrame, y: Column, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """AUC, its distance from a half, Mann-Whitney U, Spearman against a 0/1 response, and the sum of tie cubes.
 
     From (value, n, n1) placed by value: U sums, over values, positives times the negatives below them and half of
     those beside them. Needs 3 pairs, 2 values and both classes, else null."""
-    at = ranks.placed(class_counts(df, y, columns).withColumn("n0", F.col("n") - F.col("n1")), "column", ("n", "n0"))
+    at = ranks.placed(class_counts(df, y, columns, counts).withColumn("n0", F.col("n") - F.col("n1")), "column", ("n", "n0"))
     rank, n, n1, n0 = ranks.average_rank(), F.col("n"), F.col("n1"), F.col("n0")
     sums = at.groupBy("column").agg(
         F.sum(n).alias("n"), F.sum(n1).alias("n1"), F.sum(n0).alias("n0"), F.count(F.lit(1)).alias("values"), F.sum(n1 * (F.col("before_n0") + n0 / 2.0)).alias("u"),
@@ -94,10 +97,10 @@ def welch_t(df: DataFrame, y: Column, columns: Sequence[str]) -> DataFrame:
     return C.rows_of(df, out).select("column", F.when(fit, t).alias("t"), F.when(fit, df_).alias("degrees"))
 
 
-def quantile_bins(df: DataFrame, y: Column, columns: Sequence[str], most: int = 10) -> DataFrame:
+def quantile_bins(df: DataFrame, y: Column, columns: Sequence[str], most: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """(column, bin, low, high, n, response_rate): right-closed bins between quantiles, equal edges merged, the lowest edge
     inside the first bin. Of q = min(most, distinct values) bins."""
-    counts = class_counts(df, y, columns)
+    counts = class_counts(df, y, columns, counts)
     sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
     grid = sorted({i / q for q in range(1, most + 1) for i in range(q + 1)})
     found = ranks.quantiles(counts, grid).join(F.broadcast(sizes), "column").withColumn("q_", F.least(F.lit(most), "distinct"))
@@ -127,13 +130,21 @@ def _categories(df: DataFrame, columns: Sequence[str], **kept: Column) -> DataFr
     return df.select(*[c.alias(k) for k, c in kept.items()], F.explode(pairs).alias("p")).select("p.*", *kept)
 
 
-def all_category_rates(df: DataFrame, columns: Sequence[str], y: Column, top: int = 20) -> DataFrame:
-    """(column, category, n, mean_response, place): category_rates() of all columns, in one scan."""
-    out = _categories(df.where(y.isNotNull()), columns, y=y.cast("double")).groupBy("column", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_response"))
+def all_category_rates(df: DataFrame, columns: Sequence[str], y: Column, top: int = 20, counts: DataFrame | None = None) -> DataFrame:
+    """(column, category, n, mean_response, place): category_rates() of all columns, in one scan, or of a value table with this
+    0/1 response's classes."""
+    if counts is None:
+        out = _categories(df.where(y.isNotNull()), columns, y=y.cast("double")).groupBy("column", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_response"))
+    else:
+        out = _of_table(counts, columns).groupBy("column", "category").agg(F.sum(F.col("n1") + F.col("n0")).alias("n"), C.share(F.sum("n1"), F.sum(F.col("n1") + F.col("n0"))).alias("mean_response")).where("n > 0")
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("mean_response"), F.desc("n"), "category"))
     return out.withColumn("place", place).where(F.col("place") <= top)
 
 
+def _of_table(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return counts.where(F.col("column").isin(*columns)).select("column", C.label(F.col("value")).alias("category"), "n1", "n0")
+
+
 def category_rates(df: DataFrame, column: str, y: Column, top: int = 20) -> DataFrame:
     """Count and mean response of each category, highest mean first, then largest, then by name; the first of them."""
     return all_category_rates(df, [column], y, top).select("category", "n", "mean_response", "place").orderBy("place").drop("place")
@@ -145,12 +156,17 @@ def contingency(df: DataFrame, columns: Sequence[str], response: str) -> DataFra
     return rows.groupBy("column", "category", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def chi_squares(df: DataFrame, columns: Sequence[str], response: str) -> DataFrame:
+def chi_squares(df: DataFrame, columns: Sequence[str], response: str, counts: DataFrame | None = None) -> DataFrame:
     """Of each column: chi-squared of independence (with Yates' correction for two by two), its degrees of freedom, and Cramer's V
-    of it. All columns are counted in one scan; a column without rows gives no row.
+    of it. All columns are counted in one scan, or taken from a value table with the response's two classes; a column without
+    rows gives no row.
 
     The sum over all cells of (n - e)**2 / e is the sum of n**2 / e less the total, so cells without rows need no row."""
-    cells = contingency(df, columns, response)
+    if counts is None:
+        cells = contingency(df, columns, response)
+    else:
+        both = F.array(F.struct(F.lit("1").alias("class"), F.col("n1").alias("n")), F.struct(F.lit("0").alias("class"), F.col("n0").alias("n")))
+        cells = _of_table(counts, columns).select("column", "category", F.explode(both).alias("c")).groupBy("column", "category", "c.class").agg(F.sum("c.n").alias("n")).where("n > 0")
     rows = cells.groupBy("column", "category").agg(F.sum("n").alias("row"))
     cols = cells.groupBy("column", "class").agg(F.sum("n").alias("col"))
     n = F.col("n").cast("double")

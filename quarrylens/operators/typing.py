@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import ranks
 
 # Texts that read as booleans, and the rates from which texts count as numbers or dates.
 BOOLEAN_TEXTS = ("true", "false", "t", "f", "yes", "no", "y", "n", "0", "1")
@@ -16,13 +17,13 @@ DATE_SAMPLE, TEXT_SAMPLE = 200, 500
 MIN_TEXT_LENGTH, MIN_TEXT_WORDS = 40, 6
 
 
-def cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct values, their share of the values that are there, and the most frequent one's share.
+def cardinality(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Distinct values, their share of the values that are there, and the most frequent one's share; of a value table, if given.
 
     One unpivoted count for all columns: counting distinct values side by side would multiply the rows by the columns."""
     columns = columns or df.columns
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).cast("string").alias("value")) for c in columns])
-    counts = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = ranks.value_table(df, columns) if counts is None else counts.where(F.col("column").isin(*columns))
+    counts = counts.where(F.col("value").isNotNull())
     small = F.lower(C.stripped(F.col("value"))).isin(*BOOLEAN_TEXTS)
     number = F.col("value").try_cast("double")
     whole = F.abs(number - F.round(number)) <= 1e-8
@@ -36,15 +37,36 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def parse_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shares of the texts that aren't blank which read as numbers, as booleans, and as dates (of one format: the best one; 0 if
     fewer than 85 % have digits or fewer than half a sign that dates have)."""
-    out = []
-    for c in columns:
-        s = C.stripped(C.name(c))
-        filled = F.when(s != "", s)
-        date = F.greatest(*[F.avg(F.when(filled.isNotNull(), C.parsed_time(filled, f).isNotNull().cast("double"))) for f in C.DATE_FORMATS])
-        rate = lambda ok: F.avg(F.when(filled.isNotNull(), ok.cast("double")))  # noqa: E731, B023
-        date = F.when((rate(filled.rlike(r"\d")) < DATE_RATE) | (rate(filled.rlike("[-/:T ]")) < 0.5), 0.0).otherwise(date)
-        out.append(F.struct(F.lit(c).alias("column"), rate(C.parsed_number(filled).isNotNull()).alias("numeric_parse_rate"), date.alias("datetime_parse_rate"), rate(F.lower(filled).isin(*BOOLEAN_TEXTS)).alias("boolean_parse_rate")))
-    return C.rows_of(df, out)
+    filled = F.when(C.stripped(F.col("v")) != "", C.stripped(F.col("v")))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).alias("v")) for c in columns])
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").select("column", filled.alias("v"))
+    rows = rows.withColumn("format", C.date_format(F.col("v")))
+    rate = lambda ok: F.avg(F.when(F.col("v").isNotNull(), F.coalesce(ok, F.lit(False)).cast("double")))
+    date = F.greatest(*[rate(F.col("format") == i) for i in range(len(C.DATE_FORMATS))])
+    date = F.when((rate(F.col("v").rlike(r"\d")) < DATE_RATE) | (rate(F.col("v").rlike("[-/:T ]")) < 0.5), 0.0).otherwise(date)
+    found = rows.groupBy("column").agg(rate(C.parsed_number(F.col("v")).isNotNull()).alias("numeric_parse_rate"), date.alias("datetime_parse_rate"), rate(F.lower("v").isin(*BOOLEAN_TEXTS)).alias("boolean_parse_rate"))
+    return _all_of(df, columns, found)
+
+
+def value_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, kind, n): how many values of each raw text column read as whole, number, boolean, date, blank or other text, in this
+    order. Counts of parts of a table add up. One scan."""
+    v = F.col("v")
+    kind = (
+        F.when(v == "", "blank").when(v.rlike(r"^[+-]?[0-9]{1,18}$"), "whole").when(C.parsed_number(v).isNotNull(), "number")
+        .when(F.lower(v).isin("true", "false"), "boolean").when(C.date_format(v).isNotNull(), "date").otherwise("text")
+    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.stripped(C.name(c)).alias("v")) for c in columns])
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").where(v.isNotNull())
+    return rows.groupBy("column", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mixed_values(kinds: DataFrame) -> DataFrame:
+    """Of value_kinds(): how many kinds each column has (blanks aside, whole numbers being numbers), the most frequent one, and
+    the values of all others."""
+    one = kinds.where("kind <> 'blank'").withColumn("kind", F.when(F.col("kind") == "whole", "number").otherwise(F.col("kind"))).groupBy("column", "kind").agg(F.sum("n").alias("n"))
+    out = one.groupBy("column").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("kind", F.struct("n", "kind")).alias("main_kind"), (F.sum("n") - F.max("n")).alias("other_values"))
+    return out.withColumn("mixed", F.col("kinds") > 1)
 
 
 def _firsts(df: DataFrame, columns: Sequence[str], order: Column, n: int | None) -> DataFrame:
@@ -63,9 +85,9 @@ def _prose() -> list[Column]:
 
 
 def _dates(among: Column) -> Column:
-    v = F.when(among, F.col("v"))
+    v, format_ = F.when(among, F.col("v")), C.date_format(C.stripped(F.col("v")))
     rate = lambda ok: F.avg(F.when(among, ok.cast("double")))
-    parsed = F.greatest(*[rate(C.parsed_time(v, f).isNotNull()) for f in C.DATE_FORMATS])
+    parsed = F.greatest(*[rate(F.coalesce(format_ == i, F.lit(False))) for i in range(len(C.DATE_FORMATS))])
     return F.coalesce((rate(v.rlike(r"\d")) >= DATE_RATE) & (rate(v.rlike("[-/:T ]")) >= 0.5) & (parsed >= DATE_RATE) & (F.count_distinct(v) > 2), F.lit(False)).alias("date_like")
 
 
@@ -98,7 +120,7 @@ def id_like(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cardinality(df, columns).select("column", (hinted | F.coalesce(unique, F.lit(False))).alias("id_like"))
 
 
-def semantic_types(df: DataFrame, near_constant: float = 0.98, high_cardinality: int = 50, dates: Sequence[str] = (), order: Column | None = None) -> DataFrame:
+def semantic_types(df: DataFrame, near_constant: float = 0.98, high_cardinality: int = 50, dates: Sequence[str] = (), order: Column | None = None, counts: DataFrame | None = None) -> DataFrame:
     """One row per column: its cardinality and its semantic type, by the first rule that holds.
 
     all_missing, constant, near_constant, datetime (configured or by type), boolean, binary, numeric_discrete,
@@ -107,7 +129,7 @@ def semantic_types(df: DataFrame, near_constant: float = 0.98, high_cardinality:
     that texts are judged by; without it Spark's own order."""
     order = F.monotonically_increasing_id() if order is None else order
     texts = C.text_columns(df)
-    facts = cardinality(df)
+    facts = cardinality(df, counts=counts)
     is_in = lambda names: F.col("column").isin(*names) if names else F.lit(False)
     number, text, stamp = is_in(C.numeric_columns(df)), is_in(texts), is_in([*C.time_columns(df), *dates])
     if texts:

@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions import special
 from ..operators import bivariate, drift, missingness, ranking, response, text_time, typing, univariate
 from . import rules
-from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, table, view
+from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,10 +46,13 @@ def overview_shape(spark, sf):
     return missingness.shape(table(spark, sf, "lineitem"))
 
 
-@query("""WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber, l_quantity)
+_ALL = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(f"""WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY {_ALL})
 SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, round(sum(n - 1) / CAST(sum(n) AS DOUBLE), 6) AS duplicate_percentage FROM g""")
 def duplicate_rows(spark, sf):
-    return missingness.duplicate_rows(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"))
+    return missingness.duplicate_rows(table(spark, sf, "lineitem"))
 
 
 @query(_each("SELECT '{c}' AS \"column\", count(*) - count(DISTINCT {c}) AS duplicate_values, count(DISTINCT {c}) AS distinct_values FROM orders", ["o_orderkey", "o_custkey"]))
@@ -177,14 +180,6 @@ def id_like(spark, sf):
     return typing.id_like(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
 
 
-@query("SELECT * FROM (VALUES ('first_name', '[\" First Name \", \"first-name\"]')) AS t(normalized_name, names)")
-def name_collisions(spark, sf):
-    found = rules.name_collisions([" First Name ", "first-name", "c_custkey", "Unnamed: 0"])
-    import json
-
-    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "normalized_name string, names string")
-
-
 # one column
 
 
@@ -361,11 +356,29 @@ def high_corr_pairs(spark, sf):
     return bivariate.high_correlations(view(spark, sf, V3_SQL))
 
 
-@query("SELECT 'l_quantity' AS \"left\", 'qty_copy' AS \"right\"")
+def _equal(columns, source) -> str:
+    return "SELECT \"left\", \"right\" FROM (" + "\nUNION ALL\n".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM {source}" for i, a in enumerate(columns) for b in columns[i + 1 :]) + ") WHERE same"
+
+
+@query(_equal([*NUMBERS, "qty_copy", "price2"], f"({V3_SQL})"))
 def duplicate_columns(spark, sf):
     return bivariate.duplicate_columns(view(spark, sf, V3_SQL))
 
 
+_HOLES = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + _corrs(_HOLES, "v"))
+def correlations_by_blocks(spark, sf):
+    """Over the rows where both columns are there; blocks of three columns."""
+    return bivariate.correlations(view(spark, sf, V1_SQL), _HOLES, block=3)
+
+
+@query(f"WITH v AS ({V1_SQL})\n" + "\nUNION ALL\n".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr(CAST({a} IS NULL AS INTEGER), CAST({b} IS NULL AS INTEGER)), 6) AS correlation FROM v" for a, b in _PAIRS))
+def missing_flags_by_blocks(spark, sf):
+    return bivariate.correlations(view(spark, sf, V1_SQL), _GONE, [F.col(c).isNull().cast("double") for c in _GONE], block=2)
+
+
 # groups
 
 
@@ -520,9 +533,6 @@ def group_counts(spark, sf):
 # whole tables and rules, where the queries above show one case
 
 
-_ALL = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-
-
 @query(f"""WITH g AS (SELECT count(*) AS n FROM ({V7_SQL}) GROUP BY {_ALL})
 SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, round(sum(n - 1) / CAST(sum(n) AS DOUBLE), 6) AS duplicate_percentage FROM g""")
 def duplicate_whole_rows(spark, sf):
@@ -618,3 +628,20 @@ def text_response(spark, sf):
 UNION ALL SELECT 'l_tax', 'standardized_mean_difference', round(d, 6), CASE WHEN abs(d) >= 0.5 THEN 'fail' WHEN abs(d) >= 0.2 THEN 'warn' ELSE 'pass' END FROM (SELECT (avg(l_tax) FILTER (WHERE split = 'train') - avg(l_tax) FILTER (WHERE split = 'test')) / sqrt((var_samp(l_tax) FILTER (WHERE split = 'train') + var_samp(l_tax) FILTER (WHERE split = 'test')) / 2) AS d FROM v)""")
 def drift_of_numbers_and_categories(spark, sf):
     return drift.drift(view(spark, sf, V1_SQL), "split", "train", "test", ["l_tax"], ["l_returnflag", "l_linestatus"])
+
+
+_KIND = r"""SELECT '{c}' AS "column", CASE WHEN v = '' THEN 'blank' WHEN regexp_matches(v, '^[+-]?[0-9]{1,18}$') THEN 'whole' WHEN regexp_matches(v, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN 'number'
+  WHEN lower(v) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(v AS DATE) IS NOT NULL THEN 'date' ELSE 'text' END AS kind FROM (SELECT trim({c}) AS v FROM v WHERE {c} IS NOT NULL)"""
+_RAW = ["key_text", "day_text", "odd_text", "o_orderpriority"]
+
+
+@query(f"WITH v AS ({V8_SQL}), k AS (" + _each(_KIND, _RAW) + """)
+SELECT "column", kind, count(*) AS n FROM k GROUP BY "column", kind""")
+def value_kinds(spark, sf):
+    return typing.value_kinds(view(spark, sf, V8_SQL), _RAW)
+
+
+@query(f"WITH v AS ({V8_SQL}), k AS (" + _each(_KIND, _RAW) + """), g AS (SELECT "column", CASE kind WHEN 'whole' THEN 'number' ELSE kind END AS kind, count(*) AS n FROM k WHERE kind <> 'blank' GROUP BY 1, 2)
+SELECT "column", count(*) AS kinds, arg_max(kind, n) AS main_kind, CAST(sum(n) - max(n) AS BIGINT) AS other_values, count(*) > 1 AS mixed FROM g GROUP BY "column" """)
+def mixed_values(spark, sf):
+    return typing.mixed_values(typing.value_kinds(view(spark, sf, V8_SQL), _RAW))

@@ -41,6 +41,10 @@ V6_SQL = """SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) AS empty, 1 AS one, C
 #: Lineitem, and a part of it again.
 V7_SQL = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 9 = 0"
 
+#: Orders as a CSV reader first sees them: everything is text, and one column holds whatever came.
+V8_SQL = """SELECT CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS day_text,
+  CASE o_custkey % 7 WHEN 0 THEN CAST(o_custkey AS VARCHAR(20)) WHEN 1 THEN ' 1.5e3 ' WHEN 2 THEN 'TRUE' WHEN 3 THEN '2024-02-30' WHEN 4 THEN '2024-02-29' WHEN 5 THEN ' ' END AS odd_text, o_orderpriority FROM orders"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a view's SQL over the tables that it names."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ProfileConfig, check
 from ..functions import columns as C
-from ..functions import special
+from ..functions import ranks, special
 from ..functions.jsonable import jsonable, records
 from ..operators import bivariate, drift, missingness, response, text_time, typing, univariate
 from ..sources import tables
@@ -36,10 +36,11 @@ def _by_column(df: DataFrame) -> dict[str, dict]:
     return {r["column"]: r for r in records(df)}
 
 
-def type_summary(df: DataFrame, ordered: DataFrame, config: ProfileConfig, gone: dict[str, dict]) -> dict:
+def type_summary(df: DataFrame, ordered: DataFrame, config: ProfileConfig, gone: dict[str, dict], counts: DataFrame) -> dict:
     """A profile of each column, and counts of what was found."""
     texts = C.text_columns(df)
-    kinds = _by_column(typing.semantic_types(ordered, config.near_constant_threshold, config.high_cardinality_threshold, config.date_columns, F.col(ORDER)).where(F.col("column") != ORDER) if ORDER in ordered.columns else typing.semantic_types(df))
+    dates = typing.semantic_types(ordered.select(*[C.name(c) for c in df.columns], ORDER), config.near_constant_threshold, config.high_cardinality_threshold, config.date_columns, F.col(ORDER), counts)
+    kinds = _by_column(dates.where(F.col("column") != ORDER))
     rates = _by_column(typing.parse_rates(df, texts)) if texts else {}
     samples = {c: [] for c in df.columns}
     firsts = ordered.orderBy(ORDER).limit(typing.DATE_SAMPLE).drop(ORDER).collect()
@@ -100,7 +101,7 @@ def redacted(df: DataFrame, columns: list[str], policy: str) -> DataFrame:
     return df.select([F.when(C.name(c).isNotNull(), F.lit("<REDACTED>")).alias(c) if c in columns and policy == "redacted" else C.name(c) for c in df.columns])
 
 
-def overview(df: DataFrame, ordered: DataFrame, config: ProfileConfig, types: dict) -> dict:
+def overview(df: DataFrame, ordered: DataFrame, config: ProfileConfig, types: dict, size: int | None) -> dict:
     dup = records(missingness.duplicate_rows(df))[0]
     ids = {r["column"]: r["duplicate_values"] for r in records(missingness.duplicate_ids(df, config.id_columns))} if config.id_columns else {}
     hidden = redacted_columns(types, config)
@@ -111,7 +112,7 @@ def overview(df: DataFrame, ordered: DataFrame, config: ProfileConfig, types: di
         elif config.sample_policy == "redacted" and p["name"] in hidden:
             p["sample_values"] = ["<REDACTED>"] if p["sample_values"] else []
     dictionary = [{k: p[k] for k in ("name", "normalized_name", "source_dtype", "semantic_type", "roles", "non_null_count", "missing_count", "missing_percentage", "unique_count", "unique_ratio", "top_frequency_ratio", "warnings", "schema_warnings", "name_warnings", "sample_values")} for p in types["columns"]]
-    return {"dataset_name": config.dataset_name, "row_count": dup["rows"], "column_count": len(df.columns), "memory_usage_bytes": tables.scan_bytes(df), "memory_usage_is_estimate": True, "duplicate_row_count": dup["duplicate_rows"], "duplicate_row_percentage": dup["duplicate_percentage"], "duplicate_id_counts": ids, "type_summary": types["summary"], "sample_policy": config.sample_policy, "sample_rows": rows, "data_dictionary": dictionary}
+    return {"dataset_name": config.dataset_name, "row_count": dup["rows"], "column_count": len(df.columns), "memory_usage_bytes": size, "memory_usage_is_estimate": True, "duplicate_row_count": dup["duplicate_rows"], "duplicate_row_percentage": dup["duplicate_percentage"], "duplicate_id_counts": ids, "type_summary": types["summary"], "sample_policy": config.sample_policy, "sample_rows": rows, "data_dictionary": dictionary}
 
 
 def missing_summary(df: DataFrame, config: ProfileConfig, gone: dict[str, dict], y: F.Column | None) -> dict:
@@ -119,11 +120,9 @@ def missing_summary(df: DataFrame, config: ProfileConfig, gone: dict[str, dict],
     for r in records(missingness.special_missing_codes(df)):
         codes[r["column"]][r["code"]] = r["n"]
     rows = [gone[c] | {"special_missing_code_counts": dict(sorted(codes[c].items()))} for c in df.columns]
-    holes = [c for c in df.columns if gone[c]["missing_count"]]
-    lost = holes[: bivariate.MOST_COLUMNS]
+    lost = [c for c in df.columns if gone[c]["missing_count"]]
     out = {"columns": rows, "row_summary": records(missingness.row_missingness(df))[0], "high_missingness_columns": [{"column": r["column"], "missing_percentage": r["missing_percentage"]} for r in rows if r["missing_percentage"] >= config.high_missingness_threshold]}
-    out["missing_flag_correlation"] = records(missingness.missing_flag_correlation(df, lost)) if len(lost) > 1 else []
-    out["missing_flag_columns_left_out"] = holes[bivariate.MOST_COLUMNS :]
+    out["missing_flag_correlation"] = records(bivariate.missing_flags(df, lost)) if len(lost) > 1 else []
     others = [c for c in df.columns if c != config.response_column]
     out["missingness_by_response"] = records(missingness.missing_by_response(df, y, others)) if y is not None else []
     out["missingness_by_segment"] = [{"segment_column": s} | r for s in config.segment_columns for r in records(missingness.missing_by_segment(df, s, df.columns))]
@@ -135,17 +134,17 @@ CACHED_BYTES = 2 << 30
 _NUMERIC = ("numeric_continuous", "numeric_discrete", "binary")
 
 
-def univariate_summary(df: DataFrame, config: ProfileConfig, types: dict) -> dict:
+def univariate_summary(df: DataFrame, config: ProfileConfig, types: dict, counts: DataFrame) -> dict:
     kinds = {p["name"]: p["semantic_type"] for p in types["columns"]}
     numbers = [c for c in C.numeric_columns(df) if kinds[c] not in ("all_missing",)]
     times = [c for c in C.time_columns(df)]
     rest = [c for c in df.columns if c not in numbers and c not in times]
     shown: dict[str, list] = {c: [] for c in rest}
-    for r in records(univariate.categorical_summary(df, rest, config.max_categories).orderBy("column", "rank")) if rest else []:
+    for r in records(univariate.categorical_summary(df, rest, config.max_categories, counts).orderBy("column", "rank")) if rest else []:
         shown[r["column"]].append({"value": r["value"], "count": r["n"], "percentage": r["percentage"]})
-    rare = _by_column(univariate.rare_categories(df, rest, config.rare_category_threshold)) if rest else {}
+    rare = _by_column(univariate.rare_categories(df, rest, config.rare_category_threshold, counts)) if rest else {}
     categories = [rare[c] | {"top_values": shown[c], "high_cardinality": rare[c]["unique_count"] > config.high_cardinality_threshold} for c in rest if c in rare]
-    return {"numeric": records(univariate.numeric_summary(df, numbers)) if numbers else [], "categorical": categories, "datetime": records(univariate.datetime_summary(df, times)) if times else []}
+    return {"numeric": records(univariate.numeric_summary(df, numbers, counts)) if numbers else [], "categorical": categories, "datetime": records(univariate.datetime_summary(df, times)) if times else []}
 
 
 def _response_warning(config: ProfileConfig, issue: str, severity: str, metric: str, value, threshold, text: str, action: str) -> dict:
@@ -164,15 +163,15 @@ def problem_type(df: DataFrame, config: ProfileConfig, types: dict) -> str:
     return "regression" if number and p["unique_count"] > 10 else "multiclass_classification"
 
 
-def _rates(df: DataFrame, config: ProfileConfig, y: F.Column, columns: list[str]) -> tuple[dict[str, list], dict[str, dict]]:
-    """Of all columns in two scans: the categories' mean responses, and what is rare."""
+def _rates(df: DataFrame, config: ProfileConfig, y: F.Column, columns: list[str], counts: DataFrame, binary: bool) -> tuple[dict[str, list], dict[str, dict]]:
+    """Of all columns: the categories' mean responses, and what is rare."""
     rates: dict[str, list] = {c: [] for c in columns}
-    for r in records(response.all_category_rates(df, columns, y, config.max_categories).orderBy("column", "place")) if columns else []:
+    for r in records(response.all_category_rates(df, columns, y, config.max_categories, counts if binary else None).orderBy("column", "place")) if columns else []:
         rates[r["column"]].append({k: r[k] for k in ("category", "n", "mean_response")})
-    return rates, _by_column(univariate.rare_categories(df, columns, config.rare_category_threshold)) if columns else {}
+    return rates, _by_column(univariate.rare_categories(df, columns, config.rare_category_threshold, counts)) if columns else {}
 
 
-def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Column | None, positive: str | None, classes: list[str]) -> dict:
+def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Column | None, positive: str | None, classes: list[str], counts: DataFrame) -> dict:
     name = config.response_column
     table = records(response.class_table(df, name, positive).orderBy("class"))
     out = {"problem_type": "binary_classification", "available": y is not None, "response_column": name, "classes": classes, "positive_class": positive, "class_counts": {r["class"]: r["n"] for r in table}, "class_table": table, "warnings": [], "feature_relationships": []}
@@ -192,8 +191,8 @@ def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Colum
     numbers = [c for c in features if c in C.numeric_columns(df) and kinds[c] in _NUMERIC]
     found = []
     if numbers:
-        rel = _by_column(response.numeric_relationships(df, y, numbers))
-        bins = response.quantile_bins(df, y, numbers)
+        rel = _by_column(response.numeric_relationships(df, y, numbers, counts))
+        bins = response.quantile_bins(df, y, numbers, counts=counts)
         trend = _by_column(response.bin_trend(bins))
         by_bin: dict[str, list] = {c: [] for c in numbers}
         for r in records(bins.orderBy("column", "bin")):
@@ -213,8 +212,8 @@ def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Colum
                 "mann_whitney_p_value": special.mann_whitney_p(r.get("mann_whitney_u"), r.get("positives", 0), r.get("negatives", 0), r.get("tie_sum", 0.0)) if measured else None,
                 "notes": [] if measured else ["Too few pairs, values or classes."],
             })
-    rates_of, rest = _rates(df, config, y, [c for c in features if c not in numbers])
-    chis = _by_column(response.chi_squares(df.where(y.isNotNull()), list(rest), name)) if rest else {}
+    rates_of, rest = _rates(df, config, y, [c for c in features if c not in numbers], counts, True)
+    chis = _by_column(response.chi_squares(df, list(rest), name, counts)) if rest else {}
     for c in rest:
         rates, chi = rates_of[c], chis.get(c, {})
         means = [r["mean_response"] for r in rates]
@@ -228,7 +227,7 @@ def binary_summary(df: DataFrame, config: ProfileConfig, types: dict, y: F.Colum
     return out
 
 
-def regression_summary(df: DataFrame, config: ProfileConfig, types: dict) -> dict:
+def regression_summary(df: DataFrame, config: ProfileConfig, types: dict, counts: DataFrame) -> dict:
     name = config.response_column
     text = name in C.text_columns(df)
     y = C.parsed_number(C.name(name)) if text else C.as_number(df, name)
@@ -257,7 +256,7 @@ def regression_summary(df: DataFrame, config: ProfileConfig, types: dict) -> dic
     found = {}
     for c, r in (_by_column(response.regression_correlations(df, y, numbers)) if numbers else {}).items():
         found[c] = {"column": c, "relationship_type": "numeric", "n": r["n"], "correlation": r["pearson"], "pearson": r["pearson"], "spearman": r["spearman"], "signal_direction": r["direction"]}
-    rates_of, rest = _rates(df, config, y, [c for c in features if c not in found])
+    rates_of, rest = _rates(df, config, y, [c for c in features if c not in found], counts, False)
     for c in rest:
         means = rates_of[c]
         values = [r["mean_response"] for r in means]
@@ -266,23 +265,23 @@ def regression_summary(df: DataFrame, config: ProfileConfig, types: dict) -> dic
     return out
 
 
-def response_summary(df: DataFrame, config: ProfileConfig, types: dict, kind: str, y, positive, classes) -> dict:
+def response_summary(df: DataFrame, config: ProfileConfig, types: dict, kind: str, y, positive, classes, counts: DataFrame) -> dict:
     if kind == "unsupervised" or not config.response_column:
         return {"problem_type": "unsupervised", "available": False, "response_column": config.response_column, "reason": "No usable response column.", "warnings": [], "feature_relationships": []}
     if kind == "binary_classification":
-        return binary_summary(df, config, types, y, positive, classes)
+        return binary_summary(df, config, types, y, positive, classes, counts)
     if kind == "regression":
-        return regression_summary(df, config, types)
+        return regression_summary(df, config, types, counts)
     table = records(response.class_table(df, config.response_column).orderBy(F.desc("n"), "class").limit(config.max_categories))
     return {"problem_type": kind, "available": True, "response_column": config.response_column, "class_counts": {r["class"]: r["n"] for r in table}, "class_percentages": {r["class"]: r["percentage"] for r in table}, "warnings": [], "feature_relationships": []}
 
 
 def pair_summary(df: DataFrame, config: ProfileConfig) -> dict:
     columns = [c for c in C.numeric_columns(df, booleans=True) if c not in config.excluded()]
-    matrix = records(bivariate.correlation_matrix(df, columns, config.max_correlation_columns)) if len(columns) > 1 else []
+    matrix = records(bivariate.matrix(df, columns[: config.max_correlation_columns])) if len(columns) > 1 else []
     high = sorted((p for p in matrix if p["correlation"] is not None and abs(p["correlation"]) >= config.high_correlation_threshold), key=lambda p: -abs(p["correlation"]))
     same = records(bivariate.duplicate_columns(df, columns)) if len(columns) > 1 else []
-    return {"numeric_correlation_matrix": matrix, "high_correlation_pairs": high, "possible_duplicate_columns": [p | {"reason": "Every value is the same."} for p in same], "correlation_columns_left_out": columns[config.max_correlation_columns :], "comparison_columns_left_out": columns[bivariate.MOST_COMPARED :]}
+    return {"numeric_correlation_matrix": matrix, "high_correlation_pairs": high, "possible_duplicate_columns": [p | {"reason": "Every value is the same."} for p in same], "correlation_columns_left_out": columns[config.max_correlation_columns :], "comparison_columns_left_out": []}
 
 
 def group_summaries(df: DataFrame, config: ProfileConfig, types: dict) -> tuple[dict, dict]:
@@ -351,34 +350,40 @@ def caveats(config: ProfileConfig, resp: dict, left_out: int = 0) -> list[str]:
     if config.profile_depth == "minimal":
         out.append("Minimal depth leaves out correlations, texts and time stamps.")
     if left_out:
-        out.append(f"{left_out} columns were over a limit and are in no correlations or comparisons; they are listed there.")
+        out.append(f"{left_out} columns were over a limit and are in no correlations; they are listed there.")
     return [*out, "Risk signals help a review; they don't approve a model."]
 
 
 def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = False, base_dir: str | Path = "artifacts/runs") -> Result:
     """Profiles a table. An input that is estimated at CACHED_BYTES or less is cached while the passes run; a larger one is read
-    again by each pass, of which there is a fixed number for a set of columns, and each reads the columns it needs."""
+    again by each pass, of which there is a fixed number for a set of columns, and each reads the columns it needs. Values of
+    all columns are counted once, by class of a binary response; types, frequencies, quantiles, outliers, ranks, bins, rates and
+    chi-squares are made of that table, which is kept (on disk where it doesn't fit) until the run ends."""
     config = config or ProfileConfig()
     check(df, config)
     ordered = C.normalised(tables.with_order(df, ORDER))
     clean = C.normalised(df)
-    small = (tables.scan_bytes(df) or CACHED_BYTES + 1) <= CACHED_BYTES
+    size = tables.scan_bytes(df)
+    small = size is not None and size <= CACHED_BYTES
     clean = clean.persist() if small else clean
+    y = positive = counts = None
+    classes: list[str] = []
     try:
-        gone = _by_column(missingness.column_missingness(clean))
-        types = type_summary(clean, ordered, config, gone)
-        shape = overview(clean, ordered, config, types)
-        kind = problem_type(clean, config, types)
-        y = positive = None
-        classes: list[str] = []
-        if kind == "binary_classification" and config.response_column:
+        if config.response_column and config.problem_type in ("auto", "binary_classification"):
             classes = response.classes_of(ordered, config.response_column, F.col(ORDER))
             if len(classes) == 2:
                 positive = response.positive_class(classes)
                 y = response.encoded(C.name(config.response_column), positive, next(c for c in classes if c != positive))
+        counts = ranks.value_table(clean, clean.columns, y).persist()
+        gone = _by_column(missingness.column_missingness(clean))
+        types = type_summary(clean, ordered, config, gone, counts)
+        shape = overview(clean, ordered, config, types, size)
+        kind = problem_type(clean, config, types)
+        if kind != "binary_classification":
+            y = positive = None
         missing = missing_summary(clean, config, gone, y)
-        one = univariate_summary(clean, config, types)
-        resp = response_summary(clean, config, types, kind, y, positive, classes)
+        one = univariate_summary(clean, config, types, counts)
+        resp = response_summary(clean, config, types, kind, y, positive, classes, counts)
         pairs = {"numeric_correlation_matrix": [], "high_correlation_pairs": [], "possible_duplicate_columns": [], "skipped": "profile_depth=minimal"} if config.profile_depth == "minimal" else pair_summary(clean, config)
         quality = rules.quality_warnings(config, types, missing, shape)
         leakage = rules.leakage_warnings(config, types, resp)
@@ -388,12 +393,14 @@ def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = Fa
         profile = profile_summary(clean, ordered, config, types, rules.alerts(missing, pairs, quality, leakage))
         gate = rules.quality_gate(config, shape, resp, missing, pairs, quality, leakage, shift, risks)
     finally:
+        if counts is not None:
+            counts.unpersist()
         if small:
             clean.unpersist()
     packet = jsonable({
         "metadata": TOOL | {"created_at_utc": dt.datetime.now(dt.timezone.utc).isoformat()}, "config": config.to_dict(), "dataset_overview": shape, "profile_summary": profile, "response_summary": resp, "column_type_summary": types,
         "missingness_summary": missing, "univariate_summary": one, "bivariate_summary": pairs, "feature_ranking": ranking, "data_quality_warnings": quality, "leakage_warnings": leakage, "drift_summary": shift, "modeling_risk_summary": risks,
-        "quality_checks": gate, "comparison_summary": compared, "visual_specs": evidence.chart_specs(config, missing, resp, pairs, ranking, shift), "plots": [], "artifacts": [], "external_artifacts": [], "caveats": caveats(config, resp, len({*missing["missing_flag_columns_left_out"], *pairs.get("correlation_columns_left_out", []), *pairs.get("comparison_columns_left_out", [])})),
+        "quality_checks": gate, "comparison_summary": compared, "visual_specs": evidence.chart_specs(config, missing, resp, pairs, ranking, shift), "plots": [], "artifacts": [], "external_artifacts": [], "caveats": caveats(config, resp, len(pairs.get("correlation_columns_left_out", []))),
     })
     text = report.markdown(packet)
     return Result(packet, text, artifacts.export(packet, text, config, Path(base_dir)) if export else None)

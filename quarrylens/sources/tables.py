@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ValidationError, check_labels
 from ..functions import columns as C
+from ..functions import ranks
 
 # Texts that a CSV reader takes as missing.
 NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -87,11 +88,8 @@ def load(spark: SparkSession, path: str, name: str | None = None) -> Loaded:
 
 
 def scan_bytes(df: DataFrame) -> int | None:
-    """What the plan is estimated to read; not the memory that a copy would take."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        return None
+    """What the sources are estimated to hold, not the memory that a copy would take; None where Spark can't tell."""
+    return ranks.source_bytes(df)
 
 
 def with_order(df: DataFrame, name: str = "__order") -> DataFrame:
