@@ -22,8 +22,9 @@ BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
 HOT_IN_BLOCK = 64
 #: Rounds in which the components of a tile are tried against its largest before all pairs between them are.
 ROUNDS = 2
-#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles and rows of a bucket.
-CHUNK, BUCKET_TILES, BUCKET_ROWS = 1024, 2000, 50_000
+#: Members of a tile that are compared at once; larger tiles are cut, and every two cuts meet. Tiles, rows and bytes of bitmaps of a
+#: bucket, and bitmap words that are compared at once.
+CHUNK, BUCKET_TILES, BUCKET_ROWS, BUCKET_BYTES, AT_ONCE = 1024, 2000, 50_000, 32 << 20, 1 << 21
 #: So many nodes whose sets are wanted are told to every task (16 bytes each); of more, the texts are shuffled.
 TOLD_NODES = 500_000
 #: A sketch as four longs.
@@ -183,12 +184,10 @@ def _tiles(docs: DataFrame, n: int, percent: int, shards: int, sent) -> DataFram
                 rows.append(("hot", -1, ((shard[hot] << np.uint64(32)) | key[hot]).astype("<i8").tobytes(), node[at[hot]].astype("<i8").tobytes(), b"", [], []))
                 keep = first | ~hot
                 key, at, shard = key[keep], at[keep], shard[keep]
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in range(shards):
-                lo, hi = cuts[s], cuts[s + 1]
-                if hi > lo:
-                    mine, back = np.unique(at[lo:hi], return_inverse=True)
-                    rows.append(("key", s, common.packed(np.diff(key[lo:hi], prepend=np.uint64(0)).astype("<u4")), common.packed(back.astype("<u4")), node[mine].astype("<i8").tobytes(), [], []))
+            edges = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1, append=-1)).tolist()  # of the shards that occur
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                mine, back = np.unique(at[lo:hi], return_inverse=True)
+                rows.append(("key", int(shard[lo]), common.packed(np.diff(key[lo:hi], prepend=np.uint64(0)).astype("<u4")), common.packed(back.astype("<u4")), node[mine].astype("<i8").tobytes(), [], []))
         for row in rows:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
@@ -231,35 +230,53 @@ def _shared_tiles(table: pa.Table) -> pa.Table:
     return pa.table({"tile": (table["shard"][0].as_py() << 32) | key[shared].astype(np.int64), "x": node[shared]})
 
 
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Parity maps as rows of bytes, folded to a width."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
 def _open_tiles(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of each tile's members, from different components, whose sizes and sketches allow a link."""
+    """Pairs of each tile's members, from different components, whose sizes and bitmaps allow a link. A bitmap is as long as its
+    set's band asks for; the longer of two is folded. Many pairs are compared at once."""
     common.lean()
-    col = {c: np.array(table[c]) for c in ("tile", "upper", "same", "x", "size", "root", *SKETCH)}
+    col = {c: np.array(table[c]) for c in ("tile", "upper", "same", "x", "size", "root")}
+    maps = table["map"].to_pylist()
     order = np.lexsort((col["x"], col["tile"]))
     col = {c: v[order] for c, v in col.items()}
-    sketches = np.stack([col[c].view(np.uint64) for c in SKETCH], 1)
     edges = np.flatnonzero(np.concatenate([[True], col["tile"][1:] != col["tile"][:-1], [True]]))
-    out_x, out_y = [], []
+    out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        root, size, x = (col[c][lo:hi] for c in ("root", "size", "x"))
+        root, size, x, upper = (col[c][lo:hi] for c in ("root", "size", "x", "upper"))
         if (root == root[0]).all():
             continue
-        bits = sketches[lo:hi]
         same = bool(col["same"][lo])
-        left = np.arange(hi - lo) if same else np.flatnonzero(col["upper"][lo:hi])
-        right = np.arange(hi - lo) if same else np.flatnonzero(~col["upper"][lo:hi])
-        for i in left.tolist():
-            js = right[i + 1 :] if same else right
-            js = js[root[js] != root[i]]
-            if not len(js):
-                continue
-            both = size[i] + size[js]
-            overlap = -(-percent * both // (100 + percent))
-            fit = (overlap <= np.minimum(size[i], size[js])) & (np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= both - 2 * overlap)
-            js = js[fit]
-            out_x.append(np.maximum(x[i], x[js]))
-            out_y.append(np.minimum(x[i], x[js]))
-    pairs = np.unique(np.stack([np.concatenate(out_x), np.concatenate(out_y)], 1), axis=0) if out_x else np.zeros((0, 2), np.int64)
+        bits = [maps[i] for i in order[lo:hi].tolist()]
+        width = np.fromiter(map(len, bits), np.int64, len(bits))
+        for w in np.unique(width).tolist():
+            a, b = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+            short = np.empty((len(b), w // 8), np.uint64)
+            for full in np.unique(width[b]).tolist():
+                at = np.flatnonzero(width[b] == full)
+                short[at] = folded(np.frombuffer(b"".join([bits[k] for k in b[at].tolist()]), np.uint8).reshape(len(at), full), w).view(np.uint64)
+            mine = short[np.searchsorted(b, a)]
+            step = max(1, AT_ONCE // max(1, short.size))
+            for start in range(0, len(a), step):
+                i, j = a[start : start + step, None], b[None, :]
+                both = size[i] + size[j]
+                overlap = -(-percent * both // (100 + percent))
+                fit = (root[i] != root[j]) & ((width[j] > w) | (i < j)) & (overlap <= np.minimum(size[i], size[j]))
+                if not same:
+                    fit &= upper[i] != upper[j]
+                if fit.any():
+                    fit &= np.bitwise_count(mine[start : start + step, None, :] ^ short[None, :, :]).sum(2) <= both - 2 * overlap
+                    p, q = np.nonzero(fit)
+                    left, right = x[a[start + p]], x[b[q]]
+                    out_x.append(np.maximum(left, right))
+                    out_y.append(np.minimum(left, right))
+    pairs = np.unique(np.stack([np.concatenate(out_x), np.concatenate(out_y)], 1), axis=0)
     return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
 
 
@@ -337,7 +354,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     scratch = common.Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = int(max(8, min(1 << 20, -(-size // SHARD_BYTES))))
+    shards = int(max(8, -(-size // SHARD_BYTES)))
     sent = spark.sparkContext.broadcast(common_shingles(rows, n, scratch))
     packed, path = scratch.parted(_tiles(rows, n, percent, shards, sent), "part")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -391,8 +408,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         return left if sets is None else scratch.put(_exact(left, sets, percent))
 
     both_ways = lambda e: e.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    stars = tiles.groupBy("tile").agg(F.min("x").alias("y"))
-    tested = scratch.put(both_ways(tiles.join(stars, "tile").where("x <> y")).distinct())
+    in_tiles = tiles.count()
+    of_tile = lambda a, b: a["tile"] == b["of"]
+    stars = scratch.put(tiles.groupBy(F.col("tile").alias("of")).agg(F.min("x").alias("y"), F.count(F.lit(1)).alias("rows")))
+    tested = scratch.put(both_ways(common.joined_by_weight(tiles, stars, of_tile, "rows", in_tiles).where("x <> y")).distinct())
     linked = verified(tested)
     roots = scratch.put(components(linked, scratch))
 
@@ -413,13 +432,19 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
             break
         tested = tested.unionByName(pairs)
         roots = joined(more)
-    now = rooted()
-    mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("tile", "n", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    members = now.join(mixed, "tile").join(nodes.select(F.col("node").alias("x"), "size", *SKETCH).hint("merge"), "x")
+    # a tile of two was settled by its star; of tiles with the same members, one is opened
+    now = scratch.put(rooted())
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "x")).alias(f"m{i}") for i in (1, 2)]
+    mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *marks).where("lo <> hi and n > 2")
+    mixed = scratch.put(mixed.groupBy("n", "m1", "m2").agg(F.min("tile").alias("of")).select("of", "n", F.ceil(F.col("n") / CHUNK).alias("chunks")))
+    members = scratch.put(common.joined_by_weight(now, mixed, of_tile, "n", in_tiles).select("tile", "x", "root", "n", "chunks"))
+    lengths = members.groupBy("x").agg(F.sum("chunks").alias("rows")).join(nodes.select(F.col("node").alias("x"), F.octet_length("map").alias("bytes")).hint("merge"), "x")
+    buckets = max(_buckets(mixed), (lengths.agg(F.sum(F.col("rows") * F.col("bytes"))).first()[0] or 0) // BUCKET_BYTES + 1)
+    members = members.join(nodes.select(F.col("node").alias("x"), "size", "map").hint("merge"), "x")
     own = F.pmod(F.xxhash64("x"), F.col("chunks"))
-    members = members.select("tile", "x", "size", "root", *SKETCH, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", *SKETCH)
-    members = members.withColumn("bucket", F.pmod("tile", F.lit(_buckets(mixed))))
+    members = members.select("tile", "x", "size", "root", "map", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    members = members.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("same"), "x", "size", "root", "map")
+    members = members.withColumn("bucket", F.pmod("tile", F.lit(buckets)))
     opened = members.groupBy("bucket").applyInArrow(lambda t: _open_tiles(t, percent), "x long, y long").distinct()
     more = verified(scratch.put(opened.join(tested, ["x", "y"], "left_anti")))
     if not more.isEmpty():
