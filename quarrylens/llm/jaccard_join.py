@@ -15,7 +15,7 @@ from . import common
 #: A band's largest size is this many times its smallest.
 BAND = 1.5
 #: A shingle that so many texts of one block hold is common; of the common ones, so many are known to all (a bounded table).
-COMMON_IN_BLOCK, COMMON, BLOCK_SHINGLES = 4, 200_000, 2_000_000
+COMMON_IN_BLOCK, COMMON, BLOCK_SHINGLES = 2, 500_000, 2_000_000
 #: Keys are sent on in blocks of about so many.
 BLOCK_KEYS, SHARD_BYTES = 500_000, 8 << 20
 #: A tile that more texts of a block are in goes by rows, which no task has to gather.
