@@ -363,12 +363,14 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; null stays null, all other columns pass through."""
+    """The documents with every span replaced by its kind in brackets; null stays null, all other columns pass through. Bytes that
+    are not UTF-8 are read as U+FFFD. Repeated rows are repeated, an empty table gives an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model or train(labelled_table()))
 
     @F.pandas_udf("string")
     def redacted(texts):  # noqa: ANN001
         out = []
+        texts = [None if t is None else bytes(t).decode(errors="replace") for t in texts]
         for text, spans in zip(texts, find_all([t or "" for t in texts], sent.value), strict=True):
             at, parts = 0, []
             for s, e, k, _ in spans:
@@ -380,7 +382,7 @@ def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text")
 
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text_col, redacted(F.col(f"`{text_col}`")))
+    return docs.withColumn(text_col, redacted(F.col(f"`{text_col}`").cast("binary")))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -123,28 +123,27 @@ def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 20, host_share: fl
 def clean(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The kept documents with all their columns, without the lines that verdicts() removes. Ids should be unique: a row stays
     if a row of its id is kept. The removed lines of a document come back to it as a list of keys. Null and empty texts are
-    not kept, and neither are null ids lost: they are one id. An empty table gives an empty one."""
+    not kept, and neither are null ids lost: they are one id. An empty table gives an empty one. Lines are compared by their bytes;
+    in a text that loses lines, bytes that are not UTF-8 become U+FFFD."""
     verdict, frequent = verdicts(docs, F.col(host_col), id_col=id_col, text_col=text_col, **limits)
     kept_id, gone_id, drop = common.fresh(docs, "kept_id", "gone_id", "drop")
     kept = verdict.where("kept").select(F.col(id_col).alias(kept_id)).distinct()
 
     @F.udf("array<binary>", useArrow=True)
     def keys(text):  # noqa: ANN001
-        return list({k for x in (text or "").encode().split(b"\n") if (k := _line_key(x))})
+        return list({k for x in bytes(text or b"").split(b"\n") if (k := _line_key(x))})
 
     @F.udf("string", useArrow=True)
     def without(text, gone):  # noqa: ANN001
-        if not gone:
-            return text
-        gone = {bytes(x) for x in gone}
-        return b"\n".join(x for x in text.encode().split(b"\n") if _line_key(x) not in gone).decode(errors="replace")
+        gone = {bytes(x) for x in gone or []}
+        return None if text is None else b"\n".join(x for x in bytes(text).split(b"\n") if _line_key(x) not in gone).decode(errors="replace")
 
-    held = docs.select(F.col(id_col).alias(gone_id), F.col(host_col).cast("string").alias("h"), F.explode(keys(F.col(text_col))).alias("key")).distinct()
+    held = docs.select(F.col(id_col).alias(gone_id), F.col(host_col).cast("string").alias("h"), F.explode(keys(F.col(text_col).cast("binary"))).alias("key")).distinct()
     gone = held.join(frequent, (held["key"] == frequent["fkey"]) & held["h"].eqNullSafe(frequent["fh"])).where(F.col("first_id").isNull() | (F.col("first_id") != F.col(gone_id)))
     gone = gone.groupBy(gone_id).agg(F.collect_list("key").alias(drop))
     out = docs.join(kept, docs[id_col].eqNullSafe(kept[kept_id]), "left_semi")
     out = out.join(gone, out[id_col].eqNullSafe(gone[gone_id]), "left")
-    return out.select([(without(F.col(text_col), F.col(drop)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    return out.select([(F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(without(F.col(text_col).cast("binary"), F.col(drop))).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -87,3 +87,15 @@ def test_models_that_rewrite_text_are_refused(tmp_path):
     (tmp_path / "own.model").write_bytes(proto.SerializeToString())
     with pytest.raises(ValueError, match="user-defined"):
         token_counts.prove(str(tmp_path / "own.model"))
+
+
+def test_broken_bytes_are_redacted_and_cleaned(spark):
+    """Bytes that are not UTF-8 end no job, in texts that change and in texts that don't."""
+    from quarrylens.llm import pii, quality_rules
+
+    docs = spark.sql("""select id as doc_id, 'h' as source, cast(concat(X'FF41', cast(concat(' write to a', id, '@example.org now\\n', array_join(transform(sequence(1, 40), k -> concat('w', k, 'of', id)), ' '), '\\nThe same long line is in every document of this host.') as binary)) as string) as text from range(40)
+      union all select 40, 'h', null""")
+    out = {r.doc_id: r.text for r in pii.redact(docs, pii.train(pii.labelled_table())).collect()}
+    assert out[40] is None and all("[email]" in out[i] and "�A" in out[i] for i in range(40))
+    kept = quality_rules.clean(docs, "source").withColumn("text", F.col("text").cast("binary")).collect()
+    assert kept and all(bytes(r.text).decode(errors="replace").startswith("�A") for r in kept)
