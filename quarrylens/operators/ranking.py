@@ -44,6 +44,28 @@ def ranked_features(features: DataFrame) -> DataFrame:
     return features.withColumn("rank", F.row_number().over(w))
 
 
+def leakage_flags(relations: DataFrame, names: DataFrame, high_auc: float = 0.98, separation: float = 0.95) -> DataFrame:
+    """(column, issue_type, severity, metric_value) of what may give a response away: relations has column, auc_abs and
+    response_rate_spread, of which the spread counts only where the AUC doesn't; names has column and suspicious."""
+    auc, spread = F.col("auc_abs"), F.col("response_rate_spread")
+    reason = F.when(auc >= high_auc, "high_auc").when(spread >= separation, "near_perfect_separation")
+    found = relations.select("column", reason.alias("issue_type"), F.lit("high").alias("severity"), F.when(auc >= high_auc, auc).otherwise(spread).alias("metric_value"))
+    named = names.where("suspicious").select("column", F.lit("suspicious_name").alias("issue_type"), F.lit("medium").alias("severity"), F.lit(1.0).alias("metric_value"))
+    return found.where(F.col("issue_type").isNotNull()).unionByName(named)
+
+
+def ranking_of_evidence(columns: DataFrame, missing: DataFrame, relations: DataFrame, quality: DataFrame, leakage: DataFrame) -> DataFrame:
+    """The ranking from five frames joined by column: (column, position), (column, missing_percentage), (column, signal_score), and two of
+    findings with a severity. The findings of a column are added up to its penalty, 1 at most."""
+    weight = F.when(F.col("severity") == "high", 0.5).when(F.col("severity") == "medium", 0.25).otherwise(0.1)
+    sums = lambda df, n: df.groupBy("column").agg(F.sum(weight).alias(f"{n}_weight"), F.array_sort(F.collect_list("issue_type")).alias(f"{n}_issues"))
+    out = columns.join(missing, "column", "left").join(relations, "column", "left").join(sums(quality, "quality"), "column", "left").join(sums(leakage, "leakage"), "column", "left")
+    zero, none = F.lit(0.0), F.array().cast("array<string>")
+    penalty = F.least(F.lit(1.0), F.coalesce("quality_weight", zero) + F.coalesce("leakage_weight", zero))
+    rows = out.select("column", "position", "missing_percentage", "signal_score", penalty.alias("quality_penalty"), F.col("leakage_issues").isNotNull().alias("has_leakage"), F.coalesce("quality_issues", none).alias("data_quality_warnings"), F.coalesce("leakage_issues", none).alias("leakage_warnings"))
+    return ranked_features(rows)
+
+
 def gate(checks: DataFrame) -> DataFrame:
     """Counts of the statuses and the worst of them."""
     n = {s: F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("pass", "warn", "fail", "not_applicable")}

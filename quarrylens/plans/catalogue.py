@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions import special
 from ..operators import bivariate, drift, missingness, ranking, response, text_time, typing, univariate
 from . import rules
-from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, table, view
+from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, V9_SQL, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -645,3 +645,37 @@ def value_kinds(spark, sf):
 SELECT "column", count(*) AS kinds, arg_max(kind, n) AS main_kind, CAST(sum(n) - max(n) AS BIGINT) AS other_values, count(*) > 1 AS mixed FROM g GROUP BY "column" """)
 def mixed_values(spark, sf):
     return typing.mixed_values(typing.value_kinds(view(spark, sf, V8_SQL), _RAW))
+
+
+_SIGNALS = ["l_quantity", "l_discount", "tax_result", "hint"]
+_FOUND = f"WITH v AS ({V9_SQL}), a AS (" + _each(_AUC.replace("round((sum", "((sum").replace("), 6) AS auc", ")) AS auc").replace("FROM lineitem", "FROM v"), _SIGNALS) + "), g AS (" + _each("SELECT '{c}' AS \"column\", 1 - count({c}) / CAST(count(*) AS DOUBLE) AS gone FROM v", _SIGNALS) + """),
+f AS (SELECT "column", gone, greatest(auc, 1 - auc) AS auc_abs, greatest(auc, 1 - auc) >= 0.98 AS leaks, "column" LIKE '%result%' AS named FROM a JOIN g USING ("column"))"""
+
+
+def _leakage(spark, sf):
+    """The view, its relations with the response, and what may leak."""
+    rows = view(spark, sf, V9_SQL)
+    y = response.encoded(F.col("l_linestatus"), "O", "F")
+    found = response.numeric_relationships(rows, y, _SIGNALS).join(response.bin_trend(response.quantile_bins(rows, y, _SIGNALS)).select("column", "response_rate_spread"), "column", "left")
+    names = spark.createDataFrame([(c, rules.suspicious(c)) for c in _SIGNALS], "column string, suspicious boolean")
+    return rows, found, ranking.leakage_flags(found, names)
+
+
+@query(_FOUND + """
+SELECT "column", 'high_auc' AS issue_type, 'high' AS severity, round(auc_abs, 6) AS metric_value FROM f WHERE leaks
+UNION ALL SELECT "column", 'suspicious_name', 'medium', 1e0 FROM f WHERE named""")
+def leakage_flags(spark, sf):
+    return _leakage(spark, sf)[2]
+
+
+@query(_FOUND + """, p AS (SELECT *, CASE WHEN gone >= 0.4 THEN 0.25 ELSE 0 END + CASE WHEN leaks THEN 0.5 ELSE 0 END + CASE WHEN named THEN 0.25 ELSE 0 END AS penalty, 2 * (auc_abs - 0.5) AS s FROM f)
+SELECT "column", round(gone, 6) AS missing_percentage, round(s, 6) AS signal_score, round(penalty, 6) AS quality_penalty, leaks OR named AS has_leakage, CASE WHEN gone >= 0.4 THEN 'high_missingness' ELSE '' END AS data_quality_warnings,
+  CASE WHEN leaks THEN 'high_auc' WHEN named THEN 'suspicious_name' ELSE '' END AS leakage_warnings, CAST(row_number() OVER (ORDER BY leaks OR named DESC, s DESC, penalty) AS INTEGER) AS rank FROM p""")
+def ranking_of_evidence(spark, sf):
+    """Types, missing values, relations, quality and leakage, joined by column."""
+    rows, found, leaks = _leakage(spark, sf)
+    columns = spark.createDataFrame([(c, i) for i, c in enumerate(_SIGNALS)], "column string, position int")
+    signals = found.select("column", (2 * F.abs(F.col("auc_abs") - 0.5)).alias("signal_score"))
+    quality = ranking.quality_flags(rows.select(*_SIGNALS))
+    out = ranking.ranking_of_evidence(columns, missingness.column_missingness(rows, _SIGNALS).select("column", "missing_percentage"), signals, quality, leaks)
+    return out.drop("position").withColumns({c: F.array_join(c, ",") for c in ("data_quality_warnings", "leakage_warnings")})

@@ -45,6 +45,10 @@ V7_SQL = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderk
 V8_SQL = """SELECT CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS day_text,
   CASE o_custkey % 7 WHEN 0 THEN CAST(o_custkey AS VARCHAR(20)) WHEN 1 THEN ' 1.5e3 ' WHEN 2 THEN 'TRUE' WHEN 3 THEN '2024-02-30' WHEN 4 THEN '2024-02-29' WHEN 5 THEN ' ' END AS odd_text, o_orderpriority FROM orders"""
 
+#: Lineitem with missing values and with two columns that tell its status.
+V9_SQL = """SELECT l_linestatus, l_quantity, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS l_discount,
+  CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_tax END AS tax_result, l_linenumber + CASE WHEN l_linestatus = 'O' THEN 100 ELSE 0 END AS hint FROM lineitem"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a view's SQL over the tables that it names."""
