@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import ProfileConfig
 from ..functions import columns as C
 from ..functions import special
-from ..operators import bivariate, drift, missingness, ranking, response, text_time, typing, univariate
+from ..operators import bivariate, drift, missingness, ranking, response, rulebook, text_time, typing, univariate
 from . import rules
-from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, V9_SQL, table, view
+from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, V9_SQL, V10_SQL, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -679,3 +680,121 @@ def ranking_of_evidence(spark, sf):
     quality = ranking.quality_flags(rows.select(*_SIGNALS))
     out = ranking.ranking_of_evidence(columns, missingness.column_missingness(rows, _SIGNALS).select("column", "missing_percentage"), signals, quality, leaks)
     return out.drop("position").withColumns({c: F.array_join(c, ",") for c in ("data_quality_warnings", "leakage_warnings")})
+
+
+# rules as rows: all quality issues, risks and checks of one faulty table
+
+_RULED = ProfileConfig(response_column="l_linestatus", id_columns=("l_orderkey",), train_test_column="split")
+_RULED_NUMBERS = ["l_quantity", "qty_copy", "l_discount", "tax_result", "hint", "price_seen", "moved"]
+_RULED_TEXTS = ["l_linestatus", "part_text", "line_text", "split"]
+_RULED_ALL = ["l_orderkey", *_RULED_NUMBERS, "one", *_RULED_TEXTS]
+
+
+def _issues(*rows: tuple) -> str:
+    """Of (issue, severity, metric, value, threshold, table, condition)."""
+    out = []
+    for i, s, m, v, t, f, w in rows:
+        column = "NULL" if f == "whole" else '"column"'
+        out.append(f"SELECT {column} AS \"column\", '{i}' AS issue_type, '{s}' AS severity, '{m}' AS metric_name, CAST({v} AS DOUBLE) AS metric_value, CAST({t} AS DOUBLE) AS threshold FROM {f} WHERE {w}")
+    return "\nUNION ALL ".join(out)
+
+
+_CODES = "SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IN (-1, -9, -99, 999, 9999, 99999)) AS codes FROM v"
+_TEXT_CODES = "SELECT '{c}' AS \"column\", count(*) FILTER (WHERE lower(trim({c})) IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'unknown', 'unk', 'missing', 'not available')) AS codes FROM v"
+_READS = "SELECT '{c}' AS \"column\", avg(CAST(TRY_CAST({c} AS DOUBLE) IS NOT NULL AS INTEGER)) AS numbers, avg(CAST(lower({c}) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', '0', '1') AS INTEGER)) AS flags FROM v"
+_QUALITY = f"WITH v AS ({V10_SQL}), f AS (" + _each(_FACTS, _RULED_ALL) + "), codes AS (" + _each(_CODES, ["l_orderkey", *_RULED_NUMBERS, "one"]) + "\nUNION ALL\n" + _each(_TEXT_CODES, _RULED_TEXTS) + "), reads AS (" + _each(_READS, _RULED_TEXTS) + """),
+whole AS (SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS again),
+ids AS (SELECT 'l_orderkey' AS "column", count(*) - count(DISTINCT l_orderkey) AS again FROM v), q AS (""" + _issues(
+    ("duplicate_rows", "medium", "duplicate_row_count", "again", 1, "whole", "again > 0"), ("duplicate_id_values", "high", "duplicate_id_count", "again", 1, "ids", "again > 0"),
+    ("numeric_parse_candidate", "low", "numeric_parse_rate", "numbers", 0.95, "reads", "numbers >= 0.95"), ("boolean_parse_candidate", "low", "boolean_parse_rate", "flags", 1, "reads", "flags = 1"),
+    ("all_missing", "high", "non_null_count", "nn", 0, "f", "nn = 0"), ("high_missingness", "medium", "missing_percentage", "gone / CAST(n AS DOUBLE)", 0.4, "f", "nn > 0 AND gone / CAST(n AS DOUBLE) >= 0.4"),
+    ("constant_column", "medium", "unique_count", "u", 1, "f", "u = 1"), ("near_constant_column", "low", "top_frequency_ratio", "top / CAST(nn AS DOUBLE)", 0.98, "f", "u > 1 AND top / CAST(nn AS DOUBLE) >= 0.98"),
+    ("high_cardinality", "medium", "category_count", "u", 51, "f", "u > 50 AND \"column\" LIKE '%text'"), ("id_like_candidate", "low", "unique_ratio", "u / CAST(nn AS DOUBLE)", 0.95, "f", "nn > 0 AND u / CAST(nn AS DOUBLE) >= 0.95 AND n >= 20 AND \"column\" <> 'l_orderkey'"),
+    ("suspicious_column_name", "medium", "suspicious_name", "1", 1, "f", "\"column\" LIKE '%result%'"), ("blank_strings", "low", "blank_string_count", "blanks", 1, "f", "blanks > 0"), ("special_missing_codes", "low", "special_missing_code_count", "codes", 1, "codes", "codes > 0"),
+) + ")"
+
+
+def _ruled(spark, sf):
+    """The view; the evidence of its columns and the quality findings, each taken once."""
+    rows = view(spark, sf, V10_SQL)
+    seen = rulebook.kept(rulebook.column_evidence(rows, _RULED, [c for c in rows.columns if rules.suspicious(c) and c != "l_linestatus"], [len(v) for v in rules.name_collisions(rows.columns).values()]))
+    return rows, seen, rulebook.kept(rulebook.findings(seen, rulebook.quality_rules(_RULED)))
+
+
+@query(_QUALITY + "\nSELECT concat(issue_type, '.', coalesce(\"column\", 'dataset')) AS warning_id, \"column\", issue_type, severity, metric_name, round(metric_value, 6) AS metric_value, threshold FROM q")
+def quality_issues(spark, sf):
+    return _ruled(spark, sf)[2]
+
+
+_PAIRS = [(a, b) for i, a in enumerate(["l_orderkey", *_RULED_NUMBERS]) for b in ["l_orderkey", *_RULED_NUMBERS][i + 1 :]]
+_GAP = "SELECT '{c}' AS \"column\", abs(avg(CASE WHEN l_linestatus = 'O' THEN 1e0 ELSE 0e0 END) FILTER (WHERE {c} IS NULL) - avg(CASE WHEN l_linestatus = 'O' THEN 1e0 ELSE 0e0 END) FILTER (WHERE {c} IS NOT NULL)) AS gap FROM v"
+_SMD = "SELECT '{c}' AS \"column\", 'standardized_mean_difference' AS metric, abs((avg({c}) FILTER (WHERE split = 'train') - avg({c}) FILTER (WHERE split = 'test')) / sqrt((var_samp({c}) FILTER (WHERE split = 'train') + var_samp({c}) FILTER (WHERE split = 'test')) / 2)) AS value FROM v"
+_PSI = """SELECT '{c}', 'population_stability_index', (SELECT abs(sum((a - e) * ln(a / e))) FROM (
+  SELECT count(*) FILTER (WHERE split = 'train') / CAST((SELECT count(*) FROM v WHERE split = 'train') AS DOUBLE) + 1e-6 AS e, count(*) FILTER (WHERE split = 'test') / CAST((SELECT count(*) FROM v WHERE split = 'test') AS DOUBLE) + 1e-6 AS a FROM v GROUP BY {c}))"""
+_PLACE = "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_RULED_NUMBERS)) + " END"
+_RISKS = _QUALITY + ", a AS (" + _each(_AUC.replace("round((sum", "((sum").replace("), 6) AS auc", ")) AS auc").replace("FROM lineitem", "FROM v"), _RULED_NUMBERS) + """),
+k AS (SELECT "column", 'high_auc' AS issue_type, 'high' AS severity, greatest(auc, 1 - auc) AS metric_value FROM a WHERE greatest(auc, 1 - auc) >= 0.98 UNION ALL SELECT "column", 'suspicious_name', 'medium', 1e0 FROM f WHERE "column" LIKE '%result%'),
+gaps AS (""" + _each(_GAP, [c for c in _RULED_ALL if c != "l_linestatus"]) + "), c AS (" + "\nUNION ALL ".join(f"SELECT '{a}' AS \"column\", '{b}' AS other, abs(corr({a}, {b})) AS r, count(*) FILTER (WHERE {a} IS DISTINCT FROM {b}) = 0 AS same FROM v" for a, b in _PAIRS) + """),
+d AS (""" + _each(_SMD, _RULED_NUMBERS) + "\nUNION ALL " + _each(_PSI, ["part_text", "line_text"]) + """),
+weights AS (SELECT "column", CASE severity WHEN 'high' THEN 0.5 WHEN 'medium' THEN 0.25 ELSE 0.1 END AS w FROM (SELECT "column", severity FROM q UNION ALL SELECT "column", severity FROM k)),
+pen AS (SELECT "column", least(1e0, CAST(sum(w) AS DOUBLE)) AS penalty FROM weights GROUP BY "column"),
+ranked AS (SELECT "column", penalty, row_number() OVER (ORDER BY leaks DESC, s DESC, penalty, """ + _PLACE + """) AS rank FROM (SELECT "column", coalesce(penalty, 0) AS penalty, 2 * (greatest(auc, 1 - auc) - 0.5) AS s, "column" IN (SELECT "column" FROM k) AS leaks FROM a LEFT JOIN pen USING ("column"))),
+even AS (SELECT greatest(o, n - o) / CAST(least(o, n - o) AS DOUBLE) AS ratio FROM (SELECT count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'O') AS o FROM v)),
+risk AS (SELECT concat('leakage.', "column", '.', issue_type) AS risk_id, 'leakage' AS category, severity, "column", NULL AS related_column, issue_type AS metric_name, metric_value FROM k
+UNION ALL SELECT concat(category, '.', issue_type, '.', coalesce("column", 'dataset')), category, severity, "column", NULL, metric_name, metric_value FROM (SELECT *, CASE WHEN issue_type = 'high_cardinality' THEN 'cardinality' WHEN issue_type = 'id_like_candidate' THEN 'identifier'
+  WHEN issue_type IN ('high_missingness', 'all_missing') THEN 'missingness' WHEN issue_type LIKE '%constant_column' THEN 'sparsity' WHEN issue_type LIKE '%parse_candidate' THEN 'schema' END AS category FROM q) WHERE category IS NOT NULL
+UNION ALL SELECT concat('cardinality.', "column"), 'cardinality', 'medium', "column", NULL, metric_name, metric_value FROM q WHERE issue_type = 'high_cardinality'
+UNION ALL SELECT concat('sparsity.', "column"), 'sparsity', severity, "column", NULL, metric_name, metric_value FROM q WHERE issue_type LIKE '%constant_column' AND "column" NOT IN ('l_linestatus', 'split', 'l_orderkey')
+UNION ALL SELECT concat('missingness_response.', "column"), 'missingness', 'medium', "column", NULL, 'response_rate_gap', gap FROM gaps WHERE gap >= 0.2
+UNION ALL SELECT concat('correlation.', "column", '.', other), 'correlation', 'medium', "column", other, 'abs_correlation', r FROM c WHERE r >= 0.8
+UNION ALL SELECT concat('duplicate_column.', "column", '.', other), 'duplicate_column', 'medium', "column", other, 'duplicate_column_pair', 1 FROM c WHERE same
+UNION ALL SELECT concat('drift.', "column", '.', metric), 'drift', CASE WHEN value >= 0.5 THEN 'high' ELSE 'medium' END, "column", NULL, metric, value FROM d WHERE value >= 0.2
+UNION ALL SELECT 'response.severe_class_imbalance', 'response', 'high', 'l_linestatus', NULL, 'imbalance_ratio', ratio FROM even WHERE ratio >= 10
+UNION ALL SELECT concat('ranked_feature_quality.', "column"), 'ranked_feature_quality', 'medium', "column", NULL, 'quality_penalty', penalty FROM ranked WHERE rank <= 10 AND penalty >= 0.5)"""
+
+
+def _at_risk(spark, sf):
+    """Evidence of all sources, quality, leakage and risks of the view, each taken once."""
+    rows, seen, quality = _ruled(spark, sf)
+    y = response.encoded(F.col("l_linestatus"), "O", "F")
+    found = response.numeric_relationships(rows, y, _RULED_NUMBERS).join(response.bin_trend(response.quantile_bins(rows, y, _RULED_NUMBERS)).select("column", "response_rate_spread"), "column", "left")
+    names = spark.createDataFrame([(c, rules.suspicious(c)) for c in rows.columns if c != "l_linestatus"], "column string, suspicious boolean")
+    found = rulebook.kept(found.select("column", "auc_abs", "response_rate_spread"))
+    leaks = rulebook.kept(ranking.leakage_flags(found, names))
+    places = spark.createDataFrame([(c, i) for i, c in enumerate(_RULED_NUMBERS)], "column string, position int")
+    signals = found.select("column", (2 * F.abs(F.col("auc_abs") - 0.5)).alias("signal_score"))
+    gone = seen.where("metric = 'missing_percentage'").select("column", F.col("value").alias("missing_percentage"))
+    ranked = ranking.ranking_of_evidence(places, gone, signals, quality, leaks).where("rank <= 10 AND signal_score IS NOT NULL")
+    numbers, ev = C.numeric_columns(rows, booleans=True), rulebook.evidence
+    others = [c for c in rows.columns if c != "l_linestatus"]
+    parts = (
+        seen, ev(missingness.missing_by_response(rows, y, others), "missing_by_response", "response_rate_gap", F.abs("response_rate_gap")), ev(bivariate.high_correlations(rows, numbers, _RULED.high_correlation_threshold), "pairs", "abs_correlation", F.abs("correlation"), "left", "right"),
+        ev(bivariate.duplicate_columns(rows, numbers), "pairs", "duplicate_column_pair", F.lit(1), "left", "right"), ev(drift.drift(rows, "split", "train", "test", _RULED_NUMBERS, ["part_text", "line_text"]), "drift", F.col("metric"), F.abs("value")),
+        ev(response.imbalance(rows, y), "response", "imbalance_ratio", "imbalance_ratio", F.lit("l_linestatus")), ev(spark.range(1), "response", "positive_class", F.lit(1), F.lit("l_linestatus")), ev(ranked, "ranking", "quality_penalty", "quality_penalty"),
+    )
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = rulebook.kept(every.where(F.col("value").isNotNull()))
+    return every, quality, leaks, rulebook.risks(every, quality, leaks, _RULED)
+
+
+@query(_RISKS + "\nSELECT risk_id, category, severity, \"column\", related_column, metric_name, round(metric_value, 6) AS metric_value FROM risk")
+def modeling_risks(spark, sf):
+    return _at_risk(spark, sf)[3]
+
+
+@query(_RISKS + """, gate AS (SELECT 'quality' AS part, concat('quality.', issue_type, '.', coalesce("column", 'dataset'), '.', coalesce("column", 'dataset')) AS check_id, CASE severity WHEN 'high' THEN 'fail' ELSE 'warn' END AS status FROM q
+UNION ALL SELECT 'leakage', concat('leakage.', "column"), CASE severity WHEN 'high' THEN 'fail' ELSE 'warn' END FROM k
+UNION ALL SELECT 'missingness', concat('missingness.high.', "column"), CASE WHEN gone / CAST(n AS DOUBLE) >= 0.95 THEN 'fail' ELSE 'warn' END FROM f WHERE gone / CAST(n AS DOUBLE) >= 0.4
+UNION ALL SELECT 'correlation', concat('correlation.high.', "column", '.', other), 'warn' FROM c WHERE r >= 0.8
+UNION ALL SELECT 'drift', concat('drift.', metric, '.', "column"), CASE WHEN value >= 0.5 THEN 'fail' ELSE 'warn' END FROM d WHERE value >= 0.2
+UNION ALL SELECT 'response', 'response.severe_class_imbalance.l_linestatus', 'fail' FROM even WHERE ratio >= 10
+UNION ALL SELECT 'response', 'response.positive_class_auto_selected.l_linestatus', 'pass'
+UNION ALL SELECT 'modeling_risk', concat('modeling_risk.', risk_id), CASE severity WHEN 'high' THEN 'fail' ELSE 'warn' END FROM risk UNION ALL SELECT 'dataset', 'dataset.non_empty', 'pass')
+SELECT * FROM gate
+UNION ALL SELECT p, c, 'pass' FROM (VALUES ('missingness', 'missingness.high_columns'), ('correlation', 'correlation.high_pairs'), ('drift', 'drift.thresholds'), ('modeling_risk', 'modeling_risk.review_queue')) AS quiet (p, c) WHERE p NOT IN (SELECT part FROM gate)""")
+def gate_checks(spark, sf):
+    """All parts of the gate; those without a finding pass."""
+    every, quality, leaks, at_risk = _at_risk(spark, sf)
+    return rulebook.checks(every, quality, leaks, at_risk, _RULED, compared=True)

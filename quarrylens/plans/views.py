@@ -49,6 +49,14 @@ V8_SQL = """SELECT CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(CAST(o_orde
 V9_SQL = """SELECT l_linestatus, l_quantity, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS l_discount,
   CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_tax END AS tax_result, l_linenumber + CASE WHEN l_linestatus = 'O' THEN 100 ELSE 0 END AS hint FROM lineitem"""
 
+#: Lineitem with a fault for each rule: a status that one column gives away and another misses with, equal, constant, shifted and
+#: half empty columns, numbers and many names kept as texts.
+V10_SQL = """SELECT l_orderkey, l_linestatus, l_quantity, l_quantity AS qty_copy, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS l_discount,
+  CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_tax END AS tax_result, l_linenumber + CASE WHEN l_linestatus = 'O' THEN 100 ELSE 0 END AS hint,
+  CASE WHEN l_linestatus = 'O' AND l_orderkey % 3 > 0 THEN NULL ELSE l_extendedprice END AS price_seen,
+  CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN l_tax ELSE l_tax + 0.02 END AS moved, 1 AS one, concat('P', l_partkey) AS part_text,
+  CAST(l_linenumber AS VARCHAR(5)) AS line_text, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'train' ELSE 'test' END AS split FROM lineitem"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a view's SQL over the tables that it names."""
