@@ -16,7 +16,7 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("table")
     p.add_argument("--config", help="a JSON file of settings")
-    p.add_argument("--out", default="artifacts/runs")
+    p.add_argument("--out", default="artifacts/runs", help="a local folder, or a URI of a shared one")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("quarrylens").config("spark.sql.caseSensitive", "true").getOrCreate()
     found = tables.load(spark, a.table)

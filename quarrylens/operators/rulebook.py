@@ -68,6 +68,27 @@ def risk_rules(config: ProfileConfig) -> list[Rule]:
     ]
 
 
+def regression_rules() -> list[Rule]:
+    """Of a numeric response."""
+    at_least = lambda metric, low, label, severity: Rule("regression", metric, low, INF, label, severity)
+    return [
+        at_least("missing_response_count", 1, "missing_response_values", "high"), at_least("parse_failure_count", 1, "unparseable_regression_response_values", "medium"), at_least("numeric_parse_rate", typing.NUMBER_RATE, "numeric_string_response_inferred_as_regression", "medium"),
+        Rule("regression", "count", 0, 3, "unusable_regression_response", "high"), at_least("zero_variance", 1, "zero_variance_regression_response", "high"), at_least("iqr_outlier_count", 1, "regression_response_outliers", "medium"), at_least("skewness_size", 2, "skewed_regression_response", "medium"),
+    ]
+
+
+def regression_evidence(target: DataFrame, response: str, text: bool) -> DataFrame:
+    """Of response.regression_target(). A text's parse rate counts, that of a number doesn't; of fewer than three numbers nothing
+    else of their spread is told."""
+    n, d = F.col("count"), lambda c: c.cast("double")
+    given = {
+        "missing_response_count": F.col("missing_count") - F.col("parse_failure_count"), "parse_failure_count": F.col("parse_failure_count"), "numeric_parse_rate": C.share(n, n + F.col("parse_failure_count")) if text else F.lit(None),
+        "count": n, "zero_variance": F.when(n >= 3, F.col("zero_variance").cast("int")), "iqr_outlier_count": F.when(n >= 3, F.col("iqr_outlier_count")), "skewness_size": F.when(n >= 3, F.abs("skewness")),
+    }
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), d(v).alias("value")) for m, v in given.items()]))
+    return evidence(target.select(long.alias("e")), "regression", F.col("e.metric"), "e.value", F.lit(response)).where(F.col("value").isNotNull())
+
+
 def named(name: Column) -> Column:
     """A name as a part of an id."""
     return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(F.trim(name)), "[^0-9a-z]+", "_"), F.lit("_")), F.lit("")), F.lit("dataset"))

@@ -14,7 +14,7 @@ from ..functions import columns as C
 from ..functions import special
 from ..operators import bivariate, drift, missingness, ranking, response, rulebook, text_time, typing, univariate
 from . import rules
-from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, V9_SQL, V10_SQL, table, view
+from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, V9_SQL, V10_SQL, V11_SQL, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -798,3 +798,32 @@ def gate_checks(spark, sf):
     """All parts of the gate; those without a finding pass."""
     every, quality, leaks, at_risk = _at_risk(spark, sf)
     return rulebook.checks(every, quality, leaks, at_risk, _RULED, compared=True)
+
+
+@query(f"""WITH v AS ({V11_SQL}), r AS (SELECT paid, TRY_CAST(paid AS DOUBLE) AS y FROM v),
+s AS (SELECT count(*) - count(paid) AS gone, count(paid) - count(y) AS failed, count(y) / CAST(count(paid) AS DOUBLE) AS rate, count(y) AS n, abs(skewness(y)) AS skew, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3, min(y) = max(y) AS flat FROM r),
+o AS (SELECT count(*) AS far FROM r, s WHERE y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1))
+SELECT 'missing_response_values.paid' AS warning_id, 'high' AS severity, 'missing_response_count' AS metric_name, CAST(gone AS DOUBLE) AS metric_value FROM s WHERE gone > 0
+UNION ALL SELECT 'unparseable_regression_response_values.paid', 'medium', 'parse_failure_count', CAST(failed AS DOUBLE) FROM s WHERE failed > 0
+UNION ALL SELECT 'numeric_string_response_inferred_as_regression.paid', 'medium', 'numeric_parse_rate', round(rate, 6) FROM s WHERE rate >= 0.95
+UNION ALL SELECT 'unusable_regression_response.paid', 'high', 'count', CAST(n AS DOUBLE) FROM s WHERE n < 3
+UNION ALL SELECT 'zero_variance_regression_response.paid', 'high', 'zero_variance', 1e0 FROM s WHERE flat AND n >= 3
+UNION ALL SELECT 'regression_response_outliers.paid', 'medium', 'iqr_outlier_count', CAST(far AS DOUBLE) FROM o WHERE far > 0
+UNION ALL SELECT 'skewed_regression_response.paid', 'medium', 'skewness_size', round(skew, 6) FROM s WHERE skew >= 2""")
+def regression_warnings(spark, sf):
+    target = response.regression_target(view(spark, sf, V11_SQL), "paid")
+    return rulebook.findings(rulebook.regression_evidence(target, "paid", True), rulebook.regression_rules()).select("warning_id", "severity", "metric_name", "metric_value")
+
+
+#: The middle of Student's distribution by Simpson's rule.
+_MIDDLE = "list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(i * abs(t) / 4000, 2) / d, -(d + 1) / 2))) * abs(t) / 12000 * exp(lgamma((d + 1) / 2) - lgamma(d / 2)) / sqrt(d * pi())"
+
+
+@query("WITH w AS (" + _each(f"""SELECT '{{c}}' AS "column", (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)) AS d FROM (
+  SELECT avg(x) FILTER (WHERE y = 1) AS m1, avg(x) FILTER (WHERE y = 0) AS m0, var_samp(x) FILTER (WHERE y = 1) AS v1, var_samp(x) FILTER (WHERE y = 0) AS v0, count(x) FILTER (WHERE y = 1) AS n1, count(x) FILTER (WHERE y = 0) AS n0
+  FROM (SELECT {{c}} AS x, {_Y} AS y FROM lineitem))""", NUMBERS) + f""")
+SELECT "column", round(t, 6) AS t, round(greatest(0e0, 1 - 2 * {_MIDDLE}), 6) AS p_value FROM w""")
+def welch_p_values(spark, sf):
+    """Two-sided; the tail is taken on the driver, for a row of each column."""
+    found = response.welch_t(table(spark, sf, "lineitem"), _y(), NUMBERS).collect()
+    return spark.createDataFrame([(r["column"], r["t"], special.t_p(r["t"], r["degrees"])) for r in found], "column string, t double, p_value double")

@@ -57,6 +57,10 @@ V10_SQL = """SELECT l_orderkey, l_linestatus, l_quantity, l_quantity AS qty_copy
   CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN l_tax ELSE l_tax + 0.02 END AS moved, 1 AS one, concat('P', l_partkey) AS part_text,
   CAST(l_linenumber AS VARCHAR(5)) AS line_text, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'train' ELSE 'test' END AS split FROM lineitem"""
 
+#: Orders with a skewed response that is kept as text, misses some values, and has some that are no numbers.
+V11_SQL = """SELECT o_orderkey, CASE WHEN o_custkey % 50 = 0 THEN NULL WHEN o_custkey % 50 = 1 THEN 'soon' WHEN o_orderkey % 40 = 2 THEN CAST(o_custkey * 1000 AS VARCHAR(20))
+  ELSE CAST(o_custkey AS VARCHAR(20)) END AS paid FROM orders"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a view's SQL over the tables that it names."""

@@ -19,7 +19,7 @@ from ..functions import ranks, special
 from ..functions.jsonable import jsonable, records
 from ..operators import bivariate, drift, missingness, response, text_time, typing, univariate
 from ..sources import tables
-from . import artifacts, evidence, report, rules
+from . import artifacts, evidence, report, rules, shared_runs
 
 ORDER = "__order"
 TOOL = {"tool_name": "quarrylens", "tool_version": "0.1.0"}
@@ -29,7 +29,7 @@ TOOL = {"tool_name": "quarrylens", "tool_version": "0.1.0"}
 class Result:
     packet: dict
     markdown: str
-    folder: Path | None = None
+    folder: Path | str | None = None
 
 
 def _by_column(df: DataFrame) -> dict[str, dict]:
@@ -358,7 +358,8 @@ def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = Fa
     """Profiles a table. An input that is estimated at CACHED_BYTES or less is cached while the passes run; a larger one is read
     again by each pass, of which there is a fixed number for a set of columns, and each reads the columns it needs. Values of
     all columns are counted once, by class of a binary response; types, frequencies, quantiles, outliers, ranks, bins, rates and
-    chi-squares are made of that table, which is kept (on disk where it doesn't fit) until the run ends."""
+    chi-squares are made of that table, which is kept (on disk where it doesn't fit) until the run ends. base_dir is a local folder, or a
+    URI of any file system that Spark reaches."""
     config = config or ProfileConfig()
     check(df, config)
     ordered = C.normalised(tables.with_order(df, ORDER))
@@ -403,4 +404,8 @@ def run(df: DataFrame, config: ProfileConfig | None = None, *, export: bool = Fa
         "quality_checks": gate, "comparison_summary": compared, "visual_specs": evidence.chart_specs(config, missing, resp, pairs, ranking, shift), "plots": [], "artifacts": [], "external_artifacts": [], "caveats": caveats(config, resp, len(pairs.get("correlation_columns_left_out", []))),
     })
     text = report.markdown(packet)
-    return Result(packet, text, artifacts.export(packet, text, config, Path(base_dir)) if export else None)
+    if not export:
+        return Result(packet, text, None)
+    if "://" in str(base_dir):
+        return Result(packet, text, f"{base_dir}/{shared_runs.export(df.sparkSession, packet, text, config, str(base_dir))}")
+    return Result(packet, text, artifacts.export(packet, text, config, Path(base_dir)))

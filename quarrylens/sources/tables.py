@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +93,24 @@ def scan_bytes(df: DataFrame) -> int | None:
     return ranks.source_bytes(df)
 
 
-def with_order(df: DataFrame, name: str = "__order") -> DataFrame:
-    """Adds the source's row order: file and row where the frame is a Parquet scan itself, else Spark's own order."""
+def _scanned(df: DataFrame) -> bool:
+    """Whether rows come straight from files, at most chosen and computed on."""
     plan = df._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString():
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_order(df: DataFrame, name: str = "__order") -> DataFrame:
+    """Adds the source's row order, the same however files are split, filtered or read again: file and row of Parquet; of other
+    files (CSV) file, start of the block, and place among the rows of its task, which reads a block from its start to its end. Frames that
+    aren't read straight from files get Spark's own order."""
+    if not _scanned(df):
+        return df.withColumn(name, F.monotonically_increasing_id())
+    try:
         return df.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
-    return df.withColumn(name, F.monotonically_increasing_id())
+    except AnalysisException:  # only Parquet has row_index
+        return df.withColumn(name, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")))
 
 
 def fingerprint(df: DataFrame, name: str) -> str:
