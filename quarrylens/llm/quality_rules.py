@@ -56,21 +56,8 @@ def _line_key(line: bytes) -> bytes | None:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 20, host_share: float = 0.0, min_words: int = 20, min_left: int = 5, keep_share: float = 0.3, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """One row for each row of docs: id, base counts, base_failed, n_words_left, kept; and the frequent lines (host, key, documents,
-    first_id).
-
-    base_failed: under min_words words, or over max_repeat_percent of them in repeated 8-word windows. A line (stripped, A-Z
-    lower-cased, with a word) is frequent in a host if more documents hold it than the largest of min_docs, the square root of the
-    host's documents, and host_share of them; every row is a document. Frequent lines are removed. One that no more different texts than that hold
-    is frequent by copies: it stays in the document of smallest id, so that of a page and its many copies one is kept. A
-    document is depleted, and not kept, if without what is removed it has under min_left words or under keep_share of them.
-    Null and empty texts have no words and fail; null hosts are one host; null ids and repeated rows each give a row (a line
-    whose holders all have null ids stays nowhere); an empty table gives empty ones; other columns are not read.
-
-    Lines move as 16-byte keys, counted by text and then by line with partial sums, so neither a hot host nor a hot line meets
-    in one task. What returns to a document is a number of words; texts with very many copies get it by broadcast (there
-    are a thousand of them at most), and texts without words not at all."""
+def _lines(docs: DataFrame, host: F.Column, id_col: str, text_col: str, scratch: common.Scratch) -> DataFrame:
+    """k (id), h (host), th (hash of the text), base counts, and the keys of the text's different lines with their words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -90,20 +77,29 @@ def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 20, host_share: fl
 
         return f
 
-    scratch = common.Scratch(docs.sparkSession, "quality")
     src = docs.select(F.col(id_col).alias("k"), host.cast("string").alias("h"), F.col(text_col).alias("t"))
-    rows = common.over_batches(src, make, f"k {kind}, h string, th binary, " + ", ".join(f"{c} long" for c in _COUNTS) + ", keys array<binary>, words array<long>", "t")
-    rows = scratch.put(rows)
-    held = rows.select("k", "h", "th", F.explode(F.arrays_zip("keys", "words")).alias("x")).select("k", "h", "th", F.col("x.keys").alias("key"), F.col("x.words").alias("w"))
-    held = scratch.put(held.groupBy("h", "key", "th").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("copies"), F.min("k").alias("k")))
-    lines = held.groupBy("h", "key").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts"), F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("first")).where(F.col("n") > min_docs)
-    hosts = rows.groupBy(F.col("h").alias("hh")).agg(F.greatest(F.lit(float(min_docs)), F.sqrt(F.count(F.lit(1))), host_share * F.count(F.lit(1))).alias("most"))
-    frequent = lines.join(hosts, lines["h"].eqNullSafe(hosts["hh"])).where(F.col("n") > F.col("most"))
-    frequent = scratch.put(frequent.select(F.col("h").alias("fh"), F.col("key").alias("fkey"), "n", "texts", F.when(F.col("texts") <= F.col("most"), F.col("first")).alias("first")))
+    return scratch.put(common.over_batches(src, make, f"k {kind}, h string, th binary, " + ", ".join(f"{c} long" for c in _COUNTS) + ", keys array<binary>, words array<long>", "t"))
+
+
+def _frequent(rows: DataFrame, min_docs: int, host_share: float, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Lines by host and text (h, key, th, w words, copies of the text), and those lines of a host (fh, fkey) that n documents hold,
+    over its limit; texts tells how many different texts hold one."""
+    held = rows.select("h", "th", F.explode(F.arrays_zip("keys", "words")).alias("x")).select("h", "th", F.col("x.keys").alias("key"), F.col("x.words").alias("w"))
+    held = scratch.put(held.groupBy("h", "key", "th").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("copies")))
+    lines = held.groupBy("h", "key").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts")).where(F.col("n") > min_docs)
+    if host_share:
+        hosts = rows.groupBy(F.col("h").alias("hh")).agg((host_share * F.count(F.lit(1))).alias("most"))
+        lines = lines.join(hosts, lines["h"].eqNullSafe(hosts["hh"])).where(F.col("n") > F.col("most"))
+    return held, scratch.put(lines.select(F.col("h").alias("fh"), F.col("key").alias("fkey"), "n", "texts"))
+
+
+def _same_line(a: DataFrame, b: DataFrame) -> F.Column:
+    return (a["key"] == b["fkey"]) & a["h"].eqNullSafe(b["fh"])
+
+
+def _judge(rows: DataFrame, held: DataFrame, frequent: DataFrame, min_words: int, min_left: int, keep_share: float, max_repeat_percent: int) -> DataFrame:
     total = held.count()
-    by_line = frequent.select("fh", "fkey", F.col("texts").alias("weight"), "first")
-    found = common.joined_by_weight(held, by_line, lambda a, b: (a["key"] == b["fkey"]) & a["h"].eqNullSafe(b["fh"]), "weight", total)
-    spared = found.where(F.col("th") == F.col("first.th")).groupBy(F.col("h").alias("sh"), F.col("first.k").alias("sk")).agg(F.sum("w").alias("spared"))
+    found = common.joined_by_weight(held, frequent.select("fh", "fkey", F.col("texts").alias("weight")), _same_line, "weight", total)
     gone = found.groupBy(F.col("h").alias("gh"), F.col("th").alias("gth")).agg(F.sum("w").alias("gone"), F.max("copies").alias("copies"))
     same = lambda a, b: (a["th"] == b["gth"]) & a["h"].eqNullSafe(b["gh"])
     given = rows.select("k", "h", "th", *_COUNTS)
@@ -111,36 +107,54 @@ def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 20, host_share: fl
     hot, cold = F.broadcast(gone.where(F.col("copies") >= limit)), gone.where(F.col("copies") < limit)
     some = given.where("n_words > 0")
     rest = some.join(hot, same(some, hot), "left_anti")
-    columns = ["k", "h", *_COUNTS, F.coalesce("gone", F.lit(0)).alias("gone")]
+    columns = ["k", *_COUNTS, F.coalesce("gone", F.lit(0)).alias("gone")]
     out = some.join(hot, same(some, hot)).select(columns).unionByName(rest.join(cold, same(rest, cold), "left").select(columns)).unionByName(given.where("n_words = 0").withColumn("gone", F.lit(0)).select(columns))
-    out = out.join(spared, (out["k"] == spared["sk"]) & out["h"].eqNullSafe(spared["sh"]), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    left = F.col("n_words") - F.col("gone") + F.coalesce("spared", F.lit(0))
-    out = out.select(F.col("k").alias(id_col), *_COUNTS, failed.alias("base_failed"), left.alias("n_words_left"), (~failed & (left >= min_left) & (left >= keep_share * F.col("n_words"))).alias("kept"))
-    return out, frequent.select("fh", "fkey", "n", F.col("first.k").alias("first_id"))
+    left = F.col("n_words") - F.col("gone")
+    return out.select("k", *_COUNTS, failed.alias("base_failed"), left.alias("n_words_left"), (~failed & (left >= min_left) & (left >= keep_share * F.col("n_words"))).alias("kept"))
 
 
-def clean(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The kept documents with all their columns, without the lines that verdicts() removes. Ids should be unique: a row stays
-    if a row of its id is kept. The removed lines of a document come back to it as a list of keys. Null and empty texts are
-    not kept, and neither are null ids lost: they are one id. An empty table gives an empty one. Lines are compared by their bytes;
-    in a text that loses lines, bytes that are not UTF-8 become U+FFFD."""
-    verdict, frequent = verdicts(docs, F.col(host_col), id_col=id_col, text_col=text_col, **limits)
-    kept_id, gone_id, drop = common.fresh(docs, "kept_id", "gone_id", "drop")
-    kept = verdict.where("kept").select(F.col(id_col).alias(kept_id)).distinct()
+def verdicts(docs: DataFrame, host: F.Column, min_docs: int = 10, host_share: float = 0.0, min_words: int = 20, min_left: int = 5, keep_share: float = 0.3, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """One row for each row of docs: id, base counts, base_failed, n_words_left, kept; and the frequent lines (host, key, documents).
+
+    base_failed: under min_words words, or over max_repeat_percent of them in repeated 8-word windows. A line (stripped, A-Z
+    lower-cased, with a word) is frequent in a host if more than min_docs of its documents, and more than host_share of them, hold it; every
+    row is a document, exact copies, too. Frequent lines are removed. A document is depleted, and not kept, if without them it has
+    under min_left words or under keep_share of them; of a page with more than min_docs copies in a host none is kept.
+    Null and empty texts have no words and fail; null hosts are one host; null ids and repeated rows each give a row; an empty
+    table gives empty ones; other columns are not read.
+
+    Lines move as 16-byte keys, counted by text and then by line with partial sums, so neither a hot host nor a hot line meets
+    in one task. What returns to a document is a number of words; texts with very many copies get it by broadcast (there
+    are a thousand of them at most), and texts without words not at all."""
+    scratch = common.Scratch(docs.sparkSession, "quality")
+    rows = _lines(docs, host, id_col, text_col, scratch)
+    held, frequent = _frequent(rows, min_docs, host_share, scratch)
+    return _judge(rows, held, frequent, min_words, min_left, keep_share, max_repeat_percent).withColumnRenamed("k", id_col), frequent.select("fh", "fkey", "n")
 
-    @F.udf("array<binary>", useArrow=True)
-    def keys(text):  # noqa: ANN001
-        return list({k for x in bytes(text or b"").split(b"\n") if (k := _line_key(x))})
+
+def clean(docs: DataFrame, host_col: str, min_docs: int = 10, host_share: float = 0.0, min_words: int = 20, min_left: int = 5, keep_share: float = 0.3, max_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that verdicts() keeps, with all their columns, without the lines that it removes. Ids should be unique: a row
+    stays if a row of its id is kept. Texts are hashed once; what a document has to lose comes back to it as a list of keys, one for
+    each of its frequent lines at most. Null and empty texts are not kept, and neither are null ids lost: they are one id. An
+    empty table gives an empty one. Lines are compared by their bytes; in a text that loses lines, bytes that are not UTF-8
+    become U+FFFD."""
+    scratch = common.Scratch(docs.sparkSession, "quality")
+    rows = _lines(docs, F.col(host_col), id_col, text_col, scratch)
+    held, frequent = _frequent(rows, min_docs, host_share, scratch)
+    kept_id, gone_id, drop = common.fresh(docs, "kept_id", "gone_id", "drop")
+    judged = _judge(rows, held, frequent, min_words, min_left, keep_share, max_repeat_percent)
+    kept = judged.where("kept").select(F.col("k").alias(kept_id)).distinct()
 
     @F.udf("string", useArrow=True)
     def without(text, gone):  # noqa: ANN001
         gone = {bytes(x) for x in gone or []}
         return None if text is None else b"\n".join(x for x in bytes(text).split(b"\n") if _line_key(x) not in gone).decode(errors="replace")
 
-    held = docs.select(F.col(id_col).alias(gone_id), F.col(host_col).cast("string").alias("h"), F.explode(keys(F.col(text_col).cast("binary"))).alias("key")).distinct()
-    gone = held.join(frequent, (held["key"] == frequent["fkey"]) & held["h"].eqNullSafe(frequent["fh"])).where(F.col("first_id").isNull() | (F.col("first_id") != F.col(gone_id)))
-    gone = gone.groupBy(gone_id).agg(F.collect_list("key").alias(drop))
+    lines = rows.select(F.col("k").alias(gone_id), "h", F.explode("keys").alias("key"))
+    by_line = frequent.select("fh", "fkey", F.col("n").alias("weight"))
+    gone = common.joined_by_weight(lines, by_line, _same_line, "weight", lines.count())
+    gone = gone.groupBy(gone_id).agg(F.collect_set("key").alias(drop))
     out = docs.join(kept, docs[id_col].eqNullSafe(kept[kept_id]), "left_semi")
     out = out.join(gone, out[id_col].eqNullSafe(gone[gone_id]), "left")
     return out.select([(F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(without(F.col(text_col).cast("binary"), F.col(drop))).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])

@@ -60,22 +60,22 @@ def test_frequent_lines_of_a_host(spark, odd_docs, no_docs):
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
     menu = " ".join(f"menu{j}" for j in range(25))
     rows = [(i, f"{menu}\n{body(i)}", "a") for i in range(10)] + [(100 + i, f"{menu.upper()}\nonly {i}", "a") for i in range(3)] + [(200, f"{menu}\nother host", "b")]
-    rows += [(300 + i, body(999), "a") for i in range(20)]  # of copies, one is kept
+    rows += [(300 + i, body(999), "a") for i in range(20)]  # copies are documents: each of their lines is frequent
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string")
     out, frequent = quality_rules.verdicts(docs, F.col("host"), min_docs=5, host_share=0.1)
     kept = {r.doc_id: r.kept for r in out.collect()}
-    assert all(kept[i] for i in range(10)) and not any(kept[100 + i] for i in range(3)) and kept[200] and [i for i in range(20) if kept[300 + i]] == [0]
-    assert {(r.n, r.first_id) for r in frequent.collect()} == {(13, None), (20, 300)}
+    assert all(kept[i] for i in range(10)) and not any(kept[100 + i] for i in range(3)) and kept[200] and not any(kept[300 + i] for i in range(20))
+    assert {r.n for r in frequent.collect()} == {13, 20}
     texts = {r.doc_id: r.text for r in quality_rules.clean(docs, "host", min_docs=5, host_share=0.1).collect()}
-    assert texts[0] == body(0) and texts[200].startswith("menu0") and 100 not in texts and texts[300] == body(999) and 301 not in texts
+    assert texts[0] == body(0) and texts[200].startswith("menu0") and 100 not in texts and len(texts) == 11
     out, _ = quality_rules.verdicts(odd_docs, F.col("source"))
     rows = odd_docs.select("doc_id", "text").collect()
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.collect()), key=str) == sorted(((r.doc_id, *(b := brute_base(r.text or "")), b[0] < 20 or 100 * b[4] > 30 * b[0]) for r in rows), key=str)
     assert quality_rules.verdicts(no_docs, F.col("source"))[0].count() == 0
 
 
-@pytest.mark.parametrize("least_hot", [1000, 3])
-def test_verdicts_by_brute_force(spark, monkeypatch, least_hot):
+@pytest.mark.parametrize(("least_hot", "share"), [(1000, 0.0), (3, 0.15)])
+def test_verdicts_by_brute_force(spark, monkeypatch, least_hot, share):
     monkeypatch.setattr(common, "LEAST_HOT", least_hot)
     r = random.Random(11)
     line = lambda: " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(1, 12)))
@@ -91,15 +91,18 @@ def test_verdicts_by_brute_force(spark, monkeypatch, least_hot):
     for i, t, h in rows:
         for k in {key_of(x) for x in (t or "").split("\n")} - {""}:
             holders[h, k].append((i, t))
-    most = {h: max(8, n**0.5) for h, n in size.items()}
-    frequent = {x: (None if len({t for _, t in v}) > most[x[0]] else min(v)[0]) for x, v in holders.items() if len(v) > most[x[0]]}
+    most = {h: max(8, share * n) for h, n in size.items()}
+    frequent = {x for x, v in holders.items() if len(v) > most[x[0]]}
     want = {}
     for i, t, h in rows:
-        n, left = brute_base(t or "")[0], [x for x in (t or "").split("\n") if not ((h, key_of(x)) in frequent and frequent[h, key_of(x)] != i)]
+        n, left = brute_base(t or "")[0], [x for x in (t or "").split("\n") if (h, key_of(x)) not in frequent]
         base, words = brute_base(t or ""), sum(len(x.split()) for x in left)
         failed = n < 6 or 100 * base[4] > 30 * n
         want[i] = (failed, words, not failed and words >= 5 and words >= 0.3 * n)
-    out, found = quality_rules.verdicts(docs, F.col("host"), min_docs=8, min_words=6)
+    out, found = quality_rules.verdicts(docs, F.col("host"), min_docs=8, host_share=share, min_words=6)
     assert {x.doc_id: (x.base_failed, x.n_words_left, x.kept) for x in out.collect()} == want
-    assert {(x.fh, x.n, x.first_id) for x in found.collect()} == {(h, len(holders[h, k]), first) for (h, k), first in frequent.items()}
-    assert None in frequent.values() and any(v is not None for v in frequent.values()) and sum(w[2] for w in want.values()) not in (0, len(want))
+    assert sorted((str(x.fh), x.n) for x in found.collect()) == sorted((str(h), len(holders[h, k])) for h, k in frequent)
+    depleted = [i for i, w in want.items() if not w[0] and not w[2]]
+    assert depleted and frequent and any(w[2] for w in want.values())
+    texts = {x.doc_id: x.text for x in quality_rules.clean(docs, "host", min_docs=8, host_share=share, min_words=6).collect()}
+    assert texts == {i: "\n".join(x for x in t.split("\n") if (h, key_of(x)) not in frequent) for i, t, h in rows if want[i][2]}
