@@ -146,14 +146,9 @@ class Aligner:
         return list(zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), count.tolist(), strict=True))
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One for each worker process."""
-    if (a_path, b_path) not in _ALIGNERS:
-        _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
-    return _ALIGNERS[a_path, b_path]
+    """The worker's aligner of these files."""
+    return common.model(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:

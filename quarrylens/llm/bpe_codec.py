@@ -180,14 +180,9 @@ class Codec:
         return b"".join([table[i] for i in ids if 0 <= i < size]).decode(errors="replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One for each worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """The worker's codec of that file."""
+    return common.model(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -210,7 +205,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     src = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = common.over_batches(src, make, f"k {kind}, ids array<int>" + ", decoded string" * decoded, "t")
+    out = common.over_batches(src, make, f"k {kind}, ids array<int>" + ", decoded string" * decoded, "t", ("codec", path))
     return out.withColumnRenamed("k", id_col)
 
 

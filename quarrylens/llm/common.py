@@ -123,6 +123,28 @@ def lean() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+#: The large model that a worker process holds from task to task, by its name: one at most.
+_MODEL: dict[tuple, object] = {}
+
+
+def model(name: tuple, make: Callable):
+    """The worker's model of that name; it takes the place of any other, with all that the other remembered."""
+    if name not in _MODEL:
+        drop_model()
+        _MODEL[name] = make()
+    return _MODEL[name]
+
+
+def drop_model(but: tuple | None = None) -> None:
+    """Frees the worker's model unless it is of that name. Workers serve all stages of an application, and what an earlier one
+    remembers would stand beside a later one's tables."""
+    if not _MODEL or but in _MODEL:
+        return
+    _MODEL.clear()
+    with contextlib.suppress(OSError, AttributeError):  # as in lean()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes: first all lowest bytes, then the next, and so on, so that small numbers cost little."""
     x = np.ascontiguousarray(x)
@@ -173,8 +195,9 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         start = stop
 
 
-def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow over pieces of batches. make() runs once a task and gives f(piece) -> arrays in the order of the schema."""
+def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", holds: tuple | None = None) -> DataFrame:
+    """mapInArrow over pieces of batches. make() runs once a task and gives f(piece) -> arrays in the order of the schema. A model
+    that the worker holds goes, but for the one named."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -182,6 +205,7 @@ def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text:
 
     def run(batches):
         lean()
+        drop_model(holds)
         f = make()
         for batch in batches:
             for piece in pieces(batch, text):

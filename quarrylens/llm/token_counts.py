@@ -84,9 +84,6 @@ def prove(path: str) -> frozenset[str]:
     return frozenset(t for t, n in zip(texts, c.count_chunks(texts), strict=True) if n == 1)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row, in one narrow pass.
 
@@ -96,9 +93,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     whole = docs.sparkSession.sparkContext.broadcast(prove(path))
 
     def make():
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(path, whole.value)
-        c = _COUNTERS[path]
+        c = common.model(("counter", path), lambda: Counter(path, whole.value))
 
         def f(piece: pa.RecordBatch):
             texts = common.column(piece, "t")
@@ -108,7 +103,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = common.over_batches(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), make, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean", "t")
+    out = common.over_batches(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), make, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean", "t", ("counter", path))
     return out.withColumnRenamed("k", id_col)
 
 

@@ -370,6 +370,7 @@ def keep(docs: DataFrame, index: Index, threshold: float = 0.3, text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        common.drop_model()
         ix = sent.value
         for batch in batches:
             for piece in common.pieces(batch, text_col):

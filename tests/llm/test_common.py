@@ -99,3 +99,20 @@ def test_broken_bytes_are_redacted_and_cleaned(spark):
     assert out[40] is None and all("[email]" in out[i] and "�A" in out[i] for i in range(40))
     kept = quality_rules.clean(docs, "source").withColumn("text", F.col("text").cast("binary")).collect()
     assert kept and all(bytes(r.text).decode(errors="replace").startswith("�A") for r in kept)
+
+
+def test_a_worker_holds_one_model():
+    made = []
+    get = lambda name: common.model(name, lambda: made.append(name) or [name])
+    first = get(("a", 1))
+    assert get(("a", 1)) is first
+    common.drop_model(("a", 1))
+    assert get(("a", 1)) is first and made == [("a", 1)]
+    get(("b", 1))
+    assert list(common._MODEL) == [("b", 1)]
+    common.drop_model()
+    assert not common._MODEL
+    get(("a", 1))
+    assert made == [("a", 1), ("b", 1), ("a", 1)]
+    common.drop_model(("b", 1))
+    assert not common._MODEL
