@@ -28,14 +28,37 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def refused(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that Codec does not do, so that its ids would be others than the library's."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    found = ["a normaliser"] if spec.get("normalizer") is not None else []
+    if model.get("type", "BPE") != "BPE":
+        found.append(f"a model of type {model['type']}")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        found.append("words that are not split as byte-level BPE without a leading space does")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        found.append("a decoder that is not byte-level")
+    found += [f"the model's {k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd = [x["content"] for x in spec["added_tokens"] if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")]
+    if odd:
+        found.append(f"added tokens that take white space, only whole words or normalised text: {odd[:5]}")
+    letters = set(_byte_letters())
+    if missing := letters - model["vocab"].keys():
+        found.append(f"a vocabulary without {len(missing)} of the bytes")
+    return found
+
+
 class Codec:
     """Greedy longest match proposes a word's tokens. A proposal holds if each of its tokens encodes as itself and
     every two neighbours, encoded together, come out as these two: a token sequence with only such pairs is the one that
     merging gives. Pairs are tested at once, as codes in a sorted array, and each distinct pair is merged just once.
-    Words whose proposal fails are merged exactly."""
+    Words whose proposal fails are merged exactly. A file that asks for anything else is refused."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path))
+        with open(path) as file:
+            spec = json.load(file)
+        if found := refused(spec):
+            raise ValueError(f"{path} can't be followed: it has {'; '.join(found)}")
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -210,12 +233,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds decoded; null ids give null."""
+    """Adds decoded, and keeps every row and column. Null ids give null, an empty list gives an empty text, null members and ids
+    outside of the vocabulary give nothing; repeated rows are repeated; an empty table gives an empty one; a column named decoded
+    is replaced."""
 
     @F.pandas_udf("string")
     def decoded(ids):  # noqa: ANN001
         c = codec(path)
-        return ids.map(lambda x: None if x is None else c.decode([i for i in x if i is not None]))
+        return ids.map(lambda x: None if x is None else c.decode([int(i) for i in x if i is not None and i == i]))  # a null among numbers is NaN here
 
     return encoded.withColumn("decoded", decoded(ids_col))
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -43,6 +44,34 @@ def test_decoding_of_broken_ids():
     assert codec.decode([10**6, -1]) == ""
 
 
+@pytest.mark.parametrize(
+    ("part", "value", "told"),
+    [
+        ("normalizer", {"type": "NFC"}, "normaliser"), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}, "split"), ("pre_tokenizer", None, "split"),
+        ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}, "split"), ("decoder", None, "decoder"), ("model.ignore_merges", True, "ignore_merges"),
+        ("model.dropout", 0.1, "dropout"), ("model.end_of_word_suffix", "</w>", "suffix"), ("added.lstrip", True, "white space"), ("added.single_word", True, "whole words"), ("added.normalized", True, "normalised"),
+    ],
+)
+def test_files_that_cannot_be_followed(tmp_path, part, value, told):
+    spec = json.load(open(BPE))
+    where, _, key = part.rpartition(".")
+    ({"": spec, "model": spec["model"], "added": spec["added_tokens"][0]}[where])[key] = value
+    (tmp_path / "odd.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match=told):
+        bpe_codec.Codec(str(tmp_path / "odd.json"))
+
+
+def test_decoding_of_frames(spark):
+    rows = [(1, [464, None, 3797], "a"), (2, None, "b"), (3, [], "c"), (3, [], "c"), (4, [10**6, -1, 464], None)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string")
+    library = Tokenizer.from_file(BPE)
+    got = bpe_codec.decode(df, BPE)
+    assert got.columns == df.columns
+    word = library.decode([464], skip_special_tokens=False)
+    assert sorted((r.doc_id, r.decoded) for r in got.collect()) == [(1, library.decode([464, 3797], skip_special_tokens=False)), (2, None), (3, ""), (3, ""), (4, word)]
+    assert bpe_codec.decode(df.limit(0), BPE).count() == 0
+
+
 def test_counts_equal_the_library(texts):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     whole = token_counts.prove(PIECE)
