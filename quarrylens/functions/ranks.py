@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .columns import as_number, name
 
 #: Ranges that a column's values are cut to at once, and bytes of the sources up to which a range is left whole.
-RANGES, BYTES_OF_A_RANGE = 32, 128 << 20
+RANGES, BYTES_OF_A_RANGE = 32, 16 << 20
 #: Spark's estimate of a source that it knows nothing of is as large as a number can be.
 UNKNOWN = 1 << 60
 
