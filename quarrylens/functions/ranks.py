@@ -5,7 +5,8 @@ approximate quantiles, counted by range, and only numbered within their range. C
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .columns import as_number, name
 
 #: Ranges that a column's values are cut to at once, and bytes of the sources up to which a range is left whole.
 RANGES, BYTES_OF_A_RANGE = 32, 16 << 20
+#: Columns up to which each is counted by a pass of its own, if its table is read straight from files.
+PASSES = 50
 #: Spark's estimate of a source that it knows nothing of is as large as a number can be.
 UNKNOWN = 1 << 60
 
@@ -31,18 +34,58 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_numbers(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scanned(df: DataFrame) -> bool:
+    """Whether rows come straight from files or a cache, at most chosen and computed on: a pass for each column then reads that column
+    alone, so all of them read no more than one pass."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() in ("LogicalRelation", "InMemoryRelation")
+
+
+def by_passes(df: DataFrame, columns: Sequence[str]) -> bool:
+    return 0 < len(columns) <= PASSES and scanned(df)
+
+
+def united(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@contextlib.contextmanager
+def held(counts: DataFrame) -> Iterator[DataFrame]:
+    """Counts that several passes are made of, taken once and let go at the end (on disk where they don't fit). What is made of
+    them has to be taken by then. Their size is known from then on, not estimated from the sources."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a union has so many for each column
+    counts = counts.coalesce(tasks).persist()
+    try:
+        counts.count()
+        yield counts
+    finally:
+        counts.unpersist()
+
+
 def value_table(df: DataFrame, columns: Sequence[str], y: Column | None = None) -> DataFrame:
-    """(column, value, number, n, n1, n0) of columns of any type, from one scan: each value as text (null is one) and, of numbers and
+    """(column, value, number, n, n1, n0) of columns of any type: each value as text (null is one) and, of numbers and
     booleans, as a double; its rows, and those of class 1 and 0 of a response. What cardinality, frequencies, quantiles,
-    outliers, ranks, bins and category rates are made of."""
+    outliers, ranks, bins and category rates are made of.
+
+    Few columns of files are counted one by one in their own type, and only different values are written as texts; others
+    are unpivoted in one scan."""
     plain = (T.NumericType, T.BooleanType)
     real = (T.DoubleType, T.FloatType)
-    text = lambda c: (name(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, real) else name(c)).cast("string")  # noqa: E731  # -0.0 is 0.0
-    number = lambda c: as_number(df, c) if isinstance(df.schema[c].dataType, plain) else F.lit(None).cast("double")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value"), number(c).alias("number")) for c in columns])
-    given = F.lit(None).cast("double") if y is None else y.cast("double")
-    rows = df.select(given.alias("y"), F.explode(pairs).alias("p")).select("y", "p.*")
-    return rows.groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    text = lambda d, c: (name(c) + F.lit(0.0) if isinstance(d.schema[c].dataType, real) else name(c)).cast("string").alias("value")  # noqa: E731  # -0.0 is 0.0
+    number = lambda d, c: (as_number(d, c) if isinstance(d.schema[c].dataType, plain) else F.lit(None).cast("double")).alias("number")
+    given = (F.lit(None).cast("double") if y is None else y.cast("double")).alias("y")
+    n = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")]
+    if by_passes(df, columns):
+        counted = [(c, df.select(name(c).alias("v"), given).groupBy("v").agg(*n)) for c in columns]
+        return united([d.select(F.lit(c).alias("column"), text(d, "v"), number(d, "v"), "n", "n1", "n0") for c, d in counted])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(df, c), number(df, c)) for c in columns])
+    rows = df.select(given, F.explode(pairs).alias("p")).select("y", "p.*")
+    return rows.groupBy("column", "value", "number").agg(*n)
 
 
 def numbers_of(counts: DataFrame, columns: Sequence[str], classes: bool = False) -> DataFrame:
@@ -115,15 +158,3 @@ def quantiles(counts: DataFrame, probabilities: Sequence[float], by: str = "colu
 def average_rank() -> Column:
     """Of a placed value: the mean of the ranks that its copies take, from 1."""
     return F.col("before_n") + (F.col("n") + 1) / 2.0
-
-
-def with_ranks(pairs: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Adds to (column, <values>, n) rows the average rank r_<value> of each value within the column. Pairs are counted before,
-    so a value that many rows hold is a row for each value beside it; where these are very many, the adaptive plan
-    splits them (the ranks' side of the join has one row for each value)."""
-    out = pairs
-    for v in values:
-        counts = pairs.groupBy("column", F.col(v).alias("value")).agg(F.sum("n").alias("n"))
-        ranks = placed(counts).select("column", F.col("value").alias(v), average_rank().alias(f"r_{v}"))
-        out = out.join(ranks, ["column", v])
-    return out

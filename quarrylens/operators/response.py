@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import ranks
 
+#: Different values of a column up to which their ranks are broadcast.
+FEW_VALUES = 100_000
 # Labels that mark the positive class.
 POSITIVE_LABELS = ("1", "true", "t", "yes", "y", "positive", "event", "bad", "claim", "lapse")
 
@@ -198,17 +200,45 @@ def regression_target(df: DataFrame, response: str) -> DataFrame:
     return facts.withColumn("column", F.lit("y")).join(univariate.numeric_summary(y, ["y"]), "column").drop("column").withColumn("zero_variance", F.coalesce(F.col("min") == F.col("max"), F.lit(False)))
 
 
+def _paired(data: DataFrame, columns: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
+    """(column, x, y) rows where both are there, with the columns that they are of: a frame for each column where these read no more
+    than one for all."""
+    y = F.col("__y").cast("double").alias("y")
+    if ranks.by_passes(data, columns):
+        return [([c], data.select(F.lit(c).alias("column"), C.name(c).alias("x"), y).where(F.col("x").isNotNull() & F.col("y").isNotNull())) for c in columns]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).alias("x")) for c in columns])).alias("v")
+    return [(list(columns), data.where(F.col("__y").isNotNull()).select(pairs, y).select("v.column", "v.x", "y").where(F.col("x").isNotNull()))]
+
+
+def rank_sums(data: DataFrame, columns: Sequence[str], few: int = FEW_VALUES) -> DataFrame:
+    """(column, m, sx, sy, sxx, syy, sxy): of each column's pairs with __y their number, and the sums of both average ranks, their
+    squares and their products; taken at once, a row for each column.
+
+    The ranks of x are added up by value of y, so next to what comes from the scan there are rows only for different values of
+    either side, never for different pairs. Up to so many ranks of x are broadcast to the rows, more are joined by value."""
+    parts, n = _paired(data, columns), F.count(F.lit(1)).alias("n")
+    w = lambda e: F.sum(F.col("n") * e)
+    with ranks.held(ranks.united([p.groupBy("column", F.col("x").alias("value")).agg(n) for _, p in parts])) as xs:
+        different = {r["column"]: r["n"] for r in xs.groupBy("column").agg(n).collect()}
+        placed = ranks.placed(xs).select("column", F.col("value").alias("x"), "n", ranks.average_rank().alias("rx"))
+        by_y = []
+        for names, p in parts:
+            known = placed.where(F.col("column").isin(*names)).drop("n")
+            known = F.broadcast(known) if sum(different.get(c, 0) for c in names) <= few else known
+            by_y.append(p.join(known, ["column", "x"]).groupBy("column", F.col("y").alias("value")).agg(n, F.sum("rx").alias("s")))
+        with ranks.held(ranks.united(by_y)) as ys:
+            ry, rx = ranks.average_rank(), F.col("rx")
+            of_x = placed.groupBy("column").agg(w(rx).alias("sx"), w(rx * rx).alias("sxx"))
+            of_y = ranks.placed(ys).groupBy("column").agg(F.sum("n").alias("m"), w(ry).alias("sy"), w(ry * ry).alias("syy"), F.sum(F.col("s") * ry).alias("sxy"))
+            out = of_y.join(F.broadcast(of_x), "column")  # a row for each column
+            return data.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
 def regression_correlations(df: DataFrame, y: Column, columns: Sequence[str]) -> DataFrame:
     """Pearson and Spearman of each column with a numeric response; needs 3 pairs and 2 values."""
     data = df.select(y.alias("__y"), *[C.as_number(df, c).alias(c) for c in columns])
     pearson = C.rows_of(data, [F.struct(F.lit(c).alias("column"), F.count(F.when(C.name(c).isNotNull() & F.col("__y").isNotNull(), 1)).alias("n"), C.correlation(C.name(c), F.col("__y")).alias("pearson")) for c in columns])
-    # Spearman of all columns at once, over counts of different pairs of values
-    values = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).alias("x")) for c in columns])
-    rows = data.where(F.col("__y").isNotNull()).select(F.explode(values).alias("v"), F.col("__y").cast("double").alias("y")).select("v.column", "v.x", "y").where(F.col("x").isNotNull())
-    pairs = rows.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    at = ranks.with_ranks(pairs, ["x", "y"])
-    rx, ry, w = F.col("r_x"), F.col("r_y"), lambda e: F.sum(F.col("n") * e)
-    sums = at.groupBy("column").agg(F.sum("n").alias("m"), w(rx).alias("sx"), w(ry).alias("sy"), w(rx * rx).alias("sxx"), w(ry * ry).alias("syy"), w(rx * ry).alias("sxy"))
+    sums = rank_sums(data, columns)
     d = lambda c: F.col(c).cast("double")
     part = lambda a, b, ab: d(ab) - d(a) * d(b) / d("m")
     spread = F.sqrt(part("sx", "sx", "sxx") * part("sy", "sy", "syy"))
