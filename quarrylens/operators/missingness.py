@@ -32,15 +32,21 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return out.withColumn("duplicate_percentage", C.share(F.col("duplicate_rows"), F.col("rows")))
 
 
-def duplicate_ids(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Of each id column: rows that repeat a value; nulls equal each other. One row per column from one scan."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).cast("string").alias("value")) for c in ids])
-    groups = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def duplicate_ids(df: DataFrame, ids: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """Of each id column: rows that repeat a value; nulls equal each other. One row per column from one scan, or of a value table."""
+    if counts is None:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).cast("string").alias("value")) for c in ids])
+        groups = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        groups = counts.where(F.col("column").isin(*ids))
     return groups.groupBy("column").agg(F.sum(F.col("n") - 1).alias("duplicate_values"), F.count(F.lit(1)).alias("distinct_values"))
 
 
-def column_missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing, present, zero and blank counts of every column in one scan. zero_count is null for columns without numbers."""
+def column_missingness(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Missing, present, zero and blank counts of every column in one scan, or of a value table. zero_count is null for columns
+    without numbers."""
+    if counts is not None:
+        return _missingness_of(df, list(columns or df.columns), counts)
     out = []
     for c in columns or df.columns:
         kind, x = df.schema[c].dataType, C.name(c)
@@ -51,6 +57,17 @@ def column_missingness(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return C.rows_of(df, out)
 
 
+def _missingness_of(df: DataFrame, columns: list[str], counts: DataFrame) -> DataFrame:
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    total = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0).cast("long"))
+    text, value = F.col("column").isin(*C.text_columns(df), ""), F.col("value")
+    seen = counts.groupBy("column").agg(total(value.isNull()).alias("gone"), total(value.isNotNull()).alias("there"), total(F.col("number") == 0).alias("zeros"), total(text & (C.stripped(value) == "")).alias("blanks"))
+    out = df.sparkSession.createDataFrame([(c, c in numbers) for c in columns], "column string, counted boolean").join(F.broadcast(seen), "column", "left")  # a row for each column
+    gone, there = (F.coalesce(c, F.lit(0).cast("long")) for c in ("gone", "there"))
+    zero, blank = (F.coalesce(c, F.lit(0).cast("long")) for c in ("zeros", "blanks"))
+    return out.select("column", gone.alias("missing_count"), there.alias("non_null_count"), C.share(gone, gone + there).alias("missing_percentage"), F.when(F.col("counted"), zero).alias("zero_count"), blank.alias("blank_string_count"))
+
+
 def row_missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Mean and most missing columns of a row, and rows that miss half of them or more."""
     columns = columns or df.columns
@@ -69,8 +86,13 @@ def missing_flag_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame
     return C.rows_of(df, [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), C.correlation(flag(a), flag(b)).alias("correlation")) for a, b in pairs])
 
 
-def special_missing_codes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, code, n) of the codes that occur. An empty text is both blank and a code."""
+def special_missing_codes(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(column, code, n) of the codes that occur. An empty text is both blank and a code. In one scan, or of a value table."""
+    if counts is not None:
+        among = lambda names: F.col("column").isin(*[c for c in columns or df.columns if c in names], "")
+        text, number = F.lower(C.stripped(F.col("value"))), F.col("number")
+        code = F.when(among(C.text_columns(df)) & text.isin(*MISSING_TEXTS), text).when(among(C.numeric_columns(df)) & number.isin(*MISSING_NUMBERS), number.cast("long").cast("string"))
+        return counts.select("column", code.alias("code"), "n").where(F.col("code").isNotNull()).groupBy("column", "code").agg(F.sum("n").alias("n"))
     pairs = []
     for c in columns or df.columns:
         kind, x = df.schema[c].dataType, C.name(c)
@@ -84,8 +106,16 @@ def special_missing_codes(df: DataFrame, columns: Sequence[str] | None = None) -
     return rows.groupBy("column", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_by_response(df: DataFrame, response: Column, columns: Sequence[str]) -> DataFrame:
-    """The 0/1 response's rate where a column is missing and where it is present, and the gap."""
+def missing_by_response(df: DataFrame, response: Column, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """The 0/1 response's rate where a column is missing and where it is present, and the gap; of a value table with this response's
+    classes, if given."""
+    if counts is not None:
+        total = lambda c, on: F.sum(F.when(on, F.col(c)))
+        rate = lambda on: C.share(total("n1", on), total("n1", on) + total("n0", on))
+        gone, there = F.col("value").isNull(), F.col("value").isNotNull()
+        seen = counts.groupBy("column").agg(F.coalesce(total("n", gone), F.lit(0).cast("long")).alias("missing_count"), rate(gone).alias("response_rate_missing"), rate(there).alias("response_rate_present"))
+        all_ = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(F.broadcast(seen), "column", "left")  # a row for each column
+        return all_.select("column", F.coalesce("missing_count", F.lit(0).cast("long")).alias("missing_count"), "response_rate_missing", "response_rate_present", (F.col("response_rate_missing") - F.col("response_rate_present")).alias("response_rate_gap"))
     out = []
     for c in columns:
         x = C.name(c)

@@ -101,15 +101,16 @@ def evidence(df: DataFrame, source: str, metric: str | Column, value: str | Colu
     return df.select(F.lit(source).alias("source"), as_column(column).cast("string").alias("column"), as_column(related).cast("string").alias("related"), metric.alias("metric"), as_column(value).cast("double").alias("value"))
 
 
-def column_evidence(df: DataFrame, config: ProfileConfig, suspicious: Sequence[str] = (), collisions: Sequence[int] = ()) -> DataFrame:
-    """What the rules on single columns and on the table look at, from types, missing values, codes, parse rates, ids and rows.
+def column_evidence(df: DataFrame, config: ProfileConfig, suspicious: Sequence[str] = (), collisions: Sequence[int] = (), counts: DataFrame | None = None) -> DataFrame:
+    """What the rules on single columns and on the table look at, from types, missing values, codes, parse rates, ids and rows. All but
+    first texts and equal rows are made of a value table, if one is given.
 
     A type's metrics are given only where they count: missing shares of columns with values, the top value's share where there are
     two or more, categories where the type is one of many categories, unique shares of 20 rows and more that are no ids."""
     spark, texts = df.sparkSession, C.text_columns(df)
-    kinds = typing.semantic_types(df, config.near_constant_threshold, config.high_cardinality_threshold)
-    facts = missingness.column_missingness(df).join(F.broadcast(kinds.drop("non_null_count")), "column")  # a row for each column
-    codes = missingness.special_missing_codes(df).groupBy("column").agg(F.sum("n").alias("codes"))
+    kinds = typing.semantic_types(df, config.near_constant_threshold, config.high_cardinality_threshold, counts=counts)
+    facts = missingness.column_missingness(df, counts=counts).join(F.broadcast(kinds.drop("non_null_count")), "column")  # a row for each column
+    codes = missingness.special_missing_codes(df, counts=counts).groupBy("column").agg(F.sum("n").alias("codes"))
     facts = facts.join(F.broadcast(codes), "column", "left")
     k, n, gone = F.col("semantic_type"), F.col("non_null_count"), F.col("missing_count")
     given = {
@@ -121,9 +122,9 @@ def column_evidence(df: DataFrame, config: ProfileConfig, suspicious: Sequence[s
     out = evidence(facts.select("column", long.alias("e")), "columns", F.col("e.metric"), "e.value")
     out = out.unionByName(evidence(missingness.duplicate_rows(df), "columns", "duplicate_row_count", "duplicate_rows", column=None))
     if config.id_columns:
-        out = out.unionByName(evidence(missingness.duplicate_ids(df, config.id_columns), "columns", "duplicate_id_count", "duplicate_values"))
+        out = out.unionByName(evidence(missingness.duplicate_ids(df, config.id_columns, counts), "columns", "duplicate_id_count", "duplicate_values"))
     if texts:
-        rates = typing.parse_rates(df, texts).join(F.broadcast(kinds.select("column", "semantic_type")), "column")
+        rates = typing.parse_rates(df, texts, counts).join(F.broadcast(kinds.select("column", "semantic_type")), "column")
         typed = k.isin("boolean", "all_missing")
         for m, on in (("numeric_parse_rate", ~typed), ("datetime_parse_rate", F.lit(True)), ("boolean_parse_rate", ~typed)):
             out = out.unionByName(evidence(rates.where(on), "columns", m, m))

@@ -34,14 +34,18 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None, counts: Dat
     return out.select("column", F.coalesce("unique_count", zero).alias("unique_count"), F.coalesce("non_null_count", zero).alias("non_null_count"), C.share(F.col("unique_count"), F.col("non_null_count")).alias("unique_ratio"), C.share(F.col("top"), F.col("non_null_count")).alias("top_frequency_ratio"), F.coalesce("reads_boolean", F.lit(False)).alias("reads_boolean"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
-def parse_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def parse_rates(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Shares of the texts that aren't blank which read as numbers, as booleans, and as dates (of one format: the best one; 0 if
-    fewer than 85 % have digits or fewer than half a sign that dates have)."""
+    fewer than 85 % have digits or fewer than half a sign that dates have). Of a value table, if given, each different text is
+    read once."""
     filled = F.when(C.stripped(F.col("v")) != "", C.stripped(F.col("v")))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).alias("v")) for c in columns])
-    rows = df.select(F.explode(pairs).alias("p")).select("p.*").select("column", filled.alias("v"))
-    rows = rows.withColumn("format", C.date_format(F.col("v")))
-    rate = lambda ok: F.avg(F.when(F.col("v").isNotNull(), F.coalesce(ok, F.lit(False)).cast("double")))
+    if counts is None:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).alias("v")) for c in columns])
+        rows = df.select(F.explode(pairs).alias("p")).select("p.*").withColumn("n", F.lit(1))
+    else:
+        rows = counts.where(F.col("column").isin(*columns)).select("column", F.col("value").alias("v"), "n")
+    rows = rows.select("column", filled.alias("v"), "n").withColumn("format", C.date_format(F.col("v")))
+    rate = lambda ok: C.share(F.sum(F.when(F.col("v").isNotNull(), F.when(ok, F.col("n")).otherwise(0))), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))))
     date = F.greatest(*[rate(F.col("format") == i) for i in range(len(C.DATE_FORMATS))])
     date = F.when((rate(F.col("v").rlike(r"\d")) < DATE_RATE) | (rate(F.col("v").rlike("[-/:T ]")) < 0.5), 0.0).otherwise(date)
     found = rows.groupBy("column").agg(rate(C.parsed_number(F.col("v")).isNotNull()).alias("numeric_parse_rate"), date.alias("datetime_parse_rate"), rate(F.lower("v").isin(*BOOLEAN_TEXTS)).alias("boolean_parse_rate"))
@@ -70,8 +74,12 @@ def mixed_values(kinds: DataFrame) -> DataFrame:
 
 
 def _firsts(df: DataFrame, columns: Sequence[str], order: Column, n: int | None) -> DataFrame:
-    """(column, v, nth) of each column's first n texts in an order, or of all: one scan for all columns. A task sends n of each on
-    at most."""
+    """(column, v, nth) of each column's first n texts in an order, or of all: one scan for all columns, or one of each where these
+    read no more. A task sends n of each on at most."""
+    if n is not None and ranks.by_passes(df, columns):
+        parts = [df.select(order.alias("o"), C.name(c).cast("string").alias("v")).where(F.col("v").isNotNull()).orderBy("o").limit(n).select(F.lit(c).alias("column"), "v", "o") for c in columns]
+        nth = F.row_number().over(Window.partitionBy("column").orderBy("o"))  # n rows of each
+        return ranks.united(parts).withColumn("nth", nth).drop("o")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), C.name(c).cast("string").alias("v")) for c in columns])
     rows = df.select(order.alias("o"), F.explode(pairs).alias("p")).select("o", "p.*").where(F.col("v").isNotNull())
     if n is None:

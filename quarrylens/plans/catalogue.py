@@ -4,6 +4,7 @@ Every query runs over its whole table. Doubles are rounded to six digits on both
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ProfileConfig
 from ..functions import columns as C
-from ..functions import special
+from ..functions import ranks, special
 from ..operators import bivariate, drift, missingness, ranking, response, rulebook, text_time, typing, univariate
 from . import rules
 from .views import V1_SQL, V2_SQL, V3_SQL, V4_SQL, V5_SQL, V6_SQL, V7_SQL, V8_SQL, V9_SQL, V10_SQL, V11_SQL, table, view
@@ -714,16 +715,20 @@ ids AS (SELECT 'l_orderkey' AS "column", count(*) - count(DISTINCT l_orderkey) A
 ) + ")"
 
 
+@contextlib.contextmanager
 def _ruled(spark, sf):
-    """The view; the evidence of its columns and the quality findings, each taken once."""
+    """The view and its value table by class, which goes at the end; the evidence of its columns and the quality findings, each taken
+    once."""
     rows = view(spark, sf, V10_SQL)
-    seen = rulebook.kept(rulebook.column_evidence(rows, _RULED, [c for c in rows.columns if rules.suspicious(c) and c != "l_linestatus"], [len(v) for v in rules.name_collisions(rows.columns).values()]))
-    return rows, seen, rulebook.kept(rulebook.findings(seen, rulebook.quality_rules(_RULED)))
+    with ranks.held(ranks.value_table(rows, rows.columns, response.encoded(F.col("l_linestatus"), "O", "F"))) as counts:
+        seen = rulebook.kept(rulebook.column_evidence(rows, _RULED, [c for c in rows.columns if rules.suspicious(c) and c != "l_linestatus"], [len(v) for v in rules.name_collisions(rows.columns).values()], counts))
+        yield rows, counts, seen, rulebook.kept(rulebook.findings(seen, rulebook.quality_rules(_RULED)))
 
 
 @query(_QUALITY + "\nSELECT concat(issue_type, '.', coalesce(\"column\", 'dataset')) AS warning_id, \"column\", issue_type, severity, metric_name, round(metric_value, 6) AS metric_value, threshold FROM q")
 def quality_issues(spark, sf):
-    return _ruled(spark, sf)[2]
+    with _ruled(spark, sf) as (_, _, _, found):
+        return found
 
 
 _PAIRS = [(a, b) for i, a in enumerate(["l_orderkey", *_RULED_NUMBERS]) for b in ["l_orderkey", *_RULED_NUMBERS][i + 1 :]]
@@ -755,27 +760,27 @@ UNION ALL SELECT concat('ranked_feature_quality.', "column"), 'ranked_feature_qu
 
 def _at_risk(spark, sf):
     """Evidence of all sources, quality, leakage and risks of the view, each taken once."""
-    rows, seen, quality = _ruled(spark, sf)
-    y = response.encoded(F.col("l_linestatus"), "O", "F")
-    found = response.numeric_relationships(rows, y, _RULED_NUMBERS).join(response.bin_trend(response.quantile_bins(rows, y, _RULED_NUMBERS)).select("column", "response_rate_spread"), "column", "left")
-    names = spark.createDataFrame([(c, rules.suspicious(c)) for c in rows.columns if c != "l_linestatus"], "column string, suspicious boolean")
-    found = rulebook.kept(found.select("column", "auc_abs", "response_rate_spread"))
-    leaks = rulebook.kept(ranking.leakage_flags(found, names))
-    places = spark.createDataFrame([(c, i) for i, c in enumerate(_RULED_NUMBERS)], "column string, position int")
-    signals = found.select("column", (2 * F.abs(F.col("auc_abs") - 0.5)).alias("signal_score"))
-    gone = seen.where("metric = 'missing_percentage'").select("column", F.col("value").alias("missing_percentage"))
-    ranked = ranking.ranking_of_evidence(places, gone, signals, quality, leaks).where("rank <= 10 AND signal_score IS NOT NULL")
-    numbers, ev = C.numeric_columns(rows, booleans=True), rulebook.evidence
-    others = [c for c in rows.columns if c != "l_linestatus"]
-    parts = (
-        seen, ev(missingness.missing_by_response(rows, y, others), "missing_by_response", "response_rate_gap", F.abs("response_rate_gap")), ev(bivariate.high_correlations(rows, numbers, _RULED.high_correlation_threshold), "pairs", "abs_correlation", F.abs("correlation"), "left", "right"),
-        ev(bivariate.duplicate_columns(rows, numbers), "pairs", "duplicate_column_pair", F.lit(1), "left", "right"), ev(drift.drift(rows, "split", "train", "test", _RULED_NUMBERS, ["part_text", "line_text"]), "drift", F.col("metric"), F.abs("value")),
-        ev(response.imbalance(rows, y), "response", "imbalance_ratio", "imbalance_ratio", F.lit("l_linestatus")), ev(spark.range(1), "response", "positive_class", F.lit(1), F.lit("l_linestatus")), ev(ranked, "ranking", "quality_penalty", "quality_penalty"),
-    )
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = rulebook.kept(every.where(F.col("value").isNotNull()))
+    with _ruled(spark, sf) as (rows, counts, seen, quality):
+        y = response.encoded(F.col("l_linestatus"), "O", "F")
+        found = response.numeric_relationships(rows, y, _RULED_NUMBERS, counts).join(response.bin_trend(response.quantile_bins(rows, y, _RULED_NUMBERS, counts=counts)).select("column", "response_rate_spread"), "column", "left")
+        names = spark.createDataFrame([(c, rules.suspicious(c)) for c in rows.columns if c != "l_linestatus"], "column string, suspicious boolean")
+        found = rulebook.kept(found.select("column", "auc_abs", "response_rate_spread"))
+        leaks = rulebook.kept(ranking.leakage_flags(found, names))
+        places = spark.createDataFrame([(c, i) for i, c in enumerate(_RULED_NUMBERS)], "column string, position int")
+        signals = found.select("column", (2 * F.abs(F.col("auc_abs") - 0.5)).alias("signal_score"))
+        gone = seen.where("metric = 'missing_percentage'").select("column", F.col("value").alias("missing_percentage"))
+        ranked = ranking.ranking_of_evidence(places, gone, signals, quality, leaks).where("rank <= 10 AND signal_score IS NOT NULL")
+        numbers, ev = C.numeric_columns(rows, booleans=True), rulebook.evidence
+        others = [c for c in rows.columns if c != "l_linestatus"]
+        parts = (
+            seen, ev(missingness.missing_by_response(rows, y, others, counts), "missing_by_response", "response_rate_gap", F.abs("response_rate_gap")), ev(bivariate.high_correlations(rows, numbers, _RULED.high_correlation_threshold), "pairs", "abs_correlation", F.abs("correlation"), "left", "right"),
+            ev(bivariate.duplicate_columns(rows, numbers), "pairs", "duplicate_column_pair", F.lit(1), "left", "right"), ev(drift.drift(rows, "split", "train", "test", _RULED_NUMBERS, ["part_text", "line_text"]), "drift", F.col("metric"), F.abs("value")),
+            ev(response.imbalance(rows, y), "response", "imbalance_ratio", "imbalance_ratio", F.lit("l_linestatus")), ev(spark.range(1), "response", "positive_class", F.lit(1), F.lit("l_linestatus")), ev(ranked, "ranking", "quality_penalty", "quality_penalty"),
+        )
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        every = rulebook.kept(every.where(F.col("value").isNotNull()))
     return every, quality, leaks, rulebook.risks(every, quality, leaks, _RULED)
 
 
