@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from .missingness import digest, missing_flag_correlation
 
-#: Columns up to which every pair is an expression of one aggregation; columns of a block beyond, and bytes of a task's sums.
-MOST_COLUMNS, BLOCK_COLUMNS, SUM_BYTES = 50, 128, 64 << 20
+#: Columns that a table of all pairs takes if not told otherwise.
+MOST_COLUMNS = 50
+#: Columns up to which every pair is an expression of one aggregation (more are too many for compiled code); columns of a block
+#: beyond, and bytes of a task's sums.
+FEW_COLUMNS, BLOCK_COLUMNS, SUM_BYTES = 4, 128, 64 << 20
 #: Rows that set the middle and scale of a column, from which its sums are taken; groups that partial sums are added up in first.
 MIDDLE_ROWS, ADDED_FIRST, ROWS_AT_ONCE = 1000, 64, 2048
 
@@ -103,7 +106,7 @@ def correlations(df: DataFrame, columns: Sequence[str], values: Sequence[Column]
 
 def matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """correlations(), of few columns in the JVM."""
-    return correlation_matrix(df, columns) if len(columns) <= MOST_COLUMNS else correlations(df, columns)
+    return correlation_matrix(df, columns) if len(columns) <= FEW_COLUMNS else correlations(df, columns)
 
 
 def missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
