@@ -154,3 +154,66 @@ def test_summary_takes_the_weightiest(spark):
         assert len(told[part]) <= evidence.FEW and all(set(x) == {"id", "text", "evidence_section", "column"} for x in told[part])
     assert told["recommendations"] and told["calculated_metrics"] and told["limitations"]
     assert evidence.summary({})["observed_facts"] == [] and evidence.summary({})["status"] == "deterministic_fallback"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    r = random.Random(5)
+    rows = [(r.choice([None, 0.0, -0.0, 1.5, 999.0]), r.choice([None, 1, -9, 7]), r.choice([None, "", " NA ", "12", "2024-01-05", "x y"]), r.choice([None, True, False]), r.choice([0, 1, None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x double, k long, c string, b boolean, y int")
+    df.write.parquet(path := f"file://{tmp_path_factory.mktemp('odd')}/t.parquet")
+    return spark.read.parquet(path)
+
+
+def _rows(df):
+    return sorted(map(str, C.rounded(df, 9).collect()))
+
+
+def test_files_are_counted_column_by_column(odd, monkeypatch):
+    y = F.col("y").cast("double")
+    assert ranks.by_passes(odd, odd.columns) and not ranks.by_passes(odd.union(odd), odd.columns)
+    alone = _rows(ranks.value_table(odd, odd.columns, y))
+    monkeypatch.setattr(ranks, "PASSES", 0)
+    assert alone == _rows(ranks.value_table(odd, odd.columns, y))
+
+
+def test_facts_of_a_value_table_are_those_of_scans(spark, odd):
+    y = F.col("y").cast("double")
+    for df in (odd, odd.where("false"), odd.withColumn("none", F.lit(None).cast("string"))):
+        with ranks.held(ranks.value_table(df, df.columns, y)) as t:
+            assert _rows(missingness.column_missingness(df)) == _rows(missingness.column_missingness(df, counts=t))
+            assert _rows(missingness.special_missing_codes(df)) == _rows(missingness.special_missing_codes(df, counts=t))
+            assert _rows(missingness.duplicate_ids(df, ["k", "c"])) == _rows(missingness.duplicate_ids(df, ["k", "c"], t))
+            assert _rows(missingness.missing_by_response(df, y, ["x", "c"])) == _rows(missingness.missing_by_response(df, y, ["x", "c"], t))
+            assert _rows(typing.parse_rates(df, ["c"])) == _rows(typing.parse_rates(df, ["c"], t))
+
+
+def test_rank_sums_of_broadcast_and_joined_ranks(odd, monkeypatch):
+    data = odd.select(F.col("k").cast("double").alias("__y"), F.col("x").alias("x"), F.col("b").cast("int").cast("double").alias("b"))
+    pairs = [(r["x"], r["__y"]) for r in data.collect() if r["x"] is not None and r["__y"] is not None]
+    rank = lambda v, among: sum(a < v for a in among) + (sum(a == v for a in among) + 1) / 2
+    xs, ys = zip(*pairs)
+    rx, ry = [rank(v, xs) for v in xs], [rank(v, ys) for v in ys]
+    want = (len(pairs), sum(rx), sum(ry), sum(a * a for a in rx), sum(b * b for b in ry), sum(a * b for a, b in zip(rx, ry)))
+    for few, passes in ((100, 50), (0, 50), (100, 0), (0, 0)):
+        monkeypatch.setattr(ranks, "PASSES", passes)
+        got = {r["column"]: r for r in response.rank_sums(data, ["x", "b"], few).collect()}
+        assert tuple(got["x"][c] for c in ("m", "sx", "sy", "sxx", "syy", "sxy")) == pytest.approx(want) and len(got) == 2
+
+
+def test_a_task_sorts_sixteen_megabytes_of_a_source():
+    assert [ranks._cuts(n << 20) for n in (16, 17, 128, 512, 513)] == [0, 1, 1, 1, 2]
+
+
+def test_first_texts_of_files_are_those_of_one_scan(odd, monkeypatch):
+    order = F.monotonically_increasing_id()
+    alone = _rows(typing._firsts(odd, ["c"], order, 20).select("column", "nth", "v"))
+    monkeypatch.setattr(ranks, "PASSES", 0)
+    assert len(alone) == 20 and alone == _rows(typing._firsts(odd, ["c"], order, 20).select("column", "nth", "v"))
+
+
+def test_pairs_of_more_than_few_columns_are_products(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([[r.choice([None, r.random()]) for _ in range(6)] for _ in range(200)], ", ".join(f"c{i} double" for i in range(6)))
+    found = bivariate.matrix(df, df.columns)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and _rows(found) == _rows(bivariate.correlation_matrix(df))
