@@ -18,6 +18,8 @@ from . import common
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A worker keeps the tokens of at most so many words, and forgets them all when there are more.
 KEPT_WORDS, KEPT_PAIRS, LONG_WORD, SHORT_WORD = 300_000, 2_000_000, 48, 24
+#: Texts are cut to words in pieces of about so many bytes: words, and lists of them, take many times the room of a text.
+WORDS_OF_BYTES = 256 << 10
 _NO_PAIR = (1 << 60, -1)
 
 
@@ -228,7 +230,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     src = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = common.over_batches(src, make, f"k {kind}, ids array<int>" + ", decoded string" * decoded, "t", ("codec", path))
+    out = common.over_batches(src, make, f"k {kind}, ids array<int>" + ", decoded string" * decoded, "t", ("codec", path), WORDS_OF_BYTES)
     return out.withColumnRenamed("k", id_col)
 
 

@@ -195,9 +195,9 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         start = stop
 
 
-def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", holds: tuple | None = None) -> DataFrame:
+def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", holds: tuple | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow over pieces of batches. make() runs once a task and gives f(piece) -> arrays in the order of the schema. A model
-    that the worker holds goes, but for the one named."""
+    that the worker holds goes, but for the one named. A piece has about piece_bytes of text."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -208,7 +208,7 @@ def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text:
         drop_model(holds)
         f = make()
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, piece_bytes):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c.cast(t.type) for c, t in zip(f(piece), out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -116,3 +116,9 @@ def test_a_worker_holds_one_model():
     assert made == [("a", 1), ("b", 1), ("a", 1)]
     common.drop_model(("b", 1))
     assert not common._MODEL
+
+
+def test_pieces_of_a_task_are_as_small_as_asked_for(spark):
+    df = spark.createDataFrame([("x" * 100,)] * 40, "t string").coalesce(1)
+    rows = lambda **k: [r["n"] for r in common.over_batches(df, lambda: lambda piece: [[piece.num_rows]], "n long", "t", **k).collect()]
+    assert rows() == [40] and rows(piece_bytes=1000) == [10] * 4
