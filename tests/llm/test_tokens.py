@@ -95,3 +95,19 @@ def test_frames(spark, odd_docs, no_docs):
     want = sorted(((r.doc_id, len((r.text or "").encode()), n := len(model.encode(r.text or "")), n > 100) for r in rows), key=str)
     assert sorted((tuple(r) for r in counts), key=str) == want
     assert bpe_codec.encode(no_docs, BPE).count() == token_counts.token_counts(no_docs, PIECE).count() == 0
+
+
+def test_words_taken_together_are_as_one_by_one():
+    codec = bpe_codec.Codec(BPE)
+    r = random.Random(4)
+    words = [b"", b"the"] + ["".join(r.choice(LETTERS) for _ in range(r.choice([1, 3, 9, 30]))).encode() for _ in range(600)] + [b"aaaaaaa", b" " * 20]
+    for together, alone in ((codec.merge_all, codec.merge), (lambda x: codec._by_size(x, codec._matched, codec.propose), codec.propose)):
+        flat, counts = together(words)
+        want = [alone(w) for w in words]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == [t for x in want for t in x]
+        assert [len(x) for x in together([])] == [0, 0]
+
+
+def test_latin_texts_are_split_as_all_others(texts):
+    latin = [t for t in texts if not bpe_codec._NOT_LATIN.search(t)] + ["²½ x¼ \x85\xa0\xa0y\x1c z 's's ß'llǅɂ"]
+    assert len(latin) > 50 and [bpe_codec.LATIN_WORDS.findall(t) for t in latin] == [bpe_codec.WORDS.findall(t) for t in latin]
