@@ -22,6 +22,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Texts are worked on in pieces of about so many bytes, to bound a worker's memory; a text is never cut.
 PIECE_BYTES = 2 << 20
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +142,11 @@ def drop_model(but: tuple | None = None) -> None:
     if not _MODEL or but in _MODEL:
         return
     _MODEL.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back. At a task's end, as workers wait beside those of later stages."""
     with contextlib.suppress(OSError, AttributeError):  # as in lean()
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -183,6 +189,13 @@ def decoded(array: pa.Array) -> list[str]:
     return [x.decode(errors="replace") for x in encoded(array)]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Workers get batches of BATCH_BYTES, not of up to 64 MB of texts, unless the session has a size of its own. All of a batch
+    stays in memory, in Spark and in the worker, until its last piece is done."""
+    if spark.conf.get(_BATCH, "64m").lower() in ("64m", "64mb", str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece holds about limit bytes of text, one row at least."""
     lean()
@@ -197,7 +210,8 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
 
 def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", holds: tuple | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow over pieces of batches. make() runs once a task and gives f(piece) -> arrays in the order of the schema. A model
-    that the worker holds goes, but for the one named. A piece has about piece_bytes of text."""
+    that the worker holds goes, but for the one named. A piece has about piece_bytes of text. What only f holds is free at the
+    task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -210,7 +224,10 @@ def over_batches(df: DataFrame, make: Callable[[], Callable], schema: str, text:
         for batch in batches:
             for piece in pieces(batch, text, piece_bytes):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c.cast(t.type) for c, t in zip(f(piece), out, strict=True)], schema=out)
+        f = batch = piece = None
+        trim()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,9 @@ PREFIXES = (4, 5)
 #: A term that this share of the examples holds is frequent: its weights are a row of a matrix, with a maximum for each block.
 DENSE_SHARE = 0.05
 #: Examples of a block; texts that meet the blocks together; blocks of highest bound that each text meets first.
-BLOCK, TOGETHER, FIRST = 64, 384, 4
+BLOCK, TOGETHER, FIRST = 64, 192, 4
+#: Texts are taken in pieces of about so many bytes: their words' arrays take some thirty times the room.
+TERMS_OF_BYTES = 512 << 10
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,6 +76,7 @@ class Index:
     levels: np.ndarray
     none: float
     k: int
+    dense_share: float = DENSE_SHARE
 
     def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's terms that an example holds, and their weights in a vector of length one."""
@@ -96,9 +99,9 @@ class Index:
 
     def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The frequent terms' weights, block x term x example; each term's maximum in each block; and each term's row there or
-        -1. Made once in a process."""
+        -1. Made once; larger than all else, so a task has it in a copy of its own, which goes when the task ends."""
         if "_dense" not in self.__dict__:
-            often = np.flatnonzero(self.blocks[:, 1] - self.blocks[:, 0] >= max(1.0, DENSE_SHARE * len(self.toxic)))
+            often = np.flatnonzero(self.blocks[:, 1] - self.blocks[:, 0] >= max(1.0, self.dense_share * len(self.toxic)))
             at = np.full(len(self.blocks), -1, np.int32)
             at[often] = np.arange(len(often))
             matrix = np.zeros((-(-len(self.toxic) // BLOCK), len(often), BLOCK), np.float32)
@@ -231,11 +234,11 @@ def side_by_side(vectors, df: np.ndarray, n: int, terms: int = 256, centres: int
     return np.lexsort((-(x**2).sum(1), near))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, k: int = 16, dense_share: float = DENSE_SHARE) -> Index:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1); a document labelled more than once has its highest
     label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64. All their terms are indexed: the hashes
     and counts of these, and nothing else, come to the driver. Rows with null id, text or label take no part; without
-    examples every score is 0."""
+    examples every score is 0. A higher dense_share takes less memory and more time; the scores are the same."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "toxic")
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -256,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
 
         return f
 
-    held = common.over_batches(sample.select("text"), terms_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = common.over_batches(sample.select("text"), terms_of, "term long, n long", piece_bytes=TERMS_OF_BYTES).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     terms = np.array(held["term"]).view(np.uint64)
     order = np.argsort(terms)
     terms, df = terms[order], np.append(np.array(held["n"])[order], 0).astype(np.int64)
@@ -277,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
 
         return f
 
-    found = common.over_batches(sample.select("text", "h", "toxic"), counts_of, "h long, toxic int, ids binary, tf binary").toArrow()
+    found = common.over_batches(sample.select("text", "h", "toxic"), counts_of, "h long, toxic int, ids binary, tf binary", piece_bytes=TERMS_OF_BYTES).toArrow()
     sent.unpersist()
     n = found.num_rows
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -300,14 +303,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     h, toxic = h[order], toxic[order]
     del found
     weight = np.array([totals[y] / sizes[y] for y in toxic.tolist()], np.float64)
-    index = Index(terms, idf, np.stack([ends - df, ends], 1), rows, weights, toxic.astype(np.float64), weight, h, np.zeros(0), np.zeros(1), 0.0, k)
+    index = Index(terms, idf, np.stack([ends - df, ends], 1), rows, weights, toxic.astype(np.float64), weight, h, np.zeros(0), np.zeros(1), 0.0, k, dense_share)
     if not n:
         return index
     # calibration: every example scored by the others
     sent = spark.sparkContext.broadcast(index)
 
     def votes_of():
-        ix = sent.value
+        ix = replace(sent.value)
         own = {key: i for i, key in enumerate(zip(ix.hashes.tolist(), ix.toxic.tolist(), strict=True))}
 
         def f(piece: pa.RecordBatch):
@@ -317,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
 
         return f
 
-    votes = {r["i"]: r["raw"] for r in common.over_batches(sample.select("text", "h", "toxic"), votes_of, "i long, raw double").collect()}
+    votes = {r["i"]: r["raw"] for r in common.over_batches(sample.select("text", "h", "toxic"), votes_of, "i long, raw double", piece_bytes=TERMS_OF_BYTES).collect()}
     sent.unpersist()
     kept = [i for i in range(n) if votes[i] is not None]
     blank = [i for i in range(n) if votes[i] is None]
@@ -335,7 +338,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
-        ix = sent.value
+        ix = replace(sent.value)
 
         def f(piece: pa.RecordBatch):
             found = ix.scores(common.encoded(common.column(piece, "t")))
@@ -347,7 +350,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = common.over_batches(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), make, f"k {kind}, score double, similar array<long>, cosines array<double>, labels array<int>", "t")
+    out = common.over_batches(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), make, f"k {kind}, score double, similar array<long>, cosines array<double>, labels array<int>", "t", piece_bytes=TERMS_OF_BYTES)
     return out.withColumnRenamed("k", id_col)
 
 
@@ -371,9 +374,12 @@ def keep(docs: DataFrame, index: Index, threshold: float = 0.3, text_col: str =
 
     def run(batches):
         common.drop_model()
-        ix = sent.value
+        ix = replace(sent.value)
         for batch in batches:
-            for piece in common.pieces(batch, text_col):
+            for piece in common.pieces(batch, text_col, TERMS_OF_BYTES):
                 yield piece.filter(pa.array([x[0] < threshold for x in ix.scores(common.encoded(common.column(piece, text_col)))], pa.bool_()))
+        ix = batch = piece = None
+        common.trim()
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -122,3 +122,32 @@ def test_pieces_of_a_task_are_as_small_as_asked_for(spark):
     df = spark.createDataFrame([("x" * 100,)] * 40, "t string").coalesce(1)
     rows = lambda **k: [r["n"] for r in common.over_batches(df, lambda: lambda piece: [[piece.num_rows]], "n long", "t", **k).collect()]
     assert rows() == [40] and rows(piece_bytes=1000) == [10] * 4
+
+
+def held_by_workers(spark) -> int:
+    """Codecs and indexes with a matrix in the workers that are there."""
+
+    def count(batches):
+        import gc
+
+        for b in batches:
+            yield b.assign(id=sum(type(x).__name__ == "Codec" or (type(x).__name__ == "Index" and "_dense" in x.__dict__) for x in gc.get_objects()))
+
+    return sum(r["id"] for r in spark.range(0, 8, 1, 8).mapInPandas(count, "id long").collect())
+
+
+def test_workers_wait_without_what_a_task_needed(spark):
+    from quarrylens.llm import toxicity
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of number "), F.col("id").cast("string")).alias("text"))
+    index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert toxicity.score(docs, index).count() == 40 and held_by_workers(spark) == 0
+    toxicity.keep(docs, index).collect()
+    assert held_by_workers(spark) == 0
+    assert len(bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()) == 40 and held_by_workers(spark) == 0
+
+
+def test_batches_of_long_texts_are_small(spark):
+    docs = spark.range(0, 120, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    got = common.over_batches(docs, lambda: lambda piece: [[piece.num_rows]], "n long", "t", piece_bytes=1 << 30).collect()
+    assert sum(r["n"] for r in got) == 120 and max(r["n"] for r in got) <= 45
