@@ -15,12 +15,16 @@ from . import common
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 #: Beside a word itself, its first so many bytes are terms: they tie a stem's endings together.
 PREFIXES = (4, 5)
-#: A term that this share of the examples holds is frequent: its weights are a row of a matrix, with a maximum for each block.
+#: A term that this share of the examples holds is frequent: it is a row of each block's matrix, with a maximum for each block.
 DENSE_SHARE = 0.05
 #: Examples of a block; texts that meet the blocks together; blocks of highest bound that each text meets first.
-BLOCK, TOGETHER, FIRST = 64, 192, 4
-#: Texts are taken in pieces of about so many bytes: their words' arrays take some thirty times the room.
-TERMS_OF_BYTES = 512 << 10
+BLOCK, TOGETHER, FIRST = 64, 320, 4
+#: Directions in which examples differ most, told from so many examples: two vectors' product is at most that of their parts along
+#: these and that of the lengths of what is left. Any directions give the same neighbours.
+DIRECTIONS, FITTED = 32, 1000
+#: Texts are taken in pieces of about so many bytes, and their terms are counted in smaller ones: words' arrays take some thirty
+#: times the room.
+TERMS_OF_BYTES, COUNTED_BYTES = 512 << 10, 128 << 10
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,20 +59,49 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return terms, held & 0xFFFFFFFF, np.diff(np.append(first, len(key))), np.searchsorted(held >> 32, np.arange(len(texts) + 1))
 
 
+@dataclass
+class Dense:
+    """Frequent terms by example, small enough to be sent: a block's matrix is made of them when texts meet it.
+
+    place: each term's number among the frequent ones or -1; starts: where each example's terms begin; ids, tf: these terms, and
+    how often the example holds them; highest: each term's largest share of an example's length, by block of so many; basis: some
+    orthonormal directions of TF-IDF vectors; along, beside: each example's part along these, and the length of the rest."""
+
+    place: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    tf: np.ndarray
+    highest: np.ndarray
+    block: int
+    basis: np.ndarray | None = None
+    along: np.ndarray | None = None
+    beside: np.ndarray | None = None
+
+    def matrix(self, lo: int, hi: int, out: np.ndarray | None = None) -> np.ndarray:
+        """How often some examples hold each term."""
+        if out is None:
+            out = np.zeros((self.block, len(self.highest)), np.float32)
+        out[:] = 0
+        mine = slice(self.starts[lo], self.starts[hi])
+        out.reshape(-1)[np.repeat(np.arange(hi - lo) * out.shape[1], np.diff(self.starts[lo : hi + 1])) + self.ids[mine]] = self.tf[mine]
+        return out[: hi - lo]
+
+
 @dataclass
 class Index:
     """Examples' unit TF-IDF vectors as postings by term; like examples stand side by side, so that blocks of them differ.
 
-    terms: sorted hashes of all terms of the examples; idf by term; rows, weights: the postings, by term and row; blocks: where
-    each term's postings begin and end; toxic, weight, hashes: by example; edges, levels: the calibration's steps; none: the
-    score of a text without any term; k: neighbours. What no example holds has the highest idf and no
-    postings: it counts in a text's length."""
+    terms: sorted hashes of all terms of the examples; idf by term; ends: where each term's postings end; rows, tf: the postings,
+    by term and row, as a row and how often it holds the term; norms: each example's length before it was made a unit; toxic,
+    weight, hashes: by example; edges, levels: the calibration's steps; none: the score of a text without any term; k:
+    neighbours. What no example holds has the highest idf and no postings: it counts in a text's length."""
 
     terms: np.ndarray
     idf: np.ndarray
-    blocks: np.ndarray
+    ends: np.ndarray
     rows: np.ndarray
-    weights: np.ndarray
+    tf: np.ndarray
+    norms: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
     hashes: np.ndarray
@@ -76,40 +109,91 @@ class Index:
     levels: np.ndarray
     none: float
     k: int
-    dense_share: float = DENSE_SHARE
+    frequent: Dense | None = None
+    held: np.ndarray | None = None  # all blocks' matrices, where a task has the room: see holding()
+
+    @property
+    def blocks(self) -> np.ndarray:
+        """Where each term's postings begin and end."""
+        return np.stack([np.append(0, self.ends[:-1]), self.ends], 1)
+
+    @property
+    def weights(self) -> np.ndarray:
+        """Each posting's weight in its example's unit vector."""
+        return self.tf * np.repeat(self.idf, np.diff(self.ends, prepend=0)) / self.norms[self.rows]
 
     def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's terms that an example holds, and their weights in a vector of length one."""
         if not len(self.terms):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-        some, place, tf, cuts = term_counts(texts)
-        at = np.minimum(np.searchsorted(self.terms, some), len(self.terms) - 1)
-        at = np.where(self.terms[at] == some, at, len(self.terms))
-        term = at[place]
-        w = tf * self.idf[term]
-        out = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            known = term[a:b] < len(self.terms)
-            v = w[a:b]
-            out.append((term[a:b][known], v[known] / np.sqrt((v**2).sum()) if known.any() else np.zeros(0)))
+        out, sizes = [], np.cumsum([len(t) for t in texts])
+        while len(out) < len(texts):
+            before = sizes[len(out) - 1] if out else 0
+            some = texts[len(out) : max(len(out) + 1, int(np.searchsorted(sizes, before + COUNTED_BYTES, "right")))]
+            found, place, tf, cuts = term_counts(some)
+            at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
+            term = np.where(self.terms[at] == found, at, len(self.terms))[place]
+            w = tf * self.idf[term]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                known = term[a:b] < len(self.terms)
+                v = w[a:b]
+                out.append((term[a:b][known], v[known] / np.sqrt((v**2).sum()) if known.any() else np.zeros(0)))
         return out
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
-
-    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The frequent terms' weights, block x term x example; each term's maximum in each block; and each term's row there or
-        -1. Made once; larger than all else, so a task has it in a copy of its own, which goes when the task ends."""
-        if "_dense" not in self.__dict__:
-            often = np.flatnonzero(self.blocks[:, 1] - self.blocks[:, 0] >= max(1.0, self.dense_share * len(self.toxic)))
-            at = np.full(len(self.blocks), -1, np.int32)
-            at[often] = np.arange(len(often))
-            matrix = np.zeros((-(-len(self.toxic) // BLOCK), len(often), BLOCK), np.float32)
-            for i, (lo, hi) in enumerate(self.blocks[often].tolist()):
-                block, place = np.divmod(self.rows[lo:hi].astype(np.int64), BLOCK)
-                matrix[block, i, place] = self.weights[lo:hi]
-            self._dense = matrix, np.ascontiguousarray(matrix.max(2).T), at
-        return self._dense
+    def dense(self) -> Dense:
+        """The frequent terms by example. Made once, on the driver."""
+        if self.frequent is None:
+            n, blocks = len(self.toxic), self.blocks
+            often = np.flatnonzero(blocks[:, 1] - blocks[:, 0] >= max(1.0, DENSE_SHARE * n))
+            place = np.full(len(blocks), -1, np.int32)
+            place[often] = np.arange(len(often))
+            spans = blocks[often].tolist()
+            starts = np.zeros(n + 1, np.int64)
+            for lo, hi in spans:
+                starts[self.rows[lo:hi].astype(np.int64) + 1] += 1
+            np.cumsum(starts, out=starts)
+            free = starts[:-1].copy()
+            ids, tf = np.zeros(starts[-1], np.uint16 if len(often) < 1 << 16 else np.int32), np.zeros(starts[-1], self.tf.dtype)
+            highest = np.zeros((len(often), -(-n // BLOCK)), np.float32)
+            for i, (lo, hi) in enumerate(spans):
+                rows = self.rows[lo:hi].astype(np.int64)
+                to = free[rows]
+                ids[to], tf[to] = i, self.tf[lo:hi]
+                free[rows] = to + 1
+                block = rows // BLOCK
+                first = np.flatnonzero(np.diff(block, prepend=-1))
+                highest[i, block[first]] = np.maximum.reduceat(self.tf[lo:hi] / self.norms[rows], first)
+            d = self.frequent = Dense(place, starts, ids, tf, highest, BLOCK)
+            weight = self.idf[often]
+            some = np.unique(np.linspace(0, n - 1, min(n, FITTED)).astype(np.int64)) if n else np.zeros(0, np.int64)
+            x = np.zeros((len(some), len(often)), np.float32)
+            for i, row in enumerate(some.tolist()):
+                mine = slice(starts[row], starts[row + 1])
+                x[i, ids[mine]] = tf[mine] * weight[ids[mine]] / self.norms[row]
+            values, u = np.linalg.eigh((x @ x.T).astype(np.float64))
+            d.basis = np.linalg.qr(x.T @ u[:, np.argsort(-values)[: min(DIRECTIONS, len(often))]])[0]
+            d.along, d.beside = np.zeros((d.basis.shape[1], n), np.float32), np.zeros(n, np.float32)
+            for lo in range(0, n, BLOCK):
+                rows = slice(lo, min(lo + BLOCK, n))
+                y = d.matrix(lo, rows.stop).astype(np.float64) * weight / self.norms[rows, None]
+                along = y @ d.basis
+                d.along[:, rows], d.beside[rows] = along.T, np.sqrt(np.maximum(0.0, (y**2).sum(1) - (along**2).sum(1)))
+        return self.frequent
+
+    def for_workers(self) -> Index:
+        """The same with no postings of the frequent terms, which workers have by example alone."""
+        rare = self.dense().place < 0
+        df = np.diff(self.ends, prepend=0)
+        left = np.repeat(rare, df)
+        return replace(self, ends=np.cumsum(df * rare), rows=self.rows[left], tf=self.tf[left])
+
+    def holding(self) -> Index:
+        """The same with all blocks' matrices, which take less time and more room: some 100 MB."""
+        n, d = len(self.toxic), self.dense()
+        held = np.zeros((-(-n // d.block), d.block, len(d.highest)), np.float32)
+        for b, lo in enumerate(range(0, n, d.block)):
+            d.matrix(lo, min(lo + d.block, n), held[b])
+        return replace(self, held=held)
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0, ties by hash of their text."""
@@ -119,7 +203,7 @@ class Index:
         """nearest() of each vector.
 
         Postings of rare terms are added up. A block's bound is the largest of these sums in it and what the frequent terms'
-        maxima there allow. Each text first meets its few blocks of highest bound, which gives a kth cosine to beat, and then
+        maxima there allow, or, where that is less, what the examples' parts along a few directions allow. Each text first meets its few blocks of highest bound, which gives a kth cosine to beat, and then
         those blocks alone whose bound reaches it; texts that meet a block do so in one product of matrices, in single
         precision. Whoever could be among the k by that product's largest error has it taken anew in double precision, so
         the result is exact and no text's result depends on the others."""
@@ -127,56 +211,95 @@ class Index:
         if not n:
             yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
             return
-        matrix, highest, place = self.dense()
-        edges = np.arange(0, n, BLOCK)
+        d = self.dense()
+        place, starts = d.place, d.starts
+        begins, edges, shares = np.append(0, self.ends[:-1]), np.arange(0, n, d.block), 1 / self.norms
+        matrix, asked = np.zeros((d.block, len(d.highest)), np.float32), np.zeros(len(d.highest))
+        all_q, all_rare = (np.zeros((min(TOGETHER, len(vectors)), m), kind) for m, kind in ((len(d.highest), np.float32), (n, np.float64)))
         for start in range(0, len(vectors), TOGETHER):
             some = vectors[start : start + TOGETHER]
-            q = np.zeros((len(some), len(highest)), np.float32)
-            rare = np.zeros((len(some), n))
-            slack = np.zeros(len(some))
+            q, rare = all_q[: len(some)], all_rare[: len(some)]
+            q[:] = 0
+            slack, along, beside = np.zeros(len(some)), np.zeros((len(some), len(d.along)), np.float32), np.zeros((len(some), 1), np.float32)
             for i, (terms, w) in enumerate(some):
                 at = place[terms]
                 often = at >= 0
-                q[i, at[often]] = w[often]
-                posts, v = self.blocks[terms[~often]], w[~often]
-                sizes = posts[:, 1] - posts[:, 0]
-                ends = np.cumsum(sizes)
-                if len(ends):
-                    here = np.repeat(posts[:, 0] - ends + sizes, sizes) + np.arange(ends[-1])
-                    rare[i] = np.bincount(self.rows[here], self.weights[here] * np.repeat(v, sizes), n)
-                slack[i] = 4 * (often.sum() + 2) * 2.0**-24  # of a sum without negative parts
+                part = w[often] @ d.basis[at[often]]
+                along[i], beside[i] = part, np.sqrt(max(0.0, (w[often] ** 2).sum() - (part**2).sum()))
+                v = w * self.idf[terms]
+                q[i, at[often]] = v[often]
+                posts, v = terms[~often], v[~often]
+                sizes = self.ends[posts] - begins[posts]
+                here = np.repeat(begins[posts] - np.cumsum(sizes) + sizes, sizes)
+                here += np.arange(len(here))
+                np.multiply(np.bincount(self.rows[here], self.tf[here] * np.repeat(v, sizes), n), shares, out=rare[i])
+                slack[i] = 4 * (often.sum() + 4) * 2.0**-24  # of a sum without negative parts
                 if skip is not None and skip[start + i] >= 0:
                     rare[i, skip[start + i]] = -2.0  # no sum reaches 0
-            bound = q @ highest + np.maximum.reduceat(rare, edges, axis=1)
+            bound = q @ d.highest + np.maximum.reduceat(rare, edges, axis=1)
+            for b in range(0, bound.shape[1], 16):
+                cols = slice(b * d.block, (b + 16) * d.block)
+                found = along @ d.along[:, cols]
+                found += beside * d.beside[cols]
+                found += rare[:, cols]
+                found = np.maximum.reduceat(found, np.arange(0, found.shape[1], d.block), axis=1) + 1e-5  # more than its rounding
+                np.minimum(bound[:, b : b + 16], found, out=bound[:, b : b + 16])
             slack *= np.maximum(1.0, bound.max(1))
-            about = np.full((len(some), n), -1.0, np.float32)
 
-            def meet(which: np.ndarray, about=about, q=q, rare=rare) -> None:
+            def meet(which: np.ndarray, q=q, rare=rare):
+                """The texts that meet a block, its first example, and their cosines."""
                 for b in np.flatnonzero(which.any(0)).tolist():
-                    who, cols = np.flatnonzero(which[:, b]), slice(b * BLOCK, min((b + 1) * BLOCK, n))
-                    about[who, cols] = (q[who] @ matrix[b])[:, : cols.stop - cols.start] + rare[who, cols]
+                    lo, hi = b * d.block, min((b + 1) * d.block, n)
+                    held = d.matrix(lo, hi, matrix) if self.held is None else self.held[b, : hi - lo]
+                    who = np.flatnonzero(which[:, b])
+                    yield who, lo, q[who] @ held.T * shares[lo:hi] + rare[who, lo:hi]
 
             first = np.zeros(bound.shape, bool)
             few = min(FIRST, bound.shape[1])
             np.put_along_axis(first, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
-            meet(first)
-            kth = np.full(len(some), -1.0)
-            for i, blocks in enumerate(first):
-                cols = (edges[blocks][:, None] + np.arange(BLOCK)).ravel()
-                met = about[i, cols[cols < n]]
-                if len(met) > self.k:
-                    kth[i] = np.partition(met, len(met) - self.k)[len(met) - self.k]
-            meet(~first & (bound >= (kth - slack)[:, None]) & (bound > 0))
+            met, so_far = np.full((len(some), few * d.block), -1.0), np.zeros(len(some), np.int64)
+            near: list[list[np.ndarray]] = [[], [], []]  # texts, rows and cosines that may be among the k
+
+            def note(who, lo, found, least, near=near) -> None:
+                i, j = np.nonzero(found > least[who, None])
+                for x, y in zip(near, (who[i], lo + j, found[i, j]), strict=True):
+                    x.append(y)
+
+            blocks = []
+            for who, lo, found in meet(first):
+                met[who[:, None], so_far[who, None] * d.block + np.arange(found.shape[1])] = found
+                so_far[who] += 1
+                blocks.append((who, lo, found))
+            kth = np.partition(met, -self.k, axis=1)[:, -self.k] if met.shape[1] > self.k else np.full(len(some), -1.0)
+            least = np.maximum(0.0, kth - slack)
+            for x in blocks:
+                note(*x, least)
+            for x in meet(~first & (bound >= (kth - slack)[:, None]) & (bound > 0)):
+                note(*x, least)
+            texts, rows, about = map(np.concatenate, near) if near[0] else (np.zeros(0, np.int64),) * 3
+            order = np.lexsort((rows, texts))
+            ends = np.searchsorted(texts[order], np.arange(len(some) + 1))
+            rows, about = rows[order], about[order]
             for i, (terms, w) in enumerate(some):
-                rows = np.flatnonzero(about[i] > max(0.0, kth[i] - slack[i]))
-                if len(rows) > self.k:
-                    rows = rows[about[i, rows] >= np.partition(about[i, rows], len(rows) - self.k)[len(rows) - self.k] - slack[i]]
+                mine, its = rows[ends[i] : ends[i + 1]], about[ends[i] : ends[i + 1]]
+                if len(mine) > self.k:
+                    mine = mine[its >= np.partition(its, len(its) - self.k)[len(its) - self.k] - slack[i]]
                 at = place[terms]
                 often = at >= 0
-                sims = np.round(rare[i, rows] + matrix[rows[:, None] // BLOCK, at[often], rows[:, None] % BLOCK].astype(np.float64) @ w[often], 9)
-                rows, sims = rows[sims > 0], sims[sims > 0]
-                best = np.lexsort((self.hashes[rows], -sims))[: self.k]
-                yield rows[best], sims[best]
+                asks = (w * self.idf[terms])[often]
+                if self.held is not None:
+                    sums = self.held[mine[:, None] // d.block, mine[:, None] % d.block, at[often]].astype(np.float64) @ asks
+                else:
+                    asked[at[often]] = asks
+                    sizes = starts[mine + 1] - starts[mine]
+                    here = np.repeat(starts[mine + 1] - np.cumsum(sizes), sizes)
+                    here += np.arange(len(here))
+                    sums = np.bincount(np.repeat(np.arange(len(mine)), sizes), asked[d.ids[here]] * d.tf[here], len(mine))
+                    asked[at[often]] = 0
+                sims = np.round(rare[i, mine] + sums * shares[mine], 9)
+                mine, sims = mine[sims > 0], sims[sims > 0]
+                best = np.lexsort((self.hashes[mine], -sims))[: self.k]
+                yield mine[best], sims[best]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Share of toxic examples, each weighted by its class's share and by its angle: 1 / (0.1 + distance)."""
@@ -234,11 +357,11 @@ def side_by_side(vectors, df: np.ndarray, n: int, terms: int = 256, centres: int
     return np.lexsort((-(x**2).sum(1), near))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, k: int = 16, dense_share: float = DENSE_SHARE) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 9000, k: int = 16) -> Index:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1); a document labelled more than once has its highest
     label. Bounds: max_toxic and max_clean different texts, those of lowest xxhash64. All their terms are indexed: the hashes
     and counts of these, and nothing else, come to the driver. Rows with null id, text or label take no part; without
-    examples every score is 0. A higher dense_share takes less memory and more time; the scores are the same."""
+    examples every score is 0."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "toxic")
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -286,31 +409,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     idf = np.log((1 + n) / (1 + df)) + 1
     ends = np.cumsum(df)
     free = ends - df  # where each term's next posting goes
-    rows, weights = np.zeros(int(df.sum()), np.uint16 if n < 1 << 16 else np.int32), np.zeros(int(df.sum()), np.float32)
+    rows, held = np.zeros(int(df.sum()), np.uint16 if n < 1 << 16 else np.int32), np.zeros(int(df.sum()), np.uint32)
+    norms = np.ones(n)
     h, toxic = (np.array(found[c], np.int64) for c in ("h", "toxic"))
 
     def vectors_of(order):
         for i in order.tolist():
             ids, tf = np.cumsum(common.unpacked(found["ids"][i].as_py(), "<i4")), common.unpacked(found["tf"][i].as_py(), "<u4")
             w = tf * idf[ids]
-            yield ids, w / np.sqrt((w**2).sum()) if len(w) else w
+            yield ids, tf, np.sqrt((w**2).sum()) if len(w) else 1.0
 
-    order = side_by_side(vectors_of(plain := np.lexsort((toxic, h))), df, n)
-    order = plain[order]
-    for i, (ids, w) in enumerate(vectors_of(order)):
-        rows[free[ids]], weights[free[ids]] = i, w
+    plain = np.lexsort((toxic, h))
+    order = plain[side_by_side(((ids, tf * idf[ids] / norm) for ids, tf, norm in vectors_of(plain)), df, n)]
+    for i, (ids, tf, norm) in enumerate(vectors_of(order)):
+        rows[free[ids]], held[free[ids]], norms[i] = i, tf, norm
         free[ids] += 1
+    held = held.astype(np.min_scalar_type(held.max(initial=0)))  # one byte, as a rule
     h, toxic = h[order], toxic[order]
     del found
     weight = np.array([totals[y] / sizes[y] for y in toxic.tolist()], np.float64)
-    index = Index(terms, idf, np.stack([ends - df, ends], 1), rows, weights, toxic.astype(np.float64), weight, h, np.zeros(0), np.zeros(1), 0.0, k, dense_share)
+    index = Index(terms, idf, ends, rows, held, norms, toxic.astype(np.float64), weight, h, np.zeros(0), np.zeros(1), 0.0, k)
     if not n:
         return index
     # calibration: every example scored by the others
-    sent = spark.sparkContext.broadcast(index)
+    sent = spark.sparkContext.broadcast(index.for_workers())
 
     def votes_of():
-        ix = replace(sent.value)
+        ix = sent.value
         own = {key: i for i, key in enumerate(zip(ix.hashes.tolist(), ix.toxic.tolist(), strict=True))}
 
         def f(piece: pa.RecordBatch):
@@ -320,7 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
 
         return f
 
-    votes = {r["i"]: r["raw"] for r in common.over_batches(sample.select("text", "h", "toxic"), votes_of, "i long, raw double", piece_bytes=TERMS_OF_BYTES).collect()}
+    votes = {r["i"]: r["raw"] for r in common.over_batches(sample.select("text", "h", "toxic"), votes_of, "i long, raw double", piece_bytes=TERMS_OF_BYTES // 2).collect()}
     sent.unpersist()
     kept = [i for i in range(n) if votes[i] is not None]
     blank = [i for i in range(n) if votes[i] is None]
@@ -335,10 +460,10 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     The index is sent to the workers; its size is bounded by fit()'s parameters. Null and empty texts have the score of
     texts without any term; repeated rows are repeated; an empty table gives an empty one; other columns are not read."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(index.for_workers())
 
     def make():
-        ix = replace(sent.value)
+        ix = sent.value
 
         def f(piece: pa.RecordBatch):
             found = ix.scores(common.encoded(common.column(piece, "t")))
@@ -369,14 +494,15 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, index: Index, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents that score under the threshold, with all their columns, in one narrow pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    """The documents that score under the threshold, with all their columns, in one narrow pass. For pipelines, where memory is
+    short: a task makes a block's matrix when it needs it, and takes small pieces."""
+    sent = docs.sparkSession.sparkContext.broadcast(index.for_workers())
 
     def run(batches):
         common.drop_model()
-        ix = replace(sent.value)
+        ix = sent.value
         for batch in batches:
-            for piece in common.pieces(batch, text_col, TERMS_OF_BYTES):
+            for piece in common.pieces(batch, text_col, TERMS_OF_BYTES // 2):
                 yield piece.filter(pa.array([x[0] < threshold for x in ix.scores(common.encoded(common.column(piece, text_col)))], pa.bool_()))
         ix = batch = piece = None
         common.trim()

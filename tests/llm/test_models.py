@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -223,6 +224,31 @@ def test_toxicity_by_brute_force(spark, monkeypatch, block):
         assert abs(score - want) < 1e-6
 
 
+@pytest.mark.parametrize("directions", [1, 32])
+def test_toxicity_makes_matrices_by_block(spark, monkeypatch, directions):
+    monkeypatch.setattr(toxicity, "DIRECTIONS", directions)
+    monkeypatch.setattr(toxicity, "DENSE_SHARE", 0.005)
+    rows = toxic_rows(3, 600)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    sent = index.for_workers()
+    assert len(sent.rows) + len(sent.frequent.ids) == len(index.rows)  # no posting is sent twice
+    held, asked = sent.holding(), sent.vectors([t.encode() for _, t, _ in rows[:12]])
+    tracemalloc.start()
+    built = list(sent.all_nearest(asked))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < held.held.nbytes / 2
+    full = np.zeros((len(index.toxic), len(index.terms) + 1))
+    for t, (lo, hi) in enumerate(index.blocks.tolist()):
+        full[index.rows[lo:hi], t] = index.weights[lo:hi]
+    assert np.allclose((full**2).sum(1), 1)
+    for (terms, w), a, b in zip(asked, built, held.all_nearest(asked), strict=True):
+        sims = np.round(full[:, terms] @ w, 9)
+        want = np.lexsort((index.hashes, -sims))[: index.k]
+        assert a[0].tolist() == b[0].tolist() == want.tolist() and np.allclose(a[1], sims[want], atol=2e-9) and np.allclose(a[1], b[1], atol=2e-9)
+
+
 def test_budgets():
     assert mixing.fill([1, 1, 2], [10, 100, 1000], 100) == [10, 30, 60]
     assert mixing.fill([1, 1], [3, 3], 100) == [3, 3] and mixing.fill([1, 1, 1], [50, 50, 50], 100) == [34, 33, 33] and mixing.fill([0, 1], [9, 9], 5) == [0, 5]
