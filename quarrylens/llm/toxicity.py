@@ -463,7 +463,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(index.for_workers())
 
     def make():
-        ix = sent.value
+        ix = sent.value.holding()
 
         def f(piece: pa.RecordBatch):
             found = ix.scores(common.encoded(common.column(piece, "t")))
@@ -475,7 +475,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = common.over_batches(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), make, f"k {kind}, score double, similar array<long>, cosines array<double>, labels array<int>", "t", piece_bytes=TERMS_OF_BYTES)
+    out = common.over_batches(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), make, f"k {kind}, score double, similar array<long>, cosines array<double>, labels array<int>", "t", piece_bytes=2 * TERMS_OF_BYTES)
     return out.withColumnRenamed("k", id_col)
 
 

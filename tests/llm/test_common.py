@@ -147,6 +147,21 @@ def test_workers_wait_without_what_a_task_needed(spark):
     assert len(bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()) == 40 and held_by_workers(spark) == 0
 
 
+def test_workers_wait_without_matrices_of_toxicity(spark):
+    from quarrylens.llm import toxicity
+
+    def count(batches):
+        import gc
+
+        for b in batches:
+            yield b.assign(id=sum(type(x).__name__ == "Index" and getattr(x, "held", None) is not None for x in gc.get_objects()))
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of number "), F.col("id").cast("string")).alias("text"))
+    index = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert toxicity.score(docs, index).count() == 40 and toxicity.keep(docs, index).count() <= 40
+    assert sum(r["id"] for r in spark.range(0, 8, 1, 8).mapInPandas(count, "id long").collect()) == 0
+
+
 def test_batches_of_long_texts_are_small(spark):
     docs = spark.range(0, 120, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
     got = common.over_batches(docs, lambda: lambda piece: [[piece.num_rows]], "n long", "t", piece_bytes=1 << 30).collect()
